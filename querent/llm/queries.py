@@ -7,16 +7,49 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querent.llm import simhash
+from querent.llm import bpe, simhash, tiff
 from querent.tables import table
 
 
+def vocabulary() -> str:
+    """The byte-level BPE file of the installed public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def media_digests(docs: DataFrame) -> DataFrame:
+    """Every whole text stored as a one-page TIFF file, and the digests of what is read back from it."""
+    files = tiff.tiff_written(docs).withColumns({"media_bytes": F.octet_length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
+    pages = tiff.tiff_pages(files, keep=("doc_id", "n_bytes", "media_bytes", "media_sha256"))
+    return pages.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("samples").cast("long").alias("payload_bytes"),
+        F.sha2("samples", 256).alias("payload_sha256"),
+        F.crc32(F.substring("samples", -16, 16)).alias("tail_crc32"),
+        "media_bytes",
+        "media_sha256",
+        "feature",
+    )
+
+
+def op3_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_digests(table(spark, sf_dir, "documents"))
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), vocabulary())
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_tiff": op3_tiff,
+    "op4_bpe": op4_bpe,
     "op10_simhash": op10_simhash,
 }
 
