@@ -30,6 +30,8 @@ from querent.llm.arrow import by_columns
 
 #: Bytes of the rolling window (a power of two), log2 of the mean chunk length, most bytes of a chunk, bytes of cached chunks of a worker.
 WINDOW, MEAN_BITS, LONGEST, CACHE_BYTES = 32, 10, 1 << 14, 48 << 20
+# Fixed value: the pattern by which byte-level BPE files part words.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BASE, SPREAD = np.uint32(0x08104225), np.uint32(0x9E3779B1)
 
 
@@ -97,12 +99,28 @@ class ChunkedBpe:
         pieces |= {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
         self.pieces = [pieces.get(i, b"") for i in range(max(pieces) + 1)]
         self.lengths = np.array([len(p) for p in self.pieces], np.int64)
+        self.ranks = self.ranked(spec)
         self.chunking, self.cache_bytes = chunking, cache_bytes
-        self.cache: OrderedDict[bytes, Chunk] = OrderedDict()
+        self.cache: OrderedDict[tuple[bytes, bool], Chunk] = OrderedDict()
         self.held = 0
         self.encoded_chunks = self.used_chunks = 0
 
+    def ranked(self, spec: dict):
+        """The same merges as a table of ranks, which a faster library runs; none where ids aren't in the order of merges."""
+        own = [(m if isinstance(m, list) else m.split(" ")) for m in spec["model"]["merges"]]
+        vocabulary = spec["model"]["vocab"]
+        if any(vocabulary.get("".join(m)) != 256 + k for k, m in enumerate(own)) or sorted(vocabulary.values()) != list(range(256 + len(own))):
+            return None
+        import tiktoken
+
+        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        ranks = {piece: k for k, piece in enumerate(self.pieces[: len(vocabulary)])}
+        self.special = frozenset(special)
+        return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
     def raw(self, texts: list[bytes]) -> list[np.ndarray]:
+        if self.ranks is not None:
+            return [self.ranks.encode_to_numpy(t.decode(), allowed_special=self.special, disallowed_special=()) for t in texts]
         found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
         return [np.array(e.ids, np.uint32) for e in found]
 
@@ -117,23 +135,24 @@ class ChunkedBpe:
         at, parts = at[agreed] + 1, parts[agreed]
         return Chunk(ids, int(at[0]), int(at[-1]), int(parts[0]), int(parts[-1]))
 
-    def chunks(self, wanted: list[bytes]) -> dict[bytes, Chunk]:
-        """Each distinct chunk, from the cache or encoded now."""
+    def chunks(self, wanted: list[bytes], join: bool = False) -> dict[bytes, Chunk]:
+        """Each distinct chunk, from the cache or encoded now; of a join only the ids are needed."""
         found: dict[bytes, Chunk] = {}
         missing = []
         for data in dict.fromkeys(wanted):
-            if (known := self.cache.get(data)) is not None:
-                self.cache.move_to_end(data)
+            if (known := self.cache.get((data, join))) is not None:
+                self.cache.move_to_end((data, join))
                 found[data] = known
             else:
                 missing.append(data)
         for data, ids in zip(missing, self.raw(missing), strict=True):
-            found[data] = self.cache[data] = self.chunk(data, ids)
+            found[data] = self.cache[data, join] = Chunk(ids, -1, -1, -1, -1) if join else self.chunk(data, ids)
             self.held += len(data) + 4 * len(ids) + 300
-        self.encoded_chunks += len(missing)
-        self.used_chunks += len(wanted)
+        if not join:
+            self.encoded_chunks += len(missing)
+            self.used_chunks += len(wanted)
         while self.held > self.cache_bytes:
-            data, old = self.cache.popitem(last=False)
+            (data, _), old = self.cache.popitem(last=False)
             self.held -= len(data) + 4 * len(old.ids) + 300
         return found
 
@@ -166,7 +185,7 @@ class ChunkedBpe:
             if open_at < len(data):
                 plan.append(data[open_at:])
             plans.append(plan)
-        joins = self.chunks([x for plan in plans for x in plan if isinstance(x, bytes)])
+        joins = self.chunks([x for plan in plans for x in plan if isinstance(x, bytes)], join=True)
         return [np.concatenate([joins[x].ids if isinstance(x, bytes) else x for x in plan]) if plan else np.empty(0, np.uint32) for plan in plans]
 
     def decode(self, ids: np.ndarray) -> str:

@@ -73,3 +73,12 @@ def test_queries(spark):
         assert got[k].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
         assert back[k] == (t or "")
     assert bpe.digests(docs.limit(0), PATH).collect() == []
+
+
+def test_every_character_parts_words_as_in_the_library():
+    own = bpe.ChunkedBpe(PATH)
+    assert own.ranks is not None
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x30000 or c > 0xE0000 and c < 0xE0200)]
+    texts = ["".join(f"a{c}1 {c}{c}b! " for c in points[k : k + 256]) for k in range(0, len(points), 256)]
+    for text, ids in zip(texts, own.raw([t.encode() for t in texts]), strict=True):
+        assert ids.tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
