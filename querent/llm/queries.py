@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querent.llm import bpe, mixing, pii, simhash, substrings, tiff, tokencount, toxicity
+from querent.llm import bpe, mixing, pii, simhash, substrings, tiff, tokencount, toxicity, warc
 from querent.tables import table
 
 
@@ -51,6 +51,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_records(table(spark, sf_dir, "pages"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.counted(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_tiff": op3_tiff,
     "op4_bpe": op4_bpe,
     "op5_mixing": op5_mixing,
+    "op6_warc": op6_warc,
     "op7_token_counts": op7_token_counts,
     "op8_pii": op8_pii,
     "op9_substrings": op9_substrings,
@@ -82,4 +87,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op5_mixing": mixing.SQL.format(documents="documents"),
+    "op6_warc": warc.SQL.format(pages="pages"),
 }
