@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querent.llm import bpe, mixing, pii, simhash, substrings, tiff, tokencount, toxicity, warc
+from querent.llm import bpe, mixing, pii, simhash, substrings, tiff, tokencount, topk, toxicity, warc
 from querent.tables import table
 
 
@@ -39,6 +39,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, toxicity.trained(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op3_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(table(spark, sf_dir, "documents"))
 
@@ -75,6 +79,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_topk": op2_topk,
     "op3_tiff": op3_tiff,
     "op4_bpe": op4_bpe,
     "op5_mixing": op5_mixing,
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_topk": topk.SQL.format(vectors="embeddings"),
     "op5_mixing": mixing.SQL.format(documents="documents"),
     "op6_warc": warc.SQL.format(pages="pages"),
 }
