@@ -220,9 +220,10 @@ def decoded(tokens: DataFrame, path: str) -> DataFrame:
     return by_columns(tokens.select("doc_id", "ids"), schema, work)
 
 
-def digests(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encoding and decoding of every whole text in one pass."""
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+def digests(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encoding and decoding of every whole text in one pass; the ids too if asked for."""
+    ids_field = [T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids
+    schema = T.StructType([*ids_field, docs.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
     def work():
         bpe = worker_bpe(path)
@@ -230,6 +231,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
         def function(rows):
             ids = bpe.encode(rows["text"])
             return {
+                "ids": [x.astype(np.int32) for x in ids] if with_ids else [],
                 "doc_id": rows["doc_id"],
                 "n_tokens": [len(x) for x in ids],
                 "ids_sha256": [hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids],

@@ -21,7 +21,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
@@ -260,12 +260,39 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def rooted(own: DataFrame, distance: int, cell_rows: int) -> DataFrame:
+    """(fp, first_id, root) of the distinct fingerprints of (doc_id, fp)."""
+    distinct = stored(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
+    tree = components(links(distinct.select("fp"), distance, cell_rows=cell_rows)).withColumnRenamed("node", "fp")
+    return stored(distinct.join(tree, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")), "roots")
+
+
 def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4, seed: int = 42, cell_rows: int = 8192) -> DataFrame:
     """(doc_id, fp, component_id) of every row of ``docs``: fp as a signed long, component_id the smallest doc_id reachable."""
     own = stored(fingerprints(docs, width, seed), "fingerprints")
-    distinct = stored(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
-    tree = components(links(distinct.select("fp"), distance, cell_rows=cell_rows))
-    tree = stored(distinct.join(tree.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")), "roots")
+    tree = rooted(own, distance, cell_rows)
     named = stored(tree.groupBy("root").agg(F.min("first_id").alias("component_id")), "names")
     named = stored(tree.select("fp", "root").join(named, "root").select("fp", "component_id"), "components")
     return own.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def kept(docs: DataFrame, distance: int = 4, width: int = 4, seed: int = 42, cell_rows: int = 8192) -> DataFrame:
+    """One row of each component of ``docs``, with all its columns: that of the smallest doc_id, null last.
+
+    Of several rows with that id and one fingerprint, the one with the smallest hash of its columns stays.
+    """
+    own = stored(fingerprints(docs, width, seed), "fingerprints")
+    tree = rooted(own, distance, cell_rows)
+    least = tree.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull(), "first_id", "fp")).alias("least"))
+    least = stored(least.select(F.col("least.first_id").alias("simhash_id"), F.col("least.fp").alias("simhash_of")), "kept")
+    if own.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1").isEmpty():
+        return docs.join(least, F.col("doc_id") == F.col("simhash_id"), "left_semi")
+    schema = T.StructType([*docs.schema.fields, T.StructField("simhash_fp", T.LongType())])
+
+    def work():
+        return lambda rows: rows | {"simhash_fp": [signed(fingerprint(t, width, seed)) for t in rows["text"]]}
+
+    rows = by_columns(docs, schema, work)
+    rows = rows.join(least, rows.doc_id.eqNullSafe(least.simhash_id) & (rows.simhash_fp == least.simhash_of), "left_semi")
+    order = Window.partitionBy("doc_id", "simhash_fp").orderBy(F.xxhash64(*docs.columns))
+    return rows.withColumn("simhash_copy", F.row_number().over(order)).where("simhash_copy = 1").select(*docs.columns)
