@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from querent.plans import search_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**search_queries.QUERIES}
+ORACLES: dict[str, str] = {**search_queries.ORACLES}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Hybrid retrieval by reciprocal-rank fusion."""
+    return search_queries.hybrid_rrf(spark, sf_dir)
