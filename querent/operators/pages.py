@@ -13,6 +13,7 @@ from querent.functions.text import cleaned, is_clean_number, is_number, repaired
 from querent.operators import layout
 from querent.operators.grids import is_plausible, markdown, ordered
 from querent.operators.layout import PAGE, centre, line_bucket
+from querent.session import stored
 
 REGION = [*PAGE, "region"]
 BAND = [*PAGE, "band", "panel"]
@@ -36,6 +37,7 @@ def ruled_tables(words: DataFrame, rules: DataFrame, pages: DataFrame) -> tuple[
     Columns come from the words below the second rule, rows from rules and from lines of words 5 points or more away from a rule or row.
     """
     regions = rule_regions(rules, pages)
+    regions = stored(regions, "regions")
     inside = words.join(regions.withColumnsRenamed({"top": "r_top", "bottom": "r_bottom"}), PAGE).where((F.col("top") > F.col("r_top")) & (F.col("top") < F.col("r_bottom")))
     below = inside.where(F.col("top") > F.col("data_top"))
     column_words = below.unionByName(inside.join(below.select(*REGION).distinct(), REGION, "left_anti"))
@@ -44,12 +46,12 @@ def ruled_tables(words: DataFrame, rules: DataFrame, pages: DataFrame) -> tuple[
     bounds = regions.join(rows, REGION, "left").select(*REGION, "rules", F.coalesce("row_tops", F.array().cast("array<int>")).alias("row_tops"))
     apart = lambda held, y: F.forall(held, lambda h: F.abs(y - h) >= 5)
     merged = F.aggregate("row_tops", F.array_distinct("rules"), lambda held, y: F.when(apart(held, y), F.concat(held, F.array(y.cast("double") - 2))).otherwise(held))
-    grid = bounds.select(*REGION, F.sort_array(merged).alias("ys")).join(columns, REGION)
+    grid = stored(bounds.select(*REGION, F.sort_array(merged).alias("ys")).join(columns, REGION), "bounds")
     place = lambda bounds, v: F.size(F.filter(bounds, lambda b: b <= v)) - 1
     cells = inside.join(grid, REGION).withColumn("row", place(F.col("ys"), (F.col("top") + F.col("bottom")) / 2)).withColumn("col", place(F.col("xs"), centre("x0", "x1")))
     cells = cells.where((F.col("row") >= 0) & (F.col("row") < F.size("ys") - 1) & (F.col("col") >= 0) & (F.col("col") < F.size("xs") - 1))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(line_bucket(F.col("top")).alias("l"), "x0", "text"))), lambda w: w.text), " ")
-    cells = cells.groupBy(*REGION, "row", "col", F.size("xs").alias("n")).agg(text.alias("cell"))
+    cells = stored(cells.groupBy(*REGION, "row", "col", F.size("xs").alias("n")).agg(text.alias("cell")), "cells")
     lines = cells.groupBy(*REGION, "row", "n").agg(F.map_from_entries(F.collect_list(F.struct("col", "cell"))).alias("m"))
     lines = lines.withColumn("cells", F.transform(F.sequence(F.lit(0), F.col("n") - 2), lambda c: F.coalesce(F.try_element_at("m", c), F.lit(""))))
     lines = lines.withColumn("row_no", F.row_number().over(Window.partitionBy(*REGION).orderBy("row")) - 1)
@@ -71,20 +73,22 @@ def unruled_tables(words: DataFrame) -> tuple[DataFrame, DataFrame]:
     panel = F.when(F.col("split").isNull() | (F.col("x") < F.col("split")), F.lit(0)).otherwise(F.lit(1))
     in_band = in_band.join(split, [*PAGE, "band"], "left").withColumn("panel", panel)
     tall = in_band.groupBy(*BAND).agg(F.count_distinct("line").alias("n")).where("n >= 4").select(*BAND)
-    in_band = in_band.join(tall, BAND, "left_semi")
+    in_band = stored(in_band.join(tall, BAND, "left_semi"), "bands")
     counts = own.groupBy(*PAGE, "line").agg(F.count("*").alias("words"), F.count_if(is_number(F.col("text"))).alias("numbers")).where("numbers < 2 AND words >= 2")
     above = own.join(counts.select(*PAGE, "line"), [*PAGE, "line"]).join(bands, PAGE).where((F.col("line") > F.col("first") - 70) & (F.col("line") < F.col("first")))
     above = above.join(split, [*PAGE, "band"], "left").withColumn("panel", panel).withColumnRenamed("line", "head")
     short = above.groupBy(*BAND, "head").agg(F.count("*").alias("n"), F.avg(F.length("text")).alias("mean"), F.max(F.lower("text").isin(*STOPWORDS)).alias("prose")).where("n >= 3 AND mean <= 6 AND NOT prose")
-    above = above.join(short.select(*BAND, "head"), [*BAND, "head"], "left_semi")
+    above = stored(above.join(short.select(*BAND, "head"), [*BAND, "head"], "left_semi"), "heads")
     key = [*BAND, "head"]
-    tried = in_band.join(short.select(*key), BAND)
+    tried = in_band.join(above.select(*key).distinct(), BAND)
     score = layout.alignment(tried, above, keys=key).groupBy(*BAND).agg(F.max_by(F.struct("head", "score"), F.struct("score", -F.col("head"))).alias("best"))
     chosen = score.where(F.col("best.score") >= 0.5).select(*BAND, F.col("best.head").alias("head"))
+    chosen = stored(chosen, "headers")
     headers = above.join(chosen, key, "left_semi")
     body = in_band.join(chosen, BAND)
     cells = layout.rebuilt(body, headers, keys=BAND)
     rows = cells.groupBy(*BAND, "line").agg(F.map_from_entries(F.collect_list(F.struct("col", "cell"))).alias("m"), F.count_if((F.col("col") > 0) & is_clean_number(F.col("cell"))).alias("clean")).where("clean >= 2")
+    rows = stored(rows, "number-rows")
     enough = rows.groupBy(*BAND).count().where("count >= 4").select(*BAND)
     rows = rows.join(enough, BAND, "left_semi")
     labels = headers.join(enough, BAND, "left_semi").groupBy(*BAND).agg(F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda h: h.text).alias("labels"))
@@ -120,9 +124,11 @@ def page_texts(words: DataFrame, rules: DataFrame, pages: DataFrame, width: floa
     """(doc_id, page, text): the page's tables as Markdown, then its body; rotated words, footnotes and table words left out of the body."""
     upright = words.where("upright")
     ruled, boxes = ruled_tables(words, rules, pages)
+    ruled, boxes = stored(ruled, "ruled"), stored(boxes, "boxes")
     body = layout.outside(upright.join(layout.footnote_tops(pages, rules), PAGE).where("top < footnote_top"), boxes)
+    body = stored(body, "body-words")
     unruled, consumed = unruled_tables(body)
-    body = body_text(body.join(consumed, "word_id", "left_anti"), width)
+    body = body_text(stored(body.join(consumed, "word_id", "left_anti"), "body"), width)
 
     def rendered(grid: DataFrame, keys: list[str], kind: int) -> DataFrame:
         rows = grid.withColumn("grid_id", F.struct(*keys))
