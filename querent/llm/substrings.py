@@ -26,7 +26,7 @@ from querent.llm.arrow import by_columns, slices
 from querent.session import stored
 
 #: Fewest sentences and words of a span; words of a sentence before it is cut by content.
-LEAST, WORDS, LONG = 3, 15, 48
+LEAST, WORDS, LONG = 2, 15, 24
 #: Stands for a null doc_id: after all others.
 LAST = 2**63 - 1
 

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from querent.llm import substrings
 
 
-def brute(rows, least=3, words=15):
+def brute(rows, least=substrings.LEAST, words=substrings.WORDS):
     """Sentences covered by a span that an earlier place has, comparing the words themselves."""
     spans = {}
     for d, text in set(rows):
