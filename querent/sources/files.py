@@ -23,7 +23,7 @@ EXTENSIONS = (".pdf", ".md", ".txt", ".docx")
 
 def file_texts(spark: SparkSession, folder: str, extension: str) -> DataFrame:
     """(text, source) of the files with ``extension`` right in ``folder``, without white space at the ends."""
-    rows = spark.read.option("pathGlobFilter", f"*{extension}").option("wholetext", True).text(folder)
+    rows = spark.read.text(folder, wholetext=True, pathGlobFilter=f"*{extension}")
     rows = rows.select(stripped(F.col("value")).alias("text"), F.col("_metadata.file_name").alias("source"))
     return rows.where("text != ''")
 
