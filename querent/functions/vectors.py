@@ -23,8 +23,14 @@ def norm(v: Column) -> Column:
 
 
 def normalised(v: Column) -> Column:
-    """Of length one; a zero vector stays."""
-    return F.transform(F.transform(v, lambda x: x.cast("double")), lambda x: x / F.when(norm(v) == 0, F.lit(1.0)).otherwise(norm(v)))
+    """Of length one; a zero vector stays. The length is worked out once, as the one element of an array."""
+    length = F.array(norm(v))
+    return F.transform(length, lambda n: F.transform(v, lambda x: x.cast("double") / F.when(n == 0, F.lit(1.0)).otherwise(n)))[0]
+
+
+def cosine(a: Column, b: Column) -> Column:
+    """0 where a vector is zero."""
+    return F.coalesce(F.try_divide(dot(a, b), norm(a) * norm(b)), F.lit(0.0))
 
 
 Embed = Callable[[list[str]], np.ndarray]

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from querent.functions.vectors import dot, normalised
+from querent.functions.vectors import cosine
 
 #: Queries whose vectors are sent to every task together, and most cells of an index.
 QUERY_BLOCK, MOST_CELLS = 2048, 65_536
@@ -128,7 +128,7 @@ def ivf_top_k(queries: DataFrame, filed: DataFrame, centroids: DataFrame, k: int
     """(qid, id, score, rank) among the vectors (id, embedding, cell_id) of each query's best cells; fewer than k if those hold fewer."""
     cells = probed(queries, centroids, probes, digits)
     rows = cells.join(queries.select("qid", "qvec"), "qid").join(filed, "cell_id")
-    score = F.round(dot(normalised(F.col("qvec")), normalised(F.col("embedding"))), digits)
+    score = F.round(cosine(F.col("qvec"), F.col("embedding")), digits)
     return ranked(rows.select("qid", "id", score.alias("score")), k)
 
 
@@ -154,7 +154,7 @@ def lsh_top_k(queries: DataFrame, vectors: DataFrame, k: int, tables: int = 12,
     right = keyed(vectors.select("id", "embedding").where(F.col("embedding").isNotNull()), "embedding")
     pairs = left.select("qid", "key").join(right.select("id", "key"), "key").select("qid", "id").distinct()
     rows = pairs.join(queries.select("qid", "qvec"), "qid").join(vectors.select("id", "embedding"), "id")
-    return ranked(rows.select("qid", "id", F.round(dot(normalised(F.col("qvec")), normalised(F.col("embedding"))), digits).alias("score")), k)
+    return ranked(rows.select("qid", "id", F.round(cosine(F.col("qvec"), F.col("embedding")), digits).alias("score")), k)
 
 
 def recall(found: DataFrame, exact: DataFrame, k: int) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from querent.functions.vectors import embedded, normalised
 from querent.operators import fusion, lexical, vector
-from querent.tables import table
+from querent.tables import spread, table
 
 K, POOL = 10, 30
 
@@ -24,7 +24,7 @@ def vector_queries(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", "source")
+    return spread(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", "source"))
 
 
 def text_queries(spark: SparkSession, sf: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from querent.functions import prompts, text
 from querent.operators import chunking, evaluation, fusion, grids, layout, vector
 from querent.plans.search_queries import K, RESULT, arms_sql, chunks, lexical_hits, text_queries, vector_queries, vectors
-from querent.tables import table
+from querent.tables import spread, table
 
 
 def md5(c: Column) -> Column:
@@ -57,7 +57,7 @@ def chunk_naive(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def chunk_sentence(spark: SparkSession, sf: str) -> DataFrame:
-    return chunking.chunked(table(spark, sf, "documents").select("doc_id", "text", "source"), lambda: chunking.sentence_chunks).drop("n_tokens")
+    return chunking.chunked(spread(table(spark, sf, "documents").select("doc_id", "text", "source")), lambda: chunking.sentence_chunks).drop("n_tokens")
 
 
 def rank_file() -> str:
@@ -67,7 +67,7 @@ def rank_file() -> str:
 
 
 def chunk_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    return chunking.token_chunks(table(spark, sf, "documents").select("doc_id", "text", "source"), rank_file())
+    return chunking.token_chunks(spread(table(spark, sf, "documents").select("doc_id", "text", "source")), rank_file())
 
 
 COLUMNS = ("order", "status", "price (M)", "EM", "priority 12k")
@@ -141,7 +141,7 @@ WIDTH = 600.0
 
 def words(spark: SparkSession, sf: str) -> DataFrame:
     """The documents' words set on pages of 40 lines and two columns, every 17th word small and low."""
-    rows = table(spark, sf, "documents").select("doc_id", F.posexplode(F.filter(F.split("text", r"\s+"), lambda t: t != "")).alias("i", "text"))
+    rows = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(F.filter(F.split("text", r"\s+"), lambda t: t != "")).alias("i", "text"))
     rows = rows.withColumn("page", F.expr("CAST(i DIV 400 AS INT)")).withColumn("k", F.col("i") % 400)
     x0 = 40.0 + (F.col("k") % 10) * 50.0 + F.when(F.col("k") % 10 >= 5, F.lit(20.0)).otherwise(F.lit(0.0))
     small = F.col("i") % 17 == 0
