@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from querent.functions import prompts, text
-from querent.operators import chunking, evaluation, fusion, grids, layout, vector
-from querent.plans.search_queries import K, RESULT, arms_sql, chunks, lexical_hits, text_queries, vector_queries, vectors
+from querent.operators import chunking, evaluation, grids, layout, vector
+from querent.plans.search_queries import K, arms_sql, lexical_hits, text_queries, vector_queries, vectors
 from querent.tables import spread, table
 
 

@@ -37,11 +37,23 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().get()
 
 
+def stored_dir(spark: SparkSession) -> str:
+    """The folder of this application's stored tables."""
+    return f"{shared_dir(spark).rstrip('/')}/querent-{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes this application's stored tables; data frames made from them can't be read any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(stored_dir(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """``df`` written once as Parquet into the shared folder and read again.
 
     It cuts the lineage, survives the loss of any executor, and gives Catalyst real sizes to choose joins by.
+    Such tables stay until ``clear`` is called, since results may still read them.
     """
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/querent-{name}-{uuid.uuid4().hex}"
+    path = f"{stored_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
