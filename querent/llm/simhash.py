@@ -15,6 +15,7 @@ component of null ids only has a null name. Repeated rows give repeated rows. Ot
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import combinations, repeat
 from math import comb
@@ -282,7 +283,11 @@ def kept(docs: DataFrame, distance: int = 4, width: int = 4, seed: int = 42, cel
     Of several rows with that id and one fingerprint, the one with the smallest hash of its columns stays.
     """
     own = stored(fingerprints(docs, width, seed), "fingerprints")
-    tree = rooted(own, distance, cell_rows)
+    return kept_rows(docs, own, rooted(own, distance, cell_rows), lambda text: signed(fingerprint(text, width, seed)))
+
+
+def kept_rows(docs: DataFrame, own: DataFrame, tree: DataFrame, name: Callable[[str | None], int]) -> DataFrame:
+    """The rows that ``kept`` returns, for the components ``tree`` (fp, first_id, root) of ``own`` (doc_id, fp); ``name`` gives the fp of a text."""
     least = tree.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull(), "first_id", "fp")).alias("least"))
     least = stored(least.select(F.col("least.first_id").alias("simhash_id"), F.col("least.fp").alias("simhash_of")), "kept")
     if own.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1").isEmpty():
@@ -290,7 +295,7 @@ def kept(docs: DataFrame, distance: int = 4, width: int = 4, seed: int = 42, cel
     schema = T.StructType([*docs.schema.fields, T.StructField("simhash_fp", T.LongType())])
 
     def work():
-        return lambda rows: rows | {"simhash_fp": [signed(fingerprint(t, width, seed)) for t in rows["text"]]}
+        return lambda rows: rows | {"simhash_fp": [name(t) for t in rows["text"]]}
 
     rows = by_columns(docs, schema, work)
     rows = rows.join(least, rows.doc_id.eqNullSafe(least.simhash_id) & (rows.simhash_fp == least.simhash_of), "left_semi")
