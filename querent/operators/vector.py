@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -132,10 +133,11 @@ def ivf_top_k(queries: DataFrame, filed: DataFrame, centroids: DataFrame, k: int
     return ranked(rows.select("qid", "id", score.alias("score")), k)
 
 
-def lsh_top_k(queries: DataFrame, vectors: DataFrame, k: int, tables: int = 12, bits: int = 6, seed: int = 42, digits: int = 6) -> DataFrame:
-    """(qid, id, score, rank) among vectors that share a random-hyperplane bucket with the query in one of ``tables`` tables."""
+def lsh_top_k(queries: DataFrame, vectors: DataFrame, k: int, tables: int = 12, bits: int = 6, seed: int = 42, digits: int = 6, flips: int = 1) -> DataFrame:
+    """(qid, id, score, rank) among vectors whose random-hyperplane bucket differs from the query's by ``flips`` bits or fewer in one of ``tables`` tables."""
+    errors = [sum(1 << b for b in c) for d in range(flips + 1) for c in combinations(range(bits), d)]
 
-    def keyed(df: DataFrame, vector: str) -> DataFrame:
+    def keyed(df: DataFrame, vector: str, errors: list[int]) -> DataFrame:
         names = df.columns
 
         def run(batches):
@@ -145,13 +147,14 @@ def lsh_top_k(queries: DataFrame, vectors: DataFrame, k: int, tables: int = 12,
                 own = batch.column(vector).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
                 planes = np.random.default_rng(seed).normal(size=(own.shape[1], tables * bits))
                 signs = (own @ planes > 0).reshape(-1, tables, bits) @ (1 << np.arange(bits))
-                keys = pa.array((signs + (np.arange(tables) << bits)).tolist(), pa.list_(pa.int32()))
+                near = (signs[:, :, None] ^ np.array(errors)) + (np.arange(tables) << bits)[:, None]
+                keys = pa.array(near.reshape(len(own), -1).tolist(), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*batch.columns, keys], [*names, "keys"])
 
         return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("keys", T.ArrayType(T.IntegerType()))])).withColumn("key", F.explode("keys")).drop("keys")
 
-    left = keyed(queries.select("qid", "qvec"), "qvec")
-    right = keyed(vectors.select("id", "embedding").where(F.col("embedding").isNotNull()), "embedding")
+    left = keyed(queries.select("qid", "qvec"), "qvec", errors)
+    right = keyed(vectors.select("id", "embedding").where(F.col("embedding").isNotNull()), "embedding", [0])
     pairs = left.select("qid", "key").join(right.select("id", "key"), "key").select("qid", "id").distinct()
     rows = pairs.join(queries.select("qid", "qvec"), "qid").join(vectors.select("id", "embedding"), "id")
     return ranked(rows.select("qid", "id", F.round(cosine(F.col("qvec"), F.col("embedding")), digits).alias("score")), k)

@@ -78,7 +78,8 @@ def recall_at_k(spark: SparkSession, sf: str) -> DataFrame:
 def ivf_kmeans_recall(spark: SparkSession, sf: str) -> DataFrame:
     own = vectors(spark, sf).select("id", "embedding")
     centroids = vector.trained_centroids(own, vector.cell_count(own.count()))
-    found = vector.ivf_top_k(vector_queries(spark, sf), vector.assigned(own, centroids), centroids, K)
+    filed = vector.assigned(own, centroids)
+    found = vector.ivf_top_k(vector_queries(spark, sf), filed, centroids, K)
     return vector.recall(found, vector.exact_top_k(vector_queries(spark, sf), own, K), K)
 
 
@@ -86,6 +87,11 @@ def lsh_topk(spark: SparkSession, sf: str) -> DataFrame:
     return hit_columns(vector.lsh_top_k(vector_queries(spark, sf), vectors(spark, sf), K))
 
 
+def lsh_recall(spark: SparkSession, sf: str) -> DataFrame:
+    own = vectors(spark, sf).select("id", "embedding")
+    return vector.recall(vector.lsh_top_k(vector_queries(spark, sf), own, K), vector.exact_top_k(vector_queries(spark, sf), own, K), K)
+
+
 def hash_embed(spark: SparkSession, sf: str) -> DataFrame:
     rows = embedded(chunks(spark, sf).select("id", "text")).select("id", F.posexplode("embedding").alias("pos", "x"))
     return rows.where("x != 0").select("id", "pos", F.round("x", 6).alias("x"))
@@ -147,7 +153,7 @@ def compare_configs(spark: SparkSession, sf: str) -> DataFrame:
     return result_columns(fusion.compared(own(dense_hits(spark, sf, K)), own(lexical_hits(spark, sf, K)), ("dense", "bm25")), "side")
 
 
-QUERIES = {f.__name__: f for f in (l2_normalize, cosine_topk, cosine_topk_filtered, faiss_flat_ip, ivf_assign, ivf_probe_topk, recall_at_k, ivf_kmeans_recall, lsh_topk, hash_embed, bm25_index_terms, bm25_topk, bm25_filtered, hybrid_rrf, hybrid_weighted, rerank_overlap, two_stage, compare_configs)}
+QUERIES = {f.__name__: f for f in (l2_normalize, cosine_topk, cosine_topk_filtered, faiss_flat_ip, ivf_assign, ivf_probe_topk, recall_at_k, ivf_kmeans_recall, lsh_topk, lsh_recall, hash_embed, bm25_index_terms, bm25_topk, bm25_filtered, hybrid_rrf, hybrid_weighted, rerank_overlap, two_stage, compare_configs)}
 
 # The SQL below is put together from named parts; each query adds its own last step.
 VECTORS = "v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS e, label FROM embeddings), u AS (SELECT *, sqrt(list_dot_product(e, e)) AS n FROM v)"

@@ -1,4 +1,5 @@
 import math
+import os
 import random
 
 import numpy as np
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from querent.functions.vectors import embedded, hash_embed, normalised
 from querent.operators import evaluation, fusion, lexical, vector
+from querent.plans import search_queries
 
 TEXTS = ["cats are small animals", "dogs are loyal animals", "neural networks learn features", "gradient descent trains neural networks", "cats and dogs live together"]
 
@@ -171,3 +173,11 @@ def test_random_orders_do_not_change_hits(spark, chunks):
     queries = spark.createDataFrame([(1, "cats networks")], "qid long, qtext string")
     a, b = (sorted(map(tuple, lexical.top_k(queries, lexical.indexed(c), 5).collect())) for c in (chunks, other))
     assert a == b
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no tables here")
+@pytest.mark.parametrize("name", ["lsh_recall"])
+def test_index_recall_on_the_given_embeddings(spark, name):
+    got = search_queries.QUERIES[name](spark, "/root/testdata/sf0.1").agg(F.avg("recall")).first()[0]
+    print(name, got)
+    assert got >= 0.9
