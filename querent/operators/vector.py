@@ -133,6 +133,19 @@ def ivf_top_k(queries: DataFrame, filed: DataFrame, centroids: DataFrame, k: int
     return ranked(rows.select("qid", "id", score.alias("score")), k)
 
 
+def fitted_probes(filed: DataFrame, centroids: DataFrame, k: int, least: float = 0.93, sample_rows: int = 256) -> int:
+    """The fewest cells whose recall@k is ``least`` over ``sample_rows`` of the vectors (id, embedding, cell_id), the smallest hashes of id."""
+    queries = filed.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select(F.col("id").alias("qid"), F.col("embedding").alias("qvec"))
+    hits = exact_top_k(queries, filed, k).select("qid", "id").join(filed.select("id", "cell_id"), "id")
+    ranks = hits.join(probed(queries, centroids, centroids.count()), ["qid", "cell_id"]).groupBy("cell_rank").count().orderBy("cell_rank").collect()
+    total, seen = sum(r["count"] for r in ranks), 0
+    for r in ranks:
+        seen += r["count"]
+        if seen >= least * total:
+            return r.cell_rank
+    return 1
+
+
 def lsh_top_k(queries: DataFrame, vectors: DataFrame, k: int, tables: int = 12, bits: int = 6, seed: int = 42, digits: int = 6, flips: int = 1) -> DataFrame:
     """(qid, id, score, rank) among vectors whose random-hyperplane bucket differs from the query's by ``flips`` bits or fewer in one of ``tables`` tables."""
     errors = [sum(1 << b for b in c) for d in range(flips + 1) for c in combinations(range(bits), d)]

@@ -79,7 +79,7 @@ def ivf_kmeans_recall(spark: SparkSession, sf: str) -> DataFrame:
     own = vectors(spark, sf).select("id", "embedding")
     centroids = vector.trained_centroids(own, vector.cell_count(own.count()))
     filed = vector.assigned(own, centroids)
-    found = vector.ivf_top_k(vector_queries(spark, sf), filed, centroids, K)
+    found = vector.ivf_top_k(vector_queries(spark, sf), filed, centroids, K, vector.fitted_probes(filed, centroids, K))
     return vector.recall(found, vector.exact_top_k(vector_queries(spark, sf), own, K), K)
 
 

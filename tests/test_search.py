@@ -176,7 +176,7 @@ def test_random_orders_do_not_change_hits(spark, chunks):
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no tables here")
-@pytest.mark.parametrize("name", ["lsh_recall"])
+@pytest.mark.parametrize("name", ["lsh_recall", "ivf_kmeans_recall"])
 def test_index_recall_on_the_given_embeddings(spark, name):
     got = search_queries.QUERIES[name](spark, "/root/testdata/sf0.1").agg(F.avg("recall")).first()[0]
     print(name, got)
