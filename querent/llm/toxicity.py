@@ -7,7 +7,7 @@ the counterfactual: the model pays for the square of the difference of the two s
 a verdict, and neutral mentions of groups aren't rejected. The weights then score every whole text in blocks of bytes.
 
 Labels of documents with crc32(doc_id as text) mod ``folds`` = 0 are held out. The sample is bounded by ``sample_rows``
-(the smallest hashes of doc_id) and ``sample_chars`` characters a row; everything else covers all rows.
+(the smallest hashes of doc_id), whose whole texts are used; everything else covers all rows.
 
 Nulls and edges: a null text is empty; an empty text has the score of no features. A null doc_id is an empty text for
 the fold. Several labels of a document count as toxic if one does; null labels and those of unknown documents are left
@@ -122,11 +122,11 @@ def in_fold(folds: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds == 0
 
 
-def sampled(docs: DataFrame, labels: DataFrame, folds: int, sample_rows: int, sample_chars: int) -> DataFrame:
+def sampled(docs: DataFrame, labels: DataFrame, folds: int, sample_rows: int) -> DataFrame:
     """(doc_id, toxic, text): labelled rows that aren't held out, at most ``sample_rows``."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~in_fold(folds)).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     ids = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rows = docs.select("doc_id", F.substring("text", 1, sample_chars).alias("text")).join(F.broadcast(ids), "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
     return rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("text").alias("text"))
 
 
@@ -202,8 +202,8 @@ def fitted(found: list, size: int, penalty: float, ridge: float, rounds: int = 4
     return w[:-1], float(w[-1])
 
 
-def trained(docs: DataFrame, labels: DataFrame, folds: int = 5, sample_rows: int = 20_000, sample_chars: int = 20_000, features: int = 2048, least: int = 3, penalty: float = 1.0, ridge: float = 5e-4, groups: tuple[tuple[str, ...], ...] = IDENTITIES) -> Model:
-    rows = stored(sampled(docs, labels, folds, sample_rows, sample_chars).repartition(12, "doc_id"), "labelled")
+def trained(docs: DataFrame, labels: DataFrame, folds: int = 5, sample_rows: int = 20_000, features: int = 2048, least: int = 3, penalty: float = 1.0, ridge: float = 5e-4, groups: tuple[tuple[str, ...], ...] = IDENTITIES) -> Model:
+    rows = stored(sampled(docs, labels, folds, sample_rows).repartition(12, "doc_id"), "labelled")
     chosen = chosen_buckets(rows, features, least)
     index = np.full(1 << BUCKET_BITS, -1, np.int32)
     index[chosen] = np.arange(len(chosen))

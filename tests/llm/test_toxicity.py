@@ -96,3 +96,11 @@ def test_edges(spark):
         assert len(got) == 5 and all(0 <= r.score <= 1 for r in got)
         assert toxicity.scored(docs.limit(0), model).collect() == []
         assert toxicity.kept(docs.limit(0), model).collect() == []
+
+
+def test_words_behind_a_long_prefix_are_learnt(spark):
+    prefix = "a plain sentence about rivers " * 700  # 21,000 characters
+    docs = [(k, prefix + ("grubworm slimeball" if k % 4 == 0 else "evening letter"), "en", 0.5) for k in range(80)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, score double")
+    model = toxicity.trained(df, spark.createDataFrame([(k, 1, int(k % 4 == 0)) for k in range(80)], "doc_id long, quality int, toxic int"))
+    assert {r.doc_id for r in toxicity.scored(df, model).collect() if r.predicted} == set(range(0, 80, 4))
