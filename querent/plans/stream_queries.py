@@ -29,7 +29,7 @@ def events_session(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_chat_state(spark: SparkSession, sf: str) -> DataFrame:
-    return events.drained(events.chat_histories(events.table_stream(spark, sf, "conversations")), "chats")
+    return events.latest_histories(events.drained(events.chat_histories(events.table_stream(spark, sf, "conversations")), "chats"))
 
 
 def answer_pipeline(spark: SparkSession, sf: str) -> DataFrame:

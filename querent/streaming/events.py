@@ -48,19 +48,33 @@ def sessions(events: DataFrame, gap_minutes: int = 30) -> DataFrame:
 
 
 def chat_histories(turns: DataFrame, keep: int = 6) -> DataFrame:
-    """(conv_id, turn, history) of a stream of turns, the last ``keep`` messages of each conversation held as state."""
+    """(conv_id, turn, history) of a stream of turns, with the ``keep`` messages before each in order of turn.
+
+    Turns come in any order over files, triggers and Arrow frames: those of a conversation are held as state by number.
+    Only the end of what the stream has now tells that no earlier turn is to come, so each trigger says anew what it
+    may change, under a rising ``version``; ``latest_histories`` keeps the last of each turn.
+    """
     import pandas as pd
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def step(key, frames, state: GroupState):
-        (held,) = state.get if state.exists else ([],)
-        held = list(held)
+        version, numbers, messages = state.get if state.exists else (0, [], [])
+        held = list(zip(numbers, messages, strict=True))
+        first = None
         for frame in frames:
-            out = []
-            for row in frame.sort_values("turn").itertuples():
-                out.append((key[0], row.turn, "\n".join(held)))
-                held = [*held, f"{str(row.role).title()}: {row.text}"][-keep:]
-            yield pd.DataFrame(out, columns=["conv_id", "turn", "history"])
-        state.update((held,))
-
-    return turns.groupBy("conv_id").applyInPandasWithState(step, "conv_id long, turn long, history string", "held array<string>", "append", GroupStateTimeout.NoTimeout)
+            for row in frame.itertuples():
+                held.append((row.turn, f"{str(row.role).title()}: {row.text}"))
+                first = row.turn if first is None else min(first, row.turn)
+        held.sort(key=lambda x: x[0])
+        at = next((k for k, x in enumerate(held) if first is not None and x[0] >= first), len(held))
+        out = [(key[0], held[k][0], "\n".join(m for _, m in held[max(0, k - keep) : k]), version) for k in range(at, len(held))]
+        state.update((version + 1, [x[0] for x in held], [x[1] for x in held]))
+        yield pd.DataFrame(out, columns=["conv_id", "turn", "history", "version"])
+
+    return turns.groupBy("conv_id").applyInPandasWithState(step, "conv_id long, turn long, history string, version long", "version long, numbers array<long>, messages array<string>", "append", GroupStateTimeout.NoTimeout)
+
+
+def latest_histories(found: DataFrame) -> DataFrame:
+    """(conv_id, turn, history): the rows of the last version of each turn."""
+    last = Window.partitionBy("conv_id", "turn").orderBy(F.desc("version"))
+    return found.withColumn("place", F.rank().over(last)).where("place = 1").select("conv_id", "turn", "history")

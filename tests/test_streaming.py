@@ -46,3 +46,20 @@ def test_chat_state_over_several_batches(spark, tmp_path):
     rows = {r.turn: r.history for r in got.collect()}
     assert len(rows) == 12 and all(h.count("User: ") <= 6 for h in rows.values())
     assert got.agg(F.max(F.length("history"))).first()[0] > 0
+
+
+def test_turns_dealt_over_ten_files_equal_the_sql(spark, tmp_path):
+    import random
+
+    import duckdb
+
+    from querent.plans import stream_queries
+
+    rows = [(c, t, "user" if t % 2 else "assistant", f"m{c} {t}") for c in range(4) for t in range(25)]
+    random.Random(3).shuffle(rows)
+    for k in range(10):
+        spark.createDataFrame(rows[k::10], "conv_id long, turn long, role string, text string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = con.sql(stream_queries.ORACLES["stream_chat_state"]).fetchall()
+    assert sorted(map(tuple, stream_queries.stream_chat_state(spark, str(tmp_path)).collect())) == sorted(want)
