@@ -25,12 +25,13 @@ class Tree:
         return self.value[at]
 
 
-def grown(x: np.ndarray, cuts: list[np.ndarray], gradient: np.ndarray, curvature: np.ndarray, depth: int, ridge: float, least: float) -> Tree:
+def grown(binned: list[np.ndarray], cuts: list[np.ndarray], gradient: np.ndarray, curvature: np.ndarray, depth: int, ridge: float, least: float) -> Tree:
+    """A tree on features whose values are given as the number of the bin between ``cuts``."""
     size = 2 ** (depth + 1) - 1
     tree = Tree(np.full(size, -1), np.zeros(size), np.zeros(size))
-    at = np.zeros(len(x), np.int64)
+    at = np.zeros(len(gradient), np.int64)
     for node in range(size):
-        rows = at == node
+        rows = np.flatnonzero(at == node)
         g, h = gradient[rows].sum(), curvature[rows].sum()
         tree.value[node] = g / (h + ridge)
         if node >= 2**depth - 1 or h < 2 * least:
@@ -39,7 +40,7 @@ def grown(x: np.ndarray, cuts: list[np.ndarray], gradient: np.ndarray, curvature
         for f, own in enumerate(cuts):
             if not len(own):
                 continue
-            bins = np.searchsorted(own, x[rows, f], side="left")
+            bins = binned[f][rows]
             gl = np.bincount(bins, gradient[rows], len(own) + 1).cumsum()[:-1]
             hl = np.bincount(bins, curvature[rows], len(own) + 1).cumsum()[:-1]
             gain = gl**2 / (hl + ridge) + (g - gl) ** 2 / (h - hl + ridge) - g**2 / (h + ridge)
@@ -49,7 +50,7 @@ def grown(x: np.ndarray, cuts: list[np.ndarray], gradient: np.ndarray, curvature
                 best = (float(gain[k]), f, float(own[k]))
         if best[1] >= 0:
             tree.feature[node], tree.cut[node] = best[1:]
-            at[rows] = 2 * node + 1 + (x[rows, best[1]] > best[2])
+            at[rows] = 2 * node + 1 + (binned[best[1]][rows] > np.searchsorted(cuts[best[1]], best[2]))
     return tree
 
 
@@ -76,10 +77,11 @@ def boosted(x: np.ndarray, y: np.ndarray, held: np.ndarray, rounds: int = 60, de
     share = np.clip(labels.mean() if len(labels) else 0.5, 1e-3, 1 - 1e-3)
     model = Boosted(start=float(np.log(share / (1 - share))))
     cuts = [np.unique(np.quantile(fit[:, f], np.linspace(0, 1, bins + 1)[1:-1])) if len(fit) else np.empty(0) for f in range(x.shape[1])]
+    binned = [np.searchsorted(own, fit[:, f], side="left") for f, own in enumerate(cuts)]
     margin = np.full(len(fit), model.start)
     for _ in range(rounds if 0 < labels.sum() < len(labels) else 0):
         p = 1 / (1 + np.exp(-margin))
-        tree = grown(fit, cuts, labels - p, p * (1 - p), depth, ridge, least)
+        tree = grown(binned, cuts, labels - p, p * (1 - p), depth, ridge, least)
         model.trees.append(tree)
         margin += model.rate * tree(fit)
     own, labels = model.margin(x[held]), y[held].astype(float)
