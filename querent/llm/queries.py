@@ -22,8 +22,9 @@ def media_digests(docs: DataFrame) -> DataFrame:
     """Every whole text stored as a one-page TIFF file, and the digests of what is read back from it."""
     files = tiff.tiff_written(docs).withColumns({"media_bytes": F.octet_length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
     pages = tiff.tiff_pages(files, keep=("doc_id", "n_bytes", "media_bytes", "media_sha256"))
+    kind = docs.schema["doc_id"].dataType
     return pages.select(
-        "doc_id",
+        F.when(F.col("error").isNotNull(), F.raise_error(F.col("error")).cast(kind)).otherwise(F.col("doc_id")).alias("doc_id"),
         "n_bytes",
         F.octet_length("samples").cast("long").alias("payload_bytes"),
         F.sha2("samples", 256).alias("payload_sha256"),

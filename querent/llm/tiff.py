@@ -3,10 +3,16 @@
 ``tiff_pages`` reads a binary column. The directory chain is walked by offset (classic files and those of 64-bit offsets,
 either byte order; a chain that returns to itself ends). Strips or tiles are decoded, predictors undone, tiles cut to
 the image, and separate planes woven together, so ``samples`` holds the page's samples row by row, the low byte first.
-``tiff_written`` stores text as pages of 8-bit samples.
+``tiff_written`` stores text as a page of 8-bit samples, in one of ``LAYOUTS`` that the text's checksum picks, so strips,
+tiles, predictors, planes and all three codecs stand in any larger table.
+
+Nothing that a file says is taken on trust: values of tags must lie within the file, all strips together can't be longer
+than it, a directory chain can't have more entries than fit, and decoding stops at the bytes that a strip or tile holds.
 
 Nulls and edges: a null or empty file has no pages. A file that can't be read gives one row with the error and no page.
-Repeated rows give repeated rows; columns that aren't asked for are left out.
+A null text is stored as an empty one; a text is one page whatever its length, unless ``page_rows`` asks for several.
+Repeated rows give repeated rows, an empty table none; columns that aren't asked for are left out, and one that is asked
+for under the name of a page's column is an error.
 """
 
 from __future__ import annotations
@@ -30,11 +36,15 @@ PLANAR, PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_BYTES, SAMPLE_FOR
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 CODES = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 7: "B", 8: "h", 9: "i", 10: "ii", 11: "f", 12: "d", 13: "I", 16: "Q", 17: "q", 18: "Q"}
 CLEAR, END = 256, 257
+#: The most bytes that a byte of a codec can stand for.
+MOST = {PACKBITS: 64, LZW: 3641, DEFLATE: 1032, OLD_DEFLATE: 1032}
+#: Tags that are read; all others are passed over.
+USED = frozenset((WIDTH, LENGTH, BITS, COMPRESSION, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES, PLANAR, PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_BYTES))
 
 
-def unpackbits(data: bytes) -> bytes:
+def unpackbits(data: bytes, limit: float = float("inf")) -> bytes:
     out, at = bytearray(), 0
-    while at < len(data):
+    while at < len(data) and len(out) < limit:
         n = data[at]
         if n < 128:
             out += data[at + 1 : at + 2 + n]
@@ -47,24 +57,29 @@ def unpackbits(data: bytes) -> bytes:
 
 
 def packbits(data: bytes) -> bytes:
-    out, at, n = bytearray(), 0, len(data)
-    while at < n:
-        run = at + 1
-        while run < n and run - at < 128 and data[run] == data[at]:
-            run += 1
-        if run - at >= 3 or run == n:
-            out += bytes([(257 - (run - at)) & 255 if run - at > 1 else 0, data[at]])
-            at = run
-            continue
-        stop = run
-        while stop < n and stop - at < 128 and not (stop + 2 < n and data[stop] == data[stop + 1] == data[stop + 2]):
-            stop += 1
-        out += bytes([stop - at - 1]) + data[at:stop]
+    """Runs of three equal bytes or more as runs, what is between them as it is, both in packets of up to 128 bytes."""
+    array = np.frombuffer(data, np.uint8)
+    cuts = np.flatnonzero(np.concatenate([[True], array[1:] != array[:-1], [True]])) if len(array) else np.zeros(1, np.int64)
+    long = np.flatnonzero(np.diff(cuts) >= 3)
+    out, at = bytearray(), 0
+
+    def literal(start, stop):
+        for a in range(start, stop, 128):
+            part = data[a : min(a + 128, stop)]
+            out.append(len(part) - 1)
+            out.extend(part)
+
+    for start, stop in zip(cuts[long].tolist(), cuts[long + 1].tolist(), strict=True):
+        literal(at, start)
+        for a in range(start, stop, 128):
+            n = min(128, stop - a)
+            out.extend(bytes([257 - n if n > 1 else 0, data[a]]))
         at = stop
+    literal(at, len(data))
     return bytes(out)
 
 
-def unlzw(data: bytes) -> bytes:
+def unlzw(data: bytes, limit: float = float("inf")) -> bytes:
     """Codes from the high bit on, 9 to 12 bits wide, widened one code early."""
     out, table, previous = bytearray(), [], None
     base = [bytes([k]) for k in range(256)] + [b"", b""]
@@ -77,7 +92,7 @@ def unlzw(data: bytes) -> bytes:
         bits -= width
         code = held >> bits
         held &= (1 << bits) - 1
-        if code == END:
+        if code == END or len(out) >= limit:
             break
         if code == CLEAR:
             table, width, previous = list(base), 9, None
@@ -96,52 +111,55 @@ def unlzw(data: bytes) -> bytes:
 
 
 def lzw(data: bytes) -> bytes:
-    out, held, bits, width = bytearray(), 0, 0, 9
-    base = {bytes([k]): k for k in range(256)}
-
-    def put(code):
-        nonlocal held, bits
-        held, bits = held << width | code, bits + width
-        while bits >= 8:
-            bits -= 8
-            out.append(held >> bits)
-            held &= (1 << bits) - 1
-
-    put(CLEAR)
-    table, following, word = dict(base), 258, b""
-    for byte in data:
-        longer = word + bytes([byte])
-        if longer in table:
-            word = longer
+    if not data:
+        return joined_codes([CLEAR, END], [9, 9])
+    codes, widths, width = [CLEAR], [9], 9
+    table: dict[int, int] = {}  # a known string's code and the next byte, as one number
+    following, code = 258, data[0]
+    for byte in memoryview(data)[1:]:
+        longer = code << 8 | byte
+        if (known := table.get(longer)) is not None:
+            code = known
             continue
-        put(table[word])
-        table[longer], following, word = following, following + 1, longer[-1:]
+        codes.append(code)
+        widths.append(width)
+        table[longer], following, code = following, following + 1, byte
         if following == 4095:
-            put(CLEAR)
-            table, following, width = dict(base), 258, 9
+            codes.append(CLEAR)
+            widths.append(width)
+            table, following, width = {}, 258, 9
         elif following >= 1 << width:
             width += 1
-    if word:
-        put(table[word])
-        following += 1
-        if following >= 1 << width and width < 12:
-            width += 1
-    put(END)
-    if bits:
-        out.append(held << (8 - bits) & 255)
-    return bytes(out)
+    codes.append(code)
+    widths.append(width)
+    if following + 1 >= 1 << width and width < 12:
+        width += 1
+    return joined_codes([*codes, END], [*widths, width])
+
+
+def joined_codes(codes: list[int], widths: list[int]) -> bytes:
+    """The codes one after the other, each by its high bit first."""
+    bits = np.unpackbits(np.array(codes, ">u2").view(np.uint8).reshape(-1, 2), axis=1)
+    return np.packbits(bits[np.arange(16) >= 16 - np.array(widths)[:, None]]).tobytes()
 
 
-def unpacked(data: bytes, kind: int) -> bytes:
+def unpacked(data: bytes, kind: int, need: int) -> bytes:
+    """The first ``need`` bytes of a strip or tile; an error if it has fewer."""
+    if need > MOST.get(kind, 1) * len(data):
+        raise ValueError("a strip or tile can't hold that much")
     if kind == NONE:
-        return data
-    if kind == PACKBITS:
-        return unpackbits(data)
-    if kind == LZW:
-        return unlzw(data)
-    if kind in (DEFLATE, OLD_DEFLATE):
-        return zlib.decompress(data)
-    raise ValueError(f"compression {kind} is not supported")
+        out = data
+    elif kind == PACKBITS:
+        out = unpackbits(data, need)
+    elif kind == LZW:
+        out = unlzw(data, need)
+    elif kind in (DEFLATE, OLD_DEFLATE):
+        out = zlib.decompressobj().decompress(data, need) if need else b""
+    else:
+        raise ValueError(f"compression {kind} is not supported")
+    if len(out) < need:
+        raise ValueError("a strip or tile holds too little")
+    return out[:need]
 
 
 @dataclass
@@ -171,21 +189,28 @@ class Reader:
         return struct.unpack_from(self.order + code, self.data, at)
 
     def directories(self) -> Iterator[dict[int, tuple]]:
-        at, seen = self.unpack("Q" if self.big else "I", 8 if self.big else 4)[0], set()
+        at, seen, room = self.unpack("Q" if self.big else "I", 8 if self.big else 4)[0], set(), len(self.data)
         while at and at not in seen:
             seen.add(at)
             count, at = self.unpack("Q" if self.big else "H", at)[0], at + (8 if self.big else 2)
-            tags = {}
+            room -= 12 * count
+            if room < 0:
+                raise ValueError("more directory entries than the file can hold")
+            tags: dict[int, tuple] = {}
+            held = 0
             for _ in range(count):
                 tag, kind, n = self.unpack("HHQ" if self.big else "HHI", at)
                 inline = 8 if self.big else 4
                 place = at + (12 if self.big else 8)
-                if kind in CODES:
+                if tag in USED and kind in CODES:
                     code = CODES[kind]
-                    form = f"{n}s" if code == "s" else code * n if len(code) == 2 else f"{n}{code}"
-                    if struct.calcsize("<" + form) > inline:
+                    size = n * struct.calcsize("<" + code)
+                    held += size
+                    if held > len(self.data):
+                        raise ValueError("a tag has more values than the file can hold")
+                    if size > inline:
                         place = self.unpack("Q" if self.big else "I", place)[0]
-                    tags[tag] = self.unpack(form, place)
+                    tags[tag] = self.unpack(f"{n}s" if code == "s" else code * n if len(code) == 2 else f"{n}{code}", place)
                 at += 20 if self.big else 12
             yield tags
             at = self.unpack("Q" if self.big else "I", at)[0]
@@ -196,15 +221,13 @@ class Reader:
 
     def block(self, data: bytes, kind: int, predictor: int, rows: int, width: int, bands: int, bits: int) -> np.ndarray:
         """A decoded strip or tile as rows x (width x bands) samples, or x bytes where samples are not whole bytes."""
-        raw = unpacked(data, kind)
         if bits % 8:
             line = (width * bands * bits + 7) // 8
             if predictor != 1:
                 raise ValueError("a predictor needs whole bytes")
-            return np.frombuffer(raw[: rows * line].ljust(rows * line, b"\0"), np.uint8).reshape(rows, line)
+            return np.frombuffer(unpacked(data, kind, rows * line), np.uint8).reshape(rows, line)
         size = bits // 8
-        need = rows * width * bands * size
-        raw = raw[:need].ljust(need, b"\0")
+        raw = unpacked(data, kind, rows * width * bands * size)
         if predictor == 3:  # bytes of a row differ in sequence, planes of high bytes first
             planes = np.cumsum(np.frombuffer(raw, np.uint8).reshape(rows, width * size, bands), axis=1, dtype=np.uint8).reshape(rows, size, width * bands)
             return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(f">u{size}").reshape(rows, width * bands).astype(f"<u{size}")
@@ -223,12 +246,18 @@ class Reader:
             raise ValueError("bands of different depths are not supported")
         bits, kind, predictor, planes = depths.pop(), one(COMPRESSION, NONE), one(PREDICTOR, 1), bands if one(PLANAR, 1) == 2 else 1
         own = bands // planes
+        if min(width, height, bands, bits) < 1 or bits not in (1, 2, 4, 8, 16, 32, 64):
+            raise ValueError(f"a page of {width} x {height} x {bands} samples of {bits} bits is not supported")
         tiled = TILE_OFFSETS in tags
         wide, high = (tags[TILE_WIDTH][0], tags[TILE_LENGTH][0]) if tiled else (width, min(one(ROWS_PER_STRIP, height), height))
         offsets, sizes = (tags[TILE_OFFSETS], tags[TILE_BYTES]) if tiled else (tags[STRIP_OFFSETS], tags[STRIP_BYTES])
-        across, down = -(-width // wide), -(-height // max(high, 1))
-        if len(offsets) < planes * across * down:
+        if min(wide, high) < 1:
+            raise ValueError("strips or tiles are empty")
+        across, down = -(-width // wide), -(-height // high)
+        if min(len(offsets), len(sizes)) < planes * across * down:
             raise ValueError("strips or tiles are missing")
+        if sum(sizes[: planes * across * down]) > len(self.data):
+            raise ValueError("strips or tiles are longer than the file")
         if tiled and bits % 8:
             raise ValueError("tiles need whole bytes")
         layers = []
@@ -305,22 +334,37 @@ def written(pages: list[np.ndarray], compression: int = DEFLATE, predictor: int
 
 #: Bytes of a row of stored text: 64 pixels of three bands.
 LINE = 192
+#: How texts are stored: compression, and what else ``written`` takes.
+LAYOUTS: tuple[dict, ...] = (
+    {"compression": DEFLATE, "predictor": 2},
+    {"compression": PACKBITS, "tile": 64},
+    {"compression": LZW, "rows_per_strip": 64},
+    {"compression": DEFLATE, "tile": 64, "planar": True, "big": True},
+)
 
 
-def text_pages(text: str | None, page_rows: int) -> list[np.ndarray]:
-    """The UTF-8 bytes as pages of 64 x 3 samples a row, filled up with spaces to a positive multiple of LINE."""
+def text_pages(text: str | None, page_rows: int | None = None) -> list[np.ndarray]:
+    """The UTF-8 bytes as one page, or pages of ``page_rows`` rows, of 64 x 3 samples a row, filled up with spaces to a positive multiple of LINE."""
     data = (text or "").encode()
     data = data.ljust(max(LINE, -(-len(data) // LINE) * LINE), b" ")
     array = np.frombuffer(data, np.uint8).reshape(-1, 64, 3)
-    return [array[y : y + page_rows] for y in range(0, len(array), page_rows)]
+    return [array[y : y + page_rows] for y in range(0, len(array), page_rows)] if page_rows else [array]
 
 
-def tiff_written(docs: DataFrame, page_rows: int = 1 << 22) -> DataFrame:
-    """(doc_id, n_bytes, media): every whole text as a TIFF file of deflated strips with differenced samples."""
+def tiff_written(docs: DataFrame, page_rows: int | None = None, layouts: tuple[dict, ...] = LAYOUTS) -> DataFrame:
+    """(doc_id, n_bytes, media): every whole text as a TIFF file in the layout that the CRC-32 of its bytes picks."""
     schema = T.StructType([docs.schema["doc_id"], T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())])
 
     def work():
-        return lambda rows: {"doc_id": rows["doc_id"], "n_bytes": [len((t or "").encode()) for t in rows["text"]], "media": [written(text_pages(t, page_rows), predictor=2) for t in rows["text"]]}
+        def function(rows):
+            sizes, media = [], []
+            for text in rows["text"]:
+                data = (text or "").encode()
+                sizes.append(len(data))
+                media.append(written(text_pages(text, page_rows), **layouts[zlib.crc32(data) % len(layouts)]))
+            return {"doc_id": rows["doc_id"], "n_bytes": sizes, "media": media}
+
+        return function
 
     return by_columns(docs.select("doc_id", "text"), schema, work)
 

@@ -1,5 +1,7 @@
 import hashlib
 import itertools
+import struct
+import time
 import zlib
 
 import numpy as np
@@ -60,6 +62,50 @@ def test_broken_files(spark):
         tiff.tiff_pages(files, keep=("doc_id", "page"))
 
 
+def plain_feature(payload):
+    n = len(payload)
+    cuts = [k * n // 64 for k in range(65)]
+    sums = [sum(payload[a:b]) for a, b in zip(cuts, cuts[1:])]
+    bits = "".join("1" if s * 64 > sum(sums) else "0" for s in sums)
+    return f"64x{n // 192}x3:{sum(payload) * 1000 // n}:{int(bits, 2):016x}"
+
+
+def test_every_layout_gives_the_text_back(spark):
+    docs = spark.createDataFrame([(k, f"text number {k} é\n" * (1 + k * 9)) for k in range(40)], "doc_id long, text string")
+    for layout in tiff.LAYOUTS:
+        pages = tiff.tiff_pages(tiff.tiff_written(docs, layouts=(layout,)), keep=("doc_id", "n_bytes")).collect()
+        assert sorted(r.doc_id for r in pages) == list(range(40))
+        assert all(bytes(r.samples)[: r.n_bytes].decode() == f"text number {r.doc_id} é\n" * (1 + r.doc_id * 9) for r in pages)
+        assert {(r.compression, r.tiled) for r in pages} == {(layout["compression"], "tile" in layout)}
+
+
+def forged(*entries, tail=b""):
+    return b"II*\0\x08\0\0\0" + struct.pack("<H", len(entries)) + b"".join(struct.pack("<HHII", *e) for e in entries) + b"\0" * 4 + tail
+
+
+def test_forged_files_cost_nothing():
+    bomb = zlib.compress(bytes(50_000_000), 9)
+    page = lambda width, height, tail, kind=8: forged((256, 4, 1, width), (257, 4, 1, height), (258, 3, 1, 8), (259, 3, 1, kind), (273, 4, 1, 98), (278, 4, 1, height), (279, 4, 1, len(tail)), tail=tail)
+    files = [
+        forged((273, 5, 16_000_000, 0)),
+        forged((256, 4, 0xFFFFFFFF, 0)),
+        page(0xFFFFFFFF, 0xFFFFFFFF, bomb),
+        page(60_000, 60_000, bomb),
+        page(0, 5, b"x"),
+        page(60_000, 60_000, b"\x81a" * 1000, tiff.PACKBITS),
+        b"II*\0\x08\0\0\0" + b"\xff\xff" * 3000,
+    ]
+    for data in files:
+        began = time.perf_counter()
+        with pytest.raises((ValueError, KeyError, struct.error)):
+            list(tiff.Reader(data).pages())
+        assert time.perf_counter() - began < 1
+    small = page(64, 1, bomb)
+    began = time.perf_counter()
+    assert [len(p.samples) for p in tiff.Reader(small).pages()] == [64]
+    assert time.perf_counter() - began < 1
+
+
 def test_digests_equal_a_plain_count(spark):
     texts = [None, "", "a", "é" * 96, "x" * 192, "y" * 193, "long text é\n" * 40000, "a"]
     docs = spark.createDataFrame([(k, t, "clash") for k, t in enumerate(texts)], "doc_id long, text string, media string")
@@ -69,7 +115,9 @@ def test_digests_equal_a_plain_count(spark):
         payload = data + b" " * (-len(data) % 192 or (0 if data else 192))
         r = got[k]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
-        assert r.media_bytes > 0 and len(r.media_sha256) == 64 and r.feature
+        media = tiff.written(tiff.text_pages(t), **tiff.LAYOUTS[zlib.crc32(data) % len(tiff.LAYOUTS)])
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+        assert r.feature == plain_feature(payload)
     assert got[2].asDict() | {"doc_id": 7} == got[7].asDict()
     assert got[0].asDict() | {"doc_id": 1} == got[1].asDict()
     assert media_digests(docs.limit(0)).collect() == []
