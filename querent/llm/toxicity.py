@@ -2,16 +2,21 @@
 
 A text's features are the distinct byte n-grams of its lower-cased words with the spaces around them, hashed into buckets.
 Of a bounded sample of labelled rows the buckets that tell the labels apart best are kept, and a logistic model is fitted
-on them. For each sampled sentence with an identity term, the sentence with the term swapped for another of its group is
-the counterfactual: the model pays for the square of the difference of the two scores, so a term of a group can't carry
-a verdict, and neutral mentions of groups aren't rejected. The weights then score every whole text in blocks of bytes.
+on them. For each sentence of those rows with an identity term, the sentence with the term swapped for another of its group
+is the counterfactual: the model pays for the mean square of the change of the score's logit, so a term of a group can't
+carry a verdict, and neutral mentions of groups aren't rejected. That square is a quadratic form of the weights, so tasks
+sum its matrix over all sentences, and no sentence reaches the driver. The weights then score every whole text in blocks
+of bytes. ``Model.counterfactuals`` says how many sentences were swapped.
 
 Labels of documents with crc32(doc_id as text) mod ``folds`` = 0 are held out. The sample is bounded by ``sample_rows``
-(the smallest hashes of doc_id), whose whole texts are used; everything else covers all rows.
+(the smallest hashes of doc_id), whose whole texts are used; everything else covers all rows. What reaches the driver is
+bounded by ``sample_rows`` x ``features`` 16-bit numbers and ``features`` squared sums, whatever the length of the texts.
 
 Nulls and edges: a null text is empty; an empty text has the score of no features. A null doc_id is an empty text for
 the fold. Several labels of a document count as toxic if one does; null labels and those of unknown documents are left
-out. With labels of one kind or none every score is the smoothed share of toxic labels. Repeated rows give repeated rows.
+out. With labels of one kind or none every score is the smoothed share of toxic labels. Equal buckets are chosen by the
+smaller number. Repeated rows give repeated rows, an empty table none. Other columns, whatever their names, are ignored by
+``scored`` and kept by ``kept``.
 """
 
 from __future__ import annotations
@@ -36,7 +41,7 @@ GRAM, BUCKET_BITS = 5, 20
 BLOCK = 2 << 20
 SPACES = bytes(32 if 9 <= c <= 13 or c == 0 else c for c in range(256))
 
-# Groups of identity terms; a term is swapped for the next one of its group.
+# Groups of identity terms in English, German, French and Spanish; a term is swapped for the next one of its group.
 IDENTITIES: tuple[tuple[str, ...], ...] = (
     ("women", "men"),
     ("woman", "man"),
@@ -49,7 +54,27 @@ IDENTITIES: tuple[tuple[str, ...], ...] = (
     ("immigrants", "natives", "refugees", "citizens"),
     ("immigrant", "native", "refugee", "citizen"),
     ("disabled", "elderly", "young"),
+    ("frauen", "männer"),
+    ("frau", "mann"),
+    ("mädchen", "jungen"),
+    ("muslime", "christen", "juden", "atheisten"),
+    ("ausländer", "einheimische", "flüchtlinge", "einwanderer"),
+    ("schwule", "lesben", "heterosexuelle"),
+    ("femmes", "hommes"),
+    ("femme", "homme"),
+    ("filles", "garçons"),
+    ("fille", "garçon"),
+    ("musulmans", "chrétiens", "juifs", "athées"),
+    ("noirs", "blancs", "asiatiques", "arabes"),
+    ("immigrés", "réfugiés", "citoyens"),
+    ("mujeres", "hombres"),
+    ("mujer", "hombre"),
+    ("chicas", "chicos"),
+    ("musulmanes", "cristianos", "judíos", "ateos"),
+    ("negros", "asiáticos", "latinos", "árabes"),
+    ("inmigrantes", "nativos", "refugiados", "ciudadanos"),
 )
+SENTENCE = re.compile(r"[^.!?…\n]+")
 
 
 def swapper(groups: tuple[tuple[str, ...], ...]) -> Callable[[str], str]:
@@ -110,6 +135,7 @@ class Model:
     index: np.ndarray  # feature of each bucket, -1 for none
     weights: np.ndarray
     bias: float
+    counterfactuals: int = 0
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         rows, features = gathered([plain(t) for t in texts], self.index)
@@ -152,40 +178,64 @@ def chosen_buckets(rows: DataFrame, features: int, least: int) -> list[int]:
     return [r.bucket for r in counts.orderBy(apart.desc(), "bucket").limit(features).select("bucket").collect()]
 
 
-def examples(rows: DataFrame, index: np.ndarray, groups: tuple[tuple[str, ...], ...]) -> list:
-    """(toxic, features, swapped): a row's features, and those of its counterfactual, null without an identity term."""
+def examples(rows: DataFrame, index: np.ndarray) -> pa.Table:
+    """(toxic, features) of each row; there are fewer than 2^15 features."""
 
     def work():
-        swapped = swapper(groups)
-
         def function(part):
-            lowered = [(t or "").lower() for t in part["text"]]
-            other = [swapped(t) for t in lowered]
-            out = {"toxic": part["toxic"]}
-            for name, texts in (("features", lowered), ("swapped", other)):
-                rows, features = gathered([plain(t) for t in texts], index)
-                cut = np.searchsorted(rows, np.arange(len(texts) + 1))
-                out[name] = [features[a:b].tolist() for a, b in zip(cut, cut[1:], strict=False)]
-            out["swapped"] = [None if a == b else x for a, b, x in zip(lowered, other, out["swapped"], strict=True)]
-            return out
+            row, features = gathered([plain(t) for t in part["text"]], index)
+            cut = np.searchsorted(row, np.arange(len(part["text"]) + 1))
+            return {"toxic": part["toxic"], "features": [features[a:b].astype(np.int16) for a, b in zip(cut, cut[1:], strict=False)]}
 
         return function
 
-    schema = T.StructType([T.StructField("toxic", T.IntegerType()), *(T.StructField(n, T.ArrayType(T.IntegerType())) for n in ("features", "swapped"))])
-    return by_columns(rows.select("text", "toxic"), schema, work).collect()
+    schema = T.StructType([T.StructField("toxic", T.IntegerType()), T.StructField("features", T.ArrayType(T.ShortType()))])
+    return by_columns(rows.select("text", "toxic"), schema, work).toArrow()
 
 
-def fitted(found: list, size: int, penalty: float, ridge: float, rounds: int = 400, rate: float = 0.05) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise the weighted logistic loss, ``penalty`` times the mean squared score change of
-    counterfactuals and ``ridge`` times the squared weights, by Adam."""
+def swapped_sentences(text: str | None, swapped: Callable[[str], str]) -> list[tuple[str, str]]:
+    """The sentences of a text that hold an identity term, each with its counterfactual."""
+    low = (text or "").lower()
+    if swapped(low) == low:
+        return []
+    return [(own, other) for own in SENTENCE.findall(low) if (other := swapped(own)) != own]
+
 
-    def sparse(lists):
-        sizes = np.array([len(x) for x in lists], np.int64)
-        return np.repeat(np.arange(len(lists)), sizes), np.fromiter((f for x in lists for f in x), np.int64, sizes.sum())
+def counterfactuals(rows: DataFrame, index: np.ndarray, size: int, groups: tuple[tuple[str, ...], ...]) -> tuple[int, np.ndarray]:
+    """How many sentences have a counterfactual, and the sum over them of d d^T, d the features that the swap takes less those it brings."""
 
-    y = np.array([r.toxic for r in found], float)
-    own = [r for r in found if r.swapped is not None]
-    (rows, cols), (a_rows, a_cols), (b_rows, b_cols) = sparse([r.features for r in found]), sparse([r.features for r in own]), sparse([r.swapped for r in own])
+    def run(batches):
+        swapped, total, n = swapper(groups), None, 0
+        for part in slices(batches):
+            for text in part.column("text").to_pylist():
+                for pair in swapped_sentences(text, swapped):
+                    row, features = gathered([plain(t) for t in pair], index)
+                    change = np.zeros(size)
+                    change[features[row == 0]] += 1
+                    change[features[row == 1]] -= 1
+                    own = np.flatnonzero(change)
+                    total = np.zeros((size, size)) if total is None else total
+                    total[np.ix_(own, own)] += np.outer(change[own], change[own])
+                    n += 1
+        a, b = np.nonzero(total) if n else (np.empty(0, np.int64),) * 2
+        sums = total[a, b] if n else np.empty(0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(a, -1)), pa.array(np.append(b, -1)), pa.array(np.append(sums, float(n)))], ["a", "b", "sum"])
+
+    found = rows.select("text").mapInArrow(run, "a long, b long, sum double").groupBy("a", "b").agg(F.sum("sum").alias("sum")).toArrow()
+    a, b, sums = (found.column(c).to_numpy() for c in ("a", "b", "sum"))
+    total = np.zeros((size, size))
+    total[a[a >= 0], b[a >= 0]] = sums[a >= 0]
+    return int(sums[a < 0].sum()), total
+
+
+def fitted(found: pa.Table, size: int, swaps: tuple[int, np.ndarray], penalty: float, ridge: float, rounds: int = 400, rate: float = 0.05) -> tuple[np.ndarray, float]:
+    """Weights and bias that minimise the weighted logistic loss, ``penalty`` times the mean squared change of
+    counterfactuals and ``ridge`` times the squared weights, by Adam."""
+    y = found.column("toxic").to_numpy().astype(float)
+    lists = found.column("features").combine_chunks()
+    rows = np.repeat(np.arange(len(y)), np.diff(lists.offsets.to_numpy()))
+    cols = lists.flatten().to_numpy().astype(np.int64)
+    n, total = swaps
     share = (y.mean() * 0.5) ** 0.5  # of the loss for toxic rows: between their own share and a half
     weight = np.where(y > 0, share / max(y.sum(), 1), (1 - share) / max((1 - y).sum(), 1))
     w, m, v = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
@@ -193,10 +243,8 @@ def fitted(found: list, size: int, penalty: float, ridge: float, rounds: int = 4
         p = 1 / (1 + np.exp(-np.clip(w[-1] + np.bincount(rows, w[cols], len(y)), -30, 30)))
         pull = weight * (p - y)
         g = np.append(np.bincount(cols, pull[rows], size) + ridge * w[:-1], pull.sum())
-        if own:
-            change = np.bincount(a_rows, w[a_cols], len(own)) - np.bincount(b_rows, w[b_cols], len(own))
-            pull = 2 * penalty * change / len(own)
-            g[:-1] += np.bincount(a_cols, pull[a_rows], size) - np.bincount(b_cols, pull[b_rows], size)
+        if n:
+            g[:-1] += 2 * penalty / n * (total @ w[:-1])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return w[:-1], float(w[-1])
@@ -211,7 +259,8 @@ def trained(docs: DataFrame, labels: DataFrame, folds: int = 5, sample_rows: int
         totals = rows.agg(F.sum("toxic"), F.count("*")).first()
         share = ((totals[0] or 0) + 0.5) / (totals[1] + 1 + (0 if totals[1] else 1))
         return Model(index, np.zeros(0), float(np.log(share / (1 - share))))
-    return Model(index, *fitted(examples(rows, index, groups), len(chosen), penalty, ridge))
+    swaps = counterfactuals(rows, index, len(chosen), groups)
+    return Model(index, *fitted(examples(rows, index), len(chosen), swaps, penalty, ridge), swaps[0])
 
 
 def scored(docs: DataFrame, model: Model, folds: int = 5) -> DataFrame:

@@ -67,6 +67,48 @@ def test_swapper_turns_each_group_round():
     assert toxicity.swapper(())("women") == "women"
 
 
+def test_terms_stand_in_one_group():
+    terms = [t for g in toxicity.IDENTITIES for t in g]
+    assert len(terms) == len(set(terms)) and all(t == t.lower() for t in terms)
+    swap = toxicity.swapper(toxicity.IDENTITIES)
+    assert swap("die frauen, les hommes et una mujer") == "die männer, les femmes et una hombre"
+
+
+def test_counterfactuals_are_pairs_of_sentences(spark):
+    texts = ["Women and men met. The river was cold! A muslim teacher", None, "", "no term here", "gay\nriver gay. " * 3]
+    rows = spark.createDataFrame([(t, 1) for t in texts], "text string, toxic int")
+    swap = toxicity.swapper(toxicity.IDENTITIES)
+    pairs = [p for t in texts for p in toxicity.swapped_sentences(t, swap)]
+    assert [p[0].strip() for p in pairs[:2]] == ["women and men met", "a muslim teacher"] and len(pairs) == 2 + 6
+    index = (np.arange(1 << toxicity.BUCKET_BITS) % 97).astype(np.int32)
+    want = np.zeros((97, 97))
+    for own, other in pairs:
+        a, b = ({int(index[g]) for g in toxicity.buckets(np.frombuffer(toxicity.plain(t), np.uint8)).tolist()} for t in (own, other))
+        d = np.array([(k in a) - (k in b) for k in range(97)], float)
+        want += np.outer(d, d)
+    n, total = toxicity.counterfactuals(rows, index, 97, toxicity.IDENTITIES)
+    assert n == len(pairs) and np.array_equal(total, want)
+
+
+def test_scores_equal_plain_loops(tables):
+    docs, labels = tables
+    model = toxicity.trained(docs, labels)
+    assert model.counterfactuals > 50
+    for text in ["the gay slimeball of the river", "", None, "Evening\tletter  é", "grubworm " * 30]:
+        data = b" " + "".join(" " if c in "\t\n\v\f\r\0" else c for c in (text or "").lower()).encode() + b" "
+        found = set()
+        for k in range(len(data) - 4):
+            value = data[k]
+            for byte in data[k + 1 : k + 5]:
+                value = (value * 0x01000193 & 0xFFFFFFFF) ^ byte
+            value = value * 0x9E3779B1 & 0xFFFFFFFF
+            value = ((value ^ value >> 15) * 0x85EBCA77 & 0xFFFFFFFF) >> (32 - toxicity.BUCKET_BITS)
+            if model.index[value] >= 0:
+                found.add(int(model.index[value]))
+        margin = model.bias + sum(float(model.weights[f]) for f in found)
+        assert abs(model.scores([text])[0] - 1 / (1 + np.exp(-margin))) < 1e-9
+
+
 def test_held_out_labels_are_not_used(spark, tables):
     docs, labels = tables
     turned = spark.createDataFrame([(k, 0, 1 - t if zlib.crc32(str(k).encode()) % 5 == 0 else t) for k, _, t in (tuple(r) for r in labels.collect())], labels.schema)
