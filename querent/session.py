@@ -28,11 +28,13 @@ def session(app: str = "querent", master: str | None = None, **settings: str) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where it is unset (tests, local runs) a folder of this machine."""
+    """``spark.checkpoint.dir``; where it is unset, a folder of this machine for a local master, and an error for a cluster."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found
     context = spark.sparkContext._jsc.sc()
     if not context.getCheckpointDir().isDefined():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="querent-"))
     return context.getCheckpointDir().get()
 
@@ -44,16 +46,28 @@ def stored_dir(spark: SparkSession) -> str:
 
 def clear(spark: SparkSession) -> None:
     """Deletes this application's stored tables; data frames made from them can't be read any more."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(stored_dir(spark))
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    removed(spark, stored_dir(spark))
 
 
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """``df`` written once as Parquet into the shared folder and read again.
 
     It cuts the lineage, survives the loss of any executor, and gives Catalyst real sizes to choose joins by.
-    Such tables stay until ``clear`` is called, since results may still read them.
+    Such tables stay until ``forgotten`` or ``clear`` is called, since results may still read them.
     """
     path = f"{stored_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.stored_path = path
+    return found
+
+
+def forgotten(*tables: DataFrame) -> None:
+    """Deletes tables that ``stored`` gave and nothing reads any more."""
+    for table in tables:
+        removed(table.sparkSession, table.stored_path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
