@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -10,7 +11,24 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Bytes of input that are turned into Python objects at once.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
+
+
+def free_name(name: str, columns: Iterable[str]) -> str:
+    """``name``, made longer until none of ``columns`` is called so, whatever the case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def memory_returned() -> None:
+    """Gives freed memory back to the system: workers are kept for later tasks, and an executor's memory is shared by all of them."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
 
 
 def slices(batches: Iterable[pa.RecordBatch], limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -30,5 +48,6 @@ def by_columns(df: DataFrame, schema: T.StructType, work: Callable[[], Callable[
         for part in slices(batches):
             out = function(part.to_pydict())
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+        memory_returned()
 
     return df.mapInArrow(run, schema)

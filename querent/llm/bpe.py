@@ -10,8 +10,9 @@ those of the tokenizer.
 Words must part before a space or line feed that follows a visible ASCII character: no pre-token and no added token of
 a byte-level tokenizer runs over that place, and neither side depends on the other.
 
-Nulls and edges: a null text is empty; an empty text has no tokens. Repeated rows give repeated rows; other columns are
-ignored.
+Nulls and edges: a null text is empty; an empty text has no tokens. Very long texts are cut like all others, a stretch
+without a place where words must part being one piece. Repeated rows give repeated rows, an empty table none; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import types as T
 from querent.llm.arrow import by_columns
 
 #: Bytes of the rolling window (a power of two), log2 of the mean chunk length, most bytes of a chunk, bytes of cached chunks of a worker.
-WINDOW, MEAN_BITS, LONGEST, CACHE_BYTES = 32, 10, 1 << 14, 48 << 20
+WINDOW, MEAN_BITS, LONGEST, CACHE_BYTES = 32, 10, 1 << 14, 32 << 20
 # Fixed value: the pattern by which byte-level BPE files part words.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BASE, SPREAD = np.uint32(0x08104225), np.uint32(0x9E3779B1)
@@ -83,11 +84,6 @@ class ChunkedBpe:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         if spec.get("normalizer") or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["pre_tokenizer"]["add_prefix_space"]:
@@ -100,6 +96,12 @@ class ChunkedBpe:
         self.pieces = [pieces.get(i, b"") for i in range(max(pieces) + 1)]
         self.lengths = np.array([len(p) for p in self.pieces], np.int64)
         self.ranks = self.ranked(spec)
+        if self.ranks is None:
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(path)
+            self.tokenizer.no_truncation()
+            self.tokenizer.no_padding()
         self.chunking, self.cache_bytes = chunking, cache_bytes
         self.cache: OrderedDict[tuple[bytes, bool], Chunk] = OrderedDict()
         self.held = 0
