@@ -5,12 +5,13 @@ correlated bits, and each partition i gets a threshold T_i with sum(T_i + 1) = d
 differ by T_i or fewer bits in one partition at least. A dynamic program allocates the thresholds by estimated
 candidate counts. Each fingerprint is filed under its own value of every partition, probes the values within T_i, and
 whatever meets is verified on all bits. Within a bucket only a spanning forest of the links is kept, so that rows stay
-linear in the fingerprints; buckets beyond ``cell_rows`` rows are dealt as pairs of blocks. Components come from
+linear in the fingerprints; buckets beyond ``cell_rows`` rows, owners and probes, are dealt as pairs of blocks. Components come from
 alternating large-star and small-star rounds over tables in the shared folder.
 
 Nulls and edges: a null text is empty, an empty text has fingerprint zero, and zero links like any other fingerprint.
 Equal fingerprints always share a component. A null doc_id has its fingerprint's component; it never names one, and a
-component of null ids only has a null name. Repeated rows give repeated rows. Other columns are ignored.
+component of null ids only has a null name. Repeated rows give repeated rows, an empty table none; a very long text costs
+its hashes only. Other columns, whatever their names, are ignored by ``near_duplicates`` and kept by ``kept``.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from querent.llm.arrow import by_columns
-from querent.session import stored
+from querent.llm.arrow import by_columns, free_name
+from querent.session import forgotten, stored
 
 BITS = 64
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -137,12 +138,16 @@ def planned(sample: np.ndarray, total: int, distance: int, row_cost: float = 1.0
 def filed(fps: DataFrame, index: list[Partition], cell_rows: int) -> DataFrame:
     """(part, sig, cell, probe, fp): every fingerprint under its own and its probed values of each partition.
 
-    A value that more than ``cell_rows`` fingerprints own is dealt into blocks, and each pair of blocks is a cell.
+    A value with more than ``cell_rows`` rows is dealt into blocks, and each pair of blocks is a cell. Its rows are counted
+    by the owners of the value and of those that probe it.
     """
     entries = F.array(*(F.struct(F.lit(k).alias("part"), F.lit(signed(p.mask)).alias("mask"), F.array(*(F.lit(signed(e)) for e in [0, *p.errors()])).alias("errors")) for k, p in enumerate(index)))
     rows = fps.select("fp", F.explode(entries).alias("e")).select("fp", F.col("e.part").alias("part"), F.col("e.mask").alias("mask"), F.explode("e.errors").alias("error"))
     rows = rows.select("part", F.expr("(fp ^ error) & mask").alias("sig"), (F.col("error") != 0).alias("probe"), "fp")
-    crowded = stored(rows.where(~F.col("probe")).groupBy("part", "sig").agg(F.count("*").alias("n")).where(F.col("n") > cell_rows), "crowded")
+    owned = rows.where(~F.col("probe")).groupBy("part", "sig").agg(F.count("*").alias("n"))
+    errors = F.element_at(F.transform(entries, lambda e: e.errors), F.col("part") + 1)
+    reached = owned.select("part", "n", "sig", F.explode(errors).alias("error")).select("part", F.expr("sig ^ error").alias("sig"), "n")
+    crowded = stored(reached.groupBy("part", "sig").agg(F.sum("n").alias("n")).where(F.col("n") > cell_rows), "crowded")
     if crowded.isEmpty():
         return rows.withColumn("cell", F.lit(0))
     blocks = F.ceil(F.col("n") / (cell_rows / 2)).cast("int")
@@ -246,12 +251,16 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     edges = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "edges")
     before = None
     for _ in range(rounds):
+        old = [edges]
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "large-star")
+        old.append(least)
         edges = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         edges = stored(edges, "large-star-edges")
         least = stored(edges.groupBy("u").agg(F.min("v").alias("m")), "small-star")
+        old += [edges, least]
         edges = stored(edges.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u != v").distinct(), "small-star-edges")
+        forgotten(*old)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break
@@ -289,15 +298,16 @@ def kept(docs: DataFrame, distance: int = 4, width: int = 4, seed: int = 42, cel
 def kept_rows(docs: DataFrame, own: DataFrame, tree: DataFrame, name: Callable[[str | None], int]) -> DataFrame:
     """The rows that ``kept`` returns, for the components ``tree`` (fp, first_id, root) of ``own`` (doc_id, fp); ``name`` gives the fp of a text."""
     least = tree.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull(), "first_id", "fp")).alias("least"))
-    least = stored(least.select(F.col("least.first_id").alias("simhash_id"), F.col("least.fp").alias("simhash_of")), "kept")
+    of_id, of, fp, copy = (free_name(f"simhash_{n}", docs.columns) for n in ("id", "of", "fp", "copy"))
+    least = stored(least.select(F.col("least.first_id").alias(of_id), F.col("least.fp").alias(of)), "kept")
     if own.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1").isEmpty():
-        return docs.join(least, F.col("doc_id") == F.col("simhash_id"), "left_semi")
-    schema = T.StructType([*docs.schema.fields, T.StructField("simhash_fp", T.LongType())])
+        return docs.join(least, F.col("doc_id") == F.col(of_id), "left_semi")
+    schema = T.StructType([*docs.schema.fields, T.StructField(fp, T.LongType())])
 
     def work():
-        return lambda rows: rows | {"simhash_fp": [name(t) for t in rows["text"]]}
+        return lambda rows: rows | {fp: [name(t) for t in rows["text"]]}
 
     rows = by_columns(docs, schema, work)
-    rows = rows.join(least, rows.doc_id.eqNullSafe(least.simhash_id) & (rows.simhash_fp == least.simhash_of), "left_semi")
-    order = Window.partitionBy("doc_id", "simhash_fp").orderBy(F.xxhash64(*docs.columns))
-    return rows.withColumn("simhash_copy", F.row_number().over(order)).where("simhash_copy = 1").select(*docs.columns)
+    rows = rows.join(least, F.col("doc_id").eqNullSafe(F.col(of_id)) & (F.col(fp) == F.col(of)), "left_semi")
+    order = Window.partitionBy("doc_id", fp).orderBy(F.xxhash64(*docs.columns))
+    return rows.withColumn(copy, F.row_number().over(order)).where(F.col(copy) == 1).select(*docs.columns)

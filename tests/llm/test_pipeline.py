@@ -69,6 +69,9 @@ def test_unique_ids_take_the_plain_join(spark):
     docs = spark.createDataFrame([(3, "same words here", "x"), (1, "same words here", "y"), (2, "other", "z")], "doc_id long, text string, fp string")
     assert sorted(map(tuple, simhash.kept(docs).collect())) == [(1, "same words here", "y"), (2, "other", "z")]
     assert simhash.kept(docs.limit(0)).collect() == []
+    for ids in ((1, 2, 3), (1, 1, None)):
+        clash = spark.createDataFrame([(i, t, 5, 6, 7, 8) for i, t in zip(ids, ["same words here", "same words here", "other"], strict=True)], "doc_id long, text string, simhash_id int, Simhash_of int, simhash_fp int, simhash_copy int")
+        assert simhash.kept(clash).columns == clash.columns and simhash.kept(clash).count() == 2
 
 
 def test_empty_tables(spark, tmp_path):
