@@ -3,12 +3,17 @@
 A text is cut into sentences: after end marks, at line feeds, and where a capital follows a small letter without an end
 mark, as it does where one text was set into another. What runs on for more than ``LONG`` words is cut at words that its own
 content chooses. From each sentence on, the shortest run of ``least`` sentences or more with ``words`` words or more is hashed
-without regard to case and white space. The hashes of all documents are joined, and a sentence goes if a run that
-covers it has stood before: earlier in its document, or in a document with a smaller doc_id. What first occurs stays.
+without regard to case and white space. A text that is too short for such a run is one run, so that its copies go too. The
+hashes of all documents are joined, and a sentence goes if a run that covers it has stood before: earlier in its document,
+or in a document with a smaller doc_id. What first occurs stays.
+
+Runs are compared by 64-bit hashes: of n distinct runs about n squared over 2^65 pairs meet by chance (none are to be
+expected below 6 x 10^9 runs).
 
 Nulls and edges: a null text stays null, an empty one empty. A null doc_id comes after all others. Rows of the same
 doc_id count as one document: they take nothing from each other, and what a smaller doc_id has goes from all of them.
-Repeated rows give repeated rows; other columns are ignored by ``spans`` and kept by ``deduplicated``.
+Very long texts and texts of nothing but end marks take linear time. Repeated rows give repeated rows, an empty table none;
+other columns, whatever their names, are ignored by ``spans`` and kept by ``deduplicated``.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from querent.llm.arrow import by_columns, slices
+from querent.llm.arrow import by_columns, free_name, slices
 from querent.session import stored
 
 #: Fewest sentences and words of a span; words of a sentence before it is cut by content.
@@ -30,7 +35,8 @@ LEAST, WORDS, LONG = 2, 15, 24
 #: Stands for a null doc_id: after all others.
 LAST = 2**63 - 1
 
-BREAK = re.compile(r"[.!?…\n ](?:(?<=[.!?…])[.!?…]*[\"'»”)\]]*(?:\s+|\Z)|(?<=\n)\s*|(?<=[a-zß-ÿ] )(?=[A-ZÀ-Þ]))")
+# End marks are tried from the first of a row only, so that a row that no space follows is read once.
+BREAK = re.compile(r"(?<![.!?…])[.!?…]++[\"'»”)\]]*+(?:\s+|\Z)|\n\s*|(?<=[a-zß-ÿ]) (?=[A-ZÀ-Þ])")
 WORD = re.compile(r"\S+\s*")
 
 
@@ -56,6 +62,10 @@ def sentences(text: str) -> list[tuple[int, int, list[str]]]:
     return out
 
 
+def signed(value: int) -> int:
+    return value - (1 << 64) if value >> 63 else value
+
+
 def runs(parts: list[tuple[int, int, list[str]]], least: int, words: int) -> list[tuple[int, int, int]]:
     """(hash, first, end) of the span from each sentence on; sentences without words neither start nor count."""
     counted = [k for k, p in enumerate(parts) if p[2]]
@@ -69,8 +79,10 @@ def runs(parts: list[tuple[int, int, list[str]]], least: int, words: int) -> lis
         if held < words or end - k < least:
             break
         value = xxh64_intdigest("\n".join(texts[k:end]).encode(), 7)
-        out.append((value - (1 << 64) if value >> 63 else value, counted[k], counted[end - 1] + 1))
+        out.append((signed(value), counted[k], counted[end - 1] + 1))
         held -= sizes[k]
+    if counted and not out:
+        out.append((signed(xxh64_intdigest("\n".join(texts).encode(), 7)), 0, len(parts)))
     return out
 
 
@@ -117,9 +129,11 @@ def seen_before(docs: DataFrame, least: int = LEAST, words: int = WORDS) -> Data
     return later.groupBy(F.col("doc_id").alias("span_doc")).agg(F.collect_set("value").alias("span_values"))
 
 
-def with_seen(docs: DataFrame, least: int, words: int) -> DataFrame:
-    before = stored(seen_before(docs, least, words), "seen")
-    return docs.join(before, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)) == F.col("span_doc"), "left").drop("span_doc")
+def with_seen(docs: DataFrame, least: int, words: int) -> tuple[DataFrame, str]:
+    """``docs`` with the spans that smaller ids have, and the name of that column."""
+    doc, values = free_name("span_doc", docs.columns), free_name("span_values", docs.columns)
+    before = stored(seen_before(docs, least, words), "seen").toDF(doc, values)
+    return docs.join(before, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)) == F.col(doc), "left").drop(doc), values
 
 
 def spans(docs: DataFrame, least: int = LEAST, words: int = WORDS) -> DataFrame:
@@ -127,10 +141,12 @@ def spans(docs: DataFrame, least: int = LEAST, words: int = WORDS) -> DataFrame:
     own = docs.schema["doc_id"]
     schema = T.StructType([own, T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed_spans", T.StringType()), T.StructField("text", T.StringType())])
 
+    rows, values = with_seen(docs.select("doc_id", "text"), least, words)
+
     def work():
         def function(rows):
             out: dict[str, list] = {c: [] for c in schema.names}
-            for doc_id, text, seen in zip(rows["doc_id"], rows["text"], rows["span_values"], strict=True):
+            for doc_id, text, seen in zip(rows["doc_id"], rows["text"], rows[values], strict=True):
                 n, stretches, gone = removed(text or "", set(seen or ()), least, words)
                 row = (doc_id, n, gone, ",".join(f"{a}:{b}" for a, b in stretches), None if text is None else without(text, stretches))
                 for c, v in zip(schema.names, row, strict=True):
@@ -139,7 +155,7 @@ def spans(docs: DataFrame, least: int = LEAST, words: int = WORDS) -> DataFrame:
 
         return function
 
-    return by_columns(with_seen(docs.select("doc_id", "text"), least, words), schema, work)
+    return by_columns(rows, schema, work)
 
 
 def without(text: str, stretches: list[tuple[int, int]]) -> str:
@@ -153,10 +169,11 @@ def without(text: str, stretches: list[tuple[int, int]]) -> str:
 def deduplicated(docs: DataFrame, least: int = LEAST, words: int = WORDS) -> DataFrame:
     """``docs`` without repeated spans, with ``n_chars``, if there is one, brought up to date."""
     schema = docs.schema
+    rows, values = with_seen(docs, least, words)
 
     def work():
         def function(rows):
-            texts = [None if t is None else without(t, removed(t, set(s or ()), least, words)[1]) for t, s in zip(rows["text"], rows["span_values"], strict=True)]
+            texts = [None if t is None else without(t, removed(t, set(s or ()), least, words)[1]) for t, s in zip(rows["text"], rows[values], strict=True)]
             out = {c: rows[c] for c in schema.names} | {"text": texts}
             if "n_chars" in schema.names:
                 out["n_chars"] = [n if t is None else len(t) for n, t in zip(rows["n_chars"], texts, strict=True)]
@@ -164,4 +181,4 @@ def deduplicated(docs: DataFrame, least: int = LEAST, words: int = WORDS) -> Dat
 
         return function
 
-    return by_columns(with_seen(docs, least, words), schema, work)
+    return by_columns(rows, schema, work)

@@ -1,4 +1,5 @@
 import random
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -18,6 +19,8 @@ def brute(rows, least=substrings.LEAST, words=substrings.WORDS):
                 if sum(map(len, own)) >= words:
                     spans.setdefault((d, text), []).append((tuple(map(tuple, own)), counted[k], counted[e - 1] + 1))
                     break
+        if counted and (d, text) not in spans:
+            spans[d, text] = [(tuple(tuple(parts[k][2]) for k in counted), 0, len(parts))]
     last = lambda d: 2**63 - 1 if d is None else d
     first = {}
     for (d, _), own in spans.items():
@@ -47,7 +50,7 @@ def corpus(seed=1, n=60):
             at = rnd.randint(0, len(text))
             text[at:at] = rnd.choice(passages)
         rows.append((k, "".join(text)))
-    return rows + [(3, rows[4][1]), (None, rows[5][1]), (None, rows[5][1]), (7, rows[7][1]), (100, None), (101, ""), (102, "Is onhe. " * 300), (103, "x " * 3000), (-1, rows[9][1].upper())]
+    return rows + [(3, rows[4][1]), (None, rows[5][1]), (None, rows[5][1]), (7, rows[7][1]), (100, None), (101, ""), (102, "Is onhe. " * 300), (103, "x " * 3000), (-1, rows[9][1].upper()), (110, "Short one."), (111, "short  ONE."), (112, "Short one"), (113, " \n ")]
 
 
 @settings(max_examples=300, deadline=None)
@@ -95,6 +98,21 @@ def test_planted_passage_goes_from_later_documents_only(spark):
     assert got[9].n_removed == 7 and got[12].n_removed == 7
 
 
+def test_hostile_texts_take_linear_time():
+    for text in ["." * 1_000_000, ".x" * 300_000, '."' * 300_000, "!)" * 300_000 + "x", "\n " * 300_000, "a B" * 200_000, "." * 500_000 + '"' * 500_000 + "x"]:
+        began = time.perf_counter()
+        parts = substrings.sentences(text)
+        substrings.runs(parts, 2, 15)
+        assert "".join(text[a:b] for a, b, _ in parts) == text
+        assert time.perf_counter() - began < 10
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "Same short text.", 5, [1], "x"), (2, "Same short text.", 6, [2], "y")], "doc_id long, text string, span_doc long, Span_Values array<int>, value string")
+    got = sorted(tuple(r) for r in substrings.deduplicated(docs).collect())
+    assert got == [(1, "Same short text.", 5, [1], "x"), (2, "", 6, [2], "y")]
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert substrings.spans(docs).collect() == [] == substrings.deduplicated(docs).collect()
