@@ -13,7 +13,7 @@ what tasks and the driver's loop of rounds see together; a round is one aggregat
 
 Nulls and edges: a null text has size 0, and so does an empty one. Sources of size 0 have target 0. A null doc_id is
 hashed as an empty string. Repeated rows are documents of their own; equal ones are placed side by side. An empty table
-gives no rows. Other columns are kept by ``repeated`` and ignored by ``mixed``; its own working columns start with ``mix_``.
+gives no rows. Very long texts are only counted. Other columns, whatever their names, are kept by ``repeated`` and ignored by ``mixed``.
 """
 
 from __future__ import annotations
@@ -116,14 +116,12 @@ def repeated(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float
 
     The document at the end of a source's target is taken once more if half of it or more counts.
     """
-    if clash := [c for c in docs.columns if c.startswith("mix_") or c == "place"]:
-        raise ValueError(f"rename {clash}: the mix has such columns")
-    rows = docs.withColumn("place", placed(seed))
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", "source", "text", placed(seed).alias("place"))
     sizes = stored(rows.select("source", sized().alias("size"), "place"), "sizes")
     rows = taken(rows, planned(sizes, weights, share, epochs), sized())
     again = F.col("mix_part").isNull() | ((F.col("mix_part") > 0) & (2 * F.col("mix_part") >= F.col("mix_size")))
     times = (F.col("mix_whole") + again.cast("long")).cast("int")
-    return rows.withColumn("mix_times", times).where("mix_times > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_times")))).select(*docs.columns)
+    return rows.withColumn("mix_times", times).where("mix_times > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_times")))).select("row.*")
 
 
 #: DuckDB SQL for ``mixed`` with its defaults, over table ``{documents}``.

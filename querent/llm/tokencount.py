@@ -9,20 +9,21 @@ the parent's, breadth first, by the same steps.
 A word-initial piece and a continuation are told apart by a mark: the word is read as a start mark and its bytes. A word
 that the vocabulary can't spell counts as ``unknown`` pieces (one, as an unknown token does).
 
-Nulls and edges: a null text is empty; an empty text has no words. Words are parted by white space of ASCII. Repeated
-rows give repeated rows; other columns are ignored.
+Nulls and edges: a null text is empty; an empty text has no words. Words are parted by white space of ASCII; very long
+words and texts take linear time. Repeated rows give repeated rows, an empty table none; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from querent.llm.arrow import by_columns
 
-#: Words whose counts a task remembers.
+#: Words whose counts a worker remembers.
 REMEMBERED = 200_000
 
 
@@ -99,20 +100,28 @@ def pieces_of(path: str) -> tuple[list[bytes], list[bytes]]:
     return [p[1:] for p in vocabulary if p[:1] == b" " and len(p) > 1], [p for p in vocabulary if p[:1] != b" "]
 
 
+@lru_cache(maxsize=2)
+def worker_count(path: str) -> Callable[[bytes], int]:
+    """The piece count of a word, by one automaton for all tasks of a Python worker."""
+    automaton = Automaton(*pieces_of(path))
+    known: dict[bytes, int] = {}
+
+    def count(word: bytes) -> int:
+        if (found := known.get(word)) is None:
+            found = automaton.count(word)
+            if len(known) < REMEMBERED and len(word) <= 64:
+                known[word] = found
+        return found
+
+    return count
+
+
 def counted(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_words, n_tokens) of every whole text, with the pieces of a public byte-level vocabulary file."""
     schema = T.StructType([docs.schema["doc_id"], T.StructField("n_words", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
     def work():
-        automaton = Automaton(*pieces_of(path))
-        known: dict[bytes, int] = {}
-
-        def count(word: bytes) -> int:
-            if (found := known.get(word)) is None:
-                found = automaton.count(word)
-                if len(known) < REMEMBERED:
-                    known[word] = found
-            return found
+        count = worker_count(path)
 
         def function(rows):
             words = [(t or "").encode().split() for t in rows["text"]]

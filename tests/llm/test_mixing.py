@@ -85,5 +85,9 @@ def test_edges(spark):
     assert mixing.repeated(docs(spark, [])).collect() == []
     only = mixing.mixed(docs(spark, [(1, None, None), (2, None, "")])).collect()
     assert [(r.size, r.source_size, r.target, r.taken) for r in only] == [(0, 0, 0.0, 0)] * 2
-    with pytest.raises(ValueError):
-        mixing.repeated(docs(spark, []).withColumnRenamed("target", "place"))
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a", "x y z", 1, 2, 3), (2, "b", "u", 4, 5, 6)], "doc_id long, source string, text string, place int, mix_size int, Mix_Times int")
+    got = mixing.repeated(df)
+    assert got.columns == df.columns and {tuple(r) for r in got.collect()} <= {tuple(r) for r in df.collect()}
