@@ -5,12 +5,15 @@ with a line for each record and its range, and ``datapackage.json``. The reader
 and the central directory, finds where the stored members begin, and reads each record that an index names by its range;
 nothing is extracted, and nothing but the ranges is read. Files without an index are walked record by record.
 
-``archived`` packs pages into archives of bounded size; pages with equal payloads are one response and revisits.
+``archived`` packs pages into archives of bounded size, files of the shared folder; pages with equal payloads are one
+response and revisits. ``ranged_records`` reads such files in tasks, by offset. Both open any file system that pyarrow
+knows. The list of archives is what the tasks that ended well returned: an archive that a lost task left behind isn't read.
 
 Nulls and edges: a null html is an empty payload, a null url an empty one. Of equal payloads of ``least_bytes`` or more the
 smallest page_id is the response, and so are all rows that share it; a null page_id refers to that one, and where all are
-null each is a response. Repeated rows give repeated rows; other columns are ignored. A file that can't be read gives
-one row with the error.
+null each is a response. Payloads are equal if their sizes, SHA-1 and 64-bit hashes are. A very long page is an archive of
+its own. Repeated rows give repeated rows, an empty table none; other columns, whatever their names, are ignored. A file
+that can't be read gives one row with the error.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ import hashlib
 import json
 import re
 import struct
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -28,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from querent.llm.arrow import slices
-from querent.session import stored
+from querent.llm.arrow import memory_returned, slices
+from querent.session import stored, stored_dir
 
 # Fixed values of the formats.
 END, END64, LOCATOR64, ENTRY, LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02", b"PK\x03\x04"
@@ -181,22 +185,43 @@ def parsed(data: bytes) -> Record:
     return Record(headers.get("warc-type", ""), headers.get("warc-record-id", "").strip("<>"), headers.get("warc-target-uri", ""), headers, http, block)
 
 
-def unzipped_from(data: bytes) -> Iterator[bytes]:
-    """The gzip members of ``data`` one after the other."""
-    while data:
-        unpacker = zlib.decompressobj(31)
-        yield unpacker.decompress(data) + unpacker.flush()
-        data = unpacker.unused_data
+def unzipped(archive: Zip, name: str, step: int = 1 << 20) -> Iterator[bytes]:
+    """The gzip members of a stored member one after the other, read in steps."""
+    at, size, rest = 0, archive.members[name].size, b""
+    while rest or at < size:
+        unpacker, out = zlib.decompressobj(31), []
+        while not unpacker.eof:
+            if not rest:
+                if at >= size:
+                    raise ValueError(f"{name} ends within a record")
+                rest = archive.range(name, at, min(step, size - at))
+                at += len(rest)
+            out.append(unpacker.decompress(rest))
+            rest = unpacker.unused_data
+        yield b"".join(out)
+
+
+def walked(archive: Zip, name: str, head: int = 1 << 16) -> Iterator[bytes]:
+    """The records of a stored member that isn't compressed, each read by its range once its header has told its length."""
+    at, size = 0, archive.members[name].size
+    while at < size:
+        top, mark, _ = archive.range(name, at, min(head, size - at)).partition(b"\r\n\r\n")
+        if not mark:
+            raise ValueError(f"a record of {name} has no header")
+        length = len(top) + 4 + int(fields(top)["content-length"])
+        yield archive.range(name, at, length)
+        at += length + 4
 
 
 def records(read_at: ReadAt, size: int) -> Iterator[Record]:
     """The records of a ZIP-packaged archive: those that its indexes name, or all where it has none."""
     archive = Zip(read_at, size)
     indexes = sorted(n for n in archive.members if n.startswith("indexes/") and n.endswith((".cdxj", ".cdx")))
-    if not indexes:
-        for name in sorted(n for n in archive.members if n.startswith("archive/") and n.endswith(".warc.gz")):
-            for data in unzipped_from(archive.range(name, 0, archive.members[name].size)):
-                yield parsed(data)
+    for name in sorted(n for n in archive.members if n.startswith("archive/") and not n.endswith("/") and not indexes):
+        if not name.endswith((".warc", ".warc.gz")):
+            raise ValueError(f"{name} is of an unknown kind")
+        for data in (unzipped if name.endswith(".gz") else walked)(archive, name):
+            yield parsed(data)
     starts: dict[str, int] = {}
     for index in indexes:
         for line in archive.range(index, 0, archive.members[index].size).decode().splitlines():
@@ -209,8 +234,8 @@ def records(read_at: ReadAt, size: int) -> Iterator[Record]:
             offset, length = int(entry["offset"]), int(entry["length"])
             if offset < 0 or offset + length > archive.members[name].size:
                 raise ValueError(f"the range is beyond {name}")
-            data = zlib.decompress(read_at(starts[name] + offset, length), 31)
-            yield parsed(data)
+            data = read_at(starts[name] + offset, length)
+            yield parsed(zlib.decompress(data, 31) if data[:2] == b"\x1f\x8b" else data)
 
 
 def packed(found: list[tuple[str, str | None, bytes]]) -> bytes:
@@ -226,20 +251,42 @@ def packed(found: list[tuple[str, str | None, bytes]]) -> bytes:
     return zipped([*members, ("datapackage.json", json.dumps(package).encode())])
 
 
-def archived(pages: DataFrame, least_bytes: int = 0, archive_bytes: int = 8 << 20) -> DataFrame:
-    """(path, content): archives of about ``archive_bytes`` bytes with a record for every page."""
+def opened(path: str):
+    """The file system of a path or URI, and the path in it."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        path = "/" + path[5:].lstrip("/")
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def put(path: str, content: bytes) -> None:
+    """Writes a file whole: it has its name only once all of it is there."""
+    system, inner = opened(path)
+    system.create_dir(inner.rpartition("/")[0], recursive=True)
+    part = f"{inner}.{uuid.uuid4().hex}"
+    with system.open_output_stream(part) as out:
+        out.write(content)
+    system.move(part, inner)
+
+
+def archived(pages: DataFrame, folder: str, least_bytes: int = 0, archive_bytes: int = 8 << 20) -> DataFrame:
+    """(path, n_records): archives of about ``archive_bytes`` bytes in ``folder``, with a record for every page."""
     html = F.coalesce("html", F.lit(""))
-    rows = pages.select("page_id", "url", html.alias("html"), F.sha1(F.encode(html, "UTF-8")).alias("sha"), F.octet_length(html).alias("size"))
-    first = stored(rows.where(F.col("size") >= least_bytes).groupBy(F.col("sha").alias("of")).agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n"), "payloads")
-    rows = rows.join(first, (F.col("sha") == F.col("of")) & (F.col("size") >= least_bytes), "left").select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id")).alias("refers_to"))
+    rows = pages.select("page_id", "url", html.alias("html"), F.sha1(F.encode(html, "UTF-8")).alias("sha"), F.xxhash64(html).alias("hash"), F.octet_length(html).alias("size"))
+    same = ["sha", "hash", "size"]
+    first = rows.where(F.col("size") >= least_bytes).groupBy(*same).agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
+    first = stored(first.where("n > 1").drop("n"), "payloads")
+    rows = rows.join(first, same, "left").select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id")).alias("refers_to"))
 
     def run(batches):
         held, size = [], 0
 
         def out():
             content = packed(held)
-            name = f"pages-{hashlib.sha256(content).hexdigest()[:24]}.wacz"
-            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([content], pa.binary())], ["path", "content"])
+            path = f"{folder}/pages-{hashlib.sha256(content).hexdigest()[:24]}-{uuid.uuid4().hex[:8]}.wacz"
+            put(path, content)
+            return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([len(held)])], ["path", "n_records"])
 
         for part in slices(batches):
             for row in part.to_pylist():
@@ -253,68 +300,82 @@ def archived(pages: DataFrame, least_bytes: int = 0, archive_bytes: int = 8 << 2
                     held, size = [], 0
         if held:
             yield out()
+        memory_returned()
 
-    return rows.mapInArrow(run, "path string, content binary")
+    return rows.mapInArrow(run, "path string, n_records long")
 
 
 RECORDS = "path string, record_type string, record_id string, url string, payload binary, payload_bytes long, payload_digest string, refers_to string, error string"
 
 
-def archive_records(files: DataFrame) -> DataFrame:
-    """One row per record of archives (path, content), as the binaryFile source gives them.
+def row_of(path: str, r: Record) -> dict:
+    """A response's size and digest are those of the payload that was read; a revisit's are those that it states."""
+    whole = r.kind != "revisit"
+    stated = r.headers.get("warc-payload-digest", "").removeprefix("sha1:")
+    if whole and stated and stated != digest(r.payload):
+        raise ValueError(f"the payload of {r.name} isn't what its digest says")
+    return {"path": path, "record_type": r.kind, "record_id": r.name, "url": r.url, "payload": r.payload if whole else None, "payload_bytes": len(r.payload) if whole else int(r.http["content-length"]), "payload_digest": digest(r.payload) if whole else stated, "refers_to": r.headers.get("warc-refers-to", "").strip("<>") or None, "error": None}
 
-    A response's size and digest are those of the payload that was read; a revisit's are those that it states.
-    """
+
+def tabled(found: Iterator[tuple[str, Iterator[Record]]], least_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows of RECORDS for the records of each path, in batches of about ``least_bytes``; one with the error where a file can't be read."""
     names = [c.split(" ")[0] for c in RECORDS.split(", ")]
+    kinds = {"payload": pa.binary(), "payload_bytes": pa.int64()}
 
-    def rows_of(path: str, content: bytes) -> Iterator[dict]:
-        view = memoryview(content)
-        for r in records(lambda at, n: bytes(view[at : at + n]), len(content)):
-            whole = r.kind != "revisit"
-            stated = r.headers.get("warc-payload-digest", "").removeprefix("sha1:")
-            if whole and stated and stated != digest(r.payload):
-                raise ValueError(f"the payload of {r.name} isn't what its digest says")
-            yield {"path": path, "record_type": r.kind, "record_id": r.name, "url": r.url, "payload": r.payload if whole else None, "payload_bytes": len(r.payload) if whole else int(r.http["content-length"]), "payload_digest": digest(r.payload) if whole else stated, "refers_to": r.headers.get("warc-refers-to", "").strip("<>") or None, "error": None}
+    def batch(rows: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], kinds.get(n, pa.string())) for n in names], names)
 
-    def run(batches):
-        for part in slices(batches):
-            for path, content in zip(part.column("path").to_pylist(), part.column("content").to_pylist(), strict=True):
-                found: list[dict] = []
-                try:
-                    for row in rows_of(path, content or b""):
-                        found.append(row)
-                        if len(found) >= 500:
-                            yield batch(found)
-                            found = []
-                except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
-                    found.append(dict.fromkeys(names) | {"path": path, "error": f"{type(e).__name__}: {e}"})
-                yield batch(found)
+    rows, size = [], 0
+    for path, own in found:
+        try:
+            for r in own:
+                rows.append(row_of(path, r))
+                size += len(r.payload) + 500
+                if size >= least_bytes:
+                    yield batch(rows)
+                    rows, size = [], 0
+        except (ValueError, KeyError, IndexError, struct.error, zlib.error, OSError) as e:
+            rows.append(dict.fromkeys(names) | {"path": path, "error": f"{type(e).__name__}: {e}"})
+    yield batch(rows)
+    memory_returned()
 
-    kinds = {"payload": pa.binary(), "payload_bytes": pa.int64()}
 
-    def batch(found: list[dict]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[n] for r in found], kinds.get(n, pa.string())) for n in names], names)
+def archive_records(files: DataFrame) -> DataFrame:
+    """One row per record of small archives (path, content), as the binaryFile source gives them."""
+
+    def run(batches):
+        def each():
+            for part in slices(batches):
+                for path, content in zip(part.column("path").to_pylist(), part.column("content").to_pylist(), strict=True):
+                    view = memoryview(content or b"")
+                    yield path, records(lambda at, n, v=view: bytes(v[at : at + n]), len(view))
+
+        return tabled(each())
 
     return files.select("path", "content").mapInArrow(run, RECORDS)
 
 
 def path_records(path: str) -> Iterator[Record]:
     """The records of one archive in any file system that pyarrow opens, by ranges only."""
-    from pyarrow import fs
-
-    system, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    system, inner = opened(path)
     with system.open_input_file(inner) as file:
+        yield from records(lambda offset, size: file.read_at(size, offset), file.size())
+
 
-        def read_at(offset: int, size: int) -> bytes:
-            file.seek(offset)
-            return file.read(size)
+def ranged_records(archives: DataFrame, most_tasks: int = 10_000) -> DataFrame:
+    """One row per record of the archives at ``path``, read by ranges in up to ``most_tasks`` tasks."""
+
+    def run(batches):
+        return tabled((path, path_records(path)) for batch in batches for path in batch.column("path").to_pylist())
 
-        yield from records(read_at, file.size())
+    tasks = max(1, min(archives.count(), most_tasks))
+    return archives.select("path").repartition(tasks).mapInArrow(run, RECORDS)
 
 
 def page_records(pages: DataFrame, least_bytes: int = 0, archive_bytes: int = 8 << 20) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every page, read back from archives in the shared folder."""
-    found = archive_records(stored(archived(pages, least_bytes, archive_bytes), "archives"))
+    folder = f"{stored_dir(pages.sparkSession)}/archives-{uuid.uuid4().hex}"
+    found = ranged_records(stored(archived(pages, folder, least_bytes, archive_bytes), "archives"))
     kind = pages.schema["page_id"].dataType
     page = lambda c: F.nullif(F.regexp_replace(c, "^urn:page:", ""), F.lit("")).cast(kind)
     failed = F.when(F.col("error").isNotNull(), F.raise_error(F.concat(F.col("path"), F.lit(": "), F.col("error")))).otherwise(page("record_id"))

@@ -3,6 +3,7 @@ import hashlib
 import io
 import random
 import zipfile
+import zlib
 
 import pytest
 
@@ -57,6 +58,23 @@ def test_only_ranges_are_read(tmp_path):
     assert len(list(warc.path_records(str(path)))) == 40
     bare = warc.zipped([("archive/x.warc.gz", b"".join(r for *_, r in found))])
     assert [r.name for r in warc.records(reading(bare), len(bare))] == [n for n, *_ in found]
+    plain = [zlib.decompress(r, 31) for *_, r in found]
+    flat = warc.zipped([("archive/x.warc", b"".join(plain))])
+    assert [r.name for r in warc.records(reading(flat), len(flat))] == [n for n, *_ in found]
+    for name, body in (("archive/x.zst", b"x"), ("archive/x.warc.gz", found[0][2][:-9]), ("archive/x.warc", b"WARC/1.1")):
+        odd = warc.zipped([(name, body)])
+        with pytest.raises(ValueError):
+            list(warc.records(reading(odd), len(odd)))
+
+
+def test_tasks_read_files_by_ranges(spark, tmp_path):
+    data = warc.packed([(f"urn:page:{k}", "u", warc.gzipped(warc.record("response", f"urn:page:{k}", "u", b"body" * k))) for k in range(30)])
+    for k, path in enumerate([f"{tmp_path}/a/b.wacz", f"file://{tmp_path}/c.wacz", f"file:{tmp_path}/d.wacz"]):
+        warc.put(path, data if k else data[:-40])
+    paths = spark.createDataFrame([(f"{tmp_path}/{x}.wacz",) for x in ("a/b", "c", "d", "missing")], "path string")
+    got = warc.ranged_records(paths).collect()
+    assert sorted(r.path[-9:] for r in got if r.error) == ["/a/b.wacz", "ssing.wacz"[-9:]]
+    assert sorted(r.record_id for r in got if not r.error) == sorted([f"urn:page:{k}" for k in range(30)] * 2)
 
 
 def brute(rows, least=0):
