@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 
 from querent.functions.vectors import cosine
 
-#: Queries whose vectors are sent to every task together, and most cells of an index.
-QUERY_BLOCK, MOST_CELLS = 2048, 65_536
+#: Bytes of query vectors that are sent to every task together, scores that are worked out at once, and most cells of an index.
+QUERY_BYTES, PAIRS, MOST_CELLS = 64 << 20, 1 << 21, 65_536
 HITS = "qid long, id long, score double"
 
 
@@ -24,56 +24,86 @@ def ranked(hits: DataFrame, k: int, by: str = "score", tie: str = "id") -> DataF
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k highest scores, ties by smaller id."""
-    if len(scores) > k:
-        places = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
-    else:
-        places = np.arange(len(scores))
-    return places[np.lexsort((ids[places], -scores[places]))][:k]
+class Best:
+    """The k best of each query so far, by score and then by smaller id; what comes in is sorted once enough has come."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.limit = k, max(200_000, 2 * k * queries)
+        self.kept = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        self.new: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.held = 0
+        #: The score that a query's next hit must reach.
+        self.floor = np.full(queries, -np.inf)
+
+    def add(self, query: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        self.new.append((query, ids, scores))
+        self.held += len(query)
+        if self.held > self.limit:
+            self.settle()
+
+    def settle(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, id, score) of the best."""
+        query, ids, scores = (np.concatenate(x) for x in zip(self.kept, *self.new, strict=True))
+        order = np.lexsort((ids, -scores, query))
+        rank = np.arange(len(order)) - np.searchsorted(query[order], query[order])
+        own = order[rank < self.k]
+        self.floor[query[order[rank == self.k - 1]]] = scores[order[rank == self.k - 1]]
+        self.kept, self.new, self.held = (query[own], ids[own], scores[own]), [], 0
+        return self.kept
+
+    def batch(self, qids: np.ndarray) -> pa.RecordBatch:
+        query, ids, scores = self.settle()
+        return pa.RecordBatch.from_arrays([pa.array(qids[query]), pa.array(ids), pa.array(scores)], ["qid", "id", "score"])
 
 
 def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int, sources: dict[int, set[str]] | None = None, cosine: bool = True, digits: int = 6) -> DataFrame:
     """(qid, id, score, rank): the k nearest of ``vectors`` (id, embedding[, source]) for each of ``queries`` (qid, qvec).
 
-    Queries go out in blocks of bounded size; each task keeps k rows a query, and a window picks the best of those.
-    ``sources`` restricts a query to rows of some sources, an empty set to none. Scores are rounded before ranking.
+    Queries go out in blocks of QUERY_BYTES, each of which takes one scan of the vectors; each task keeps k rows a query,
+    and a window picks the best of those. ``sources`` restricts a query to rows of some sources, an empty set to none.
+    Scores are rounded before ranking.
     """
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    total, size = queries.agg(F.count("*"), F.max(F.size("qvec"))).first()
+    blocks = max(1, -(-total * (size or 1) * 8 // QUERY_BYTES))
     found = None
     for block in range(blocks):
         own = queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block) if blocks > 1 else queries
-        rows = own.select("qid", "qvec").orderBy("qid").collect()  # QUERY_BLOCK rows or about so
-        hits = scanned(rows, vectors, k, sources, cosine, digits)
+        hits = scanned(own.select("qid", "qvec").orderBy("qid").toArrow(), vectors, k, sources, cosine, digits)
         found = hits if found is None else found.unionByName(hits)
     return ranked(found, k)
 
 
-def scanned(rows: list, vectors: DataFrame, k: int, sources: dict[int, set[str]] | None, cosine: bool, digits: int) -> DataFrame:
-    qids = np.array([r.qid for r in rows], np.int64)
-    matrix = np.array([r.qvec for r in rows], float).reshape(len(rows), -1)
+def rows_of(column: pa.Array | pa.ChunkedArray, rows: int) -> np.ndarray:
+    """An array column as a matrix of doubles."""
+    flat = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten()
+    return flat.to_numpy(zero_copy_only=False).astype(float).reshape(rows, -1)
+
+
+def scanned(asked: pa.Table, vectors: DataFrame, k: int, sources: dict[int, set[str]] | None, cosine: bool, digits: int) -> DataFrame:
+    qids = asked.column("qid").to_numpy()
     unit = lambda m: m / np.where((n := np.sqrt((m * m).sum(axis=1, keepdims=True))) == 0, 1, n)
-    matrix = unit(matrix) if cosine and len(rows) else matrix
+    matrix = rows_of(asked.column("qvec"), len(qids)) if len(qids) else np.empty((0, 0))
+    matrix = unit(matrix) if cosine and len(qids) else matrix
+    step = max(1, PAIRS // max(len(qids), 1))
+    restricted = [(q, sources[int(i)]) for q, i in enumerate(qids.tolist()) if int(i) in sources] if sources is not None else []
 
     def run(batches):
-        best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0), np.empty(0, np.int64))] * len(qids)
+        best = Best(len(qids), k)
         for batch in batches:
             usable = batch.filter(pa.compute.is_valid(batch.column("embedding")))
-            if not usable.num_rows or not len(qids):
-                continue
-            own = usable.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(usable.num_rows, -1)
-            ids = usable.column("id").to_numpy()
-            scores = np.round(matrix @ (unit(own) if cosine else own).T, digits) + 0.0
-            names = np.array(usable.column("source").to_pylist(), object) if sources is not None else None
-            for q in range(len(qids)):
-                s, i = scores[q], ids
-                if names is not None and (allowed := sources.get(int(qids[q]))) is not None:
-                    keep = np.array([n in allowed for n in names], bool)
-                    s, i = s[keep], i[keep]
-                s, i = np.concatenate([best[q][0], s]), np.concatenate([best[q][1], i])
-                top = best_of(s, i, k)
-                best[q] = s[top], i[top]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, [len(b[0]) for b in best])), pa.array(np.concatenate([b[1] for b in best] or [np.empty(0, np.int64)])), pa.array(np.concatenate([b[0] for b in best] or [np.empty(0)]))], ["qid", "id", "score"])
+            for at in range(0, usable.num_rows if len(qids) else 0, step):
+                part = usable.slice(at, step)
+                own, ids = rows_of(part.column("embedding"), part.num_rows), part.column("id").to_numpy()
+                scores = np.round(matrix @ (unit(own) if cosine else own).T, digits) + 0.0
+                fits = scores >= best.floor[:, None]
+                if restricted:
+                    names = part.column("source").dictionary_encode()
+                    codes = names.indices.fill_null(len(names.dictionary)).to_numpy()
+                    for q, allowed in restricted:
+                        fits[q] &= np.array([n in allowed for n in names.dictionary.to_pylist()] + [False])[codes]
+                query, place = np.nonzero(fits)
+                best.add(query, ids[place], scores[query, place])
+        yield best.batch(qids)
 
     columns = ["id", "embedding", *(["source"] if sources is not None else [])]
     return vectors.select(*columns).mapInArrow(run, HITS)

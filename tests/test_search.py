@@ -47,7 +47,7 @@ def test_blocks_of_queries_give_the_same_hits(spark, monkeypatch):
     own = spark.createDataFrame(rows, "id long, embedding array<double>")
     queries = spark.createDataFrame([(k, v) for k, v in rows[:20]], "qid long, qvec array<double>")
     whole = sorted(map(tuple, vector.exact_top_k(queries, own, 5).collect()))
-    monkeypatch.setattr(vector, "QUERY_BLOCK", 6)
+    monkeypatch.setattr(vector, "QUERY_BYTES", 6 * 8 * 12)
     assert sorted(map(tuple, vector.exact_top_k(queries, own, 5).collect())) == whole
     for r in whole:
         assert -1 <= r[2] <= 1
@@ -138,12 +138,18 @@ def test_rerank_replaces_scores(spark, chunks):
     assert [r.text for r in got][:2] == [TEXTS[2], TEXTS[3]] and got[0].score == 1.0 and len(got) == 3
 
 
-@settings(max_examples=25, deadline=None)
-@given(st.lists(st.integers(0, 5), min_size=1, max_size=12), st.integers(0, 3))
-def test_best_of_is_a_sorted_head(values, k):
-    scores, ids = np.array(values, float), np.arange(len(values))[::-1].copy()
-    want = sorted(range(len(values)), key=lambda i: (-scores[i], ids[i]))[: k + 1]
-    assert vector.best_of(scores, ids, k + 1).tolist() == want
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 60), st.integers(0, 5)), max_size=60, unique_by=lambda x: x[:2]), st.integers(1, 5), st.integers(1, 20))
+def test_best_is_a_sorted_head_of_each_query(rows, k, limit):
+    best = vector.Best(4, k)
+    best.limit = limit
+    for at in range(0, len(rows), 7):
+        part = np.array(rows[at : at + 7], np.int64)
+        fits = part[:, 2] >= best.floor[part[:, 0]]
+        best.add(part[fits, 0], part[fits, 1], part[fits, 2].astype(float))
+    query, ids, scores = best.settle()
+    want = [x for q in range(4) for x in sorted((r for r in rows if r[0] == q), key=lambda r: (-r[2], r[1]))[:k]]
+    assert list(zip(query.tolist(), ids.tolist(), scores.tolist(), strict=True)) == [(q, i, float(x)) for q, i, x in want]
 
 
 def test_metrics_of_known_runs(spark):
