@@ -41,13 +41,17 @@ def cells_of(grids: DataFrame) -> DataFrame:
 
     The name column has most distinct cells that aren't numbers, the first on ties; a row's label is its first cell and its name.
     """
-    own = grids.where("row_no > 0").select("grid_id", "caption", "row_no", "cells", F.posexplode("cells").alias("col", "cell")).withColumn("cell", stripped(F.coalesce("cell", F.lit(""))))
-    header = grids.where("row_no = 0").select("grid_id", F.posexplode("cells").alias("col", "header")).withColumn("header", stripped(F.coalesce("header", F.lit(""))))
-    named = own.join(header, ["grid_id", "col"], "right").groupBy("grid_id", "col").agg(F.count_distinct(F.when((F.col("cell") != "") & ~is_number(F.col("cell")), F.col("cell"))).alias("n"))
-    named = named.groupBy("grid_id").agg(F.max_by("col", F.struct("n", -F.col("col"))).alias("name_col"))
-    part = lambda at: stripped(F.coalesce(F.get("cells", at), F.lit("")))
+    clean = F.transform("cells", lambda c: stripped(F.coalesce(c, F.lit(""))))
+    rows = grids.select("grid_id", F.struct("row_no", "caption", clean.alias("cells")).alias("r"))
+    own = rows.groupBy("grid_id").agg(F.array_sort(F.collect_list("r")).alias("rows"))  # a grid is part of one text
+    own = own.select("grid_id", F.filter("rows", lambda r: r.row_no == 0)[0]["cells"].alias("headers"), F.filter("rows", lambda r: r.row_no > 0).alias("rows")).where("headers IS NOT NULL AND size(headers) > 0")
+    names = F.transform(F.sequence(F.lit(0), F.size("headers") - 1), lambda k: F.size(F.array_distinct(F.filter(F.transform("rows", lambda r: F.coalesce(F.get(r.cells, k), F.lit(""))), lambda c: (c != "") & ~is_number(c)))))
+    own = own.withColumn("names", names).withColumn("name_col", (F.array_position("names", F.array_max("names")) - 1).cast("int"))
+    own = own.select("grid_id", "headers", "name_col", F.explode("rows").alias("r"))
+    part = lambda at: F.coalesce(F.get("r.cells", at), F.lit(""))
     label = F.array_join(F.array_distinct(F.filter(F.array(part(F.lit(0)), part(F.col("name_col"))), lambda x: x != "")), " ")
-    return own.join(named, "grid_id").join(header, ["grid_id", "col"]).withColumn("label", label).drop("cells")
+    own = own.select("grid_id", "r.caption", "r.row_no", F.posexplode("r.cells").alias("col", "cell"), "headers", "name_col", label.alias("label"))
+    return own.where(F.col("col") < F.size("headers")).withColumn("header", F.get("headers", F.col("col"))).drop("headers")
 
 
 def with_caption(caption: Column, text: Column) -> Column:

@@ -41,12 +41,11 @@ def sized(words: DataFrame, chars: DataFrame) -> DataFrame:
 
 def lines(words: DataFrame, keys: list[str] = PAGE) -> DataFrame:
     """(doc_id, page, line, text): words in lines by their bucket, small ones at the nearest baseline of normal words."""
-    page = words.groupBy(*keys).agg(F.median("size").alias("mid"))
-    own = words.join(page, keys)
+    page = Window.partitionBy(*keys)  # one exchange serves the windows and the groups
+    own = words.withColumn("mid", F.median("size").over(page))
     small = (F.coalesce("mid", F.lit(0.0)) > 0) & (F.coalesce(F.col("size"), F.col("mid")) < F.col("mid") * 0.85)
     own = own.withColumn("small", small)
-    tops = own.where(~F.col("small")).groupBy(*keys).agg(F.sort_array(F.collect_set("top")).alias("tops"))
-    own = own.join(tops, keys, "left")
+    own = own.withColumn("tops", F.sort_array(F.collect_set(F.when(~F.col("small"), F.col("top"))).over(page)))
     near = F.aggregate("tops", F.lit(None).cast("double"), lambda a, t: F.when(a.isNull() | (F.abs(t - F.col("top")) < F.abs(a - F.col("top"))), t).otherwise(a))
     snapped = F.when(F.col("small") & (F.abs(near - F.col("top")) <= F.col("mid") * 0.6), near).otherwise(F.col("top"))
     own = own.withColumn("line", line_bucket(snapped))

@@ -9,7 +9,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Bytes up to which a table is dealt over the cores; a larger one has splits enough.
+SMALL = 256 << 20
+
+
 def spread(rows: DataFrame) -> DataFrame:
-    """``rows`` over all cores where they come from fewer files than there are cores; a table of many files stays as it is."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+    """``rows`` over all cores where Catalyst takes them for small; a table of any other size stays as it is stored."""
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism) if size <= SMALL else rows
