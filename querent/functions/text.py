@@ -6,19 +6,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Fixed value: white space of any script, as Python parts and strips by it. Java and RE2 both read this class.
+SPACE = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
 def stripped(text: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+\z", "")
 
 
 def tokens(text: Column) -> Column:
     """Lower-cased words between white space, punctuation kept."""
-    return F.filter(F.split(F.lower(text), r"\s+"), lambda t: t != "")
+    return F.filter(F.split(F.lower(text), f"{SPACE}+"), lambda t: t != "")
 
 
 def titled(title: Column, text: Column) -> Column:
     """Title and text as one, either may be missing."""
-    return F.trim(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(text, F.lit(""))))
+    return stripped(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(text, F.lit(""))))
 
 
 def is_number(token: Column) -> Column:
@@ -60,17 +64,25 @@ def fact_pair(label: Column, value: Column) -> Column:
     return F.when(unit.isin(*UNITS), F.concat(expanded(bare), F.lit(" "), value, F.lit(" "), unit)).otherwise(F.concat(expanded(label), F.lit(" "), value))
 
 
+# Patterns of what extraction parts or leaves over, and what is put for each.
+REPAIRS = ((r"(\d[\d.]*)\s*·\s*\|?\s*10(\d+)", "$1·10^$2"), (r"\bd\s*=?\s*(\d{3,5})\.?\s*ff\b", "d_ff = $1"))
+CLEANUPS = ((r"-\s*\n\s*", ""), (r"(?i)\bPage\s*\d+\b", " "), (r"\s+", " "))
+
+
+def replaced(text: Column, pairs: tuple[tuple[str, str], ...]) -> Column:
+    for pattern, by in pairs:
+        text = F.regexp_replace(text, pattern, by)
+    return text
+
+
 def repaired(text: Column) -> Column:
     """Powers of ten and subscripts joined that extraction has parted."""
-    text = F.regexp_replace(text, r"([0-9][0-9.]*)\s*·\s*\|?\s*10([0-9]+)", "$1·10^$2")
-    return F.regexp_replace(text, r"\bd\s*=?\s*([0-9]{3,5})\.?\s*ff\b", "d_ff = $1")
+    return replaced(text, REPAIRS)
 
 
 def cleaned(text: Column) -> Column:
     """Page text on one line: words joined over hyphens, page numbers gone, white space single."""
-    text = F.regexp_replace(text, r"-\s*\n\s*", "")
-    text = F.regexp_replace(text, r"(?i)\bPage\s*[0-9]+\b", " ")
-    return stripped(F.regexp_replace(text, r"\s+", " "))
+    return stripped(replaced(text, CLEANUPS))
 
 
 def is_heading(line: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from querent.functions import prompts
 from querent.functions.text import cache_key, stripped
-from querent.functions.vectors import Embed, embedded, hash_embed
+from querent.functions.vectors import Embed, embedded, hash_embed, normalised
 from querent.operators import fusion, lexical, vector
 from querent.operators.grids import ordered
 from querent.plans.config import Config, as_sources
@@ -100,6 +100,11 @@ def retrieved(index: Index, queries: DataFrame, k: int, sources: set[str] | None
         allowed = index.vectors if sources is None else index.vectors.where(F.col("source").isin(*sources) if sources else F.lit(False))
         if index.centroids is not None:
             return with_text(vector.ivf_top_k(asked, allowed, index.centroids, n))
+        if index.config.store == "qdrant":  # hashing stands in for the server's graph
+            return with_text(vector.lsh_top_k(asked, allowed, n))
+        if index.config.store == "faiss":  # inner products of unit vectors
+            unit = lambda df, c: df.withColumn(c, normalised(F.col(c)))
+            return with_text(vector.exact_top_k(unit(asked, "qvec"), unit(allowed, "embedding"), n, cosine=False))
         return with_text(vector.exact_top_k(asked, allowed, n))
 
     def words(n: int) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass, fields, replace
 
+# The names of retrievers, stores, index types and fusions, and below the fields with their defaults.
 RETRIEVERS, STORES, INDEX_TYPES, FUSIONS = ("dense", "bm25", "hybrid"), ("numpy", "faiss", "qdrant"), ("flat", "ivf"), ("rrf", "weighted")
 
 
@@ -40,15 +41,16 @@ INDEX = ("retriever", "store", "index_type", "embed_model", "chunk_max_tokens",
 RETRIEVAL = ("top_k", "rerank", "hyde", "fusion", "alpha", "source")
 GENERATION = ("no_rag", "backend", "model", "num_ctx")
 
+# The presets, in the order in which they are listed.
 _BEST = Config(retriever="hybrid", embed_model="BAAI/bge-small-en-v1.5", rerank=True, top_k=20)
 _LLAMA = {"backend": "groq", "model": "llama-3.1-8b-instant"}
 PRESETS = {
+    "no-rag": Config(no_rag=True),
+    "no-rag-gpt": Config(no_rag=True, backend="gpt"),
     "baseline": Config(),
     "best": _BEST,
     "gpt": replace(_BEST, backend="gpt"),
     "llama3.1-8b": replace(_BEST, **_LLAMA),
-    "no-rag": Config(no_rag=True),
-    "no-rag-gpt": Config(no_rag=True, backend="gpt"),
     "no-rag-llama3.1-8b": Config(no_rag=True, **_LLAMA),
     "lightweight": Config(top_k=5, chunk_max_tokens=64),
     "bm25": Config(retriever="bm25"),

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from querent.functions.text import SPACE
 from querent.functions.vectors import embedded, normalised
 from querent.operators import fusion, lexical, vector
 from querent.tables import spread, table
@@ -162,8 +163,8 @@ TOP = "SELECT qid, rank, id, score FROM (SELECT *, (row_number() OVER (PARTITION
 CELLS = f"{VECTORS}, n AS (SELECT floor(sqrt(count(*)))::INTEGER AS cells FROM v), c AS (SELECT (row_number() OVER (ORDER BY id) - 1)::INTEGER AS cell_id, e FROM v QUALIFY cell_id < (SELECT cells FROM n)), filed AS (SELECT v.id, v.e, c.cell_id, row_number() OVER (PARTITION BY v.id ORDER BY round(list_dot_product(v.e, c.e), 6) DESC, c.cell_id) AS r FROM v CROSS JOIN c QUALIFY r = 1)"
 PROBED = f"{CELLS}, p AS (SELECT v.id AS qid, v.e, c.cell_id, row_number() OVER (PARTITION BY v.id ORDER BY round(list_dot_product(v.e, c.e), 6) DESC, c.cell_id) AS r FROM v CROSS JOIN c WHERE v.id % 50 = 0 QUALIFY r <= 16), found AS (SELECT p.qid, f.id, round(list_dot_product(p.e, f.e) / (sqrt(list_dot_product(p.e, p.e)) * sqrt(list_dot_product(f.e, f.e))), 6) AS score FROM p JOIN filed f USING (cell_id))"
 
-WORDS = "list_filter(string_split_regex(lower(coalesce({t}, '')), '\\s+'), lambda x: x <> '')"
-POSTINGS = f"d AS (SELECT doc_id AS id, text, source, {WORDS.format(t='text')} AS w FROM documents), post AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(w) AS term FROM d) GROUP BY ALL), corpus AS (SELECT count(*)::DOUBLE AS n, avg(len(w))::DOUBLE AS avgdl FROM d), raw AS (SELECT term, count(*)::BIGINT AS df, ln(n - count(*) + 0.5::DOUBLE) - ln(count(*) + 0.5::DOUBLE) AS raw FROM post, corpus GROUP BY term, n), terms AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25::DOUBLE * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw)"
+WORDS = "list_filter(string_split_regex(lower(coalesce({t}, '')), '" + SPACE.replace("{", "{{").replace("}", "}}") + "+'), lambda x: x <> '')"
+POSTINGS = f"d AS (SELECT doc_id AS id, text, source, {WORDS.format(t='text')} AS w FROM documents), post AS MATERIALIZED (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(w) AS term FROM d) GROUP BY ALL), corpus AS (SELECT count(*)::DOUBLE AS n, avg(len(w))::DOUBLE AS avgdl FROM d), raw AS MATERIALIZED (SELECT term, count(*)::BIGINT AS df, ln(n - count(*) + 0.5::DOUBLE) - ln(count(*) + 0.5::DOUBLE) AS raw FROM post, corpus GROUP BY term, n), mean AS MATERIALIZED (SELECT avg(raw) AS mean_raw FROM raw), terms AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25::DOUBLE * mean_raw ELSE raw END AS idf FROM raw, mean)"
 LEXICAL = f"{POSTINGS}, q AS (SELECT item_id AS qid, text AS qtext, {WORDS.format(t='text')} AS qw FROM benchmark), qt AS (SELECT qid, term, count(*) AS qtf FROM (SELECT qid, unnest(qw) AS term FROM q) GROUP BY ALL), m AS (SELECT qt.qid, post.id, round(sum(qtf * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len(d.w) / avgdl))), 6) AS score FROM qt JOIN terms USING (term) JOIN post USING (term) JOIN d USING (id), corpus GROUP BY ALL), lex AS (SELECT q.qid, d.id, coalesce(m.score, 0) AS score, d.source FROM q CROSS JOIN d LEFT JOIN m ON m.qid = q.qid AND m.id = d.id)"
 
 

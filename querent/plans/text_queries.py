@@ -23,7 +23,7 @@ def scan_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def source_list(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("source").distinct()
+    return table(spark, sf, "documents").select("source").distinct().orderBy("source")
 
 
 def source_filter_semi(spark: SparkSession, sf: str) -> DataFrame:
@@ -332,7 +332,7 @@ def quoted(template: str, **columns: str) -> str:
     return out
 
 
-STRIP = r"regexp_replace({t}, '^\s+|\s+$', '', 'g')"
+STRIP = "regexp_replace({t}, '^" + text.SPACE.replace("{", "{{").replace("}", "}}") + "+|" + text.SPACE.replace("{", "{{").replace("}", "}}") + "+\\z', '', 'g')"
 CELLS = "[o_orderkey::VARCHAR, o_orderstatus, o_totalprice::DECIMAL(15,2)::VARCHAR, (o_orderkey % 100)::VARCHAR, o_orderpriority]"
 HEADS = "['" + "', '".join(COLUMNS) + "']"
 REPORTS = f"r AS (SELECT o_custkey, list('| ' || array_to_string({CELLS}, ' | ') || ' |' ORDER BY o_orderkey) AS rows FROM orders GROUP BY o_custkey), reports AS (SELECT c_custkey AS doc_id, '# Report of ' || c_name AS head, 'Some words on ' || c_mktsegment || ' here.' AS prose, rows FROM r JOIN customer ON o_custkey = c_custkey)"
@@ -362,7 +362,7 @@ ORACLES = {
     "source_filter_semi": "SELECT doc_id, source FROM documents WHERE source IN (SELECT 'src' || n_nationkey FROM nation WHERE n_regionkey = 1)",
     "doc_blank_filter": "SELECT conv_id, turn, md5(t) AS text_md5 FROM (SELECT conv_id, turn, " + STRIP.format(t="text") + " AS t FROM conversations WHERE turn % 3 <> 0) WHERE t <> ''",
     "union_sources": "SELECT 0::INTEGER AS src_order, doc_id AS id, md5(text) AS text_md5 FROM documents UNION ALL SELECT 1, page_id, md5(html) FROM pages UNION ALL SELECT 2, item_id, md5(text) FROM benchmark",
-    "jsonl_title_text": "SELECT page_id AS id, md5(trim(CASE WHEN page_id % 3 <> 0 THEN url ELSE '' END || ' ' || html, ' ')) AS text_md5 FROM pages",
+    "jsonl_title_text": "SELECT page_id AS id, md5(" + STRIP.format(t="CASE WHEN page_id % 3 <> 0 THEN url ELSE '' END || ' ' || html") + ") AS text_md5 FROM pages",
     "chunk_naive": "SELECT doc_id, pos::INTEGER AS pos, md5(substr(text, pos * 480 + 1, 500)) AS text_md5 FROM (SELECT doc_id, text, unnest(range(CASE WHEN length(text) > 0 THEN (length(text) - 1) // 480 + 1 ELSE 0 END)) AS pos FROM documents)",
     "segment_table_prose": f"WITH {REPORTS} SELECT doc_id, 0::INTEGER AS seg, 'prose' AS kind, md5(head || chr(10) || prose) AS text_md5, substr(head, 1, 80) AS heading FROM reports UNION ALL SELECT doc_id, 1, 'table', md5('| {' | '.join(COLUMNS)} |' || chr(10) || '| --- | --- | --- | --- | --- |' || chr(10) || array_to_string(rows, chr(10))), substr(head, 1, 80) FROM reports UNION ALL SELECT doc_id, 2, 'prose', md5('Closing words.'), substr(head, 1, 80) FROM reports",
     "last_heading": f"WITH {REPORTS} SELECT doc_id, rtrim(substr(head, 1, 80)) AS heading FROM reports",
