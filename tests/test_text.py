@@ -191,3 +191,10 @@ def test_public_encoding_round_trip():
 def test_titles(spark, title, body, want):
     df = spark.createDataFrame([(title, body)], "a string, b string")
     assert df.select(text.titled(F.col("a"), F.col("b"))).first()[0] == want
+
+
+def test_white_space_is_that_of_any_script(spark):
+    odd = ["\u00a0A\u2003b\x1cC\u3000", "\x85 x\u200b y\u2028", "", "\x0b\x0c", " plain\ttext\n"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(odd)], "k int, t string")
+    for r in df.select("k", text.stripped(F.col("t")).alias("s"), text.tokens(F.col("t")).alias("w"), text.titled(F.lit("\u00a0"), F.col("t")).alias("titled")).collect():
+        assert (r.s, r.w, r.titled) == (odd[r.k].strip(), odd[r.k].lower().split(), odd[r.k].strip())
