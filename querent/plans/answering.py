@@ -93,7 +93,7 @@ def retrieved(index: Index, queries: DataFrame, k: int, sources: set[str] | None
         raise ValueError(f"no fusion {kind!r}")
 
     def with_text(hits: DataFrame) -> DataFrame:
-        return hits.join(index.chunks.select("id", "text", "source"), "id").select("qid", "id", "text", "source", "score", "rank")
+        return stored(hits, "hits").join(index.chunks.select("id", "text", "source"), "id").select("qid", "id", "text", "source", "score", "rank")
 
     def dense(n: int) -> DataFrame:
         asked = embedded(queries.select("qid", "qtext"), "qtext", "qvec", index.embed)

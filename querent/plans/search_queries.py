@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from querent.functions.text import SPACE
 from querent.functions.vectors import embedded, normalised
 from querent.operators import fusion, lexical, vector
+from querent.session import stored
 from querent.tables import spread, table
 
 K, POOL = 10, 30
@@ -116,15 +117,19 @@ def bm25_filtered(spark: SparkSession, sf: str) -> DataFrame:
     return hit_columns(lexical.top_k(text_queries(spark, sf), lexical.indexed(chunks(spark, sf)), K, allowed(spark, sf)))
 
 
+def with_texts(spark: SparkSession, sf: str, found: DataFrame) -> DataFrame:
+    """Hits with their texts: stored first, so that Spark knows their size, and sends them to the texts if they are few."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", "source")
+    return stored(found, "hits").join(docs, "id").select("qid", "id", "text", "source", "score", "rank")
+
+
 def dense_hits(spark: SparkSession, sf: str, k: int) -> DataFrame:
     queries = embedded(text_queries(spark, sf), "qtext", "qvec")
-    found = vector.exact_top_k(queries, embedded(chunks(spark, sf)).select("id", "embedding"), k)
-    return found.join(chunks(spark, sf), "id").select("qid", "id", "text", "source", "score", "rank")
+    return with_texts(spark, sf, vector.exact_top_k(queries, embedded(chunks(spark, sf)).select("id", "embedding"), k))
 
 
 def lexical_hits(spark: SparkSession, sf: str, k: int) -> DataFrame:
-    found = lexical.top_k(text_queries(spark, sf), lexical.indexed(chunks(spark, sf)), k)
-    return found.join(chunks(spark, sf), "id").select("qid", "id", "text", "source", "score", "rank")
+    return with_texts(spark, sf, lexical.top_k(text_queries(spark, sf), lexical.indexed(chunks(spark, sf)), k))
 
 
 def result_columns(df: DataFrame, *more: str) -> DataFrame:
