@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass, replace
 from itertools import combinations
 
 import numpy as np
@@ -11,10 +12,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from querent.functions.vectors import cosine
+from querent.session import stored
 
 #: Bytes of query vectors that are sent to every task together, scores that are worked out at once, and most cells of an index.
 QUERY_BYTES, PAIRS, MOST_CELLS = 64 << 20, 1 << 21, 65_536
+#: Vectors and queries of one cell or bucket that meet in one task, and vectors that a bucket is meant to hold.
+CELL_VECTORS, CELL_QUERIES, BUCKET_VECTORS = 1 << 14, 1 << 12, 1 << 10
 HITS = "qid long, id long, score double"
 
 
@@ -79,9 +82,14 @@ def rows_of(column: pa.Array | pa.ChunkedArray, rows: int) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).astype(float).reshape(rows, -1)
 
 
+def unit(m: np.ndarray) -> np.ndarray:
+    """Rows at length one; a zero row stays."""
+    lengths = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return m / np.where(lengths == 0, 1, lengths)
+
+
 def scanned(asked: pa.Table, vectors: DataFrame, k: int, sources: dict[int, set[str]] | None, cosine: bool, digits: int) -> DataFrame:
     qids = asked.column("qid").to_numpy()
-    unit = lambda m: m / np.where((n := np.sqrt((m * m).sum(axis=1, keepdims=True))) == 0, 1, n)
     matrix = rows_of(asked.column("qvec"), len(qids)) if len(qids) else np.empty((0, 0))
     matrix = unit(matrix) if cosine and len(qids) else matrix
     step = max(1, PAIRS // max(len(qids), 1))
@@ -155,52 +163,117 @@ def probed(queries: DataFrame, centroids: DataFrame, probes: int, digits: int =
     return exact_top_k(queries, centroids.select(F.col("cell_id").cast("long").alias("id"), F.col("centre").alias("embedding")), probes, cosine=False, digits=digits).select("qid", F.col("id").cast("int").alias("cell_id"), F.col("rank").alias("cell_rank"))
 
 
+def met(asked: DataFrame, filed: DataFrame, k: int, digits: int) -> DataFrame:
+    """(qid, id, score): for each query (qid, qvec, cell_id) the k nearest by cosine among the vectors (id, embedding, cell_id) of its cell.
+
+    Cells with more than CELL_VECTORS vectors or CELL_QUERIES queries are dealt by hash into blocks, of which each pair meets in a task
+    of its own. There are at most as many such cells as there are full blocks, so their list stays small.
+    """
+    blocks = lambda df, most, name: df.groupBy("cell_id").agg(F.ceil(F.count("*") / most).alias(name))
+    crowded = blocks(filed, CELL_VECTORS, "v_blocks").join(blocks(asked, CELL_QUERIES, "q_blocks"), "cell_id")
+    crowded = stored(crowded.where("v_blocks > 1 OR q_blocks > 1"), "crowded")
+
+    def dealt(df: DataFrame, by: str, own: str, other: str) -> DataFrame:
+        count = lambda side: F.coalesce(f"{side}_blocks", F.lit(1))
+        rows = df.join(crowded, "cell_id", "left").withColumn(f"{own}_block", F.pmod(F.xxhash64(by), count(own)))
+        return rows.withColumn(f"{other}_block", F.explode(F.sequence(F.lit(0).cast("long"), count(other) - 1))).drop("v_blocks", "q_blocks")
+
+    def run(queries: pa.Table, own: pa.Table) -> pa.Table:
+        qids = queries.column("qid").to_numpy()
+        best = Best(len(qids), k)
+        matrix = unit(rows_of(queries.column("qvec"), len(qids))) if len(qids) else None
+        step = max(1, PAIRS // max(len(qids), 1))
+        for at in range(0, own.num_rows if len(qids) else 0, step):
+            part = own.slice(at, step)
+            ids = part.column("id").to_numpy()
+            scores = np.round(matrix @ unit(rows_of(part.column("embedding"), part.num_rows)).T, digits) + 0.0
+            query, place = np.nonzero(scores >= best.floor[:, None])
+            best.add(query, ids[place], scores[query, place])
+        return pa.Table.from_batches([best.batch(qids)])
+
+    keys = ["cell_id", "v_block", "q_block"]
+    left, right = dealt(asked.select("qid", "qvec", "cell_id"), "qid", "q", "v"), dealt(filed.select("id", "embedding", "cell_id"), "id", "v", "q")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, HITS)
+
+
 def ivf_top_k(queries: DataFrame, filed: DataFrame, centroids: DataFrame, k: int, probes: int = 16, digits: int = 6) -> DataFrame:
     """(qid, id, score, rank) among the vectors (id, embedding, cell_id) of each query's best cells; fewer than k if those hold fewer."""
-    cells = probed(queries, centroids, probes, digits)
-    rows = cells.join(queries.select("qid", "qvec"), "qid").join(filed, "cell_id")
-    score = F.round(cosine(F.col("qvec"), F.col("embedding")), digits)
-    return ranked(rows.select("qid", "id", score.alias("score")), k)
+    asked = stored(probed(queries, centroids, probes, digits).join(queries.select("qid", "qvec"), "qid"), "probes")
+    return ranked(met(asked, filed, k, digits), k)
 
 
-def fitted_probes(filed: DataFrame, centroids: DataFrame, k: int, least: float = 0.93, sample_rows: int = 256) -> int:
-    """The fewest cells whose recall@k is ``least`` over ``sample_rows`` of the vectors (id, embedding, cell_id), the smallest hashes of id."""
-    queries = filed.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select(F.col("id").alias("qid"), F.col("embedding").alias("qvec"))
-    hits = exact_top_k(queries, filed, k).select("qid", "id").join(filed.select("id", "cell_id"), "id")
-    ranks = hits.join(probed(queries, centroids, centroids.count()), ["qid", "cell_id"]).groupBy("cell_rank").count().orderBy("cell_rank").collect()
-    total, seen = sum(r["count"] for r in ranks), 0
-    for r in ranks:
+def sampled(vectors: DataFrame, rows: int) -> DataFrame:
+    """(qid, qvec): the vectors with the smallest md5 of their id, as queries that a setting is fitted on."""
+    return vectors.orderBy(F.md5(F.col("id").cast("string").cast("binary")), "id").limit(rows).select(F.col("id").alias("qid"), F.col("embedding").alias("qvec"))
+
+
+def least_reach(hits: DataFrame, at: str, least: float, none: int) -> int:
+    """The smallest value of ``at`` up to which a share of ``least`` of the hits lies."""
+    counts = hits.groupBy(at).count().orderBy(at).collect()
+    total, seen = sum(r["count"] for r in counts), 0
+    for r in counts:
         seen += r["count"]
         if seen >= least * total:
-            return r.cell_rank
-    return 1
-
-
-def lsh_top_k(queries: DataFrame, vectors: DataFrame, k: int, tables: int = 12, bits: int = 6, seed: int = 42, digits: int = 6, flips: int = 1) -> DataFrame:
-    """(qid, id, score, rank) among vectors whose random-hyperplane bucket differs from the query's by ``flips`` bits or fewer in one of ``tables`` tables."""
-    errors = [sum(1 << b for b in c) for d in range(flips + 1) for c in combinations(range(bits), d)]
-
-    def keyed(df: DataFrame, vector: str, errors: list[int]) -> DataFrame:
-        names = df.columns
-
-        def run(batches):
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                own = batch.column(vector).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
-                planes = np.random.default_rng(seed).normal(size=(own.shape[1], tables * bits))
-                signs = (own @ planes > 0).reshape(-1, tables, bits) @ (1 << np.arange(bits))
-                near = (signs[:, :, None] ^ np.array(errors)) + (np.arange(tables) << bits)[:, None]
-                keys = pa.array(near.reshape(len(own), -1).tolist(), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*batch.columns, keys], [*names, "keys"])
-
-        return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("keys", T.ArrayType(T.IntegerType()))])).withColumn("key", F.explode("keys")).drop("keys")
-
-    left = keyed(queries.select("qid", "qvec"), "qvec", errors)
-    right = keyed(vectors.select("id", "embedding").where(F.col("embedding").isNotNull()), "embedding", [0])
-    pairs = left.select("qid", "key").join(right.select("id", "key"), "key").select("qid", "id").distinct()
-    rows = pairs.join(queries.select("qid", "qvec"), "qid").join(vectors.select("id", "embedding"), "id")
-    return ranked(rows.select("qid", "id", F.round(cosine(F.col("qvec"), F.col("embedding")), digits).alias("score")), k)
+            return r[at]
+    return none
+
+
+def fitted_probes(filed: DataFrame, centroids: DataFrame, k: int, least: float = 0.93, sample_rows: int = 256) -> int:
+    """The fewest cells whose recall@k is ``least`` over ``sample_rows`` of the vectors (id, embedding, cell_id)."""
+    queries = sampled(filed, sample_rows)
+    hits = exact_top_k(queries, filed, k).select("qid", "id").join(filed.select("id", "cell_id"), "id")
+    return least_reach(hits.join(probed(queries, centroids, centroids.count()), ["qid", "cell_id"]), "cell_rank", least, 1)
+
+
+@dataclass(frozen=True)
+class Hashing:
+    """Random hyperplanes: ``tables`` of ``bits`` each, and the bits in which a bucket that is looked at may differ."""
+
+    bits: int
+    flips: int
+    tables: int = 12
+    seed: int = 42
+
+
+def signed(df: DataFrame, vector: str, hashing: Hashing, flips: int = 0) -> DataFrame:
+    """``df`` with ``buckets``: for each table the buckets that differ from the vector's in ``flips`` bits or fewer."""
+    names, tables, bits, seed = df.columns, hashing.tables, hashing.bits, hashing.seed
+    errors = np.array([sum(1 << b for b in c) for d in range(flips + 1) for c in combinations(range(bits), d)], np.int64)
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = rows_of(batch.column(vector), batch.num_rows)
+            planes = np.random.default_rng(seed).normal(size=(own.shape[1], tables * bits))
+            signs = (own @ planes > 0).reshape(-1, tables, bits) @ (1 << np.arange(bits, dtype=np.int64))
+            near = ((signs[:, :, None] ^ errors) + (np.arange(tables, dtype=np.int64) << bits)[:, None]).reshape(len(own), -1)
+            buckets = pa.ListArray.from_arrays(np.arange(0, near.size + 1, near.shape[1], dtype=np.int32), near.ravel())
+            yield pa.RecordBatch.from_arrays([*batch.columns, buckets], [*names, "buckets"])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("buckets", T.ArrayType(T.LongType()))]))
+
+
+def fitted_hashing(vectors: DataFrame, k: int, least: float = 0.93, sample_rows: int = 256) -> Hashing:
+    """Bits by the number of vectors (id, embedding), and the fewest flips whose recall@k is ``least`` over ``sample_rows`` of them."""
+    usable = vectors.select("id", "embedding").where(F.col("embedding").isNotNull())
+    hashing = Hashing(max(6, math.ceil(math.log2(max(usable.count(), 1) / BUCKET_VECTORS))), 0)
+    queries = sampled(usable, sample_rows)
+    own = signed(queries, "qvec", hashing).select("qid", F.col("buckets").alias("asked"))
+    hits = exact_top_k(queries, usable, k).select("qid", "id").join(own, "qid").join(usable, "id")
+    apart = F.array_min(F.zip_with("asked", "buckets", lambda a, b: F.bit_count(a.bitwiseXOR(b))))
+    return replace(hashing, flips=least_reach(signed(hits, "embedding", hashing).withColumn("apart", apart), "apart", least, 0))
+
+
+def lsh_top_k(queries: DataFrame, vectors: DataFrame, k: int, hashing: Hashing | None = None, digits: int = 6) -> DataFrame:
+    """(qid, id, score, rank) among vectors in a bucket that differs from the query's by few bits in one of the tables; see ``fitted_hashing``."""
+    usable = vectors.select("id", "embedding").where(F.col("embedding").isNotNull())
+    hashing = hashing or fitted_hashing(usable, k)
+    cells = lambda df: df.withColumn("cell_id", F.explode("buckets"))
+    asked = stored(signed(queries.select("qid", "qvec"), "qvec", hashing, hashing.flips), "asked-buckets")
+    filed = stored(signed(usable, "embedding", hashing), "buckets")
+    hits = met(cells(asked), cells(filed), k, digits)
+    return ranked(hits.groupBy("qid", "id").agg(F.max("score").alias("score")), k)
 
 
 def recall(found: DataFrame, exact: DataFrame, k: int) -> DataFrame:

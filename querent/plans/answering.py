@@ -72,6 +72,8 @@ class Index:
     embed: Embed
     vectors: DataFrame | None = None
     centroids: DataFrame | None = None
+    probes: int = 16
+    hashing: vector.Hashing | None = None
     words: lexical.Index | None = None
 
 
@@ -82,6 +84,9 @@ def build_index(chunks: DataFrame, config: Config, embed: Embed = hash_embed) ->
         if config.store == "faiss" and config.index_type == "ivf":
             index.centroids = vector.trained_centroids(index.vectors, vector.cell_count(index.vectors.count()))
             index.vectors = stored(vector.assigned(index.vectors, index.centroids), "cells")
+            index.probes = max(index.probes, vector.fitted_probes(index.vectors, index.centroids, 3 * config.top_k))
+        if config.store == "qdrant":
+            index.hashing = vector.fitted_hashing(index.vectors, 3 * config.top_k)
     if config.retriever in ("bm25", "hybrid"):
         index.words = lexical.indexed(chunks)
     return index
@@ -99,9 +104,9 @@ def retrieved(index: Index, queries: DataFrame, k: int, sources: set[str] | None
         asked = embedded(queries.select("qid", "qtext"), "qtext", "qvec", index.embed)
         allowed = index.vectors if sources is None else index.vectors.where(F.col("source").isin(*sources) if sources else F.lit(False))
         if index.centroids is not None:
-            return with_text(vector.ivf_top_k(asked, allowed, index.centroids, n))
+            return with_text(vector.ivf_top_k(asked, allowed, index.centroids, n, index.probes))
         if index.config.store == "qdrant":  # hashing stands in for the server's graph
-            return with_text(vector.lsh_top_k(asked, allowed, n))
+            return with_text(vector.lsh_top_k(asked, allowed, n, index.hashing))
         if index.config.store == "faiss":  # inner products of unit vectors
             unit = lambda df, c: df.withColumn(c, normalised(F.col(c)))
             return with_text(vector.exact_top_k(unit(asked, "qvec"), unit(allowed, "embedding"), n, cosine=False))

@@ -64,7 +64,10 @@ def ranking_runs(corpus: DataFrame, queries: DataFrame, qrels: DataFrame, kinds:
     return out
 
 
-def scale_cells(spark: SparkSession, sizes: Iterable[int], backends: Iterable[str] = ("numpy", "faiss-ivf"), size: int = 64, queries: int = 20, k: int = 10, probes: int = 16, seed: int = 0) -> DataFrame:
+BACKENDS = ("numpy", "faiss-flat", "faiss-ivf", "qdrant")
+
+
+def scale_cells(spark: SparkSession, sizes: Iterable[int], backends: Iterable[str] = BACKENDS, size: int = 64, queries: int = 20, k: int = 10, probes: int = 16, seed: int = 0) -> DataFrame:
     """(backend, n, dim, top_k, queries, nprobe, build_time_s, latency_p50_ms, latency_p95_ms, recall_at_k): a row per cell; queries are timed one by one."""
     rows = []
     for n in sizes:
@@ -77,8 +80,11 @@ def scale_cells(spark: SparkSession, sizes: Iterable[int], backends: Iterable[st
                 centroids = stored(vector.trained_centroids(own, vector.cell_count(n), seed), "scale-centres")
                 filed = stored(vector.assigned(own, centroids), "scale-cells")
                 search = lambda q: vector.ivf_top_k(q, filed, centroids, k, probes)
-            elif backend == "numpy":
-                search = lambda q: vector.exact_top_k(q, own, k)
+            elif backend == "qdrant":  # hashing stands in for the server's graph
+                hashing = vector.fitted_hashing(own, k)
+                search = lambda q: vector.lsh_top_k(q, own, k, hashing)
+            elif backend in ("numpy", "faiss-flat"):  # made-up vectors have length one, so inner products are cosines
+                search = lambda q: vector.exact_top_k(q, own, k, cosine=backend == "numpy")
             else:
                 raise ValueError(f"no backend {backend!r}")
             build, times = time.perf_counter() - began, []

@@ -68,6 +68,32 @@ def test_cells_and_hashing_reach_most_hits(spark):
     assert 0 <= vector.recall(few, exact, 10).agg(F.avg("recall")).first()[0] <= 1
 
 
+def test_crowded_cells_are_dealt_without_losing_a_pair(spark, monkeypatch):
+    rnd = np.random.default_rng(3)
+    rows = [(k, rnd.normal(size=8).tolist(), 0 if k % 3 else k % 7) for k in range(300)]
+    own = spark.createDataFrame([*rows, (300, rows[0][1], 0), (301, [0.0] * 8, 0)], "id long, embedding array<double>, cell_id int")
+    queries = spark.createDataFrame([(k, r[1]) for k, r in enumerate(rows[:50])], "qid long, qvec array<double>")
+    centroids = spark.createDataFrame([(k, rnd.normal(size=8).tolist()) for k in range(7)], "cell_id int, centre array<double>")
+    whole = sorted(map(tuple, vector.exact_top_k(queries, own, 5).select("qid", "id", "score", "rank").collect()))
+    for most in (vector.CELL_VECTORS, 40):
+        monkeypatch.setattr(vector, "CELL_VECTORS", most)
+        monkeypatch.setattr(vector, "CELL_QUERIES", most // 4)
+        assert sorted(map(tuple, vector.ivf_top_k(queries, own, centroids, 5, probes=7).select("qid", "id", "score", "rank").collect())) == whole
+        assert sorted(map(tuple, vector.lsh_top_k(queries, own, 5, vector.Hashing(bits=2, flips=2, tables=3)).select("qid", "id", "score", "rank").collect())) == whole
+    assert not vector.ivf_top_k(queries.limit(0), own, centroids, 5).collect() and not vector.lsh_top_k(queries, own.limit(0), 5).collect()
+
+
+def test_hashing_follows_the_number_of_vectors(spark, monkeypatch):
+    rnd = np.random.default_rng(4)
+    own = spark.createDataFrame([(k, rnd.normal(size=8).tolist()) for k in range(600)], "id long, embedding array<double>")
+    assert vector.fitted_hashing(own, 5).bits == 6
+    monkeypatch.setattr(vector, "BUCKET_VECTORS", 2)
+    wide = vector.fitted_hashing(own, 5)
+    assert wide.bits == 9
+    queries = own.selectExpr("id AS qid", "embedding AS qvec")
+    assert vector.recall(vector.lsh_top_k(queries, own, 5, wide), vector.exact_top_k(queries, own, 5), 5).agg(F.avg("recall")).first()[0] >= 0.9
+
+
 def test_normalised_keeps_zero(spark):
     row = spark.createDataFrame([([3.0, 4.0], [0.0, 0.0])], "a array<float>, b array<float>").select(normalised(F.col("a")), normalised(F.col("b"))).first()
     assert row[0] == [0.6, 0.8] and row[1] == [0.0, 0.0]
@@ -182,7 +208,7 @@ def test_random_orders_do_not_change_hits(spark, chunks):
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no tables here")
-@pytest.mark.parametrize("name", ["lsh_recall", "ivf_kmeans_recall"])
+@pytest.mark.parametrize("name", ["lsh_recall", "ivf_kmeans_recall", "recall_at_k"])
 def test_index_recall_on_the_given_embeddings(spark, name):
     got = search_queries.QUERIES[name](spark, "/root/testdata/sf0.1").agg(F.avg("recall")).first()[0]
     print(name, got)

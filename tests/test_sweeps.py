@@ -31,6 +31,7 @@ def test_scale_cells(spark):
     rows = {r.backend: r for r in sweeps.scale_cells(spark, [200], size=16, queries=2, k=5).collect()}
     assert rows["numpy"].recall_at_k == 1.0 and rows["numpy"].nprobe is None
     assert rows["faiss-ivf"].nprobe == 16 and 0.5 <= rows["faiss-ivf"].recall_at_k <= 1.0
+    assert rows["faiss-flat"].recall_at_k == 1.0 and rows["qdrant"].recall_at_k >= 0.8
     assert all(r.latency_p50_ms <= r.latency_p95_ms for r in rows.values())
     with pytest.raises(ValueError):
         sweeps.scale_cells(spark, [10], ["other"])
