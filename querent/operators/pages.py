@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from querent.functions.text import cleaned, is_clean_number, is_number, repaired
 from querent.operators import layout
+from querent.operators.borders import bordered_tables
 from querent.operators.grids import is_plausible, markdown, ordered
 from querent.operators.layout import PAGE, centre, line_bucket
 from querent.session import stored
@@ -120,10 +121,24 @@ def body_text(words: DataFrame, width: float) -> DataFrame:
     return lines.groupBy(*PAGE).agg(cleaned(ordered(F.col("text"), "at", "\n")).alias("body"))
 
 
-def page_texts(words: DataFrame, rules: DataFrame, pages: DataFrame, width: float) -> DataFrame:
-    """(doc_id, page, text): the page's tables as Markdown, then its body; rotated words, footnotes and table words left out of the body."""
+def drawn_tables(words: DataFrame, rules: DataFrame, pages: DataFrame, bars: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Grids and boxes of tables with borders, and on pages without one those of tables with level rules only."""
+    if bars is None:
+        return ruled_tables(words, rules, pages)
+    grid, boxes = (stored(x, "bordered") for x in bordered_tables(words, rules, bars))
+    rest = pages.join(boxes.select(*PAGE).distinct(), PAGE, "left_anti")
+    ruled, ruled_boxes = ruled_tables(words, rules, rest)
+    number = F.col("region").cast("long").alias("region")
+    return tuple(a.unionByName(b) for a, b in ((grid.select(*PAGE, number, "row_no", "cells"), ruled.select(*PAGE, number, "row_no", "cells")), (boxes, ruled_boxes)))
+
+
+def page_texts(words: DataFrame, rules: DataFrame, pages: DataFrame, width: float, bars: DataFrame | None = None) -> DataFrame:
+    """(doc_id, page, text): the page's tables as Markdown, then its body; rotated words, footnotes and table words left out of the body.
+
+    ``bars`` (doc_id, page, x, top, bottom) are the upright lines of borders.
+    """
     upright = words.where("upright")
-    ruled, boxes = ruled_tables(words, rules, pages)
+    ruled, boxes = drawn_tables(words, rules, pages, bars)
     ruled, boxes = stored(ruled, "ruled"), stored(boxes, "boxes")
     body = layout.outside(upright.join(layout.footnote_tops(pages, rules), PAGE).where("top < footnote_top"), boxes)
     body = stored(body, "body-words")

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from querent.functions import text
-from querent.operators import grids, layout
+from querent.operators import borders, grids, layout, vector
+from querent.plans.search_queries import ORACLES as SEARCHED
+from querent.plans.search_queries import K, VECTORS, cells, hit_columns, vector_queries, vectors
 from querent.plans.text_queries import CELLS, PAGE_WORDS, STRIP, md5, order_cells, words
 from querent.session import stored_dir
 from querent.sources import files, stores
@@ -90,10 +92,45 @@ def header_alignment(spark: SparkSession, sf: str) -> DataFrame:
     return layout.alignment(own, own.where((F.col("i") % 400).between(2, 6))).select("doc_id", "page", F.round("score", 6).alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (chunk_store, chunk_store_overwrite, answer_store, dense_cache, judged_queries, judge_verdict, compound_sources, plausible_tables, footnote_top, header_alignment)}
+def bordered_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """Each customer's orders as tables with borders, 20 rows a page, read back from their words and lines; level lines come in two pieces."""
+    own = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    orders = table(spark, sf, "orders").withColumn("i", F.row_number().over(own) - 1)
+    rows = orders.select(F.col("o_custkey").alias("doc_id"), F.expr("CAST(i DIV 20 AS INT)").alias("page"), (F.col("i") % 20).alias("row"), order_cells().alias("cells"))
+    at = rows.select("doc_id", "page", "row", F.posexplode("cells").alias("col", "cell")).select("doc_id", "page", "row", "col", F.posexplode(F.split("cell", " ")).alias("k", "text"))
+    x0, top = F.col("col") * 100.0 + 55.0 + F.col("k") * 45.0, F.col("row") * 14.0 + 103.0
+    words = at.select("doc_id", "page", "text", x0.alias("x0"), (x0 + 40.0).alias("x1"), top.alias("top"), (top + 9.0).alias("bottom"))
+    sheets = rows.groupBy("doc_id", "page").agg(F.max("row").alias("last"))
+    level = sheets.select("doc_id", "page", F.explode(F.sequence(F.lit(0), F.col("last") + 1)).alias("r"))
+    half = lambda x, end, by: level.select("doc_id", "page", F.lit(x).alias("x0"), F.lit(end).alias("x1"), (F.col("r") * 14.0 + 100.0 + by).alias("top"), F.lit(0.5).alias("height"))
+    bars = sheets.select("doc_id", "page", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("c"), F.lit(100.0).alias("top"), (F.col("last") * 14.0 + 114.0).alias("bottom"))
+    grid, _ = borders.bordered_tables(words, half(50.0, 300.0, 0.0).unionByName(half(299.0, 550.0, 1.0)), bars.select("doc_id", "page", (F.col("c") * 100.0 + 50.0).alias("x"), "top", "bottom"))
+    return grid.select("doc_id", "page", F.col("row_no").cast("int").alias("row_no"), F.array_join("cells", "|").alias("cells"))
+
+
+def ivf_stored_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The search by cells through an index that was written and read again."""
+    path = place(spark, "ivf")
+    stores.save_cells(*reversed(cells(spark, sf)), path)
+    filed, centres = stores.load_cells(spark, path)
+    return hit_columns(vector.ivf_top_k(vector_queries(spark, sf), filed, centres, K, vector.fitted_probes(filed, centres, K)))
+
+
+def vector_split(spark: SparkSession, sf: str) -> DataFrame:
+    """The first 300 vectors of odd ids as the base and the first 20 of even ids as the queries, at length one."""
+    own = vectors(spark, sf)
+    parts = stores.first_vectors(own.where("id % 2 = 1"), own.where("id % 2 = 0"), 300, 20)
+    rows = [p.select(F.lit(side).alias("side"), "id", F.posexplode("embedding").alias("pos", "x")) for side, p in zip(("base", "query"), parts, strict=True)]
+    return rows[0].unionByName(rows[1]).groupBy("side", "id").agg(F.round(F.sum(F.col("x") * (F.col("pos") + 1)), 6).alias("moment"))
+
+
+QUERIES = {f.__name__: f for f in (chunk_store, chunk_store_overwrite, answer_store, dense_cache, judged_queries, judge_verdict, compound_sources, plausible_tables, footnote_top, header_alignment, bordered_tables, ivf_stored_topk, vector_split)}
 
 NUMBER = "^[\\[(]?[-+]?[0-9]"
 ORACLES = {
+    "bordered_tables": f"SELECT o_custkey AS doc_id, (i // 20)::INTEGER AS page, (i % 20)::INTEGER AS row_no, array_to_string({CELLS}, '|') AS cells FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i FROM orders)",
+    "ivf_stored_topk": SEARCHED["ivf_probe_topk"],
+    "vector_split": f"WITH {VECTORS}, s AS (SELECT 'base' AS side, * FROM u WHERE id % 2 = 1 ORDER BY id LIMIT 300), t AS (SELECT 'query' AS side, * FROM u WHERE id % 2 = 0 ORDER BY id LIMIT 20), x AS (SELECT side, id, unnest(list_transform(e, lambda x: x / CASE WHEN n = 0 THEN 1 ELSE n END)) AS x, unnest(range(1, len(e) + 1)) AS pos FROM (SELECT * FROM s UNION ALL SELECT * FROM t)) SELECT side, id, round(sum(x * pos), 6) AS moment FROM x GROUP BY side, id",
     "chunk_store": "SELECT doc_id AS id, source, md5(text) AS text_md5 FROM documents WHERE doc_id % 2 = 0 OR md5(text) NOT IN (SELECT md5(text) FROM documents WHERE doc_id % 2 = 0)",
     "chunk_store_overwrite": "SELECT doc_id AS id, source, md5(text) AS text_md5 FROM documents WHERE doc_id % 3 = 0",
     "answer_store": "SELECT conv_id::VARCHAR AS key, md5(arg_max(text, turn)) AS answer_md5 FROM conversations WHERE turn IN (0, 2) GROUP BY conv_id",

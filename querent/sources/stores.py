@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
 
+from querent.functions.vectors import normalised
+
 
 def slug(name: str) -> str:
     return re.sub(r"[^A-Za-z0-9._-]+", "-", name)
@@ -45,6 +47,23 @@ def invalidate(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def save_cells(filed: DataFrame, centroids: DataFrame, path: str) -> None:
+    """Replaces a stored index: vectors (id, embedding, cell_id, ...) laid out by cell, so that row groups can be pruned, and its centres."""
+    filed.repartitionByRange("cell_id", F.xxhash64("id")).sortWithinPartitions("cell_id").write.mode("overwrite").parquet(f"{path}/cells")
+    centroids.write.mode("overwrite").parquet(f"{path}/centres")
+
+
+def load_cells(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The vectors with their cells, and the centres."""
+    return spark.read.parquet(f"{path}/cells"), spark.read.parquet(f"{path}/centres")
+
+
+def first_vectors(base: DataFrame, asked: DataFrame, n: int, m: int) -> tuple[DataFrame, DataFrame]:
+    """The ``n`` vectors (id, embedding) of ``base`` and the ``m`` of ``asked`` with the smallest ids, at length one; all where there are fewer."""
+    first = lambda df, rows: df.orderBy("id").limit(rows).select("id", normalised(F.col("embedding")).alias("embedding"))
+    return first(base, n), first(asked, m)
+
+
 def save_chunks(chunks: DataFrame, path: str) -> None:
     """Replaces the stored chunks (id, text, source)."""
     chunks.select("id", "text", "source").write.mode("overwrite").parquet(path)

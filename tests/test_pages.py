@@ -2,7 +2,7 @@ import statistics
 
 import pytest
 
-from querent.operators import layout, pages
+from querent.operators import borders, layout, pages
 
 WORD = "doc_id long, page int, word_id long, text string, x0 double, x1 double, top double, bottom double, size double, upright boolean"
 
@@ -95,6 +95,32 @@ def test_ruled_table_and_page_text(spark):
     assert text == "| name | score | kind |\n| --- | --- | --- |\n" + "\n".join(f"| row{k} | {k}.5 | x{k} |" for k in range(4)) + "\n\n## Title A paragraph ends."
 
 
+BAR = "doc_id long, page int, x double, top double, bottom double"
+
+
+def test_bordered_table_comes_before_rules(spark):
+    lines = [(104, [(60, "a"), (160, "b"), (260, "c")]), (124, [(60, "wide"), (90, "cell"), (260, "1")]), (144, [(60, "x"), (160, "y"), (260, "2")]), (300, [(60, "outside")])]
+    words = spark.createDataFrame(word_rows(lines), WORD)
+    rules = spark.createDataFrame([(1, 1, 50.0, 350.0, t, 0.5) for t in (100.0, 120.0, 140.0, 160.0)], RULE)
+    full, cut = [(1, 1, x, 99.0, 161.0) for x in (50.0, 250.5, 350.0)], [(1, 1, 150.0, 100.0, 121.0), (1, 1, 150.0, 139.0, 160.0)]
+    bars = spark.createDataFrame(full + cut, BAR)
+    sheets = spark.createDataFrame([(1, 1, 600.0, 800.0)], "doc_id long, page int, width double, height double")
+    grid, boxes = borders.bordered_tables(words, rules, bars)
+    assert [r.cells for r in grid.orderBy("row_no").collect()] == [["a", "b", "c"], ["wide cell", "", "1"], ["x", "y", "2"]]
+    assert [tuple(r)[2:] for r in boxes.collect()] == [(50.0, 350.0, 100.0, 160.0)]
+    text = pages.page_texts(words, rules, sheets, 600.0, bars).first().text
+    assert text == "| a | b | c |\n| --- | --- | --- |\n| wide cell |  | 1 |\n| x | y | 2 |\n\noutside"
+    assert pages.drawn_tables(words, rules, sheets, bars.limit(0))[0].count() == pages.ruled_tables(words, rules, sheets)[0].count()
+
+
+def test_two_bordered_tables_and_a_lone_box(spark):
+    rules = spark.createDataFrame([(1, 1, a, a + 100, t, 0.5) for a in (50.0, 300.0) for t in (100.0, 120.0, 140.0)] + [(1, 2, 50.0, 90.0, t, 0.5) for t in (10.0, 50.0)], RULE)
+    bars = spark.createDataFrame([(1, 1, a + d, 100.0, 140.0) for a in (50.0, 300.0) for d in (0.0, 100.0)] + [(1, 2, x, 10.0, 50.0) for x in (50.0, 90.0)], BAR)
+    cells = borders.cell_boxes(rules, bars)
+    assert sorted((r.page, r.region, r.x0, r.top) for r in cells.collect()) == [(1, 0, 50.0, 100.0), (1, 0, 50.0, 120.0), (1, 1, 300.0, 100.0), (1, 1, 300.0, 120.0)]
+    assert borders.cell_boxes(rules, bars.limit(0)).collect() == []
+
+
 def test_two_columns_are_read_one_after_the_other(spark):
     tops = range(100, 400, 12)
     words = spark.createDataFrame(word_rows(prose(40, tops, 48, 5, "l") + prose(330, tops, 48, 5, "r")), WORD)
