@@ -46,19 +46,35 @@ def extractive(texts: list[str]) -> list[str]:
     return [one(t) for t in texts]
 
 
-def generated(df: DataFrame, prompt: str, into: str, generate: Generate = extractive, batch_rows: int = 64) -> DataFrame:
-    """``df`` with the reply to the column ``prompt``; a null prompt has a null reply."""
-    schema = T.StructType([*(f for f in df.schema if f.name != into), T.StructField(into, T.StringType())])
+def generated(df: DataFrame, prompt: str, into: str, generate: Generate = extractive, batch_rows: int = 64, error: str | None = None) -> DataFrame:
+    """``df`` with the reply to the column ``prompt``; a null prompt has a null reply.
+
+    What ``generate`` raises ends the job, unless ``error`` names a column for it: prompts of a batch that fails are then asked one by one,
+    and those that fail again have a null reply.
+    """
+    new = [into, *([error] if error else [])]
+    schema = T.StructType([*(f for f in df.schema if f.name not in new), *(T.StructField(n, T.StringType()) for n in new)])
     arrow = to_arrow_schema(schema)
 
+    def asked_of(prompts: list[str]) -> tuple[list[str | None], list[str | None]]:
+        try:
+            return generate(prompts), [None] * len(prompts)
+        except Exception as e:  # noqa: BLE001 - whatever a model raises is reported with its row
+            if not error:
+                raise
+            if len(prompts) == 1:
+                return [None], [f"{type(e).__name__}: {e}"]
+            parts = [asked_of([p]) for p in prompts]
+            return [r for replies, _ in parts for r in replies], [x for _, errors in parts for x in errors]
+
     def run(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, batch_rows):
                 part = whole.slice(at, batch_rows)
                 asked = part.column(prompt).to_pylist()
-                replies = iter(generate([p for p in asked if p is not None]))
-                own = pa.array([None if p is None else next(replies) for p in asked], pa.string())
-                yield pa.RecordBatch.from_arrays([own if f.name == into else part.column(f.name) for f in arrow], schema=arrow)
+                columns = map(iter, asked_of([p for p in asked if p is not None]))
+                own = {n: pa.array([None if p is None else next(c) for p in asked], pa.string()) for n, c in zip((into, error), columns, strict=True)}
+                yield pa.RecordBatch.from_arrays([own[f.name] if f.name in new else part.column(f.name) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
 
@@ -123,21 +139,23 @@ def retrieved(index: Index, queries: DataFrame, k: int, sources: set[str] | None
     return (words(k) if index.config.retriever == "bm25" else dense(k)).select("qid", "rank", "text", "source", "score")
 
 
-def answered(index: Index | None, questions: DataFrame, config: Config, generate: Generate = extractive, scorer: Callable[[Column, Column], Column] = fusion.overlap) -> DataFrame:
-    """(qid, answer, chunks, hyde_doc, standalone_query) of questions (qid, qtext[, history array<struct<role, text>>]).
+def answered(index: Index | None, questions: DataFrame, config: Config, generate: Generate = extractive, scorer: Callable[[Column, Column], Column] = fusion.overlap, error: str | None = None) -> DataFrame:
+    """(qid, answer, chunks, hyde_doc, standalone_query[, error]) of questions (qid, qtext[, history array<struct<role, text>>]).
 
     A history condenses the question for retrieval and re-ranking, and shows in the answer's prompt together with the raw question.
+    ``error`` names a column for what the model raises while it answers; without it that ends the job.
     """
     has_history = "history" in questions.columns
+    failed = [error] if error else []
     asked = questions if has_history else questions.withColumn("history", F.lit(None).cast("array<struct<role:string,text:string>>"))
     talk = F.coalesce(F.size("history"), F.lit(0)) > 0
     shown = F.when(talk, prompts.history_text(F.col("history")))
     asked = asked.withColumn("shown", shown)
     if config.no_rag:
         prompt = F.when(talk, prompts.filled(prompts.NO_RAG_CHAT, history=F.col("shown"), query=F.col("qtext"))).otherwise(prompts.filled(prompts.NO_RAG, query=F.col("qtext")))
-        rows = generated(asked.withColumn("prompt", prompt), "prompt", "answer", generate)
+        rows = generated(asked.withColumn("prompt", prompt), "prompt", "answer", generate, error=error)
         none = F.array().cast("array<struct<rank:int,text:string,source:string,score:double>>")
-        return rows.select("qid", "answer", none.alias("chunks"), F.lit(None).cast("string").alias("hyde_doc"), F.lit(None).cast("string").alias("standalone_query"))
+        return rows.select("qid", "answer", none.alias("chunks"), F.lit(None).cast("string").alias("hyde_doc"), F.lit(None).cast("string").alias("standalone_query"), *failed)
     if index is None:
         raise ValueError("an index is needed unless no_rag is set")
     if has_history:
@@ -157,9 +175,9 @@ def answered(index: Index | None, questions: DataFrame, config: Config, generate
     found = hits.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct(F.col("rank").cast("int").alias("rank"), "text", "source", "score"))).alias("chunks"), ordered(F.col("text"), "rank", "\n\n").alias("context"))
     rows = asked.join(found, "qid", "left").withColumn("context", F.coalesce("context", F.lit("")))
     prompt = F.when(talk, prompts.filled(prompts.RAG_CHAT, history=F.col("shown"), context=F.col("context"), query=F.col("qtext"))).otherwise(prompts.filled(prompts.RAG, context=F.col("context"), query=F.col("qtext")))
-    rows = generated(rows.withColumn("prompt", prompt), "prompt", "answer", generate)
+    rows = generated(rows.withColumn("prompt", prompt), "prompt", "answer", generate, error=error)
     changed = F.when(talk & (F.col("standalone") != F.col("qtext")), F.col("standalone"))
-    return rows.select("qid", "answer", F.coalesce("chunks", F.array().cast("array<struct<rank:int,text:string,source:string,score:double>>")).alias("chunks"), "hyde_doc", changed.alias("standalone_query"))
+    return rows.select("qid", "answer", F.coalesce("chunks", F.array().cast("array<struct<rank:int,text:string,source:string,score:double>>")).alias("chunks"), "hyde_doc", changed.alias("standalone_query"), *failed)
 
 
 def key_columns(config: Config) -> list[Column]:

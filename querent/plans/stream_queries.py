@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from querent.functions.vectors import embedded
 from querent.operators.chunking import naive_chunks
-from querent.plans.answering import answered, build_index
+from querent.plans.answering import answered, answered_through_cache, build_index
 from querent.plans.config import Config
 from querent.plans.search_queries import chunks, text_queries
-from querent.streaming import events
+from querent.session import stored_dir
+from querent.streaming import answers, events
 from querent.tables import table
 
 
@@ -43,8 +46,27 @@ def embed_queries(spark: SparkSession, sf: str) -> DataFrame:
     return embedded(text_queries(spark, sf), "qtext", "qvec").select("qid", F.size("qvec").alias("size"), F.round(F.aggregate("qvec", F.lit(0.0), lambda a, x: a + x * x), 6).alias("length"))
 
 
-QUERIES = {f.__name__: f for f in (stream_ingest, events_tumbling, events_session, stream_chat_state, answer_pipeline, embed_queries)}
+def stream_answer_events(spark: SparkSession, sf: str) -> DataFrame:
+    """The assistant's turns as a stream of JSON events, written and read again; every seventh conversation fails after its words."""
+    turns = events.table_stream(spark, sf, "conversations").where("role = 'assistant'")
+    told = turns.select("conv_id", "turn", F.col("text").alias("answer"), F.when(F.col("conv_id") % 7 == 0, F.lit("model gone")).alias("error"), F.create_map(F.lit("role"), F.col("role")).alias("config"))
+    lines = events.drained(answers.answer_lines(told, ["conv_id", "turn"]), "answers")
+    rows = answers.read_lines(lines, ["conv_id", "turn"])
+    return rows.select("conv_id", "turn", F.md5(F.col("answer").cast("binary")).alias("text_md5"), "error", F.col("config")["role"].alias("role"))
+
+
+def cache_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Items answered without retrieval when those of even ids are stored already."""
+    asked, config = text_queries(spark, sf), Config(no_rag=True)
+    path = f"{stored_dir(spark)}/answers-{uuid.uuid4().hex}"
+    answered_through_cache(lambda: None, asked.where("qid % 2 = 0"), config, path)
+    return answers.cache_events(answered_through_cache(lambda: None, asked, config, path), config.no_rag)
+
+
+QUERIES = {f.__name__: f for f in (stream_ingest, events_tumbling, events_session, stream_chat_state, answer_pipeline, embed_queries, stream_answer_events, cache_events)}
 ORACLES = {
+    "stream_answer_events": "SELECT conv_id, turn, md5(text) AS text_md5, CASE WHEN conv_id % 7 = 0 THEN 'model gone' END AS error, role FROM conversations WHERE role = 'assistant'",
+    "cache_events": "WITH r AS (SELECT item_id AS qid, text IN (SELECT text FROM benchmark WHERE item_id % 2 = 0) AS cached FROM benchmark) SELECT qid, 1::INTEGER AS step, CASE WHEN cached THEN 'cached' ELSE 'generate' END AS event FROM r",
     "stream_ingest": "SELECT doc_id, pos::INTEGER AS pos, md5(substr(text, pos * 480 + 1, 500)) AS text_md5 FROM (SELECT doc_id, text, unnest(range(CASE WHEN length(text) > 0 THEN (length(text) - 1) // 480 + 1 ELSE 0 END)) AS pos FROM documents)",
     "events_tumbling": "SELECT date_trunc('hour', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "events_session": "WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM g) SELECT user_id, session::BIGINT AS session, min(ts)::TIMESTAMP AS start, count(*) AS n FROM s GROUP BY ALL",

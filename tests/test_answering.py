@@ -85,5 +85,18 @@ def test_answers_come_from_the_cache(spark, chunks, tmp_path):
     assert run("loyal dogs", fresh=True) == {0: (TEXTS[1], False)}
 
 
+def test_what_a_model_raises_stays_with_its_row(spark):
+    def generate(texts):
+        if any("bad" in t for t in texts):
+            raise ValueError("no answer")
+        return ["fine"] * len(texts)
+
+    asked = ask(spark, "good", "bad", "better")
+    got = {r.qid: (r.answer, r.error) for r in answering.answered(None, asked, Config(no_rag=True), generate, error="error").collect()}
+    assert got == {0: ("fine", None), 1: (None, "ValueError: no answer"), 2: ("fine", None)}
+    with pytest.raises(Exception, match="no answer"):
+        answering.answered(None, asked, Config(no_rag=True), generate).collect()
+
+
 def test_extractive_generator():
     assert answering.extractive(["Reference answer: 4 ms\nCandidate answer: about 4 ms\n\nDoes it?", "Reference answer: 4 ms\nCandidate answer: no\n\nDoes it?", "Question:\n\nwhy\n\nAnswer:\n"]) == ["YES", "NO", "I am not sure."]

@@ -1,9 +1,12 @@
 import datetime as dt
 
+import json
+
+import pytest
 from pyspark.sql import functions as F
 
 from querent.operators.chunking import naive_chunks
-from querent.streaming import events
+from querent.streaming import answers, events
 
 START = dt.datetime(2024, 1, 1)
 
@@ -63,3 +66,36 @@ def test_turns_dealt_over_ten_files_equal_the_sql(spark, tmp_path):
     con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
     want = con.sql(stream_queries.ORACLES["stream_chat_state"]).fetchall()
     assert sorted(map(tuple, stream_queries.stream_chat_state(spark, str(tmp_path)).collect())) == sorted(want)
+
+
+def test_answers_as_lines_and_back(spark):
+    chunk = "array<struct<rank:int,text:string,source:string,score:double>>"
+    rows = [(1, "two  words\nhere ", None, [(1, "t", "s", 0.5)], {"top_k": "3"}), (2, None, "ValueError: gone", None, None), (3, "", None, None, None)]
+    told = spark.createDataFrame(rows, f"qid long, answer string, error string, chunks {chunk}, config map<string,string>")
+    lines = answers.answer_lines(told, ["qid"])
+    first = [json.loads(r.line) for r in lines.where("qid = 1").orderBy("seq").collect()]
+    assert [e["type"] for e in first] == ["meta", "token", "token", "token"] and first[0]["config"] == {"top_k": "3"} and first[0]["hyde_doc"] is None
+    assert "".join(e["text"] for e in first[1:]) == "two  words\nhere "
+    got = {r.qid: r for r in answers.read_lines(lines, ["qid"]).collect()}
+    assert (got[1].answer, got[1].error, got[1].chunks[0].source, got[1].config) == ("two  words\nhere ", None, "s", {"top_k": "3"})
+    assert (got[2].answer, got[2].error) == ("", "ValueError: gone") and (got[3].answer, got[3].error) == ("", None)
+
+
+def test_reader_skips_blank_lines_and_tells_what_is_wrong(spark):
+    token = '{"type": "token", "text": "a"}'
+    rows = [(1, 0, " \t"), (1, 1, '{"type": "meta", "chunks": []}'), (1, 2, ""), (1, 3, token), (2, 0, token), (3, 0, '{"type": "meta"}'), (3, 1, token), (3, 2, "cut off {")]
+    lines = spark.createDataFrame(rows, "qid long, seq int, line string")
+    got = {r.qid: (r.answer, r.error) for r in answers.read_lines(lines, ["qid"]).collect()}
+    assert got == {1: ("a", None), 2: ("a", "no meta line"), 3: ("a", "a line is no event")}
+    assert answers.read_lines(lines.where("qid = 1"), ["qid"], strict=True).first().answer == "a"
+    with pytest.raises(Exception, match="no meta line"):
+        answers.read_lines(lines.where("qid = 2"), ["qid"], strict=True).collect()
+    assert answers.read_lines(lines.limit(0), ["qid"]).collect() == []
+
+
+def test_events_of_the_cache(spark):
+    found = spark.createDataFrame([(1, True), (2, False), (3, False)], "qid long, cached boolean")
+    told = lambda **k: [(r.qid, r.event) for r in answers.cache_events(found, **k).orderBy("qid", "step").collect()]
+    assert told() == [(1, "cached"), (2, "build"), (2, "generate"), (3, "generate")]
+    assert told(no_rag=True) == [(1, "cached"), (2, "generate"), (3, "generate")]
+    assert answers.cache_events(found.where("cached")).count() == 1
