@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from querent.functions import text
 from querent.operators import borders, grids, layout, vector
+from querent.operators import pages as whole_pages
 from querent.plans.search_queries import ORACLES as SEARCHED
 from querent.plans.search_queries import K, VECTORS, cells, hit_columns, vector_queries, vectors
-from querent.plans.text_queries import CELLS, PAGE_WORDS, STRIP, md5, order_cells, words
+from querent.plans.text_queries import CELLS, COLUMNS, HEADS, PAGE_WORDS, STRIP, md5, order_cells, words
 from querent.session import stored_dir
 from querent.sources import files, stores
 from querent.tables import table
@@ -92,22 +93,70 @@ def header_alignment(spark: SparkSession, sf: str) -> DataFrame:
     return layout.alignment(own, own.where((F.col("i") % 400).between(2, 6))).select("doc_id", "page", F.round("score", 6).alias("score"))
 
 
-def bordered_tables(spark: SparkSession, sf: str) -> DataFrame:
-    """Each customer's orders as tables with borders, 20 rows a page, read back from their words and lines; level lines come in two pieces."""
+#: Labels of the tables without lines.
+SHORT = ("st", "price", "EM", "pri")
+
+
+def sheets(spark: SparkSession, sf: str, a_page: int) -> tuple[DataFrame, DataFrame]:
+    """Each customer's orders as words in rows 14 points apart and columns 100 points apart below a line of labels, and the last row of each page."""
     own = Window.partitionBy("o_custkey").orderBy("o_orderkey")
     orders = table(spark, sf, "orders").withColumn("i", F.row_number().over(own) - 1)
-    rows = orders.select(F.col("o_custkey").alias("doc_id"), F.expr("CAST(i DIV 20 AS INT)").alias("page"), (F.col("i") % 20).alias("row"), order_cells().alias("cells"))
-    at = rows.select("doc_id", "page", "row", F.posexplode("cells").alias("col", "cell")).select("doc_id", "page", "row", "col", F.posexplode(F.split("cell", " ")).alias("k", "text"))
-    x0, top = F.col("col") * 100.0 + 55.0 + F.col("k") * 45.0, F.col("row") * 14.0 + 103.0
-    words = at.select("doc_id", "page", "text", x0.alias("x0"), (x0 + 40.0).alias("x1"), top.alias("top"), (top + 9.0).alias("bottom"))
-    sheets = rows.groupBy("doc_id", "page").agg(F.max("row").alias("last"))
-    level = sheets.select("doc_id", "page", F.explode(F.sequence(F.lit(0), F.col("last") + 1)).alias("r"))
-    half = lambda x, end, by: level.select("doc_id", "page", F.lit(x).alias("x0"), F.lit(end).alias("x1"), (F.col("r") * 14.0 + 100.0 + by).alias("top"), F.lit(0.5).alias("height"))
-    bars = sheets.select("doc_id", "page", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("c"), F.lit(100.0).alias("top"), (F.col("last") * 14.0 + 114.0).alias("bottom"))
-    grid, _ = borders.bordered_tables(words, half(50.0, 300.0, 0.0).unionByName(half(299.0, 550.0, 1.0)), bars.select("doc_id", "page", (F.col("c") * 100.0 + 50.0).alias("x"), "top", "bottom"))
+    rows = orders.select(F.col("o_custkey").alias("doc_id"), F.expr(f"CAST(i DIV {a_page} AS INT)").alias("page"), (F.col("i") % a_page + 1).alias("row"), order_cells().alias("cells"))
+    pages = rows.groupBy("doc_id", "page").agg(F.max("row").alias("last"))
+    rows = rows.unionByName(pages.select("doc_id", "page", F.lit(0).alias("row"), F.array(*map(F.lit, COLUMNS)).alias("cells")))
+    at = rows.select("doc_id", "page", "row", F.posexplode(F.transform("cells", lambda c: F.replace(c, F.lit(" "), F.lit("_")))).alias("col", "text"))
+    x0, top = F.col("col") * 100.0 + 55.0, F.col("row") * 14.0 + 103.0
+    number = F.xxhash64("doc_id", "page", "row", "col").alias("word_id")
+    return at.select("doc_id", "page", number, "text", x0.alias("x0"), (x0 + F.length("text") * 3.0).alias("x1"), top.alias("top"), (top + 9.0).alias("bottom"), F.lit(10.0).alias("size"), F.lit(True).alias("upright")), pages
+
+
+def level_lines(at: DataFrame, row: Column) -> DataFrame:
+    """Rules above ``row``, each drawn in two pieces a point apart."""
+    half = lambda x, end, by: at.select("doc_id", "page", F.lit(x).alias("x0"), F.lit(end).alias("x1"), (row * 14.0 + 100.0 + by).alias("top"), F.lit(0.5).alias("height"))
+    return half(50.0, 300.0, 0.0).unionByName(half(299.0, 550.0, 1.0))
+
+
+def borders_of(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    rules = level_lines(pages.select("doc_id", "page", F.explode(F.sequence(F.lit(0), F.col("last") + 1)).alias("r")), F.col("r"))
+    bars = pages.select("doc_id", "page", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("c"), F.lit(100.0).alias("top"), (F.col("last") * 14.0 + 114.0).alias("bottom"))
+    return rules, bars.select("doc_id", "page", (F.col("c") * 100.0 + 50.0).alias("x"), "top", "bottom")
+
+
+def bordered_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """Tables with borders, 20 rows a page, read back from their words and lines."""
+    words, pages = sheets(spark, sf, 20)
+    grid, _ = borders.bordered_tables(words, *borders_of(pages))
+    return grid.select("doc_id", "page", F.col("row_no").cast("int").alias("row_no"), F.array_join("cells", "|").alias("cells"))
+
+
+def ruled_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """Tables with a rule above and below the labels and one at the end, ten rows a page."""
+    words, pages = sheets(spark, sf, 10)
+    rules = pages.select("doc_id", "page", F.explode(F.array(F.lit(0), F.lit(1), F.col("last") + 1)).alias("r"))
+    rules = rules.select("doc_id", "page", F.lit(50.0).alias("x0"), F.lit(550.0).alias("x1"), (F.col("r") * 14.0 + 100.0).alias("top"), F.lit(0.5).alias("height"))
+    size = pages.select("doc_id", "page", F.lit(600.0).alias("width"), F.lit(800.0).alias("height"))
+    grid, _ = whole_pages.ruled_tables(words, rules, size)
+    return grid.select("doc_id", "page", F.col("row_no").cast("int").alias("row_no"), F.array_join("cells", "|").alias("cells"))
+
+
+def unruled_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """The same rows without lines, with short labels over all columns but the first, and priorities by their word."""
+    words = sheets(spark, sf, 10)[0]
+    label = F.element_at(F.array(*map(F.lit, ("", *SHORT))), ((F.col("x0") - 55.0) / 100.0 + 1.0).cast("int"))
+    text = F.when(F.col("top") == 103.0, label).when(F.col("x0") == 455.0, F.substring_index("text", "-", -1)).otherwise(F.col("text"))
+    grid, _ = whole_pages.unruled_tables(words.withColumn("text", text).where("text != ''"))
     return grid.select("doc_id", "page", F.col("row_no").cast("int").alias("row_no"), F.array_join("cells", "|").alias("cells"))
 
 
+def page_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages of a table with borders and a line of text below."""
+    words, pages = sheets(spark, sf, 20)
+    tail = pages.select("doc_id", "page", F.xxhash64("doc_id", "page").alias("word_id"), F.concat(F.lit("rows"), "last").alias("text"), F.lit(55.0).alias("x0"), F.lit(90.0).alias("x1"), F.lit(500.0).alias("top"), F.lit(509.0).alias("bottom"), F.lit(10.0).alias("size"), F.lit(True).alias("upright"))
+    size = pages.select("doc_id", "page", F.lit(600.0).alias("width"), F.lit(800.0).alias("height"))
+    rules, bars = borders_of(pages)
+    return whole_pages.page_texts(words.unionByName(tail), rules, size, 600.0, bars).select("doc_id", "page", md5(F.col("text")).alias("text_md5"))
+
+
 def ivf_stored_topk(spark: SparkSession, sf: str) -> DataFrame:
     """The search by cells through an index that was written and read again."""
     path = place(spark, "ivf")
@@ -124,11 +173,22 @@ def vector_split(spark: SparkSession, sf: str) -> DataFrame:
     return rows[0].unionByName(rows[1]).groupBy("side", "id").agg(F.round(F.sum(F.col("x") * (F.col("pos") + 1)), 6).alias("moment"))
 
 
-QUERIES = {f.__name__: f for f in (chunk_store, chunk_store_overwrite, answer_store, dense_cache, judged_queries, judge_verdict, compound_sources, plausible_tables, footnote_top, header_alignment, bordered_tables, ivf_stored_topk, vector_split)}
+QUERIES = {f.__name__: f for f in (chunk_store, chunk_store_overwrite, answer_store, dense_cache, judged_queries, judge_verdict, compound_sources, plausible_tables, footnote_top, header_alignment, bordered_tables, ruled_tables, unruled_tables, page_texts, ivf_stored_topk, vector_split)}
+
+WHOLE = f"list_transform({CELLS}, lambda c: replace(c, ' ', '_'))"
+
+
+def sheets_sql(a_page: int) -> str:
+    """The rows that ``sheets`` sets on pages."""
+    return f"o AS (SELECT o_custkey AS doc_id, (i // {a_page})::INTEGER AS page, (i % {a_page} + 1)::INTEGER AS row_no, {WHOLE} AS cells FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i FROM orders)), p AS (SELECT doc_id, page, max(row_no) AS last FROM o GROUP BY ALL), s AS (SELECT * FROM o UNION ALL SELECT doc_id, page, 0, list_transform({HEADS}, lambda c: replace(c, ' ', '_')) FROM p)"
+
 
 NUMBER = "^[\\[(]?[-+]?[0-9]"
 ORACLES = {
-    "bordered_tables": f"SELECT o_custkey AS doc_id, (i // 20)::INTEGER AS page, (i % 20)::INTEGER AS row_no, array_to_string({CELLS}, '|') AS cells FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i FROM orders)",
+    "bordered_tables": f"WITH {sheets_sql(20)} SELECT doc_id, page, row_no, array_to_string(cells, '|') AS cells FROM s",
+    "ruled_tables": f"WITH {sheets_sql(10)} SELECT doc_id, page, row_no, array_to_string(cells, '|') AS cells FROM s JOIN p USING (doc_id, page) WHERE last >= 2",
+    "unruled_tables": f"WITH {sheets_sql(10)} SELECT doc_id, page, row_no, CASE WHEN row_no = 0 THEN '|{'|'.join(SHORT)}' ELSE array_to_string(cells[1:4], '|') || '|' || split_part(cells[5], '-', 2) END AS cells FROM s JOIN p USING (doc_id, page) WHERE last >= 4",
+    "page_texts": f"WITH {sheets_sql(20)} SELECT doc_id, page, md5(string_agg('| ' || array_to_string(cells, ' | ') || ' |' || CASE WHEN row_no = 0 THEN chr(10) || '| --- | --- | --- | --- | --- |' ELSE '' END, chr(10) ORDER BY row_no) || chr(10) || chr(10) || 'rows' || max(last)) AS text_md5 FROM s JOIN p USING (doc_id, page) GROUP BY doc_id, page",
     "ivf_stored_topk": SEARCHED["ivf_probe_topk"],
     "vector_split": f"WITH {VECTORS}, s AS (SELECT 'base' AS side, * FROM u WHERE id % 2 = 1 ORDER BY id LIMIT 300), t AS (SELECT 'query' AS side, * FROM u WHERE id % 2 = 0 ORDER BY id LIMIT 20), x AS (SELECT side, id, unnest(list_transform(e, lambda x: x / CASE WHEN n = 0 THEN 1 ELSE n END)) AS x, unnest(range(1, len(e) + 1)) AS pos FROM (SELECT * FROM s UNION ALL SELECT * FROM t)) SELECT side, id, round(sum(x * pos), 6) AS moment FROM x GROUP BY side, id",
     "chunk_store": "SELECT doc_id AS id, source, md5(text) AS text_md5 FROM documents WHERE doc_id % 2 = 0 OR md5(text) NOT IN (SELECT md5(text) FROM documents WHERE doc_id % 2 = 0)",
