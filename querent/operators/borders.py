@@ -5,12 +5,18 @@ Tables: words as in ``pages``, rules (doc_id, page, x0, x1, top, height) for lev
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_right
 from collections import defaultdict
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from querent.operators.layout import PAGE, centre, line_bucket
+from querent.session import stored
 
 REGION = [*PAGE, "region"]
 
@@ -50,9 +56,12 @@ def page_cells(found: list[tuple[int, int, float, float]]) -> list[tuple[int, fl
     for level, upright, x, y in found:
         rows[level].append((x, upright))
         columns[upright].append((y, level))
+    for line in (*rows.values(), *columns.values()):
+        line.sort()
     cells = []
     for (level, upright), (x, y) in at.items():
-        opposite = ((level_2, upright_2) for y_2, level_2 in sorted(columns[upright]) if y_2 > y for x_2, upright_2 in sorted(rows[level]) if x_2 > x)
+        below, right = (line[bisect_right(line, (from_, math.inf)) :] for line, from_ in ((columns[upright], y), (rows[level], x)))
+        opposite = ((level_2, upright_2) for _, level_2 in below for _, upright_2 in right)
         if last := next((c for c in opposite if c in at), None):
             cells.append((x, at[last][0], y, at[last][1]))
     cells.sort(key=lambda c: (c[2], c[0]))
@@ -73,13 +82,19 @@ def page_cells(found: list[tuple[int, int, float, float]]) -> list[tuple[int, fl
 
 def cell_boxes(rules: DataFrame, bars: DataFrame) -> DataFrame:
     """(doc_id, page, region, x0, x1, top, bottom): the cells of tables of two cells or more, by page."""
-    import pandas as pd
 
-    def run(key, frame):
-        cells = page_cells(list(frame[["level", "upright", "x", "y"]].itertuples(index=False, name=None)))
-        return pd.DataFrame([(*key, *c) for c in cells], columns=[*REGION, "x0", "x1", "top", "bottom"])
-
-    cells = corners(rules, bars).groupBy(*PAGE).applyInPandas(run, "doc_id long, page int, region int, x0 double, x1 double, top double, bottom double")
+    def run(batches):
+        for batch in batches:
+            pages = zip(*(batch.column(n).to_pylist() for n in (*PAGE, "corners")), strict=True)
+            cells = [(doc, page, *cell) for doc, page, found in pages for cell in page_cells([tuple(c.values()) for c in found])]
+            columns = list(zip(*cells, strict=True)) or [()] * len(arrow)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    found = corners(rules, bars).groupBy(*PAGE).agg(F.collect_list(F.struct("level", "upright", "x", "y")).alias("corners"))
+    numbers = [T.StructField("region", T.IntegerType()), *(T.StructField(n, T.DoubleType()) for n in ("x0", "x1", "top", "bottom"))]
+    schema = T.StructType([*(found.schema[n] for n in PAGE), *numbers])
+    arrow = to_arrow_schema(schema)
+    cells = found.mapInArrow(run, schema)
     return cells.withColumn("n", F.count("*").over(Window.partitionBy(*REGION))).where("n > 1").drop("n")
 
 
@@ -87,7 +102,7 @@ def bordered_tables(words: DataFrame, rules: DataFrame, bars: DataFrame) -> tupl
     """Grids (doc_id, page, region, row_no, cells) of tables with borders, and their boxes; a cell that spans others leaves them empty."""
     own = Window.partitionBy(*REGION)
     cells = cell_boxes(rules, bars).withColumn("row_no", F.dense_rank().over(own.orderBy("top")) - 1).withColumn("col", F.dense_rank().over(own.orderBy("x0")) - 1)
-    cells = cells.withColumn("columns", F.max("col").over(own) + 1)
+    cells = stored(cells.withColumn("columns", F.max("col").over(own) + 1), "cell-boxes")
     at = words.select(*PAGE, "text", F.col("x0").alias("wx"), centre("x0", "x1").alias("cx"), centre("top", "bottom").alias("cy"), line_bucket(F.col("top")).alias("line"))
     fits = (F.col("cx") >= F.col("x0")) & (F.col("cx") < F.col("x1")) & (F.col("cy") >= F.col("top")) & (F.col("cy") < F.col("bottom"))
     inside = cells.join(at, PAGE).where(fits)

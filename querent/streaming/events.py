@@ -17,17 +17,20 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_trigger:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{sf_dir}/{name}[.]parquet")  # a pattern may name a file
 
 
-def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """All that a stream has now, written to the shared folder by a query that ends, and read from there."""
-    folder = f"{shared_dir(stream.sparkSession)}/querent-{name}-{uuid.uuid4().hex}"
+def drained(stream: DataFrame, name: str, mode: str = "append", folder: str | None = None) -> DataFrame:
+    """All that a stream has now, written to the shared folder by a query that ends, and read from there.
+
+    With a ``folder`` of its own a stream takes up where its last run stopped, and reads only what is new.
+    """
+    folder = folder or f"{shared_dir(stream.sparkSession)}/querent-{name}-{uuid.uuid4().hex}"
     query = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{folder}-state").format("parquet").option("path", folder).start()
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(folder)
 
 
-def ingested(stream: DataFrame, cut: Callable[[DataFrame], DataFrame], name: str = "chunks") -> DataFrame:
-    """The chunks of a stream of documents."""
-    return drained(cut(stream), name)
+def ingested(stream: DataFrame, cut: Callable[[DataFrame], DataFrame], name: str = "chunks", folder: str | None = None) -> DataFrame:
+    """The chunks of a stream of documents; with a ``folder`` those of earlier runs stay in it."""
+    return drained(cut(stream), name, folder=folder)
 
 
 def tumbling(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:

@@ -24,6 +24,14 @@ def test_stream_of_files_is_ingested_once(spark, tmp_path):
     assert got.count() == naive_chunks(docs, 500, 20).count() == 40
 
 
+def test_a_stream_with_a_folder_takes_up_where_it_stopped(spark, tmp_path):
+    path, cuts = f"{tmp_path}/documents.parquet", lambda d: naive_chunks(d, 500, 20)
+    for k in range(3):
+        spark.createDataFrame([(k, "x" * 900)], "doc_id long, text string").write.mode("append").parquet(path)
+        got = events.ingested(events.table_stream(spark, str(tmp_path), "documents"), cuts, folder=f"{tmp_path}/chunks")
+        assert sorted((r.doc_id, r.pos) for r in got.collect()) == [(d, p) for d in range(k + 1) for p in range(2)]
+
+
 def test_windows_in_batch_and_stream(spark, tmp_path):
     rows = [(k, at(k * 7), k % 3, "ab"[k % 2], float(k)) for k in range(40)]
     df = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double")
