@@ -8,7 +8,8 @@ reaches the running k-th score are multiplied out, in whole numbers. Where most
 block is multiplied out at once. Any orthonormal rotation gives the same result, so it is fitted on ``sample_rows``
 vectors of the smallest hashes; all vectors are searched.
 
-Queries and vectors meet in a grid of query blocks and vector blocks, each of bounded size.
+Queries and vectors meet in a grid of query blocks and vector blocks, each of bounded bytes: a vector is sent once for
+each query block that can reach it, so blocks are as large as a task holds, but vectors give each core a block.
 
 Nulls and edges: vectors that are null or hold null or non-finite components take no part, nor do rows of null ids.
 Shorter vectors count as filled up with zeros. Rows with a query's own id aren't its candidates; of several query rows
@@ -27,8 +28,10 @@ from querent.session import stored
 
 #: Slack of the bounds for the rounding of rotated sums, as a share of the product of lengths.
 SLACK = 1e-9
-#: Vectors of a block that are compared at once.
+#: Vectors and queries of a block that are compared at once.
 STEP = 1024
+#: Bytes of a block's vectors, and the rows up to which a block isn't cut further for the sake of idle cores.
+BLOCK_BYTES, LEAST_ROWS = 32 << 20, 8192
 
 
 def quantised(vectors: DataFrame, vec_id: str, embedding: str, scale: int) -> DataFrame:
@@ -113,8 +116,11 @@ def searched(queries: np.ndarray, query_ids: np.ndarray, floors: np.ndarray, vec
     return best
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, vec_id: str = "vec_id", embedding: str = "embedding", block_rows: int = 8192, query_rows: int = 1024, sample_rows: int = 4096) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k highest products of every query row with all rows but its own."""
+def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, vec_id: str = "vec_id", embedding: str = "embedding", block_rows: int | None = None, query_rows: int | None = None, sample_rows: int = 4096) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k highest products of every query row with all rows but its own.
+
+    ``block_rows`` and ``query_rows`` are the rows of a block; by default as many as BLOCK_BYTES hold.
+    """
     rows = stored(quantised(vectors, vec_id, embedding, scale), "vectors")
     asked = rows.where(is_query).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v"))
     asked = stored(asked.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))), "queries")
@@ -123,27 +129,35 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
     size = len(sample.column("v")[0]) if sample.num_rows else 1
     rotation = np.linalg.svd(matrix(sample, size).astype(float), full_matrices=True)[2].T if sample.num_rows else np.eye(1)
 
+    most = max(1, BLOCK_BYTES // (8 * size))
+    block_rows = block_rows or min(most, max(LEAST_ROWS, -(-total // vectors.sparkSession.sparkContext.defaultParallelism)))
+    query_rows = query_rows or most
     blocks, q_blocks = max(1, -(-total // block_rows)), max(1, -(-n_queries // query_rows))
     filed = stored(rows.repartitionByRange(blocks, F.desc("norm"), F.col("vec_id"), F.xxhash64("v")).withColumn("block", F.spark_partition_id()), "blocks")
     longest = {r.block: r.norm for r in filed.groupBy("block").agg(F.max("norm").alias("norm")).collect()}  # a number a block
     first = min(longest, default=0)
     asked = asked.withColumn("q_block", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int"))
 
+    schema = "query_id long, vec_id long, score long"
+    arrow = pa.schema([(n, pa.int64()) for n in ("query_id", "vec_id", "score")])
+
     def met(with_floor: bool):
         def run(queries: pa.Table, found: pa.Table) -> pa.Table:
             query_ids = queries.column("query_id").to_numpy()
             floors = queries.column("floor").to_numpy() if with_floor else np.full(len(query_ids), np.iinfo(np.int64).min)
             if not len(query_ids) or not found.num_rows:
-                best, query_ids = Best(0, k), query_ids[:0]
-            else:
-                best = searched(matrix(queries, size), query_ids, floors, matrix(found, size), found.column("vec_id").to_numpy(), rotation, k)
-            ok = best.ids != np.iinfo(np.int64).max
-            # rows without a hit still count for the queries' first scores
-            return pa.table({"query_id": np.repeat(query_ids, k)[ok.ravel()], "vec_id": best.ids[ok], "score": best.scores[ok]})
+                return arrow.empty_table()
+            asked, own, ids = matrix(queries, size), matrix(found, size), found.column("vec_id").to_numpy()
+            parts = []
+            for at in range(0, len(query_ids), STEP):
+                part = slice(at, at + STEP)
+                best = searched(asked[part], query_ids[part], floors[part], own, ids, rotation, k)
+                ok = best.ids != np.iinfo(np.int64).max
+                parts.append(pa.table([np.repeat(query_ids[part], k)[ok.ravel()], best.ids[ok], best.scores[ok]], schema=arrow))
+            return pa.concat_tables(parts)
 
         return run
 
-    schema = "query_id long, vec_id long, score long"
     every = F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))
     start = filed.where(F.col("block") == first).withColumn("q_block", every)
     near = stored(asked.groupBy("q_block").cogroup(start.groupBy("q_block")).applyInArrow(met(False), schema), "first-block")
@@ -175,6 +189,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
                 yield pa.RecordBatch.from_arrays([*(out.column(c) for c in ("vec_id", "v", "block")), pa.array(np.concatenate(wanted), pa.int32())], ["vec_id", "v", "block", "q_block"])
 
     right = filed.where(F.col("block") != first).select("vec_id", "v", "block").mapInArrow(sent, "vec_id long, v array<long>, block int, q_block int")
+
     def asking(batches):
         for batch in batches:
             counts = batch.column("reach").to_numpy()

@@ -39,6 +39,18 @@ def test_equals_all_pairs(spark, spread, block, query_block):
     assert sorted(map(tuple, got)) == brute(rows)
 
 
+def test_more_queries_than_a_step(spark):
+    """Blocks of the default size, whose queries are compared in steps."""
+    v = np.random.default_rng(5).integers(-300, 300, size=(3000, 4))
+    df = spark.createDataFrame([(k, [float(x) for x in r]) for k, r in enumerate(v.tolist())], "vec_id long, embedding array<float>")
+    got = topk.top_k(df, F.col("vec_id") % 2 == 0, k=3, scale=1).collect()
+    scores = v @ v.T
+    np.fill_diagonal(scores, -(2**60))
+    best = np.argsort(-scores, axis=1, kind="stable")[:, :3]
+    assert topk.STEP < 1500
+    assert sorted(map(tuple, got)) == [(q, r + 1, int(best[q, r]), int(scores[q, best[q, r]])) for q in range(0, 3000, 2) for r in range(3)]
+
+
 def test_few_vectors(spark):
     schema = "vec_id long, embedding array<float>"
     for rows in ([], [(7, [1.0, 2.0])], [(7, [1.0, 2.0]), (1, [0.5, 0.5]), (14, [-1.0, 0.0])], [(1, [1.0])], [(7, []), (8, [])]):
