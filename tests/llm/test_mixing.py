@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 import duckdb
 import pandas as pd
@@ -91,3 +92,11 @@ def test_clashing_names(spark):
     df = spark.createDataFrame([(1, "a", "x y z", 1, 2, 3), (2, "b", "u", 4, 5, 6)], "doc_id long, source string, text string, place int, mix_size int, Mix_Times int")
     got = mixing.repeated(df)
     assert got.columns == df.columns and {tuple(r) for r in got.collect()} <= {tuple(r) for r in df.collect()}
+
+
+def test_texts_without_words_are_repeated_like_others(spark):
+    rows = [(k, "w " * 10, "a") for k in range(20)] + [(100 + k, "", "a") for k in range(20)] + [(200 + k, None, "z") for k in range(5)] + [(300, "x y", "b")]
+    got = mixing.repeated(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    times = Counter(r.doc_id for r in got)
+    assert sum(times[k] for k in range(20)) == 30 and all(times[k] in (1, 2) for k in [*range(20), *range(100, 120)])
+    assert [times[k] for k in (*range(200, 205), 300)] == [1, 1, 1, 1, 1, 2]

@@ -118,7 +118,7 @@ def test_long_texts_clashing_names_and_repeated_rows(spark, tmp_path):
         if name == "simhash_near_dedup":
             ids = sorted(r.doc_id for r in docs.select("doc_id").collect())
             assert len(ids) == len(set(ids)) and {0, 30, 31, 33} <= set(ids) and 32 not in ids
-    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    got = corpus_pipeline.tokens(spark, docs, str(tmp_path)).collect()
     assert {r.doc_id for r in got} == {r.doc_id for r in docs.select("doc_id").collect()} and all(len(r.ids) == r.n_tokens for r in got)
 
 
