@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querent.llm import bpe, mixing, pii, simhash, substrings, tiff, tokencount, topk, toxicity, warc
+from querent.llm import bpe, langid, mixing, pii, simhash, substrings, tiff, tokencount, topk, toxicity, warc
 from querent.tables import table
 
 
@@ -78,6 +78,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op12_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identified(docs, langid.trained(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_topk": op2_topk,
@@ -89,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_substrings": op9_substrings,
     "op10_simhash": op10_simhash,
+    "op12_langid": op12_langid,
 }
 
 ORACLES: dict[str, str] = {
