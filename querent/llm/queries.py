@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querent.llm import bpe, langid, mixing, pii, simhash, substrings, tiff, tokencount, topk, toxicity, warc
+from querent.llm import bpe, langid, mixing, pii, repair, simhash, substrings, tiff, tokencount, topk, toxicity, warc
 from querent.tables import table
 
 
@@ -83,6 +83,10 @@ def op12_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified(docs, langid.trained(docs))
 
 
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.audited(repair.damaged(table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_topk": op2_topk,
@@ -95,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_substrings": op9_substrings,
     "op10_simhash": op10_simhash,
     "op12_langid": op12_langid,
+    "op13_repair": op13_repair,
 }
 
 ORACLES: dict[str, str] = {
