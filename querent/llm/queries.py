@@ -106,4 +106,5 @@ ORACLES: dict[str, str] = {
     "op2_topk": topk.SQL.format(vectors="embeddings"),
     "op5_mixing": mixing.SQL.format(documents="documents"),
     "op6_warc": warc.SQL.format(pages="pages"),
+    "op13_repair": repair.sql("conversations"),
 }

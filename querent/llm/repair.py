@@ -478,3 +478,72 @@ def audited(rows: DataFrame, most_rows: int = ROWS, most_text: int = TEXT) -> Da
 def repaired(rows: DataFrame, most_rows: int = ROWS, most_text: int = TEXT) -> DataFrame:
     """(conv_id, place, role, text): the messages of every repaired conversation of ``damaged`` or ``plain``, from place 0."""
     return passes(rows, True, most_rows, most_text)
+
+
+def sql(conversations: str) -> str:
+    """DuckDB SQL for ``audited(damaged(...))``; states are structs of cost, audit and repaired messages, which compare in that order."""
+    NEVER = "1000000000000"  # noqa: N806
+
+    def edit(cost: str, audit: str = "''", messages: str = "''") -> str:
+        return f"{{c: {cost}, a: {audit}, o: {messages}}}"
+
+    def delete(q: str) -> str:
+        return edit(f"{q}.c + {DELETE}", f"{q}.a || 'D'", f"{q}.o")
+
+    def keep(q: str, initial: str) -> str:
+        return edit(f"{q}.c + x + CASE WHEN i = '{initial}' THEN 0 ELSE {NEVER} END", f"{q}.a || 'K'", f"{q}.o || chr(10) || role || ':' || text")
+
+    def rerole(q: str, name: str) -> str:
+        return edit(f"{q}.c + x + {REROLE}", f"{q}.a || 'R'", f"{q}.o || chr(10) || '{name}:' || text")
+
+    def insert(q: str, name: str) -> str:
+        return edit(f"{q}.c + {INSERT}", f"{q}.a || 'I'", f"{q}.o || chr(10) || '{name}:'")
+
+    return rf"""
+WITH RECURSIVE steps AS (  -- the table of the checksum, by its rule
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), kinds AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT)),
+             lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295::BIGINT) % 20 AS kind
+  FROM {conversations}, steps
+), rows AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE kind WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM kinds
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS k FROM rows
+), faults AS (
+  SELECT *, left(role, 1) AS i, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 AS again,
+         NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS cut,
+         left(role, 1) || left(lead(role) OVER (PARTITION BY conv_id ORDER BY k), 1) AS pair
+  FROM placed
+), counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (blank) AS blank,
+         count(*) FILTER (again AND NOT blank) AS duplicate, count(*) FILTER (cut AND NOT blank AND NOT again) AS truncated,
+         count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(k) AS n
+  FROM faults GROUP BY conv_id
+), walk AS (  -- the best edits that leave nothing, a system, a user's or an assistant's message last
+  SELECT conv_id, 0::BIGINT AS k, {edit("0")} AS s0, {edit(NEVER)} AS s1, {edit(NEVER)} AS s2, {edit(NEVER)} AS s3
+  FROM counts
+  UNION ALL
+  SELECT conv_id, k, list_min([{delete("s0")}]), list_min([{delete("s1")}, {keep("s0", "s")}]),
+         list_min([{delete("u")}, {keep("s0", "u")}, {keep("s1", "u")}, {keep("a", "u")}, {rerole("s0", "user")}, {rerole("s1", "user")}, {rerole("a", "user")}]),
+         list_min([{delete("a")}, {keep("u", "a")}, {rerole("u", "assistant")}])
+  FROM (SELECT *, list_min([s3, {insert("u", "assistant")}]) AS a
+        FROM (SELECT w.conv_id, f.k, s0, s1, s3, list_min([s2, {insert("s0", "user")}, {insert("s1", "user")}, {insert("s3", "user")}]) AS u,
+                     role, text, i, CASE WHEN blank OR again THEN {NEVER} WHEN cut THEN 5 ELSE 0 END AS x
+              FROM walk w JOIN faults f ON w.conv_id IS NOT DISTINCT FROM f.conv_id AND f.k = w.k + 1))
+), ends AS (
+  SELECT conv_id, k, s0, s3, list_min([s2, {insert("s0", "user")}, {insert("s1", "user")}, {insert("s3", "user")}]) AS u FROM walk
+), best AS (
+  SELECT conv_id, k, list_min([s0, s3, {insert("u", "assistant")}]) AS b FROM ends
+)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(b.c, 0)::BIGINT AS cost, coalesce(b.a, '') AS audit, sha256(coalesce(substr(b.o, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM {conversations}) o
+LEFT JOIN counts c ON o.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN best b ON o.conv_id IS NOT DISTINCT FROM b.conv_id AND b.k = c.n
+"""

@@ -4,6 +4,7 @@ import re
 import zlib
 from itertools import product
 
+import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -209,3 +210,11 @@ def test_registered_query(spark):
     for r in spark.read.parquet(f"{sf}/conversations.parquet").collect():
         by_conv.setdefault(r.conv_id, []).extend(broken(r.conv_id, r.turn, r.role, r.text))
     assert {r.conv_id: tuple(r)[1:] for r in queries.op13_repair(spark, sf).collect()} == {c: wanted(sorted(own, key=order))[0] for c, own in by_conv.items()}
+
+
+def test_sql_says_the_same(spark):
+    rows, df = table(spark)
+    con = duckdb.connect()
+    con.register("given", df.select("conv_id", "turn", "role", "text").toArrow())
+    got = [tuple(r) for r in repair.audited(repair.damaged(df.where("conv_id is null or conv_id != 8"))).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, con.sql(repair.sql("(SELECT * FROM given WHERE conv_id IS DISTINCT FROM 8)")).fetchall()))
