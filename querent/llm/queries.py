@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querent.llm import bpe, langid, mixing, pii, repair, simhash, substrings, tiff, tokencount, topk, toxicity, warc
+from querent.llm import bpe, divergence, langid, mixing, pii, repair, simhash, substrings, tiff, tokencount, topk, toxicity, warc
 from querent.tables import table
 
 
@@ -78,6 +78,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audited(table(spark, sf_dir, "documents"))
+
+
 def op12_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identified(docs, langid.trained(docs))
@@ -98,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_substrings": op9_substrings,
     "op10_simhash": op10_simhash,
+    "op11_divergence": op11_divergence,
     "op12_langid": op12_langid,
     "op13_repair": op13_repair,
 }
@@ -106,5 +111,6 @@ ORACLES: dict[str, str] = {
     "op2_topk": topk.SQL.format(vectors="embeddings"),
     "op5_mixing": mixing.SQL.format(documents="documents"),
     "op6_warc": warc.SQL.format(pages="pages"),
+    "op11_divergence": divergence.SQL.format(documents="documents"),
     "op13_repair": repair.sql("conversations"),
 }
