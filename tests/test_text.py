@@ -198,3 +198,27 @@ def test_white_space_is_that_of_any_script(spark):
     df = spark.createDataFrame([(k, t) for k, t in enumerate(odd)], "k int, t string")
     for r in df.select("k", text.stripped(F.col("t")).alias("s"), text.tokens(F.col("t")).alias("w"), text.titled(F.lit("\u00a0"), F.col("t")).alias("titled")).collect():
         assert (r.s, r.w, r.titled) == (odd[r.k].strip(), odd[r.k].lower().split(), odd[r.k].strip())
+
+
+def test_long_runs_of_white_space():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from querent.functions.tokens import ordinary_tokens
+
+    e = chunking.public_encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for run in (" " * 5000, "\n" * 5001, "\t \n" * 3000, "\u3000" * 4500, " \x85" * 2500, " " * 4095):
+        for t in (run, f"Some prose.{run}More of it.", f"{run}x", f"x{run}", f"a{run}b{run}\n1"):
+            assert ordinary_tokens(e, t) == library.encode(t, add_special_tokens=False).ids
+    for run in (" " * 10**7, "\n" * 10**7):
+        ids = ordinary_tokens(e, f"Some prose.{run}More of it.")
+        assert e.decode(ids) == f"Some prose.{run}More of it."
+
+
+def test_chunks_of_long_white_space(spark):
+    import public_tokenizers
+
+    docs = spark.createDataFrame([(1, " " * 10**6), (2, "Some prose" + "\n" * 10**6 + "and more. The end."), (3, "Some prose" + " " * 10**6 + "and more. The end.")], "doc_id long, text string")
+    rows = chunking.token_chunks(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")).collect()
+    assert {r.doc_id for r in rows} == {2, 3} and all(r.n_tokens <= 200 for r in rows)
