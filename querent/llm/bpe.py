@@ -11,7 +11,7 @@ Words must part before a space or line feed that follows a visible ASCII charact
 a byte-level tokenizer runs over that place, and neither side depends on the other.
 
 Nulls and edges: a null text is empty; an empty text has no tokens. Very long texts are cut like all others, a stretch
-without a place where words must part being one piece. Repeated rows give repeated rows, an empty table none; other columns
+without a place where words must part being one piece; long runs of white space in one are words of their own. Repeated rows give repeated rows, an empty table none; other columns
 are ignored.
 """
 
@@ -27,6 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from querent.functions.tokens import LONG_SPACE, stretches, word_tokens
 from querent.llm.arrow import by_columns
 
 #: Bytes of the rolling window (a power of two), log2 of the mean chunk length, most bytes of a chunk, bytes of cached chunks of a worker.
@@ -122,10 +123,17 @@ class ChunkedBpe:
 
     def raw(self, texts: list[bytes]) -> list[np.ndarray]:
         if self.ranks is not None:
-            return [self.ranks.encode_to_numpy(t.decode(), allowed_special=self.special, disallowed_special=()) for t in texts]
+            return [self.ranked_ids(t.decode()) for t in texts]
         found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
         return [np.array(e.ids, np.uint32) for e in found]
 
+    def ranked_ids(self, text: str) -> np.ndarray:
+        """The ids of a text, its long runs of white space as the single words that they are."""
+        whole = lambda part: self.ranks.encode_to_numpy(part, allowed_special=self.special, disallowed_special=())
+        if len(text) < LONG_SPACE:
+            return whole(text)
+        return np.concatenate([np.array(word_tokens(self.ranks, part), np.uint32) if space else whole(part) for part, space in stretches(text)])
+
     def chunk(self, data: bytes, ids: np.ndarray) -> Chunk:
         array = np.frombuffer(data, np.uint8)
         parts = np.flatnonzero(((array[1:] == 0x20) | (array[1:] == 0x0A)) & (array[:-1] > 0x20) & (array[:-1] < 0x7F)) + 1

@@ -82,3 +82,22 @@ def test_every_character_parts_words_as_in_the_library():
     texts = ["".join(f"a{c}1 {c}{c}b! " for c in points[k : k + 256]) for k in range(0, len(points), 256)]
     for text, ids in zip(texts, own.raw([t.encode() for t in texts]), strict=True):
         assert ids.tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize(("run", "n"), [*((r, n) for r in (" ", "\n", " \n\t") for n in (4095, 4097, 300_001)), (" ", 10**7), ("\n", 10**7)])
+def test_long_white_space_is_that_of_the_library(run, n):
+    own = bpe.ChunkedBpe(PATH)
+    run = (run * n)[:n]
+    for text in (run, f"Some prose.{run}More of it.{run[:5000]}x"):
+        want = LIBRARY.encode(text, add_special_tokens=False).ids
+        ids = own.encode([text])[0]
+        assert np.array_equal(ids, np.array(want, np.uint32)) and own.decode(ids) == text
+
+
+def test_query_with_long_white_space(spark):
+    texts = [" " * 10**6, "\n" * 10**6, f"Prose{' ' * 10**6}goes on.", "short"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for row in bpe.digests(docs, PATH).collect():
+        ids = LIBRARY.encode(texts[row.doc_id], add_special_tokens=False).ids
+        assert (row.n_tokens, row.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+        assert row.decoded_sha256 == hashlib.sha256(texts[row.doc_id].encode()).hexdigest()
