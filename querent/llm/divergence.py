@@ -2,7 +2,7 @@
 
 Each task folds whole documents into stripes, one per language and term: the number of documents, and the occurrences by
 source. A task spills its stripes into the exchange when they hold ``ENTRIES`` counts or ``BYTES`` bytes of words, so a frequent
-term leaves a task a few times whatever its documents. Stripes of a term meet sorted by key and are merged as they stream by;
+term leaves a task a few times whatever its documents. Stripes of a term meet by key and are merged;
 those of terms in at least ``least`` documents of a language are kept.
 
 With count c of a term, N of all kept terms and V kept terms, p = 1 + floor(10^9 (c + 1) / (N + V)), and p diverges from q by
@@ -23,7 +23,8 @@ An empty table gives no rows. Other columns, whatever their names, are ignored.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ from querent.llm.arrow import memory_returned, slices
 from querent.session import stored
 
 #: Counts and bytes of words of the stripes that a task holds, bytes of text cut into words at once, pairs of sources worked out at once.
-ENTRIES, BYTES, BLOCK, PAIRS = 200_000, 16 << 20, 1 << 20, 1 << 20
+ENTRIES, BYTES, BLOCK, PAIRS = 400_000, 16 << 20, 1 << 20, 1 << 20
 #: Sources of a stripe that stand in one row.
 WIDEST = 1 << 16
 SALTS = 16
@@ -63,59 +64,63 @@ class Stripes:
     """(documents, occurrences by source) of the terms of a task, by language."""
 
     def __init__(self):
-        self.held: dict[tuple[bytes, bytes], list] = {}
+        self.held: dict[str, dict[bytes, list]] = {}
         self.entries = self.bytes = 0
 
-    def fold(self, lang: bytes, source: bytes, text: bytes) -> None:
-        for term, n in [(DOCUMENTS, 0), *terms(text).items()]:
-            if (stripe := self.held.get((lang, term))) is None:
-                stripe = self.held[lang, term] = [0, {}]
+    def fold(self, lang: str, source: str, text: bytes) -> None:
+        held = self.held.setdefault(lang, {})
+        found = terms(text)
+        found[DOCUMENTS] = 0
+        for term, n in found.items():
+            stripe = held.get(term)
+            if stripe is None:
+                held[term] = [1, {source: n}]
                 self.bytes += len(term)
+                self.entries += 1
+                continue
             stripe[0] += 1
-            if source in stripe[1]:
-                stripe[1][source] += n
+            sources = stripe[1]
+            if source in sources:
+                sources[source] += n
             else:
-                stripe[1][source] = n
+                sources[source] = n
                 self.entries += 1
 
     def full(self, entries: int) -> bool:
         return self.entries >= entries or self.bytes >= BYTES
 
-    def spilled(self) -> Iterator[tuple[bytes, bytes, int, dict[bytes, int]]]:
-        held, self.held, self.entries, self.bytes = self.held, {}, 0, 0
-        for (lang, term), (documents, sources) in held.items():
-            yield lang, term, documents, sources
-
-
-STRIPE = pa.schema([("lang", pa.string()), ("term", pa.string()), ("documents", pa.int64()), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("total", pa.int64()), ("width", pa.int64())])
-STRIPE_DDL = "lang string, term string, documents long, sources array<string>, counts array<long>, total long, width long"
-Stripe = tuple[bytes, bytes, int, dict[bytes, int]]
+    def spilled(self) -> Iterator[pa.RecordBatch]:
+        """The stripes as batches of bounded size; one with many sources is cut, and its documents are said once."""
+        for lang, held in self.held.items():
+            rows, size = [], 0
+            for term, (documents, sources) in held.items():
+                if len(sources) <= WIDEST:
+                    rows.append((term, documents, sources))
+                else:
+                    names = list(sources)
+                    for at in range(0, len(names), WIDEST):
+                        rows.append((term, documents if at == 0 else 0, {s: sources[s] for s in names[at : at + WIDEST]}))
+                size += len(sources) + len(term) // 8
+                if size >= WIDEST:
+                    yield batch(lang, rows)
+                    rows, size = [], 0
+            if rows:
+                yield batch(lang, rows)
+        self.held, self.entries, self.bytes = {}, 0, 0
 
 
-def as_batches(stripes: Iterable[Stripe]) -> Iterator[pa.RecordBatch]:
-    """Stripes as batches of bounded size; one with many sources is cut, and its documents are said once."""
+STRIPE = pa.schema([("lang", pa.string()), ("term", pa.string()), ("documents", pa.int64()), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
 
-    def batch() -> pa.RecordBatch:
-        raw = {"lang": pa.binary(), "term": pa.binary(), "sources": pa.list_(pa.binary())}
-        columns = zip(STRIPE, zip(*held, strict=True), strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(c, raw.get(f.name, f.type)).cast(f.type) for f, c in columns], schema=STRIPE)
 
-    held, size = [], 0
-    for lang, term, documents, sources in stripes:
-        names, total = list(sources), sum(sources.values())
-        for at in range(0, len(names), WIDEST):
-            own = names[at : at + WIDEST]
-            held.append((lang, term, documents if at == 0 else 0, own, [sources[s] for s in own], total, len(names)))
-            size += len(own) + len(term) // 8
-            if len(held) >= 4096 or size >= WIDEST:
-                yield batch()
-                held, size = [], 0
-    if held:
-        yield batch()
+def batch(lang: str, rows: list[tuple[bytes, int, dict[str, int]]]) -> pa.RecordBatch:
+    names, documents, sources = zip(*rows, strict=True)
+    ends = pa.array(np.cumsum([0, *map(len, sources)]), pa.int32())
+    spread = lambda values, kind: pa.ListArray.from_arrays(ends, pa.array(list(chain.from_iterable(values)), kind))
+    return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang), len(rows)), pa.array(names, pa.binary()).cast(pa.string()), pa.array(documents, pa.int64()), spread(sources, pa.string()), spread((s.values() for s in sources), pa.int64())], schema=STRIPE)
 
 
 def folded(docs: DataFrame, entries: int = ENTRIES) -> DataFrame:
-    """The stripes of every task; of a term there are as many as tasks and spills had it."""
+    """(lang, term, documents, sources, counts): the stripes of every task; of a term there are as many as tasks and spills had it."""
 
     def run(batches):
         stripes = Stripes()
@@ -123,37 +128,23 @@ def folded(docs: DataFrame, entries: int = ENTRIES) -> DataFrame:
             for row in zip(*part.to_pydict().values(), strict=True):
                 stripes.fold(*row)
                 if stripes.full(entries):
-                    yield from as_batches(stripes.spilled())
-        yield from as_batches(stripes.spilled())
+                    yield from stripes.spilled()
+        yield from stripes.spilled()
         memory_returned()
 
-    read = [F.coalesce(F.col(c).cast("string"), F.lit("")).cast("binary").alias(c) for c in ("lang", "source", "text")]
-    return docs.select(read).mapInArrow(run, STRIPE_DDL)
+    read = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")]
+    return docs.select(*read, F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInArrow(run, "lang string, term string, documents long, sources array<string>, counts array<long>")
 
 
 def merged(stripes: DataFrame, least: int) -> DataFrame:
-    """One stripe per language and term in at least ``least`` documents, and one of each language's documents."""
-
-    def met(batches) -> Iterator[Stripe]:
-        key, documents, sources = None, 0, {}
-        for part in slices(batches):
-            for lang, term, n, names, counts in zip(*part.to_pydict().values(), strict=True):
-                if key != (lang, term):
-                    if key and (documents >= least or key[1] == DOCUMENTS):
-                        yield *key, documents, sources
-                    key, documents, sources = (lang, term), 0, {}
-                documents += n
-                for name, count in zip(names, counts, strict=True):
-                    sources[name] = sources.get(name, 0) + count
-        if key and (documents >= least or key[1] == DOCUMENTS):
-            yield *key, documents, sources
-
-    def run(batches):
-        yield from as_batches(met(batches))
-        memory_returned()
+    """(lang, term, own array<(source, n)>, total): one stripe per language and term in at least ``least`` documents, and one of each language's documents.
 
-    binary = [F.col("lang").cast("binary").alias("lang"), F.col("term").cast("binary").alias("term"), "documents", F.col("sources").cast("array<binary>").alias("sources"), "counts"]
-    return stripes.repartition("lang", "term").sortWithinPartitions("lang", "term").select(binary).mapInArrow(run, STRIPE_DDL)
+    The exchange by key serves both sums.
+    """
+    met = stripes.repartition("lang", "term").select("lang", "term", F.posexplode(F.arrays_zip("sources", "counts")).alias("k", "own"), "documents")
+    counts = met.groupBy("lang", "term", F.col("own.sources").alias("source")).agg(F.sum("own.counts").alias("n"), F.sum(F.when(F.col("k") == 0, F.col("documents")).otherwise(0)).alias("documents"))
+    whole = counts.groupBy("lang", "term").agg(F.collect_list(F.struct("source", "n")).alias("own"), F.sum("n").alias("total"), F.sum("documents").alias("documents"))
+    return whole.where((F.col("documents") >= least) | (F.col("term") == "")).drop("documents")
 
 
 def share(count: str, total: str, kept: str) -> Column:
@@ -248,8 +239,8 @@ def audited(docs: DataFrame, least: int = 3, most: int = 200, entries: int = ENT
     """(lang, source, part, item, value, rank): all other sources of each source's language, and its ``most`` most telling terms."""
     stripes = stored(merged(folded(docs, entries), least), "stripes")
     terms_only = F.col("term") != ""
-    langs = stripes.groupBy("lang").agg(F.coalesce(F.sum(F.when(terms_only & (F.col("documents") > 0), 1)), F.lit(0)).alias("kept"), F.sum(F.when(F.col("documents") > 0, F.col("total"))).alias("lang_total"))
-    counts = stripes.select("lang", "term", "total", "width", F.explode(F.arrays_zip("sources", "counts")).alias("own")).select("lang", "term", "total", "width", F.col("own.sources").alias("source"), F.col("own.counts").alias("n"))
+    langs = stripes.groupBy("lang").agg(F.count_if(terms_only).alias("kept"), F.sum("total").alias("lang_total"))
+    counts = stripes.select("lang", "term", "total", F.size("own").alias("width"), F.inline("own"))
     groups = counts.groupBy("lang", "source").agg(F.sum("n").alias("source_total")).join(langs, "lang")
     groups = stored(groups.withColumn("none", share("0", "source_total", "kept")), "sources")
     held = stored(counts.where(terms_only).join(groups, ["lang", "source"]).withColumn("p", share("n", "source_total", "kept")), "counts")
@@ -260,15 +251,20 @@ def audited(docs: DataFrame, least: int = 3, most: int = 200, entries: int = ENT
 
     some = held.groupBy("lang", "source", "p").agg(F.count("*").alias("times")).groupBy("lang", "source").agg(F.collect_list(F.struct("p", "times")).alias("some"))
     sources = stored(groups.join(some, ["lang", "source"], "left").select("lang", "source", "kept", "none", F.coalesce("some", F.array().cast("array<struct<p:long,times:long>>")).alias("some")), "sources")
-    one = sources.withColumn("salt", F.pmod(F.xxhash64("source"), F.lit(SALTS)))
-    other = sources.select(F.col("lang").alias("its_lang"), F.col("source").alias("item"), F.col("none").alias("its_none"), F.col("some").alias("its_some"), F.explode(F.array(*(F.lit(k).cast("long") for k in range(SALTS)))).alias("its_salt"))
-    pairs = one.join(other, (F.col("lang") == F.col("its_lang")) & (F.col("salt") == F.col("its_salt")) & (F.col("source") != F.col("item")))
-    absent = apart(F.col("none"), F.col("its_none"))
-    own = F.aggregate("some", F.lit(0).cast("long"), lambda total, x: total + x["times"] * (apart(x["p"], F.col("its_none")) - absent))
-    its = F.aggregate("its_some", F.lit(0).cast("long"), lambda total, x: total + x["times"] * (apart(F.col("none"), x["p"]) - absent))
-    apart_only = pairs.select("lang", "source", "item", F.coalesce(F.col("kept") * absent + own + its, F.lit(0)).alias("value"))
+    its = sources.select(F.col("lang").alias("its_lang"), F.col("source").alias("its"), F.col("none").alias("its_none"), F.explode(F.array(*(F.lit(k).cast("long") for k in range(SALTS)))).alias("salt"))
+    salt = F.pmod(F.xxhash64("source"), F.lit(SALTS))
+    pairs = sources.join(its, (F.col("lang") == F.col("its_lang")) & (salt == F.col("salt")) & (F.col("source") != F.col("its")))
+
+    def alone(p: Callable[[Column], Column], q: Callable[[Column], Column], absent: Column) -> Column:
+        """What the terms of a source add where the other hasn't them."""
+        return F.coalesce(F.aggregate("some", F.lit(0).cast("long"), lambda total, x: total + x["times"] * (apart(p(x["p"]), q(x["p"])) - absent)), F.lit(0))
+
+    none, its_none = F.col("none"), F.col("its_none")
+    absent = apart(none, its_none)
+    own = pairs.select("lang", "source", F.col("its").alias("item"), (F.coalesce(F.col("kept") * absent, F.lit(0)) + alone(lambda p: p, lambda p: its_none, absent)).alias("value"))
+    other = pairs.select("lang", F.col("its").alias("source"), F.col("source").alias("item"), alone(lambda p: its_none, lambda p: p, apart(its_none, none)).alias("value"))
     together = both_present(held.where("width > 1"))
-    by_source = ranked(apart_only.unionByName(together).groupBy("lang", "source", "item").agg(F.sum("value").alias("value")), "pair")
+    by_source = ranked(own.unionByName(other).unionByName(together).groupBy("lang", "source", "item").agg(F.sum("value").alias("value")), "pair")
     return by_source.unionByName(by_term)
 
 
