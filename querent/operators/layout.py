@@ -53,17 +53,20 @@ def lines(words: DataFrame, keys: list[str] = PAGE) -> DataFrame:
     return own.groupBy(*keys, "line").agg(parts.alias("text"))
 
 
-def gutter_bins(words: DataFrame, width: float, keys: list[str] = PAGE) -> DataFrame:
-    """(doc_id, page, bin, n): words by the bin of their centre between 30 and 70 % of the width, empty bins included."""
+def gutter_bins(words: DataFrame, width: float | Column, keys: list[str] = PAGE) -> DataFrame:
+    """(doc_id, page, bin, n): words by the bin of their centre between 30 and 70 % of the width, empty bins included.
+
+    A width that differs by page is a column of ``keys``.
+    """
     low, high = width * 0.30, width * 0.70
-    bins = int((high - low) / BIN) + 1
+    bins = F.floor((high - low) / BIN).cast("int") + 1 if isinstance(width, Column) else int((high - low) / BIN) + 1
     own = words.withColumn("x", centre("x0", "x1")).where(F.col("x").between(low, high))
     counted = own.groupBy(*keys, F.least(F.floor((F.col("x") - low) / BIN), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
     every = counted.select(*keys).distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     return every.join(counted, [*keys, "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-def gutters(words: DataFrame, width: float, keys: list[str] = PAGE) -> DataFrame:
+def gutters(words: DataFrame, width: float | Column, keys: list[str] = PAGE) -> DataFrame:
     """(doc_id, page, split): the x of the gutter of pages with two columns.
 
     It is the middle of the longest run of nearly empty bins between full ones, 6 points wide or more, near the middle of the text.

@@ -107,9 +107,12 @@ def captions(words: DataFrame) -> DataFrame:
     return first.select(*PAGE, F.trim(F.regexp_extract("text", r"(Table\s+[0-9]+[:.][^\n]{0,60})", 1)).alias("caption"))
 
 
-def body_text(words: DataFrame, width: float) -> DataFrame:
-    """(doc_id, page, body): lines left column first, large short ones as headings, on one line of clean text."""
-    split = layout.gutters(words, width)
+def body_text(words: DataFrame, width: float | None) -> DataFrame:
+    """(doc_id, page, body): lines left column first, large short ones as headings, on one line of clean text.
+
+    Without one ``width`` of all pages, words have their page's.
+    """
+    split = layout.gutters(words, width) if width is not None else layout.gutters(words, F.col("width"), [*PAGE, "width"]).drop("width")
     side = words.join(split, PAGE, "left").withColumn("side", F.when(F.col("split").isNull() | (centre("x0", "x1") < F.col("split")), F.lit(0)).otherwise(F.lit(1)))
     lines = layout.lines(side, keys=[*PAGE, "side"])
     median = words.groupBy(*PAGE).agg(F.median("size").alias("mid"))
@@ -122,20 +125,24 @@ def body_text(words: DataFrame, width: float) -> DataFrame:
 
 
 def drawn_tables(words: DataFrame, rules: DataFrame, pages: DataFrame, bars: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Grids and boxes of tables with borders, and on pages without one those of tables with level rules only."""
+    """Grids and boxes of tables with borders, and on pages without one those of tables with level rules only.
+
+    Sides of rectangles (``edge`` of rules, where they say so) are borders but no rules of their own.
+    """
+    alone = rules.where("NOT edge").drop("edge") if "edge" in rules.columns else rules
     if bars is None:
-        return ruled_tables(words, rules, pages)
+        return ruled_tables(words, alone, pages)
     grid, boxes = (stored(x, "bordered") for x in bordered_tables(words, rules, bars))
     rest = pages.join(boxes.select(*PAGE).distinct(), PAGE, "left_anti")
-    ruled, ruled_boxes = ruled_tables(words, rules, rest)
+    ruled, ruled_boxes = ruled_tables(words, alone, rest)
     number = F.col("region").cast("long").alias("region")
     return tuple(a.unionByName(b) for a, b in ((grid.select(*PAGE, number, "row_no", "cells"), ruled.select(*PAGE, number, "row_no", "cells")), (boxes, ruled_boxes)))
 
 
-def page_texts(words: DataFrame, rules: DataFrame, pages: DataFrame, width: float, bars: DataFrame | None = None) -> DataFrame:
+def page_texts(words: DataFrame, rules: DataFrame, pages: DataFrame, width: float | None = None, bars: DataFrame | None = None) -> DataFrame:
     """(doc_id, page, text): the page's tables as Markdown, then its body; rotated words, footnotes and table words left out of the body.
 
-    ``bars`` (doc_id, page, x, top, bottom) are the upright lines of borders.
+    ``bars`` (doc_id, page, x, top, bottom) are the upright lines of borders. ``width`` stands for the widths of ``pages`` where it is given.
     """
     upright = words.where("upright")
     ruled, boxes = drawn_tables(words, rules, pages, bars)
@@ -143,7 +150,8 @@ def page_texts(words: DataFrame, rules: DataFrame, pages: DataFrame, width: floa
     body = layout.outside(upright.join(layout.footnote_tops(pages, rules), PAGE).where("top < footnote_top"), boxes)
     body = stored(body, "body-words")
     unruled, consumed = unruled_tables(body)
-    body = body_text(stored(body.join(consumed, "word_id", "left_anti"), "body"), width)
+    body = body.join(consumed, "word_id", "left_anti")
+    body = body_text(stored(body if width is not None else body.drop("width").join(pages.select(*PAGE, "width"), PAGE), "body"), width)
 
     def rendered(grid: DataFrame, keys: list[str], kind: int) -> DataFrame:
         rows = grid.withColumn("grid_id", F.struct(*keys))

@@ -148,13 +148,18 @@ def unruled_tables(spark: SparkSession, sf: str) -> DataFrame:
     return grid.select("doc_id", "page", F.col("row_no").cast("int").alias("row_no"), F.array_join("cells", "|").alias("cells"))
 
 
-def page_texts(spark: SparkSession, sf: str) -> DataFrame:
-    """Pages of a table with borders and a line of text below."""
+def paper(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Words, rules, sizes and bars of pages of a table with borders and a line of text below."""
     words, pages = sheets(spark, sf, 20)
     tail = pages.select("doc_id", "page", F.xxhash64("doc_id", "page").alias("word_id"), F.concat(F.lit("rows"), "last").alias("text"), F.lit(55.0).alias("x0"), F.lit(90.0).alias("x1"), F.lit(500.0).alias("top"), F.lit(509.0).alias("bottom"), F.lit(10.0).alias("size"), F.lit(True).alias("upright"))
     size = pages.select("doc_id", "page", F.lit(600.0).alias("width"), F.lit(800.0).alias("height"))
     rules, bars = borders_of(pages)
-    return whole_pages.page_texts(words.unionByName(tail), rules, size, 600.0, bars).select("doc_id", "page", md5(F.col("text")).alias("text_md5"))
+    return words.unionByName(tail), rules, size, bars
+
+
+def page_texts(spark: SparkSession, sf: str) -> DataFrame:
+    words, rules, size, bars = paper(spark, sf)
+    return whole_pages.page_texts(words, rules, size, 600.0, bars).select("doc_id", "page", md5(F.col("text")).alias("text_md5"))
 
 
 def ivf_stored_topk(spark: SparkSession, sf: str) -> DataFrame:

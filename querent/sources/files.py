@@ -1,4 +1,4 @@
-"""Documents from folders of files: Markdown, plain text, DOCX and the words of PDF pages.
+"""Documents from folders of files: Markdown, plain text, DOCX and PDF.
 
 Readers give (text, source) rows; blank files are left out. Bytes are read by Spark, so any store that it opens will do.
 """
@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 
 from querent.functions.text import stripped, titled
 from querent.operators.chunking import lines
-from querent.operators.grids import column_facts, markdown_grids, row_facts
+from querent.operators.grids import column_facts, markdown_grids, ordered, row_facts
+from querent.operators.pages import page_texts
+from querent.session import stored
+from querent.sources.pdf import page_tables, read_pdf
 
 #: Extensions that are documents.
 EXTENSIONS = (".pdf", ".md", ".txt", ".docx")
@@ -96,10 +99,19 @@ def read_docx(spark: SparkSession, folder: str, errors: bool = False) -> DataFra
     return rows if errors else rows.where("text IS NOT NULL AND text != ''").drop("error")
 
 
+def pdf_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """(text, source): each PDF file's pages as one document, tables as Markdown, and each fact of its tables as one. Unreadable files are left out."""
+    tables = page_tables(stored(read_pdf(spark, folder), "pdf-pages"))
+    pages = page_texts(tables.words, tables.rules, tables.pages, None, tables.bars)
+    docs = pages.groupBy(F.col("doc_id").alias("source")).agg(stripped(ordered(F.col("text"), "page", "\n\n")).alias("text")).where("text != ''")
+    docs = stored(docs.select("text", "source"), "pdf-texts")
+    return docs.unionByName(table_facts(docs))
+
+
 def read_documents(spark: SparkSession, folder: str, pdf: DataFrame | None = None) -> DataFrame:
-    """(src_order, text, source) of all kinds: PDF pages (already text, see ``pages``), Markdown, text, DOCX."""
-    parts = [pdf, read_markdown(spark, folder), read_text(spark, folder), read_docx(spark, folder)]
-    rows = [p.select(F.lit(k).alias("src_order"), "text", "source") for k, p in enumerate(parts) if p is not None]
+    """(src_order, text, source) of all kinds: PDF files (or the texts that are handed over for them), Markdown, text, DOCX."""
+    parts = [pdf if pdf is not None else pdf_documents(spark, folder), read_markdown(spark, folder), read_text(spark, folder), read_docx(spark, folder)]
+    rows = [p.select(F.lit(k).alias("src_order"), "text", "source") for k, p in enumerate(parts)]
     whole = rows[0]
     for more in rows[1:]:
         whole = whole.unionByName(more)

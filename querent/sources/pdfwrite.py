@@ -21,13 +21,16 @@ EM, DEPTH = 0.6, 0.157
 
 
 def lzw_literals(data: bytes) -> bytes:
-    """LZW codes of single bytes, with the table cleared before its codes grow beyond nine bits."""
-    bits = n = 0
-    for at in range(0, len(data), 200):
-        for code in (256, *data[at : at + 200]):
-            bits, n = bits << 9 | code, n + 9
-    bits, n = bits << 9 | 257, n + 9
-    return (bits << -n % 8).to_bytes((n + 7) // 8, "big")
+    """LZW codes of single bytes; the table is cleared after 199 of them, which is before codes grow beyond nine bits and at a whole byte."""
+    out = []
+    for at in range(0, len(data) + 1, 199):
+        own = [256, *data[at : at + 199]]
+        own += [257] * (len(own) < 200)
+        bits = 0
+        for code in own:
+            bits = bits << 9 | code
+        out.append((bits << -9 * len(own) % 8).to_bytes((9 * len(own) + 7) // 8, "big"))
+    return b"".join(out)
 
 
 def content(page: dict, codes: dict[str, int]) -> bytes:

@@ -210,3 +210,25 @@ def test_a_slice_leaves_pictures_and_font_programs_out():
     assert sum(map(len, piece["bodies"])) < 1000 and 5 not in piece["numbers"]
     file = File(pages)
     assert isinstance(file.get(Ref(6)), Stream) and len(file.get(Ref(6)).raw) == 9000
+
+
+def test_documents_of_a_folder(spark, tmp_path):
+    from querent.sources.files import read_documents
+
+    cell = lambda text, k, row: {"text": text, "x0": 55.0 + 100 * k, "x1": 55.0 + 100 * k + 5 * len(text), "top": 103.0 + 14 * row, "bottom": 112.0 + 14 * row}
+    table = [["model", "EM", "size"], ["alpha", "12.5", "7"], ["beta", "13.5", "9"], ["gamma", "14.5", "11"]]
+    words = [cell(t, k, r) for r, row in enumerate(table) for k, t in enumerate(row)] + [cell("Below.", 0, 12)]
+    rules = [{"x0": 50.0, "x1": 350.0, "top": 100.0 + 14 * r, "height": 0.0} for r in range(5)]
+    bars = [{"x": 50.0 + 100 * k, "top": 100.0, "bottom": 156.0} for k in range(4)]
+    column = [{"text": f"w{side}{k}", "x0": x, "x1": x + 60, "top": 60.0 + 14 * k, "bottom": 69.0 + 14 * k} for side, x in (("l", 100.0), ("l", 200.0), ("l", 300.0), ("r", 450.0), ("r", 550.0), ("r", 650.0)) for k in range(20)]
+    pages = [{"width": 600.0, "height": 780.0, "words": words, "rules": rules, "bars": bars}, {"width": 800.0, "height": 780.0, "words": column, "rules": [], "bars": []}]
+    (tmp_path / "a.pdf").write_bytes(pdfwrite.pdf_bytes(pages, "packed"))
+    (tmp_path / "broken.pdf").write_bytes(b"%PDF-1.4 nothing")
+    (tmp_path / "b.txt").write_text("Plain text.")
+    rows = {(r.src_order, r.source, r.text) for r in read_documents(spark, str(tmp_path)).collect()}
+    whole = next(t for _, s, t in rows if s == "a.pdf" and t.startswith("|"))
+    assert whole.startswith("| model | EM | size |\n| --- | --- | --- |\n| alpha | 12.5 | 7 |")
+    second = whole.split("Below.")[1].split()
+    assert [w[1] for w in second] == ["l"] * 60 + ["r"] * 60  # the left column first, by this page's own width
+    assert any("alpha" in t and "12.5" in t and "|" not in t for _, s, t in rows if s == "a.pdf") and (2, "b.txt", "Plain text.") in rows
+    assert {s for _, s, _ in rows} == {"a.pdf", "b.txt"}
