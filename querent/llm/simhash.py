@@ -10,13 +10,13 @@ alternating large-star and small-star rounds over tables in the shared folder.
 
 Nulls and edges: a null text is empty, an empty text has fingerprint zero, and zero links like any other fingerprint.
 Equal fingerprints always share a component. A null doc_id has its fingerprint's component; it never names one, and a
-component of null ids only has a null name. Repeated rows give repeated rows, an empty table none; a very long text costs
-its hashes only. Other columns, whatever their names, are ignored by ``near_duplicates`` and kept by ``kept``.
+component of null ids only has a null name. Repeated rows give repeated rows, an empty table none; a very long text is
+cut into blocks of bytes. Other columns, whatever their names, are ignored by ``near_duplicates`` and kept by ``kept``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import combinations, repeat
 from math import comb
@@ -35,18 +35,44 @@ BITS = 64
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
+#: Bytes of a text that are cut into words at once.
+BLOCK = 1 << 20
+
+
+def blocks(data: bytes, size: int) -> Iterator[bytes]:
+    """``data`` in blocks that end between words."""
+    at = 0
+    while at < len(data):
+        end = at + size
+        while end < len(data) and not data[end : end + 1].isspace():
+            end += 1
+        yield data[at:end]
+        at = end
+
+
+def shingle_hashes(text: str | None, width: int, seed: int, size: int = BLOCK) -> Iterator[np.ndarray]:
+    """The hashes of the word shingles of ``text``, lower-cased in A to Z, block by block; of fewer words than a shingle the one of all."""
+    held: list[bytes] = []
+    some = False
+    for block in blocks((text or "").encode(), size):
+        held += block.translate(LOWER).split()
+        if len(held) >= width:
+            some = True
+            yield np.fromiter(map(xxh64_intdigest, map(b" ".join, zip(*(held[i:] for i in range(width)), strict=False)), repeat(seed)), "<u8")
+            held = held[len(held) - width + 1 :]
+    if held and not some:
+        yield np.array([xxh64_intdigest(b" ".join(held), seed)], "<u8")
+
+
 def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
     """The SimHash of the word shingles of ``text``, lower-cased in A to Z."""
-    words = (text or "").encode().translate(LOWER).split()
-    if not words:
-        return 0
-    shingles = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)) if len(words) > width else [b" ".join(words)]
-    hashes = np.fromiter(map(xxh64_intdigest, shingles, repeat(seed)), "<u8")
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    counts = np.zeros(BITS, np.int64)
-    for at in range(0, len(bits), 255):  # sums of 255 rows fit a byte
-        counts += np.add.reduce(bits[at : at + 255], axis=0, dtype=np.uint8)
-    return int.from_bytes(np.packbits(2 * counts > len(hashes), bitorder="little").tobytes(), "little")
+    counts, total = np.zeros(BITS, np.int64), 0
+    for hashes in shingle_hashes(text, width, seed):
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        for at in range(0, len(bits), 255):  # sums of 255 rows fit a byte
+            counts += np.add.reduce(bits[at : at + 255], axis=0, dtype=np.uint8)
+        total += len(hashes)
+    return int.from_bytes(np.packbits(2 * counts > total, bitorder="little").tobytes(), "little")
 
 
 def signed(value: int) -> int:
@@ -295,14 +321,14 @@ def kept(docs: DataFrame, distance: int = 4, width: int = 4, seed: int = 42, cel
     return kept_rows(docs, own, rooted(own, distance, cell_rows), lambda text: signed(fingerprint(text, width, seed)))
 
 
-def kept_rows(docs: DataFrame, own: DataFrame, tree: DataFrame, name: Callable[[str | None], int]) -> DataFrame:
+def kept_rows(docs: DataFrame, own: DataFrame, tree: DataFrame, name: Callable[[str | None], int | str]) -> DataFrame:
     """The rows that ``kept`` returns, for the components ``tree`` (fp, first_id, root) of ``own`` (doc_id, fp); ``name`` gives the fp of a text."""
     least = tree.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull(), "first_id", "fp")).alias("least"))
     of_id, of, fp, copy = (free_name(f"simhash_{n}", docs.columns) for n in ("id", "of", "fp", "copy"))
     least = stored(least.select(F.col("least.first_id").alias(of_id), F.col("least.fp").alias(of)), "kept")
     if own.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1").isEmpty():
         return docs.join(least, F.col("doc_id") == F.col(of_id), "left_semi")
-    schema = T.StructType([*docs.schema.fields, T.StructField(fp, T.LongType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(fp, tree.schema["fp"].dataType)])
 
     def work():
         return lambda rows: rows | {fp: [name(t) for t in rows["text"]]}

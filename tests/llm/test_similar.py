@@ -56,3 +56,43 @@ def test_groups_equal_those_of_all_pairs(spark, cell_rows):
                 root = [min(a, b) if r in (a, b) else r for r in root]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(r.doc_id for r in similar.kept(docs, cell_rows=cell_rows).collect()) == sorted(set(root))
+
+
+def test_a_long_chain_sends_each_set_a_bounded_number_of_times(spark):
+    """Sets of a chain in which neighbours are similar and others aren't: what is sent doesn't grow with the chain."""
+    rnd = random.Random(2)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    sent = {}
+    for n in (40, 400):
+        words, docs = [word() for _ in range(60)], []
+        for k in range(n):
+            words = [*words[2:], word(), word()]
+            docs.append((k, " ".join(words)))
+        own = spark.createDataFrame(docs, "doc_id long, text string")
+        assert [r.doc_id for r in similar.kept(own).collect()] == [0]
+        flip, factor = similar.functions(42)
+        sets = [(similar.key_of(s), len(s), similar.bands(s, flip, factor)) for s in (similar.shingled(t, 5, 42) for _, t in docs)]
+        met = similar.bucketed(spark.createDataFrame(sets, "fp string, size long, bands array<long>"))
+        sent[n] = (met.where("fp != first").select("fp", "first").distinct().count() + met.count()) / n
+    assert sent[400] < 1.3 * sent[40]
+
+
+def test_many_near_copies_are_joined_by_their_first(spark):
+    rnd = random.Random(4)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(200)]
+    texts = []
+    for k in range(300):
+        own = list(base)
+        own[rnd.randrange(200)] = f"edit{k}"
+        texts.append(" ".join(own))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.doc_id for r in similar.kept(docs, cell_rows=16).collect()] == [0]
+
+
+def test_blocks_of_a_text_give_its_shingles():
+    rnd = random.Random(6)
+    for _ in range(200):
+        text = "".join(rnd.choice(["a", "Bé", " ", "\n", "\x0b", "word"]) for _ in range(rnd.randint(0, 60)))
+        whole = [h for block in simhash.shingle_hashes(text, 3, 42) for h in block.tolist()]
+        parts = [h for block in simhash.shingle_hashes(text, 3, 42, 5) for h in block.tolist()]
+        assert whole == parts
