@@ -13,7 +13,7 @@ Nulls and edges: a null html is an empty payload, a null url an empty one. Of eq
 smallest page_id is the response, and so are all rows that share it; a null page_id refers to that one, and where all are
 null each is a response. Payloads are equal if their sizes, SHA-1 and 64-bit hashes are. A very long page is an archive of
 its own. Repeated rows give repeated rows, an empty table none; other columns, whatever their names, are ignored. A file
-that can't be read gives one row with the error.
+that can't be read gives one row with the error; ranges are checked against the file, and a record of more than ``MOST`` bytes is an error.
 """
 
 from __future__ import annotations
@@ -40,10 +40,35 @@ END, END64, LOCATOR64, ENTRY, LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07
 FULL16, FULL32 = 0xFFFF, 0xFFFFFFFF
 SAME_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
+#: Most bytes of a record, inflated; a longer one is an error.
+MOST = 256 << 20
+#: What a forged file may raise while its fields are used.
+FAULTS = (ValueError, TypeError, KeyError, IndexError, AttributeError, OverflowError, struct.error, zlib.error, OSError)
+
 #: Reads ``size`` bytes from ``offset`` on.
 ReadAt = Callable[[int, int], bytes]
 
 
+def within(read_at: ReadAt, size: int) -> ReadAt:
+    """``read_at`` for ranges that lie in a file of ``size`` bytes."""
+
+    def read(at: int, n: int) -> bytes:
+        if at < 0 or n < 0 or at + n > size:
+            raise ValueError("a range beyond the file")
+        return read_at(at, n)
+
+    return read
+
+
+def inflated(data: bytes) -> bytes:
+    """One gzip member."""
+    unpacker = zlib.decompressobj(31)
+    out = unpacker.decompress(data, MOST)
+    if not unpacker.eof:
+        raise ValueError(f"a record ends early or inflates to more than {MOST} bytes")
+    return out
+
+
 @dataclass
 class Member:
     name: str
@@ -78,7 +103,7 @@ class Zip:
     """The directory of a ZIP file, and ranges of its stored members."""
 
     def __init__(self, read_at: ReadAt, size: int):
-        self.read_at = read_at
+        self.read_at = read_at = within(read_at, size)
         tail_at = max(0, size - 22 - FULL16)
         tail = read_at(tail_at, size - tail_at)
         at = tail.rfind(END)
@@ -189,15 +214,18 @@ def unzipped(archive: Zip, name: str, step: int = 1 << 20) -> Iterator[bytes]:
     """The gzip members of a stored member one after the other, read in steps."""
     at, size, rest = 0, archive.members[name].size, b""
     while rest or at < size:
-        unpacker, out = zlib.decompressobj(31), []
+        unpacker, out, held = zlib.decompressobj(31), [], 0
         while not unpacker.eof:
             if not rest:
                 if at >= size:
                     raise ValueError(f"{name} ends within a record")
                 rest = archive.range(name, at, min(step, size - at))
                 at += len(rest)
-            out.append(unpacker.decompress(rest))
-            rest = unpacker.unused_data
+            out.append(unpacker.decompress(rest, MOST - held + 1))
+            held += len(out[-1])
+            if held > MOST:
+                raise ValueError(f"a record inflates to more than {MOST} bytes")
+            rest = unpacker.unused_data if unpacker.eof else unpacker.unconsumed_tail
         yield b"".join(out)
 
 
@@ -209,6 +237,8 @@ def walked(archive: Zip, name: str, head: int = 1 << 16) -> Iterator[bytes]:
         if not mark:
             raise ValueError(f"a record of {name} has no header")
         length = len(top) + 4 + int(fields(top)["content-length"])
+        if not len(top) < length <= MOST:
+            raise ValueError(f"a record of {length} bytes")
         yield archive.range(name, at, length)
         at += length + 4
 
@@ -234,8 +264,8 @@ def records(read_at: ReadAt, size: int) -> Iterator[Record]:
             offset, length = int(entry["offset"]), int(entry["length"])
             if offset < 0 or offset + length > archive.members[name].size:
                 raise ValueError(f"the range is beyond {name}")
-            data = read_at(starts[name] + offset, length)
-            yield parsed(zlib.decompress(data, 31) if data[:2] == b"\x1f\x8b" else data)
+            data = archive.read_at(starts[name] + offset, length)
+            yield parsed(inflated(data) if data[:2] == b"\x1f\x8b" else data)
 
 
 def packed(found: list[tuple[str, str | None, bytes]]) -> bytes:
@@ -334,7 +364,7 @@ def tabled(found: Iterator[tuple[str, Iterator[Record]]], least_bytes: int = 1 <
                 if size >= least_bytes:
                     yield batch(rows)
                     rows, size = [], 0
-        except (ValueError, KeyError, IndexError, struct.error, zlib.error, OSError) as e:
+        except FAULTS as e:
             rows.append(dict.fromkeys(names) | {"path": path, "error": f"{type(e).__name__}: {e}"})
     yield batch(rows)
     memory_returned()

@@ -112,3 +112,39 @@ def test_broken_archives_and_empty_tables(spark):
     assert got["bad"].error and got["none"].error and "digest" in got["forged"].error
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.page_records(pages).collect() == []
+
+
+def test_forged_archives_give_an_error_row():
+    import json
+    import struct
+
+    page = warc.gzipped(warc.record("response", "urn:page:1", "http://x", b"words"))
+    good = warc.packed([("urn:page:1", "http://x", page)])
+    wide = warc.zipped([("archive/data.warc.gz", page)], True)
+    end = wide.rindex(warc.END64)
+    forged = []
+    for length, offset in ((1 << 36, 0), (1 << 62, 0), ((1 << 64) - 1, 0), (10, (1 << 64) - 1)):
+        forged.append(wide[: end + 40] + struct.pack("<QQ", length, offset) + wide[end + 56 :])
+    for entry in ({"filename": "data.warc.gz", "offset": None, "length": "5"}, {"filename": None, "offset": 0, "length": 5}, {"filename": "data.warc.gz", "offset": -4, "length": 9}, {"filename": "data.warc.gz", "offset": 0, "length": 1 << 70}, {}):
+        forged.append(warc.zipped([("archive/data.warc.gz", page), ("indexes/index.cdxj", f"x 1 {json.dumps(entry)}\n".encode())]))
+    forged += [good[:-9], b"", wide.replace(warc.LOCAL, b"PKxx", 1)]
+    rnd = random.Random(3)
+    for _ in range(300):
+        data = bytearray(rnd.choice([good, wide]))
+        for _ in range(rnd.randint(1, 12)):
+            data[rnd.randrange(len(data))] = rnd.randrange(256)
+        forged.append(bytes(data))
+    for k, data in enumerate(forged):
+        rows = [r for batch in warc.tabled(iter([("p", warc.records(reading(data), len(data)))])) for r in batch.to_pylist()]
+        assert k >= 12 or rows[-1]["error"], (k, rows)  # those of random bytes end without an exception
+
+
+def test_inflation_is_bounded(monkeypatch):
+    monkeypatch.setattr(warc, "MOST", 1 << 20)
+    bomb = warc.gzipped(warc.record("response", "urn:page:1", "http://x", bytes(3 << 20)))
+    for data in (warc.packed([("urn:page:1", "http://x", bomb)]), warc.zipped([("archive/x.warc.gz", bomb)])):
+        (row,) = [r for batch in warc.tabled(iter([("p", warc.records(reading(data), len(data)))])) for r in batch.to_pylist()]
+        assert "inflates" in row["error"]
+    many = b"".join(warc.gzipped(warc.record("response", f"urn:page:{k}", "http://x", bytes(600_000))) for k in range(4))
+    data = warc.zipped([("archive/x.warc.gz", many)])
+    assert len(list(warc.records(reading(data), len(data)))) == 4
