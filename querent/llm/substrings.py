@@ -10,7 +10,7 @@ or in a document with a smaller doc_id. What first occurs stays.
 Runs are compared by 64-bit hashes: of n distinct runs about n squared over 2^65 pairs meet by chance (none are to be
 expected below 6 x 10^9 runs).
 
-Nulls and edges: a null text stays null, an empty one empty. A null doc_id comes after all others. Rows of the same
+Nulls and edges: a null text stays null, an empty one empty. A doc_id may be of any type that has an order; null comes after all others. Rows of the same
 doc_id count as one document: they take nothing from each other, and what a smaller doc_id has goes from all of them.
 Very long texts and texts of nothing but end marks take linear time. Repeated rows give repeated rows, an empty table none;
 other columns, whatever their names, are ignored by ``spans`` and kept by ``deduplicated``.
@@ -32,8 +32,6 @@ from querent.session import stored
 
 #: Fewest sentences and words of a span; words of a sentence before it is cut by content.
 LEAST, WORDS, LONG = 2, 15, 24
-#: Stands for a null doc_id: after all others.
-LAST = 2**63 - 1
 
 # End marks are tried from the first of a row only, so that a row that no space follows is read once.
 BREAK = re.compile(r"(?<![.!?…])[.!?…]++[\"'»”)\]]*+(?:\s+|\Z)|\n\s*|(?<=[a-zß-ÿ]) (?=[A-ZÀ-Þ])")
@@ -107,25 +105,25 @@ def removed(text: str, seen_elsewhere: set[int], least: int, words: int) -> tupl
 
 def occurrences(docs: DataFrame, least: int, words: int) -> DataFrame:
     """(value, doc_id): the distinct spans of each row."""
+    schema = T.StructType([T.StructField("value", T.LongType()), docs.schema["doc_id"]])
 
     def run(batches):
         for part in slices(batches):
-            values, ids = [], []
-            for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
+            values, rows = [], []
+            for k, text in enumerate(part.column("text").to_pylist()):
                 own = {v for v, _, _ in runs(sentences(text), least, words)} if text else ()
                 values += own
-                ids += [doc_id] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(values, pa.int64()), pa.array(ids, pa.int64())], ["value", "doc_id"])
+                rows += [k] * len(own)
+            yield pa.RecordBatch.from_arrays([pa.array(values, pa.int64()), part.column("doc_id").take(pa.array(rows, pa.int64()))], ["value", "doc_id"])
 
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), "text")
-    return rows.mapInArrow(run, "value long, doc_id long")
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def seen_before(docs: DataFrame, least: int = LEAST, words: int = WORDS) -> DataFrame:
-    """(span_doc, span_values): for each document the spans that a document with a smaller doc_id has."""
-    found = stored(occurrences(docs, least, words), "spans")
-    first = found.groupBy("value").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id").select("value", "first_id")
-    later = found.join(stored(first, "repeated-spans"), "value").where("doc_id > first_id")
+    """(span_doc, span_values): for each document the spans that a document with a smaller doc_id has; null is larger than all."""
+    found = stored(occurrences(docs, least, words).withColumn("place", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id")), "spans")
+    first = found.groupBy("value").agg(F.min("place").alias("first"), F.max("place").alias("final")).where("first < final").select("value", "first")
+    later = found.join(stored(first, "repeated-spans"), "value").where("place > first")
     return later.groupBy(F.col("doc_id").alias("span_doc")).agg(F.collect_set("value").alias("span_values"))
 
 
@@ -133,7 +131,7 @@ def with_seen(docs: DataFrame, least: int, words: int) -> tuple[DataFrame, str]:
     """``docs`` with the spans that smaller ids have, and the name of that column."""
     doc, values = free_name("span_doc", docs.columns), free_name("span_values", docs.columns)
     before = stored(seen_before(docs, least, words), "seen").toDF(doc, values)
-    return docs.join(before, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)) == F.col(doc), "left").drop(doc), values
+    return docs.join(before, F.col("doc_id").eqNullSafe(F.col(doc)), "left").drop(doc), values
 
 
 def spans(docs: DataFrame, least: int = LEAST, words: int = WORDS) -> DataFrame:

@@ -116,3 +116,12 @@ def test_clashing_names(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert substrings.spans(docs).collect() == [] == substrings.deduplicated(docs).collect()
+
+
+def test_ids_of_any_type(spark):
+    passage = "One sentence of several words stands here. And another one of several words follows it."
+    rows = [("b", passage), ("a", f"Before it. {passage}"), (None, f"{passage} And after it."), (None, passage)]
+    got = substrings.spans(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert sorted((str(r.doc_id), r.n_removed > 0) for r in got) == [("None", True), ("None", True), ("a", False), ("b", True)]
+    left = substrings.deduplicated(spark.createDataFrame(rows, "doc_id string, text string"))
+    assert sum(passage in (r.text or "") for r in left.collect()) == 1
