@@ -64,8 +64,9 @@ def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int, sources: dict[in
 
     Queries go out in blocks of QUERY_BYTES, each of which takes one scan of the vectors; each task keeps k rows a query,
     and a window picks the best of those. ``sources`` restricts a query to rows of some sources, an empty set to none.
-    Scores are rounded before ranking.
+    Scores are rounded before ranking. A null query has no hits.
     """
+    queries = queries.where(F.col("qvec").isNotNull())
     total, size = queries.agg(F.count("*"), F.max(F.size("qvec"))).first()
     blocks = max(1, -(-total * (size or 1) * 8 // QUERY_BYTES))
     found = None

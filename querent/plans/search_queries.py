@@ -5,12 +5,12 @@ Vector queries ask with every embedding whose vec_id is divisible by 50, text qu
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from querent.functions.text import SPACE
 from querent.functions.vectors import embedded, normalised
-from querent.operators import fusion, lexical, vector
+from querent.operators import fusion, graph, lexical, vector
 from querent.session import stored
 from querent.tables import spread, table
 
@@ -98,6 +98,24 @@ def lsh_recall(spark: SparkSession, sf: str) -> DataFrame:
     return vector.recall(vector.lsh_top_k(vector_queries(spark, sf), own, K), vector.exact_top_k(vector_queries(spark, sf), own, K), K)
 
 
+def graph_search(spark: SparkSession, sf: str) -> graph.Found:
+    """Through the graph of neighbours; a query's own row takes no part, as a query from outside has none."""
+    built = graph.knn_graph(vectors(spark, sf))
+    return graph.graph_top_k(vector_queries(spark, sf), built, K, apart=True)
+
+
+def graph_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return hit_columns(graph_search(spark, sf).hits)
+
+
+def graph_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Each query's recall against an exact search, and the share of the rows that a query looked at on average."""
+    found = graph_search(spark, sf)
+    exact = vector.exact_top_k(vector_queries(spark, sf), vectors(spark, sf), K + 1).where("qid != id")
+    exact = exact.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("rank")))
+    return vector.recall(found.hits, exact, K).withColumn("looked", F.lit(round(found.looked, 6)))
+
+
 def hash_embed(spark: SparkSession, sf: str) -> DataFrame:
     rows = embedded(chunks(spark, sf).select("id", "text")).select("id", F.posexplode("embedding").alias("pos", "x"))
     return rows.where("x != 0").select("id", "pos", F.round("x", 6).alias("x"))
@@ -163,7 +181,7 @@ def compare_configs(spark: SparkSession, sf: str) -> DataFrame:
     return result_columns(fusion.compared(own(dense_hits(spark, sf, K)), own(lexical_hits(spark, sf, K)), ("dense", "bm25")), "side")
 
 
-QUERIES = {f.__name__: f for f in (l2_normalize, cosine_topk, cosine_topk_filtered, faiss_flat_ip, ivf_assign, ivf_probe_topk, recall_at_k, ivf_kmeans_recall, lsh_topk, lsh_recall, hash_embed, bm25_index_terms, bm25_topk, bm25_filtered, hybrid_rrf, hybrid_weighted, rerank_overlap, two_stage, compare_configs)}
+QUERIES = {f.__name__: f for f in (l2_normalize, cosine_topk, cosine_topk_filtered, faiss_flat_ip, ivf_assign, ivf_probe_topk, recall_at_k, ivf_kmeans_recall, lsh_topk, lsh_recall, graph_topk, graph_recall, hash_embed, bm25_index_terms, bm25_topk, bm25_filtered, hybrid_rrf, hybrid_weighted, rerank_overlap, two_stage, compare_configs)}
 
 # The SQL below is put together from named parts; each query adds its own last step.
 VECTORS = "v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS e, label FROM embeddings), u AS (SELECT *, sqrt(list_dot_product(e, e)) AS n FROM v)"
