@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from querent.functions.text import SPACE
 from querent.functions.vectors import embedded, normalised
-from querent.operators import fusion, graph, lexical, vector
+from querent.operators import fusion, graph, lexical, postings, vector
 from querent.session import stored
 from querent.tables import spread, table
 
@@ -129,6 +129,20 @@ def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     return hit_columns(lexical.top_k(text_queries(spark, sf), lexical.indexed(chunks(spark, sf)), K))
 
 
+def blocks_search(spark: SparkSession, sf: str) -> postings.Hits:
+    return postings.top_k(text_queries(spark, sf), postings.built(lexical.indexed(chunks(spark, sf))), K)
+
+
+def bm25_blocks_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The hits of ``bm25_topk`` from postings in blocks."""
+    return hit_columns(blocks_search(spark, sf).hits)
+
+
+def bm25_blocks_read(spark: SparkSession, sf: str) -> DataFrame:
+    """How many blocks each item read of those that hold a term of it."""
+    return blocks_search(spark, sf).read
+
+
 def allowed(spark: SparkSession, sf: str) -> DataFrame:
     """Each item may use three sources."""
     return text_queries(spark, sf).select("qid", F.explode(F.array(*(F.concat(F.lit("src"), F.pmod(F.col("qid") + n, F.lit(20))) for n in (0, 7, 13)))).alias("source"))
@@ -181,7 +195,7 @@ def compare_configs(spark: SparkSession, sf: str) -> DataFrame:
     return result_columns(fusion.compared(own(dense_hits(spark, sf, K)), own(lexical_hits(spark, sf, K)), ("dense", "bm25")), "side")
 
 
-QUERIES = {f.__name__: f for f in (l2_normalize, cosine_topk, cosine_topk_filtered, faiss_flat_ip, ivf_assign, ivf_probe_topk, recall_at_k, ivf_kmeans_recall, lsh_topk, lsh_recall, graph_topk, graph_recall, hash_embed, bm25_index_terms, bm25_topk, bm25_filtered, hybrid_rrf, hybrid_weighted, rerank_overlap, two_stage, compare_configs)}
+QUERIES = {f.__name__: f for f in (l2_normalize, cosine_topk, cosine_topk_filtered, faiss_flat_ip, ivf_assign, ivf_probe_topk, recall_at_k, ivf_kmeans_recall, lsh_topk, lsh_recall, graph_topk, graph_recall, hash_embed, bm25_index_terms, bm25_topk, bm25_blocks_topk, bm25_blocks_read, bm25_filtered, hybrid_rrf, hybrid_weighted, rerank_overlap, two_stage, compare_configs)}
 
 # The SQL below is put together from named parts; each query adds its own last step.
 VECTORS = "v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS e, label FROM embeddings), u AS (SELECT *, sqrt(list_dot_product(e, e)) AS n FROM v)"
@@ -240,3 +254,4 @@ ORACLES = {
     "two_stage": f"WITH {fused_sql(9 * K, RRF, 3 * K)} {RESULT.replace('rank::INTEGER', 'place::INTEGER')} ({OVERLAP.format(w=WORDS.format(t='x.text'), s='fused')})",
     "compare_configs": f"WITH {arms_sql(K)} SELECT qid, rank::INTEGER AS rank, md5(text) AS text_md5, source, score, 'dense' AS side FROM dense_p UNION ALL SELECT qid, rank::INTEGER, md5(text), source, score, 'bm25' FROM lex_p",
 }
+ORACLES["bm25_blocks_topk"] = ORACLES["bm25_topk"]
