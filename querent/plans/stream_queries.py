@@ -35,6 +35,13 @@ def stream_chat_state(spark: SparkSession, sf: str) -> DataFrame:
     return events.latest_histories(events.drained(events.chat_histories(events.table_stream(spark, sf, "conversations")), "chats"))
 
 
+def stream_chat_window(spark: SparkSession, sf: str) -> DataFrame:
+    """The histories of ``stream_chat_state`` from state that holds no more than the window and what waits; turns are dealt over ten files in mixed order."""
+    folder = f"{stored_dir(spark)}/turns-{uuid.uuid4().hex}"
+    table(spark, sf, "conversations").repartition(10, F.xxhash64("conv_id", "turn")).write.parquet(f"{folder}/conversations.parquet")
+    return events.latest_histories(events.drained(events.chat_states(events.table_stream(spark, folder, "conversations", 2)), "chats"))
+
+
 def answer_pipeline(spark: SparkSession, sf: str) -> DataFrame:
     """Every benchmark item answered by hybrid retrieval with re-ranking over the documents."""
     config = Config(retriever="hybrid", rerank=True, top_k=5)
@@ -63,7 +70,7 @@ def cache_events(spark: SparkSession, sf: str) -> DataFrame:
     return answers.cache_events(answered_through_cache(lambda: None, asked, config, path), config.no_rag)
 
 
-QUERIES = {f.__name__: f for f in (stream_ingest, events_tumbling, events_session, stream_chat_state, answer_pipeline, embed_queries, stream_answer_events, cache_events)}
+QUERIES = {f.__name__: f for f in (stream_ingest, events_tumbling, events_session, stream_chat_state, stream_chat_window, answer_pipeline, embed_queries, stream_answer_events, cache_events)}
 ORACLES = {
     "stream_answer_events": "SELECT conv_id, turn, md5(text) AS text_md5, CASE WHEN conv_id % 7 = 0 THEN 'model gone' END AS error, role FROM conversations WHERE role = 'assistant'",
     "cache_events": "WITH r AS (SELECT item_id AS qid, text IN (SELECT text FROM benchmark WHERE item_id % 2 = 0) AS cached FROM benchmark) SELECT qid, 1::INTEGER AS step, CASE WHEN cached THEN 'cached' ELSE 'generate' END AS event FROM r",
@@ -73,3 +80,4 @@ ORACLES = {
     "stream_chat_state": "SELECT conv_id, turn, coalesce(string_agg(upper(role[1]) || role[2:] || ': ' || text, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING), '') AS history FROM conversations",
     "embed_queries": "SELECT item_id AS qid, 64::INTEGER AS size, CASE WHEN trim(text) = '' THEN 0 ELSE 1 END::DOUBLE AS length FROM benchmark",
 }
+ORACLES["stream_chat_window"] = ORACLES["stream_chat_state"]

@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from querent.session import shared_dir
 
@@ -81,3 +82,79 @@ def latest_histories(found: DataFrame) -> DataFrame:
     """(conv_id, turn, history): the rows of the last version of each turn."""
     last = Window.partitionBy("conv_id", "turn").orderBy(F.desc("version"))
     return found.withColumn("place", F.rank().over(last)).where("place = 1").select("conv_id", "turn", "history")
+
+
+class Histories(StatefulProcessor):
+    """Each turn's history from the ``keep`` messages before it; see ``chat_states``."""
+
+    def __init__(self, keep: int, expiry_ms: int | None, first: int = 0):
+        self.keep, self.expiry_ms, self.first = keep, expiry_ms, first
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.next = handle.getValueState("next", "turn long, version long")
+        self.window = handle.getListState("window", "turn long, message string")
+        self.waiting = handle.getListState("waiting", "turn long, message string")
+
+    def handleInputRows(self, key, rows, timerValues):
+        new = [(int(r.turn), f"{str(r.role).title()}: {r.text}") for frame in rows for r in frame.itertuples()]
+        yield from self.told(key, new, None)
+        if self.expiry_ms is None:
+            return
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if self.waiting.exists():
+            self.handle.registerTimer(timerValues.getCurrentWatermarkInMs() + self.expiry_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        """The turns that are missing won't come: those that wait are settled as they are."""
+        yield from self.told(key, [], self.settled_up_to())
+
+    def settled_up_to(self) -> int | None:
+        turns = [t for t, _ in self.waiting.get()]
+        return max(turns) if turns else None
+
+    def told(self, key, new, up_to):
+        import pandas as pd
+
+        upcoming, version = self.next.get() if self.next.exists() else (self.first, 0)
+        window = [tuple(x) for x in self.window.get()] if self.window.exists() else []
+        waiting = [tuple(x) for x in self.waiting.get()] if self.waiting.exists() else []
+        known = sorted([(*x, False) for x in window + waiting] + [(*x, True) for x in new], key=lambda x: x[0])
+        first = min((t for t, _ in new), default=None)
+        out = [(key[0], t, "\n".join(m for _, m, _ in known[max(0, k - self.keep) : k]), version) for k, (t, _, fresh) in enumerate(known) if fresh or first is not None and t >= first and t >= upcoming]
+        for t, _, _ in known:
+            if t <= upcoming or up_to is not None and t <= up_to:
+                upcoming = max(upcoming, t + 1)
+        done = [(t, m) for t, m, _ in known if t < upcoming][-self.keep :] if self.keep else []
+        left = [(t, m) for t, m, _ in known if t >= upcoming]
+        self.next.update((upcoming, version + 1))
+        for state, rows in ((self.window, done), (self.waiting, left)):
+            state.put(rows) if rows else state.clear()
+        if out:
+            yield pd.DataFrame(out, columns=["conv_id", "turn", "history", "version"])
+
+    def close(self) -> None:
+        pass
+
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def chat_states(turns: DataFrame, keep: int = 6, time: str | None = None, late: str = "10 minutes", expiry_ms: int = 3_600_000) -> DataFrame:
+    """(conv_id, turn, history, version) of a stream of turns numbered from 0, with the ``keep`` messages before each in order of turn.
+
+    State holds the last ``keep`` messages of a conversation up to which no turn is missing, and the turns beyond a missing one. A turn
+    whose predecessors are all there is said once; one that waits for some is said as things stand, and again under a higher
+    ``version`` when they come (``latest_histories`` keeps the last). Where turns have a column of ``time``, a timer settles what waits once
+    the watermark is ``expiry_ms`` beyond the last news, so the state of a conversation that is never completed shrinks to its window too.
+    A turn that comes after that, or a second time, is said with what the window still has before it. Timers go by the time of
+    events, as a query that ends with what there is would never end by that of the clock.
+    """
+    spark = turns.sparkSession
+    if "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass", ""):
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)  # state of several variables needs it
+    if time is not None:
+        turns = turns.withWatermark(time, late)
+    work = Histories(keep, expiry_ms if time is not None else None)
+    return turns.groupBy("conv_id").transformWithStateInPandas(work, "conv_id long, turn long, history string, version long", "append", "none" if time is None else "eventTime")

@@ -107,3 +107,82 @@ def test_events_of_the_cache(spark):
     assert told() == [(1, "cached"), (2, "build"), (2, "generate"), (3, "generate")]
     assert told(no_rag=True) == [(1, "cached"), (2, "generate"), (3, "generate")]
     assert answers.cache_events(found.where("cached")).count() == 1
+
+
+def plain_histories(turns, keep=6):
+    out = {}
+    for conv in {c for c, *_ in turns}:
+        own = sorted(t for t in turns if t[0] == conv)
+        for k, (_, turn, *_) in enumerate(own):
+            out[conv, turn] = "\n".join(f"{role.title()}: {text}" for _, _, role, text in own[max(0, k - keep) : k])
+    return out
+
+
+def test_chat_window_over_ten_files_in_mixed_order(spark, tmp_path):
+    import random
+
+    turns = [(c, t, "user" if t % 2 == 0 else "assistant", f"m{c}-{t}") for c in range(7) for t in range(c * 4 + 1) if (c, t) != (3, 5)]
+    random.Random(1).shuffle(turns)
+    for k in range(10):
+        spark.createDataFrame(turns[k::10], "conv_id long, turn long, role string, text string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/conversations.parquet")
+    found = events.drained(events.chat_states(events.table_stream(spark, str(tmp_path), "conversations", 3)), "chat")
+    assert {(r.conv_id, r.turn): r.history for r in events.latest_histories(found).collect()} == plain_histories(turns)
+    whole = found.groupBy("conv_id", "turn").count()
+    assert whole.count() == len(turns) and whole.agg(F.max("count")).first()[0] <= 4  # no more often than there are triggers
+
+
+class Cell:
+    def __init__(self, held=None):
+        self.held = held
+
+    def exists(self):
+        return bool(self.held)
+
+    def get(self):
+        return self.held if isinstance(self.held, tuple) else iter(self.held or [])
+
+    def update(self, value):
+        self.held = value
+
+    put = update
+
+    def clear(self):
+        self.held = None
+
+
+class Timers(list):
+    def getCurrentWatermarkInMs(self):
+        return 1000
+
+    def listTimers(self):
+        return iter(self)
+
+    deleteTimer = list.remove
+    registerTimer = list.append
+
+
+def test_chat_state_is_bounded_by_the_window_and_what_waits():
+    import pandas as pd
+
+    timers = Timers()
+    work = events.Histories(3, 500)
+    work.handle, work.next, work.window, work.waiting = timers, Cell(), Cell(), Cell()
+    frame = lambda *turns: [pd.DataFrame([(1, t, "user", f"m{t}") for t in turns], columns=["conv_id", "turn", "role", "text"])]
+    for t in range(200):
+        (out,) = work.handleInputRows((1,), frame(t), timers)
+        assert out.turn.tolist() == [t] and len(work.window.held) <= 3 and not work.waiting.held and not timers
+    out = list(work.handleInputRows((1,), frame(203, 205), timers))[0]
+    assert out.turn.tolist() == [203, 205] and [t for t, _ in work.waiting.held] == [203, 205] and timers == [1500]
+    assert list(work.handleInputRows((1,), frame(200), timers))[0].turn.tolist() == [200, 203, 205]
+    list(work.handleExpiredTimer((1,), timers, None))
+    assert not work.waiting.held and [t for t, _ in work.window.held] == [200, 203, 205] and work.next.held[0] == 206
+    late = list(work.handleInputRows((1,), frame(201), timers))[0]
+    assert (late.turn.tolist(), late.history.tolist()) == ([201], ["User: m200"])
+
+
+def test_a_timer_settles_what_waits(spark, tmp_path):
+    for k, (turn, minutes) in enumerate([(0, 0), (2, 1), (9, 600), (10, 1200)]):
+        rows = [(1 if turn < 9 else 2, turn, "user", f"m{turn}", at(minutes))]
+        spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, ts timestamp").coalesce(1).write.mode("append").parquet(f"{tmp_path}/conversations.parquet")
+        found = events.drained(events.chat_states(events.table_stream(spark, str(tmp_path), "conversations", 1), time="ts"), f"chat{k}", folder=f"{tmp_path}/out")
+    assert {(r.conv_id, r.turn): r.history for r in events.latest_histories(found).collect()} == {(1, 0): "", (1, 2): "User: m0", (2, 9): "", (2, 10): "User: m9"}
