@@ -15,6 +15,7 @@ from querent.plans.search_queries import K, VECTORS, cells, hit_columns, vector_
 from querent.plans.text_queries import CELLS, COLUMNS, HEADS, PAGE_WORDS, STRIP, md5, order_cells, words
 from querent.session import stored_dir
 from querent.sources import files, stores
+from querent.sources.versions import KeyedStore
 from querent.tables import table
 
 
@@ -41,6 +42,33 @@ def chunk_store_overwrite(spark: SparkSession, sf: str) -> DataFrame:
     return stores.load_chunks(spark, path).select("id", "source", md5(F.col("text")).alias("text_md5"))
 
 
+def keyed(spark: SparkSession, sf: str) -> KeyedStore:
+    """Documents of even ids put by id; those divisible by 3 under another source; those divisible by 5 deleted; all of them added; those divisible by 7 under a third source, between two compactions."""
+    store, own = KeyedStore(spark, place(spark, "keyed"), "id"), documents(spark, sf)
+    store.put(own.where("id % 2 = 0"))
+    store.put(own.where("id % 3 = 0").withColumn("source", F.lit("second")))
+    store.delete(own.where("id % 5 = 0").select("id"))
+    store.compact()
+    store.add(own)
+    store.put(own.where("id % 7 = 0").withColumn("source", F.lit("third")))
+    store.compact()
+    return store
+
+
+def keyed_store(spark: SparkSession, sf: str) -> DataFrame:
+    return keyed(spark, sf).read().select("id", "source", md5(F.col("text")).alias("text_md5"))
+
+
+def keyed_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows, ids and sources of each version, read after all writes."""
+    store, found = keyed(spark, sf), None
+    for number in store.numbers():
+        rows = store.read(number).groupBy("source").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+        rows = rows.select(F.lit(number).alias("version"), "source", "n", "ids")
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
 def answer_store(spark: SparkSession, sf: str) -> DataFrame:
     """Answers of first turns, then those of the third where there is one: the latest answer of a key counts."""
     path, turns = place(spark, "answers"), table(spark, sf, "conversations")
@@ -178,7 +206,7 @@ def vector_split(spark: SparkSession, sf: str) -> DataFrame:
     return rows[0].unionByName(rows[1]).groupBy("side", "id").agg(F.round(F.sum(F.col("x") * (F.col("pos") + 1)), 6).alias("moment"))
 
 
-QUERIES = {f.__name__: f for f in (chunk_store, chunk_store_overwrite, answer_store, dense_cache, judged_queries, judge_verdict, compound_sources, plausible_tables, footnote_top, header_alignment, bordered_tables, ruled_tables, unruled_tables, page_texts, ivf_stored_topk, vector_split)}
+QUERIES = {f.__name__: f for f in (chunk_store, chunk_store_overwrite, keyed_store, keyed_versions, answer_store, dense_cache, judged_queries, judge_verdict, compound_sources, plausible_tables, footnote_top, header_alignment, bordered_tables, ruled_tables, unruled_tables, page_texts, ivf_stored_topk, vector_split)}
 
 WHOLE = f"list_transform({CELLS}, lambda c: replace(c, ' ', '_'))"
 
@@ -188,6 +216,10 @@ def sheets_sql(a_page: int) -> str:
     return f"o AS (SELECT o_custkey AS doc_id, (i // {a_page})::INTEGER AS page, (i % {a_page} + 1)::INTEGER AS row_no, {WHOLE} AS cells FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i FROM orders)), p AS (SELECT doc_id, page, max(row_no) AS last FROM o GROUP BY ALL), s AS (SELECT * FROM o UNION ALL SELECT doc_id, page, 0, list_transform({HEADS}, lambda c: replace(c, ' ', '_')) FROM p)"
 
 
+#: The rows of each version of ``keyed``.
+KEYED = """o AS (SELECT doc_id AS id, source, text FROM documents), r(version, rule) AS (VALUES (1, 1), (2, 2), (3, 3), (4, 3), (5, 4), (6, 5), (7, 5)),
+v AS (SELECT version, id, text, CASE WHEN rule = 5 AND id % 7 = 0 THEN 'third' WHEN rule >= 2 AND id % 3 = 0 AND (rule < 4 OR id % 5 <> 0) THEN 'second' ELSE source END AS source
+  FROM o, r WHERE rule >= 4 OR ((id % 2 = 0 OR rule >= 2 AND id % 3 = 0) AND (rule < 3 OR id % 5 <> 0)))"""
 NUMBER = "^[\\[(]?[-+]?[0-9]"
 ORACLES = {
     "bordered_tables": f"WITH {sheets_sql(20)} SELECT doc_id, page, row_no, array_to_string(cells, '|') AS cells FROM s",
@@ -198,6 +230,8 @@ ORACLES = {
     "vector_split": f"WITH {VECTORS}, s AS (SELECT 'base' AS side, * FROM u WHERE id % 2 = 1 ORDER BY id LIMIT 300), t AS (SELECT 'query' AS side, * FROM u WHERE id % 2 = 0 ORDER BY id LIMIT 20), x AS (SELECT side, id, unnest(list_transform(e, lambda x: x / CASE WHEN n = 0 THEN 1 ELSE n END)) AS x, unnest(range(1, len(e) + 1)) AS pos FROM (SELECT * FROM s UNION ALL SELECT * FROM t)) SELECT side, id, round(sum(x * pos), 6) AS moment FROM x GROUP BY side, id",
     "chunk_store": "SELECT doc_id AS id, source, md5(text) AS text_md5 FROM documents WHERE doc_id % 2 = 0 OR md5(text) NOT IN (SELECT md5(text) FROM documents WHERE doc_id % 2 = 0)",
     "chunk_store_overwrite": "SELECT doc_id AS id, source, md5(text) AS text_md5 FROM documents WHERE doc_id % 3 = 0",
+    "keyed_store": f"WITH {KEYED} SELECT id, source, md5(text) AS text_md5 FROM v WHERE version = 7",
+    "keyed_versions": f"WITH {KEYED} SELECT version, source, count(*) AS n, sum(id)::BIGINT AS ids FROM v GROUP BY ALL",
     "answer_store": "SELECT conv_id::VARCHAR AS key, md5(arg_max(text, turn)) AS answer_md5 FROM conversations WHERE turn IN (0, 2) GROUP BY conv_id",
     "dense_cache": "SELECT vec_id, label::INTEGER AS label, len(embedding)::INTEGER AS size FROM embeddings",
     "judged_queries": "SELECT item_id AS qid, md5(text) AS text_md5 FROM benchmark WHERE item_id IN (SELECT doc_id FROM labels WHERE quality = 1)",
