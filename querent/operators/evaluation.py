@@ -69,6 +69,26 @@ def latencies(rows: DataFrame, by: str, value: str) -> DataFrame:
     return rows.groupBy(by).agg(F.percentile(value, F.lit(0.5)).alias("p50"), F.percentile(value, F.lit(0.95)).alias("p95"), F.avg(value).alias("mean"), F.count(value).alias("n"))
 
 
+#: Size of a sketch: ranks are wrong by less than a hundredth with a chance of 99 in 100.
+SKETCH = 400
+
+
+def sketched(rows: DataFrame, by: list[str], value: str, size: int = SKETCH) -> DataFrame:
+    """(by..., sketch, n): a quantile sketch of a group's values, of bounded size, to be stored and merged; null values aren't counted."""
+    return rows.groupBy(*by).agg(F.kll_sketch_agg_double(F.col(value).cast("double"), F.lit(size)).alias("sketch"), F.count(value).alias("n"))
+
+
+def sketches_merged(sketches: DataFrame, by: list[str], size: int = SKETCH) -> DataFrame:
+    """(by..., sketch, n): the sketches of groups put together."""
+    return sketches.where("n > 0").groupBy(*by).agg(F.kll_merge_agg_double("sketch", F.lit(size)).alias("sketch"), F.sum("n").alias("n"))
+
+
+def sketch_percentiles(sketches: DataFrame, shares: tuple[float, ...]) -> DataFrame:
+    """``sketches`` with a column p<share> for each share in place of the sketch."""
+    named = {f"p{round(q * 100):02d}": F.kll_sketch_get_quantile_double("sketch", F.lit(q)) for q in shares}
+    return sketches.withColumns(named).drop("sketch")
+
+
 def latest(runs: DataFrame, by: str, at: str, tie: str) -> DataFrame:
     """The newest run of each configuration."""
     order = Window.partitionBy(by).orderBy(F.desc(at), F.desc(tie))

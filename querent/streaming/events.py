@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from querent.session import shared_dir
+from querent.session import stored_dir
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int = 8) -> DataFrame:
@@ -18,14 +19,23 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_trigger:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{sf_dir}/{name}[.]parquet")  # a pattern may name a file
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder for a stream among the stored tables, which ``clear`` deletes with them."""
+    return f"{stored_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def started(stream: DataFrame, mode: str, folder: str) -> StreamingQuery:
+    """The query that writes what a stream has now."""
+    return stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{folder}-state").format("parquet").option("path", folder).start()
+
+
 def drained(stream: DataFrame, name: str, mode: str = "append", folder: str | None = None) -> DataFrame:
     """All that a stream has now, written to the shared folder by a query that ends, and read from there.
 
     With a ``folder`` of its own a stream takes up where its last run stopped, and reads only what is new.
     """
-    folder = folder or f"{shared_dir(stream.sparkSession)}/querent-{name}-{uuid.uuid4().hex}"
-    query = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{folder}-state").format("parquet").option("path", folder).start()
-    query.awaitTermination()
+    folder = folder or new_folder(stream.sparkSession, name)
+    started(stream, mode, folder).awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(folder)
 
 
@@ -34,11 +44,14 @@ def ingested(stream: DataFrame, cut: Callable[[DataFrame], DataFrame], name: str
     return drained(cut(stream), name, folder=folder)
 
 
+def watched(events: DataFrame, late: str, at: str = "ts") -> DataFrame:
+    """A stream with a watermark, which needs times with a zone."""
+    return events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late) if events.isStreaming else events
+
+
 def tumbling(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """(start, event_type, n, total) of each window; a stream waits ``late`` for late events."""
-    if events.isStreaming:
-        events = events.withWatermark("ts", late)
-    rows = events.groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    rows = watched(events, late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return rows.select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
@@ -51,6 +64,33 @@ def sessions(events: DataFrame, gap_minutes: int = 30) -> DataFrame:
     return rows.groupBy("user_id", "session").agg(F.min("ts").alias("start"), F.count("*").alias("n"))
 
 
+def session_windows(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+    """(user_id, start, end, n): sessions as windows that end a ``gap`` after their last event; a stream says one once the watermark has passed its end."""
+    rows = watched(events, late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n"))
+    return rows.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+
+
+def followed(first: DataFrame, then: DataFrame, within: str = "1 hour", late: str = "10 minutes", outer: bool = False) -> DataFrame:
+    """(user_id, first_id, first_ts, then_id, then_ts): events of a user and those of the other kind up to ``within`` later.
+
+    Streams hold a row only until the watermark says that no partner can come; with ``outer`` a row without one is said then.
+    """
+    a = first.select(F.col("user_id"), F.col("event_id").alias("first_id"), F.col("ts").alias("first_ts"))
+    b = then.select(F.col("user_id").alias("then_user"), F.col("event_id").alias("then_id"), F.col("ts").alias("then_ts"))
+    a, b = watched(a, late, "first_ts"), watched(b, late, "then_ts")
+    near = (F.col("user_id") == F.col("then_user")) & (F.col("then_ts") >= F.col("first_ts")) & (F.col("then_ts") <= F.col("first_ts") + F.expr(f"INTERVAL {within}"))
+    return a.join(b, near, "leftOuter" if outer else "inner").select("user_id", "first_id", "first_ts", "then_id", "then_ts")
+
+
+def drained_counting(stream: DataFrame, name: str, folder: str | None = None) -> tuple[DataFrame, int]:
+    """``drained``, and how many rows came too late for the state that they belong to."""
+    folder = folder or new_folder(stream.sparkSession, name)
+    query = started(stream, "append", folder)
+    query.awaitTermination()
+    late = sum(op.get("numRowsDroppedByWatermark", 0) for p in map(json.loads, (q.json for q in query.recentProgress)) for op in p.get("stateOperators", []))
+    return stream.sparkSession.read.schema(stream.schema).parquet(folder), late
+
+
 def chat_histories(turns: DataFrame, keep: int = 6) -> DataFrame:
     """(conv_id, turn, history) of a stream of turns, with the ``keep`` messages before each in order of turn.
 

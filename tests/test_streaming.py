@@ -186,3 +186,66 @@ def test_a_timer_settles_what_waits(spark, tmp_path):
         spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, ts timestamp").coalesce(1).write.mode("append").parquet(f"{tmp_path}/conversations.parquet")
         found = events.drained(events.chat_states(events.table_stream(spark, str(tmp_path), "conversations", 1), time="ts"), f"chat{k}", folder=f"{tmp_path}/out")
     assert {(r.conv_id, r.turn): r.history for r in events.latest_histories(found).collect()} == {(1, 0): "", (1, 2): "User: m0", (2, 9): "", (2, 10): "User: m9"}
+
+
+EVENT = "event_id long, user_id long, event_type string, ts timestamp"
+
+
+def dealt(spark, folder, rows, files):
+    for k in range(files):
+        spark.createDataFrame(rows[k * len(rows) // files : (k + 1) * len(rows) // files], EVENT).coalesce(1).write.mode("append").parquet(f"{folder}/events.parquet")
+
+
+def test_session_windows_over_triggers_and_late_rows(spark, tmp_path):
+    import random
+
+    rnd = random.Random(2)
+    rows = sorted(((k, k % 4, "view", at(rnd.randint(0, 3000))) for k in range(200)), key=lambda r: r[3])
+    late = [(900 + k, 0, "view", at(-600 * (k + 1))) for k in range(3)]
+    dealt(spark, tmp_path, [*rows, *late], 6)
+    stream = events.session_windows(events.table_stream(spark, str(tmp_path), "events", 1))
+    found, dropped = events.drained_counting(stream, "sessions")
+    batch = {tuple(r) for r in events.session_windows(spark.createDataFrame(rows, EVENT)).collect()}
+    closed = {tuple(r) for r in found.collect()}
+    end = max(r[3] for r in rows) - dt.timedelta(minutes=10)
+    assert dropped == 3 and closed == {r for r in batch if r[2] <= end} and 0 < len(closed) < len(batch)
+
+
+def test_joined_streams_equal_the_batch(spark, tmp_path):
+    import random
+
+    rnd = random.Random(3)
+    rows = sorted(((k, k % 3, rnd.choice(["view", "buy"]), at(rnd.randint(0, 2000))) for k in range(150)), key=lambda r: r[3])
+    dealt(spark, tmp_path, rows, 5)
+    kind = lambda df, name: df.where(F.col("event_type") == name)
+    whole = spark.createDataFrame(rows, EVENT)
+    for outer in (False, True):
+        stream = lambda: events.table_stream(spark, str(tmp_path), "events", 1)
+        found = {tuple(r) for r in events.drained(events.followed(kind(stream(), "view"), kind(stream(), "buy"), outer=outer), "followed").collect()}
+        batch = {tuple(r) for r in events.followed(kind(whole, "view"), kind(whole, "buy"), outer=outer).collect()}
+        open_after = max(r[3] for r in rows) - dt.timedelta(minutes=90)
+        assert {r for r in found if r[2] <= open_after} == {r for r in batch if r[2] <= open_after} and found <= batch
+        if not outer:
+            assert found == batch
+
+
+def test_streams_are_cleared_with_the_stored_tables(spark, tmp_path):
+    from querent.session import stored_dir
+
+    dealt(spark, tmp_path, [(1, 1, "view", at(0))], 1)
+    found = events.drained(events.table_stream(spark, str(tmp_path), "events"), "plain")
+    assert all(stored_dir(spark) in f for f in found.inputFiles())
+
+
+def test_sketches_are_near_the_exact_percentiles(spark):
+    from querent.operators import evaluation
+
+    rows = spark.range(60_000).selectExpr("id % 3 AS g", "id % 17 AS part", "CAST(pow(rand(5), 3) * 1000 AS DOUBLE) AS v").unionByName(spark.createDataFrame([(0, 0, None)], "g long, part long, v double"))
+    own = rows.cache()
+    merged = evaluation.sketches_merged(evaluation.sketched(own, ["g", "part"], "v"), ["g"])
+    for r in evaluation.sketch_percentiles(merged, (0.05, 0.5, 0.95)).collect():
+        values = sorted(x.v for x in own.where(F.col("g") == r.g).collect() if x.v is not None)
+        assert r.n == len(values)
+        for share, got in ((0.05, r.p05), (0.5, r.p50), (0.95, r.p95)):
+            assert abs(sum(v <= got for v in values) / len(values) - share) <= 0.01
+    assert merged.agg(F.max(F.length("sketch"))).first()[0] < 20_000
