@@ -68,3 +68,21 @@ def embedded(df: DataFrame, text: str = "text", into: str = "embedding", embed:
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     return df.mapInArrow(run, schema)
+
+
+def words_embedded(df: DataFrame, size: int = 64, into: str = "embedding") -> DataFrame:
+    """(id, embedding) of (id, words, counts): what ``hash_embed`` makes of texts with these words, without the texts."""
+
+    def run(batches):
+        for batch in batches:
+            words = batch.column("words")
+            each = words.flatten().dictionary_encode()
+            places = np.array([bucket(w, size) for w in each.dictionary.to_pylist()] or np.empty((0, 2)))
+            row = np.repeat(np.arange(batch.num_rows), np.diff(words.offsets.to_numpy()))
+            code = each.indices.to_numpy()
+            cell = row * size + places[code, 0].astype(np.int64)
+            out = np.bincount(cell, places[code, 1] * batch.column("counts").flatten().to_numpy(), batch.num_rows * size).reshape(-1, size)
+            lengths = np.sqrt((out**2).sum(axis=1, keepdims=True))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(list(out / np.where(lengths == 0, 1, lengths)), pa.list_(pa.float64()))], ["id", into])
+
+    return df.select("id", "words", "counts").mapInArrow(run, T.StructType([df.schema["id"], T.StructField(into, T.ArrayType(T.DoubleType()))]))

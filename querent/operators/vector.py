@@ -62,8 +62,8 @@ class Best:
 def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int, sources: dict[int, set[str]] | None = None, cosine: bool = True, digits: int = 6) -> DataFrame:
     """(qid, id, score, rank): the k nearest of ``vectors`` (id, embedding[, source]) for each of ``queries`` (qid, qvec).
 
-    Queries go out in blocks of QUERY_BYTES, each of which takes one scan of the vectors; each task keeps k rows a query,
-    and a window picks the best of those. ``sources`` restricts a query to rows of some sources, an empty set to none.
+    Queries go out in blocks of QUERY_BYTES, one after the other, each of which takes one scan of the vectors; each task keeps k rows a query,
+    those of several blocks are stored, and a window picks the best. So driver and executors hold one block at a time. ``sources`` restricts a query to rows of some sources, an empty set to none.
     Scores are rounded before ranking. A null query has no hits.
     """
     queries = queries.where(F.col("qvec").isNotNull())
@@ -73,6 +73,7 @@ def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int, sources: dict[in
     for block in range(blocks):
         own = queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block) if blocks > 1 else queries
         hits = scanned(own.select("qid", "qvec").orderBy("qid").toArrow(), vectors, k, sources, cosine, digits)
+        hits = stored(hits, "block-hits") if blocks > 1 else hits
         found = hits if found is None else found.unionByName(hits)
     return ranked(found, k)
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from querent.functions.text import SPACE
-from querent.functions.vectors import embedded, normalised
+from querent.functions.vectors import embedded, normalised, words_embedded
 from querent.operators import fusion, graph, lexical, postings, vector
 from querent.session import stored
 from querent.tables import spread, table
@@ -159,25 +159,30 @@ def with_texts(spark: SparkSession, sf: str, found: DataFrame) -> DataFrame:
     return stored(found, "hits").join(docs, "id").select("qid", "id", "text", "source", "score", "rank")
 
 
-def dense_hits(spark: SparkSession, sf: str, k: int) -> DataFrame:
-    queries = embedded(text_queries(spark, sf), "qtext", "qvec")
-    return with_texts(spark, sf, vector.exact_top_k(queries, embedded(chunks(spark, sf)).select("id", "embedding"), k))
-
-
 def lexical_hits(spark: SparkSession, sf: str, k: int) -> DataFrame:
     return with_texts(spark, sf, lexical.top_k(text_queries(spark, sf), lexical.indexed(chunks(spark, sf)), k))
 
 
+def both_hits(spark: SparkSession, sf: str, k: int) -> tuple[DataFrame, DataFrame]:
+    """Hits by vectors and by BM25 with their texts: words are counted in one pass, vectors come from the counts, and texts are read once more for all hits."""
+    index = lexical.indexed(chunks(spark, sf))
+    dense = vector.exact_top_k(embedded(text_queries(spark, sf), "qtext", "qvec"), words_embedded(index.chunks), k)
+    found = dense.withColumn("dense", F.lit(True)).unionByName(lexical.top_k(text_queries(spark, sf), index, k).withColumn("dense", F.lit(False)))
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", "source")
+    whole = stored(stored(found, "hits").join(docs, "id").select("qid", "id", "text", "source", "score", "rank", "dense"), "hit-texts")
+    return whole.where("dense").drop("dense"), whole.where("NOT dense").drop("dense")
+
+
 def result_columns(df: DataFrame, *more: str) -> DataFrame:
     return df.select("qid", F.col("rank").cast("int").alias("rank"), F.md5(F.col("text").cast("binary")).alias("text_md5"), "source", "score", *more)
 
 
 def hybrid_rrf(spark: SparkSession, sf: str) -> DataFrame:
-    return result_columns(fusion.rrf(dense_hits(spark, sf, POOL), lexical_hits(spark, sf, POOL), K))
+    return result_columns(fusion.rrf(*both_hits(spark, sf, POOL), K))
 
 
 def hybrid_weighted(spark: SparkSession, sf: str) -> DataFrame:
-    return result_columns(fusion.weighted(dense_hits(spark, sf, POOL), lexical_hits(spark, sf, POOL), K, 0.7))
+    return result_columns(fusion.weighted(*both_hits(spark, sf, POOL), K, 0.7))
 
 
 def rerank_overlap(spark: SparkSession, sf: str) -> DataFrame:
@@ -186,13 +191,13 @@ def rerank_overlap(spark: SparkSession, sf: str) -> DataFrame:
 
 def two_stage(spark: SparkSession, sf: str) -> DataFrame:
     """Pools of nine times k are fused to three times k, which the pair scorer cuts to k."""
-    wide = fusion.rrf(dense_hits(spark, sf, 9 * K), lexical_hits(spark, sf, 9 * K), 3 * K)
+    wide = fusion.rrf(*both_hits(spark, sf, 9 * K), 3 * K)
     return result_columns(fusion.reranked(wide, text_queries(spark, sf), K))
 
 
 def compare_configs(spark: SparkSession, sf: str) -> DataFrame:
     own = lambda df: df.select("qid", "rank", "text", "source", "score")
-    return result_columns(fusion.compared(own(dense_hits(spark, sf, K)), own(lexical_hits(spark, sf, K)), ("dense", "bm25")), "side")
+    return result_columns(fusion.compared(*map(own, both_hits(spark, sf, K)), ("dense", "bm25")), "side")
 
 
 QUERIES = {f.__name__: f for f in (l2_normalize, cosine_topk, cosine_topk_filtered, faiss_flat_ip, ivf_assign, ivf_probe_topk, recall_at_k, ivf_kmeans_recall, lsh_topk, lsh_recall, graph_topk, graph_recall, hash_embed, bm25_index_terms, bm25_topk, bm25_blocks_topk, bm25_blocks_read, bm25_filtered, hybrid_rrf, hybrid_weighted, rerank_overlap, two_stage, compare_configs)}

@@ -213,3 +213,14 @@ def test_index_recall_on_the_given_embeddings(spark, name):
     got = search_queries.QUERIES[name](spark, "/root/testdata/sf0.1").agg(F.avg("recall")).first()[0]
     print(name, got)
     assert got >= 0.9
+
+
+def test_vectors_of_counted_words_are_those_of_texts(spark):
+    from querent.functions.vectors import embedded, words_embedded
+    from querent.operators import lexical
+
+    texts = ["One two two", "", None, "ärger  one\tÖL\n", "x " * 500 + "y"]
+    chunks = spark.createDataFrame([(k, t, "s") for k, t in enumerate(texts)], "id long, text string, source string")
+    want = {r.id: r.embedding for r in embedded(chunks.select("id", "text")).collect()}
+    assert {r.id: r.embedding for r in words_embedded(lexical.indexed(chunks).chunks).collect()} == want
+    assert words_embedded(lexical.indexed(chunks.limit(0)).chunks).collect() == []
