@@ -45,8 +45,12 @@ def lines(words: DataFrame, keys: list[str] = PAGE) -> DataFrame:
     own = words.withColumn("mid", F.median("size").over(page))
     small = (F.coalesce("mid", F.lit(0.0)) > 0) & (F.coalesce(F.col("size"), F.col("mid")) < F.col("mid") * 0.85)
     own = own.withColumn("small", small)
-    own = own.withColumn("tops", F.sort_array(F.collect_set(F.when(~F.col("small"), F.col("top"))).over(page)))
-    near = F.aggregate("tops", F.lit(None).cast("double"), lambda a, t: F.when(a.isNull() | (F.abs(t - F.col("top")) < F.abs(a - F.col("top"))), t).otherwise(a))
+    normal = F.when(~F.col("small"), F.col("top"))
+    along = page.orderBy("top")
+    above = F.last(normal, True).over(along.rangeBetween(Window.unboundedPreceding, 0))
+    below = F.first(normal, True).over(along.rangeBetween(0, Window.unboundedFollowing))
+    own = own.withColumn("above", above).withColumn("below", below)
+    near = F.when(F.col("above").isNull() | (F.abs(F.col("below") - F.col("top")) < F.abs(F.col("above") - F.col("top"))), F.col("below")).otherwise(F.col("above"))
     snapped = F.when(F.col("small") & (F.abs(near - F.col("top")) <= F.col("mid") * 0.6), near).otherwise(F.col("top"))
     own = own.withColumn("line", line_bucket(snapped))
     parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "top", "text"))), lambda w: w.text), " ")
