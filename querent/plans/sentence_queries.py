@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from querent.functions import tables
 from querent.functions.text import SPACE
 from querent.operators import chunking, sentences
 from querent.plans.text_queries import md5, rank_file
@@ -45,7 +46,14 @@ def chunk_learned(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.token_chunks(docs, rank_file(), split=sentences.trained(docs)).select("doc_id", "pos", "n_tokens", md5(F.col("text")).alias("text_md5"))
 
 
-QUERIES = {f.__name__: f for f in (sentence_counts, sentence_model, sentence_ends, chunk_learned)}
+def chunk_lateral(spark: SparkSession, sf: str) -> DataFrame:
+    """The chunks of ``chunk_tokens`` by a table function in SQL."""
+    tables.registered(spark, rank_file())
+    rows = spark.sql(f"SELECT d.doc_id, c.pos, c.chunk, c.n_tokens FROM {{docs}} d, LATERAL {tables.CHUNK_TEXT}(d.text, 128, 50) c", docs=documents(spark, sf))
+    return rows.select("doc_id", "pos", "n_tokens", md5(F.col("chunk")).alias("text_md5"))
+
+
+QUERIES = {f.__name__: f for f in (sentence_counts, sentence_model, sentence_ends, chunk_learned, chunk_lateral)}
 
 WORDS = rf"""ws AS (SELECT doc_id, list_filter(string_split_regex(text, '{SPACE}+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
 bare AS (SELECT doc_id, unnest(w) AS w, unnest(range(len(w))) AS i FROM ws),
