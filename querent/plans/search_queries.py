@@ -250,7 +250,7 @@ ORACLES = {
     "ivf_probe_topk": f"WITH {PROBED} {TOP.format(s='found', k=K)}",
     "recall_at_k": f"WITH {PROBED}, u AS (SELECT *, sqrt(list_dot_product(e, e)) AS n FROM v), s AS (SELECT q.id AS qid, c.id, round(list_dot_product(q.e, c.e) / (q.n * c.n), 6) AS score FROM u q JOIN u c ON q.id % 50 = 0), a AS ({TOP.format(s='s', k=K)}), b AS ({TOP.format(s='found', k=K)}) SELECT a.qid, round(count(b.id) / count(*)::DOUBLE, 6) AS recall FROM a LEFT JOIN b ON a.qid = b.qid AND a.id = b.id GROUP BY a.qid".replace("u AS (SELECT *, sqrt(list_dot_product(e, e)) AS n FROM v), n AS", "n AS"),
     "hash_embed": f"WITH d AS (SELECT doc_id AS id, {WORDS.format(t='text')} AS w FROM documents), {embedded_sql('de', 'id', 'd', 'w')} SELECT id, b::INTEGER AS pos, round(x, 6) AS x FROM de WHERE x <> 0",
-    "bm25_index_terms": f"WITH {POSTINGS} SELECT term, df, round(idf, 6) AS idf FROM terms",
+    "bm25_index_terms": f"WITH own AS MATERIALIZED (SELECT doc_id AS id, unnest(list_distinct({WORDS.format(t='text')})) AS term FROM documents), counted AS MATERIALIZED (SELECT term, count(*)::BIGINT AS df FROM own GROUP BY term), rated AS MATERIALIZED (SELECT term, df, ln((SELECT count(*) FROM documents)::DOUBLE - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS raw FROM counted) SELECT term, df, round(CASE WHEN raw < 0 THEN 0.25::DOUBLE * (SELECT avg(raw) FROM rated) ELSE raw END, 6) AS idf FROM rated",
     "bm25_topk": f"WITH {LEXICAL} {TOP.format(s='lex', k=K)}",
     "bm25_filtered": f"WITH {LEXICAL}, f AS (SELECT lex.* FROM lex WHERE source IN ('src' || (qid % 20), 'src' || ((qid + 7) % 20), 'src' || ((qid + 13) % 20))) {TOP.format(s='f', k=K)}",
     "hybrid_rrf": f"WITH {fused_sql(POOL, RRF, K)} {RESULT} fused",
