@@ -15,7 +15,7 @@ from querent.plans.search_queries import chunks, text_queries
 from querent.operators import evaluation
 from querent.operators.asof import asof_join
 from querent.session import stored, stored_dir
-from querent.streaming import answers, events
+from querent.streaming import answers, events, lines
 from querent.tables import table
 
 
@@ -85,15 +85,33 @@ def embed_queries(spark: SparkSession, sf: str) -> DataFrame:
     return embedded(text_queries(spark, sf), "qtext", "qvec").select("qid", F.size("qvec").alias("size"), F.round(F.aggregate("qvec", F.lit(0.0), lambda a, x: a + x * x), 6).alias("length"))
 
 
-def stream_answer_events(spark: SparkSession, sf: str) -> DataFrame:
-    """The assistant's turns as a stream of JSON events, written and read again; every seventh conversation fails after its words."""
+def told_turns(spark: SparkSession, sf: str) -> DataFrame:
+    """The assistant's turns as a stream of answers; every seventh conversation fails after its words."""
     turns = events.table_stream(spark, sf, "conversations").where("role = 'assistant'")
-    told = turns.select("conv_id", "turn", F.col("text").alias("answer"), F.when(F.col("conv_id") % 7 == 0, F.lit("model gone")).alias("error"), F.create_map(F.lit("role"), F.col("role")).alias("config"))
-    lines = events.drained(answers.answer_lines(told, ["conv_id", "turn"]), "answers")
-    rows = answers.read_lines(lines, ["conv_id", "turn"])
+    return turns.select("conv_id", "turn", F.col("text").alias("answer"), F.when(F.col("conv_id") % 7 == 0, F.lit("model gone")).alias("error"), F.create_map(F.lit("role"), F.col("role")).alias("config"))
+
+
+def answers_read(found: DataFrame) -> DataFrame:
+    rows = answers.read_lines(found, ["conv_id", "turn"])
     return rows.select("conv_id", "turn", F.md5(F.col("answer").cast("binary")).alias("text_md5"), "error", F.col("config")["role"].alias("role"))
 
 
+def stream_answer_events(spark: SparkSession, sf: str) -> DataFrame:
+    """The assistant's turns as a stream of JSON events, written and read again."""
+    return answers_read(events.drained(answers.answer_lines(told_turns(spark, sf), ["conv_id", "turn"]), "answers"))
+
+
+def stream_event_source(spark: SparkSession, sf: str) -> DataFrame:
+    """The same through the data source of event lines: one stream writes to it, another reads from it."""
+    lines.registered(spark)
+    folder = events.new_folder(spark, "event-lines")
+    told = answers.answer_lines(told_turns(spark, sf), ["conv_id", "turn"]).select(F.concat_ws(":", "conv_id", "turn").alias("key"), F.col("seq").cast("int").alias("seq"), "line")
+    told.writeStream.format(lines.FORMAT).option("path", folder).option("checkpointLocation", f"{folder}-state").trigger(availableNow=True).start().awaitTermination()
+    found = events.drained(spark.readStream.format(lines.FORMAT).option("path", folder).load(), "lines")
+    key = F.split("key", ":")
+    return answers_read(found.select(key[0].cast("long").alias("conv_id"), key[1].cast("long").alias("turn"), "seq", "line"))
+
+
 def cache_events(spark: SparkSession, sf: str) -> DataFrame:
     """Items answered without retrieval when those of even ids are stored already."""
     asked, config = text_queries(spark, sf), Config(no_rag=True)
@@ -102,7 +120,7 @@ def cache_events(spark: SparkSession, sf: str) -> DataFrame:
     return answers.cache_events(answered_through_cache(lambda: None, asked, config, path), config.no_rag)
 
 
-QUERIES = {f.__name__: f for f in (stream_ingest, events_tumbling, events_session, stream_sessions, stream_followed, asof_events, latency_sketches, stream_chat_state, stream_chat_window, answer_pipeline, embed_queries, stream_answer_events, cache_events)}
+QUERIES = {f.__name__: f for f in (stream_ingest, events_tumbling, events_session, stream_sessions, stream_followed, asof_events, latency_sketches, stream_chat_state, stream_chat_window, answer_pipeline, embed_queries, stream_answer_events, stream_event_source, cache_events)}
 ORACLES = {
     "stream_answer_events": "SELECT conv_id, turn, md5(text) AS text_md5, CASE WHEN conv_id % 7 = 0 THEN 'model gone' END AS error, role FROM conversations WHERE role = 'assistant'",
     "cache_events": "WITH r AS (SELECT item_id AS qid, text IN (SELECT text FROM benchmark WHERE item_id % 2 = 0) AS cached FROM benchmark) SELECT qid, 1::INTEGER AS step, CASE WHEN cached THEN 'cached' ELSE 'generate' END AS event FROM r",
@@ -117,3 +135,4 @@ ORACLES = {
     "embed_queries": "SELECT item_id AS qid, 64::INTEGER AS size, CASE WHEN trim(text) = '' THEN 0 ELSE 1 END::DOUBLE AS length FROM benchmark",
 }
 ORACLES["stream_chat_window"] = ORACLES["stream_chat_state"]
+ORACLES["stream_event_source"] = ORACLES["stream_answer_events"]
