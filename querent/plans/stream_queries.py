@@ -11,7 +11,7 @@ from querent.functions.vectors import embedded
 from querent.operators.chunking import naive_chunks
 from querent.plans.answering import answered, answered_through_cache, build_index
 from querent.plans.config import Config
-from querent.plans.search_queries import chunks, text_queries
+from querent.plans.search_queries import WORDS, chunks, embedded_sql, text_queries
 from querent.operators import evaluation
 from querent.operators.asof import asof_join
 from querent.session import stored, stored_dir
@@ -82,7 +82,9 @@ def answer_pipeline(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def embed_queries(spark: SparkSession, sf: str) -> DataFrame:
-    return embedded(text_queries(spark, sf), "qtext", "qvec").select("qid", F.size("qvec").alias("size"), F.round(F.aggregate("qvec", F.lit(0.0), lambda a, x: a + x * x), 6).alias("length"))
+    """The vectors of the benchmark items, their places that aren't zero."""
+    rows = embedded(text_queries(spark, sf), "qtext", "qvec").select("qid", F.posexplode("qvec").alias("pos", "x"))
+    return rows.where("x != 0").select("qid", "pos", F.round("x", 6).alias("x"))
 
 
 def told_turns(spark: SparkSession, sf: str) -> DataFrame:
@@ -132,7 +134,7 @@ ORACLES = {
     "asof_events": "WITH v AS (SELECT user_id, ts, max(event_id) AS view_id, arg_max(value, event_id) AS view_value FROM events WHERE event_type = 'view' GROUP BY ALL) SELECT p.event_id, v.view_id, v.view_value FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN v ON p.user_id = v.user_id AND p.ts >= v.ts",
     "latency_sketches": "SELECT event_type, count(value) AS n, true AS p50_near, true AS p95_near FROM events GROUP BY event_type",
     "stream_chat_state": "SELECT conv_id, turn, coalesce(string_agg(upper(role[1]) || role[2:] || ': ' || text, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING), '') AS history FROM conversations",
-    "embed_queries": "SELECT item_id AS qid, 64::INTEGER AS size, CASE WHEN trim(text) = '' THEN 0 ELSE 1 END::DOUBLE AS length FROM benchmark",
+    "embed_queries": f"WITH q AS (SELECT item_id AS qid, {WORDS.format(t='text')} AS w FROM benchmark), {embedded_sql('qe', 'qid', 'q', 'w')} SELECT qid, b::INTEGER AS pos, round(x, 6) AS x FROM qe WHERE x <> 0",
 }
 ORACLES["stream_chat_window"] = ORACLES["stream_chat_state"]
 ORACLES["stream_event_source"] = ORACLES["stream_answer_events"]
