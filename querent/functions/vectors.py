@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from querent.functions.batches import memory_returned, slices
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -60,12 +62,13 @@ def embedded(df: DataFrame, text: str = "text", into: str = "embedding", embed:
     arrow = to_arrow_schema(schema)
 
     def run(batches):
-        for whole in batches:
+        for whole in slices(batches):
             for at in range(0, whole.num_rows, batch_rows):
                 part = whole.slice(at, batch_rows)
                 vectors = embed([t or "" for t in part.column(text).to_pylist()])
                 columns = [pa.array(list(vectors), f.type) if f.name == into else part.column(f.name) for f in arrow]
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+        memory_returned()
 
     return df.mapInArrow(run, schema)
 
@@ -74,7 +77,7 @@ def words_embedded(df: DataFrame, size: int = 64, into: str = "embedding") -> Da
     """(id, embedding) of (id, words, counts): what ``hash_embed`` makes of texts with these words, without the texts."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             words = batch.column("words")
             each = words.flatten().dictionary_encode()
             places = np.array([bucket(w, size) for w in each.dictionary.to_pylist()] or np.empty((0, 2)))
@@ -84,5 +87,6 @@ def words_embedded(df: DataFrame, size: int = 64, into: str = "embedding") -> Da
             out = np.bincount(cell, places[code, 1] * batch.column("counts").flatten().to_numpy(), batch.num_rows * size).reshape(-1, size)
             lengths = np.sqrt((out**2).sum(axis=1, keepdims=True))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(list(out / np.where(lengths == 0, 1, lengths)), pa.list_(pa.float64()))], ["id", into])
+        memory_returned()
 
     return df.select("id", "words", "counts").mapInArrow(run, T.StructType([df.schema["id"], T.StructField(into, T.ArrayType(T.DoubleType()))]))

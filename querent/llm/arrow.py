@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -10,8 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Bytes of input that are turned into Python objects at once.
-SLICE_BYTES = 2 << 20
+from querent.functions.batches import memory_returned, slices
 
 
 def free_name(name: str, columns: Iterable[str]) -> str:
@@ -22,23 +20,6 @@ def free_name(name: str, columns: Iterable[str]) -> str:
     return name
 
 
-def memory_returned() -> None:
-    """Gives freed memory back to the system: workers are kept for later tasks, and an executor's memory is shared by all of them."""
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (AttributeError, OSError):  # not glibc
-        pass
-
-
-def slices(batches: Iterable[pa.RecordBatch], limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that a slice holds about ``limit`` bytes, or one row."""
-    for batch in batches:
-        rows = max(1, int(batch.num_rows * limit / max(batch.nbytes, 1)))
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
 def by_columns(df: DataFrame, schema: T.StructType, work: Callable[[], Callable[[dict[str, list]], dict[str, list]]]) -> DataFrame:
     """``mapInArrow`` with lists: ``work()`` is called once a task and gives a function from input columns to output columns."""
     arrow = to_arrow_schema(schema)

@@ -3,6 +3,7 @@ import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -224,3 +225,21 @@ def test_vectors_of_counted_words_are_those_of_texts(spark):
     want = {r.id: r.embedding for r in embedded(chunks.select("id", "text")).collect()}
     assert {r.id: r.embedding for r in words_embedded(lexical.indexed(chunks).chunks).collect()} == want
     assert words_embedded(lexical.indexed(chunks.limit(0)).chunks).collect() == []
+
+
+class Caught:
+    """Stands for a table whose row function is to be called by hand."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):  # noqa: N802
+        return run
+
+
+def test_words_are_counted_in_slices(spark):
+    """A batch of long texts isn't held as words all at once."""
+    batch = pa.RecordBatch.from_pydict({"id": list(range(64)), "text": [f"w{k} " * 100_000 for k in range(64)], "source": ["s"] * 64})
+    parts = list(lexical.counted(Caught())(iter([batch])))
+    assert max(p.num_rows for p in parts) <= 8 and [i for p in parts for i in p.column("id").to_pylist()] == list(range(64))
+    assert all(c == [100_000] for p in parts for c in p.column("counts").to_pylist())
