@@ -10,15 +10,16 @@ several) or none. One pass counts words by the mark before them and their own ma
 
 A period after other words ends a sentence. After an abbreviation, an ellipsis, a number or an initial it does if what follows must
 start a sentence by its case (or is a starter in upper case), unless both are a collocation; after a number it does, and after an initial it
-doesn't, where the case says nothing. The model is bounded by ``most`` words of each kind, the most frequent ones; all counts are over all texts.
+doesn't, where the case says nothing. The model is whole: it holds the words that pass the thresholds, and of the case what words follow a mark, or for given texts only what decides a place of theirs.
 
 Nulls and edges: a null text has no sentences and counts nothing, as do texts of white space; a text without an end is one sentence.
-Equal likelihoods are cut by the word. Without texts every period ends a sentence. Long texts are searched once from front to back.
+Without texts every period ends a sentence. Long texts are searched once from front to back.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from querent.functions.batches import memory_returned, slices
 from querent.functions.text import SPACE
 from querent.session import stored
 
@@ -55,13 +57,46 @@ def tokens(text: Column) -> Column:
     return F.filter(F.transform(F.filter(F.split(text, f"{SPACE}+"), lambda w: w != ""), token), lambda t: t["kind"] != "")
 
 
+#: Tokens whose reading a task keeps, and counts that it holds before it sends them on.
+HELD = 200_000
+COUNTS = pa.schema([*((n, pa.string()) for n in ("before", "ends", "word", "kind", "case")), ("n", pa.int64())])
+
+
 def counts(docs: DataFrame) -> DataFrame:
-    """(before, ends, word, kind, case, n): words by what stands before them: the word, if it has a period, and its mark (``start`` at the start of a text)."""
-    rows = docs.where(F.col("text").isNotNull()).select(tokens(F.col("text")).alias("t"))
-    last = F.when(F.col("k") > 0, F.col("t")[F.col("k") - 1])
-    rows = rows.select("t", F.posexplode("t").alias("k", "w")).select("w", last.alias("last")).where("w.word != ''")
-    before = F.when(F.col("last.kind") == "period", F.col("last.word")).otherwise("")
-    return rows.groupBy(before.alias("before"), F.coalesce("last.kind", F.lit("start")).alias("ends"), "w.word", "w.kind", "w.case").agg(F.count("*").alias("n"))
+    """(before, ends, word, kind, case, n): words by what stands before them: the word, if it has a period, and its mark (``start`` at the start of a text).
+
+    A task reads each distinct token once, as ``words_of`` does, and sums up before the shuffle.
+    """
+
+    def out(found: Counter) -> pa.RecordBatch:
+        columns = [*zip(*found, strict=True), found.values()]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, COUNTS, strict=True)], schema=COUNTS)
+
+    def run(batches):
+        read: dict[str, tuple[str, str, str] | None] = {}
+        found: Counter = Counter()
+        for part in slices(batches):
+            for text in part.column("text").to_pylist():
+                before, ends = "", "start"
+                for token in (text or "").split():
+                    if token not in read:
+                        read[token] = next(words_of(token), None)
+                    if own := read[token]:
+                        if own[0]:
+                            found[before, ends, *own] += 1
+                        before, ends = own[0] if own[1] == "period" else "", own[1]
+            if len(found) > HELD:
+                yield out(found)
+                found = Counter()
+            if len(read) > HELD:
+                read = {}
+        if found:
+            yield out(found)
+        del read, found
+        memory_returned()
+
+    rows = docs.select("text").mapInArrow(run, "before string, ends string, word string, kind string, case string, n long")
+    return rows.groupBy("before", "ends", "word", "kind", "case").agg(F.sum("n").alias("n"))
 
 
 def times(x: Column, p: Column) -> Column:
@@ -216,16 +251,30 @@ def read_start(token: str) -> tuple[str, str, bool]:
     return NUMBER if NUMERIC_RE.fullmatch(core) else core.lower(), case, token[0] in ",;:.!?…"
 
 
-def trained(docs: DataFrame, most: int = 100_000) -> Splitter:
-    """The model of all texts of ``docs``."""
+def deciding(table: DataFrame, short: DataFrame) -> DataFrame:
+    """The rows of ``cases`` that change what ``Splitter.starts`` says of a word where it is asked.
+
+    It is asked of words that follow an ellipsis, or the period of an abbreviation, a number or an initial, and only in a case in which they stand there;
+    of all other words a splitter says the same as of those that it doesn't know.
+    """
+    known = F.col("short").isNotNull() | (F.col("before") == NUMBER) | is_initial(F.col("before")) | (F.col("ends") == "ellipsis")
+    after = table.where("ends IN ('period', 'ellipsis')").join(short.select(F.col("word").alias("before"), F.lit(True).alias("short")), "before", "left").where(known)
+    asked = after.groupBy("word").agg(F.max(F.col("case") == "upper").alias("as_upper"), F.max(F.col("case") == "lower").alias("as_lower"))
+    starts = "as_upper AND lower_inside + lower_first > 0 AND upper_inside = 0"
+    open_ = "as_lower AND lower_first > 0 AND upper_inside + upper_first = 0"
+    return cases(table).join(asked, "word").where(f"{starts} OR {open_}").drop("as_upper", "as_lower")
+
+
+def trained(docs: DataFrame, most: int | None = None, decisive: bool = False) -> Splitter:
+    """The model of all texts of ``docs``, whole, or the ``most`` frequent words of each kind; ``decisive`` leaves out cases that decide nothing in these texts."""
+    cut = lambda rows, *by: rows.orderBy(*by).limit(most) if most is not None else rows
     table = stored(counts(docs), "sentence-counts")
-    short = stored(abbreviations(table).orderBy(F.desc("periods"), "word").limit(most), "abbreviations")
-    first = stored(starters(table, short).orderBy(F.desc("starts"), "word").limit(most), "starters")
-    pairs = collocations(table, short, first).orderBy(F.desc("n"), "before", "word").limit(most)
-    case = cases(table).orderBy(F.desc("n"), "word").limit(most)
+    short = stored(cut(abbreviations(table), F.desc("periods"), "word"), "abbreviations")
+    first = stored(cut(starters(table, short), F.desc("starts"), "word"), "starters")
+    pairs = cut(collocations(table, short, first), F.desc("n"), "before", "word")
     words = lambda rows: frozenset(rows.select("word").toArrow().column(0).to_pylist())
     held = pairs.select("before", "word").toArrow()
-    flags = case.select("word", *(F.col(c) > 0 for c in ("upper_inside", "upper_first", "lower_inside", "lower_first"))).toArrow()
+    flags = cut(deciding(table, short) if decisive else cases(table), F.desc("n"), "word").select("word", *(F.col(c) > 0 for c in ("upper_inside", "upper_first", "lower_inside", "lower_first"))).toArrow()
     columns = [flags.column(k).to_pylist() for k in range(5)]
     return Splitter(words(short), words(first), frozenset(zip(held.column(0).to_pylist(), held.column(1).to_pylist(), strict=True)), dict(zip(columns[0], zip(*columns[1:], strict=True), strict=True)))
 
@@ -246,7 +295,7 @@ def split_texts(docs: DataFrame, model: Splitter) -> DataFrame:
     arrow = to_arrow_schema(schema)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = [shared.value.split(t) if t else [] for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.string()))], schema=arrow)
 

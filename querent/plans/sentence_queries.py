@@ -35,7 +35,7 @@ def sentence_model(spark: SparkSession, sf: str) -> DataFrame:
 def sentence_ends(spark: SparkSession, sf: str) -> DataFrame:
     """How many sentences each document has, and their texts with single spaces."""
     docs = documents(spark, sf)
-    rows = sentences.split_texts(docs, sentences.trained(docs))
+    rows = sentences.split_texts(docs, sentences.trained(docs, decisive=True))
     whole = F.transform("sentences", lambda s: F.regexp_replace(s, f"{SPACE}+", " "))
     return rows.select("doc_id", F.size("sentences").cast("long").alias("n"), md5(F.array_join(whole, "\n")).alias("text_md5"))
 
@@ -43,7 +43,7 @@ def sentence_ends(spark: SparkSession, sf: str) -> DataFrame:
 def chunk_learned(spark: SparkSession, sf: str) -> DataFrame:
     """Chunks by tokens whose sentences are the learned ones."""
     docs = documents(spark, sf)
-    return chunking.token_chunks(docs, rank_file(), split=sentences.trained(docs)).select("doc_id", "pos", "n_tokens", md5(F.col("text")).alias("text_md5"))
+    return chunking.token_chunks(docs, rank_file(), split=sentences.trained(docs, decisive=True)).select("doc_id", "pos", "n_tokens", md5(F.col("text")).alias("text_md5"))
 
 
 def chunk_lateral(spark: SparkSession, sf: str) -> DataFrame:

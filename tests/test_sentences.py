@@ -192,3 +192,25 @@ def test_chunks_by_the_learned_sentences(spark):
     cut = chunking.TokenChunker(e.encode_ordinary, e.decode, 64, 16, model)
     assert got == {k: c for k, t in enumerate(texts) if t and (c := cut.chunks(t))}
     assert docs.where(F.col("text").isNotNull()).count() > len(got)
+
+
+def test_the_model_holds_more_than_a_hundred_thousand_words(spark):
+    docs = spark.range(100_500).select(F.concat(F.lit("so w"), "id", F.lit(" is… W"), "id", F.lit(" goes")).alias("text"))
+    model = sentences.trained(docs)
+    assert all(len(model.split(f"so w{k} is… W{k} goes")) == 2 for k in (0, 1234, 99_999, 100_499))
+
+
+def test_the_decisive_model_splits_its_texts_as_the_whole_one(spark):
+    texts = texts_of(5)
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    whole, lean = sentences.trained(docs), sentences.trained(docs, decisive=True)
+    assert len(lean.case) < len(whole.case) and all(lean.split(t) == whole.split(t) for t in texts if t is not None)
+
+
+def test_tasks_of_a_table_are_of_bounded_size(spark, tmp_path, monkeypatch):
+    from querent import tables
+
+    spark.range(40_000).selectExpr("id", "sha2(string(id), 256) AS text").coalesce(1).write.parquet(f"{tmp_path}/t.parquet")
+    monkeypatch.setattr(tables, "TASK_BYTES", 1 << 16)
+    rows = tables.spread(tables.table(spark, str(tmp_path), "t"))
+    assert rows.rdd.getNumPartitions() > 8 and rows.count() == 40_000
