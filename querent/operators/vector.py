@@ -16,6 +16,8 @@ from querent.session import stored
 
 #: Bytes of query vectors that are sent to every task together, scores that are worked out at once, and most cells of an index.
 QUERY_BYTES, PAIRS, MOST_CELLS = 64 << 20, 1 << 21, 65_536
+#: Hits that a task keeps for the queries of a block.
+QUERY_HITS = 1 << 21
 #: Vectors and queries of one cell or bucket that meet in one task, and vectors that a bucket is meant to hold.
 CELL_VECTORS, CELL_QUERIES, BUCKET_VECTORS = 1 << 14, 1 << 12, 1 << 10
 HITS = "qid long, id long, score double"
@@ -62,13 +64,13 @@ class Best:
 def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int, sources: dict[int, set[str]] | None = None, cosine: bool = True, digits: int = 6) -> DataFrame:
     """(qid, id, score, rank): the k nearest of ``vectors`` (id, embedding[, source]) for each of ``queries`` (qid, qvec).
 
-    Queries go out in blocks of QUERY_BYTES, one after the other, each of which takes one scan of the vectors; each task keeps k rows a query,
+    Queries go out in blocks of QUERY_BYTES, or of QUERY_HITS hits, one after the other, each of which takes one scan of the vectors; each task keeps k rows a query,
     those of several blocks are stored, and a window picks the best. So driver and executors hold one block at a time. ``sources`` restricts a query to rows of some sources, an empty set to none.
     Scores are rounded before ranking. A null query has no hits.
     """
     queries = queries.where(F.col("qvec").isNotNull())
     total, size = queries.agg(F.count("*"), F.max(F.size("qvec"))).first()
-    blocks = max(1, -(-total * (size or 1) * 8 // QUERY_BYTES))
+    blocks = max(1, -(-total * (size or 1) * 8 // QUERY_BYTES), -(-total * k // QUERY_HITS))
     found = None
     for block in range(blocks):
         own = queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block) if blocks > 1 else queries
@@ -146,15 +148,15 @@ def assigned(vectors: DataFrame, centroids: DataFrame, digits: int = 6) -> DataF
     rows = centroids.orderBy("cell_id").collect()
     cells = np.array([r.cell_id for r in rows], np.int32)
     matrix = np.array([r.centre for r in rows], float)
-    names = vectors.columns
+    names, step = vectors.columns, max(1, PAIRS // max(len(cells), 1))
 
     def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            own = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
-            best = np.round(own @ matrix.T, digits).argmax(axis=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells[best])], [*names, "cell_id"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
+                own = rows_of(batch.column("embedding"), batch.num_rows)
+                best = np.round(own @ matrix.T, digits).argmax(axis=1)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells[best])], [*names, "cell_id"])
 
     schema = T.StructType([*vectors.schema.fields, T.StructField("cell_id", T.IntegerType())])
     return vectors.where(F.col("embedding").isNotNull()).mapInArrow(run, schema)
