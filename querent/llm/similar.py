@@ -9,6 +9,9 @@ are worked out, each set of members once however many bands gave it: joined sets
 the buckets that aren't joined, whatever a chain of similar sets may reach. SimHash can't stand in for the bands here: pairs of
 0.8 differ in about ten of 64 bits, and an index for that distance would probe thousands of values a text.
 
+``kept`` also joins what operator 10 links, texts whose fingerprints differ in four bits or fewer: sets of one component of fingerprints
+are a star of links, which goes into the same components as the others.
+
 Words are those of ``simhash``: lower-cased in A to Z and parted by ASCII white space. A text with fewer words than a
 shingle is one shingle, one without words has none and is equal to others without. A long text is cut into blocks of bytes. Null texts,
 null and repeated ids, repeated rows, empty tables (which give no rows) and clashing names are taken as in ``simhash.kept``.
@@ -24,7 +27,7 @@ from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
 from querent.llm.arrow import by_columns, memory_returned, slices
-from querent.llm.simhash import components, kept_rows, shingle_hashes, signed
+from querent.llm.simhash import components, fingerprint, kept_rows, rooted, shingle_hashes, signed
 from querent.session import stored
 
 BANDS, ROWS = 32, 6
@@ -194,16 +197,25 @@ def sets_of(docs: DataFrame, firsts: DataFrame, width: int, seed: int) -> DataFr
     return by_columns(texts, schema, work).join(firsts.select("fp"), "fp", "left_semi").dropDuplicates(["fp"])
 
 
-def kept(docs: DataFrame, similarity: float = 0.8, width: int = 5, seed: int = 42, cell_rows: int = 512, cell_hashes: int = 1 << 20) -> DataFrame:
-    """One row of each group of ``docs`` that pairs of ``similarity`` or more connect, chosen as by ``simhash.kept``."""
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("fp", T.StringType()), T.StructField("size", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+def mark_links(own: DataFrame, distance: int) -> DataFrame:
+    """(a, b): a star of the shingle sets ``fp`` of each component of the SimHash fingerprints ``mark`` of (doc_id, fp, mark)."""
+    tree = rooted(own.select("doc_id", F.col("mark").alias("fp")), distance, 8192).select(F.col("fp").alias("mark"), F.col("root").alias("of"))
+    rows = stored(own.select("fp", "mark").distinct().join(tree, "mark").select("of", "fp").distinct(), "mark-roots")
+    least = rows.groupBy("of").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").select("of", "a")
+    return rows.join(least, "of").where("a != fp").select("a", F.col("fp").alias("b"))
+
+
+def kept(docs: DataFrame, similarity: float = 0.8, width: int = 5, seed: int = 42, cell_rows: int = 512, cell_hashes: int = 1 << 20, distance: int = 4) -> DataFrame:
+    """One row of each group of ``docs``, chosen as by ``simhash.kept``: SimHash fingerprints of ``distance`` or fewer differing bits connect rows, and so do pairs of ``similarity`` or more."""
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("fp", T.StringType()), T.StructField("size", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("mark", T.LongType())])
 
     def work():
         flip, factor = functions(seed)
 
         def function(rows):
             found = [(key_of(s), len(s), bands(s, flip, factor)) for s in (shingled(t, width, seed) for t in rows["text"])]  # one set at a time
-            return {"doc_id": rows["doc_id"]} | {c: [f[k] for f in found] for k, c in enumerate(("fp", "size", "bands"))}
+            marks = [signed(fingerprint(t, seed=seed)) for t in rows["text"]]
+            return {"doc_id": rows["doc_id"], "mark": marks} | {c: [f[k] for f in found] for k, c in enumerate(("fp", "size", "bands"))}
 
         return function
 
@@ -211,7 +223,7 @@ def kept(docs: DataFrame, similarity: float = 0.8, width: int = 5, seed: int = 4
     distinct = stored(own.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.first("size").alias("size"), F.first("bands").alias("bands")), "distinct-sets")
     met = stored(bucketed(distinct), "met")
     sets = stored(sets_of(docs.select("doc_id", "text"), distinct.join(met.select("fp").distinct(), "fp", "left_semi"), width, seed), "shingle-sets")
-    links = stored(first_links(met, sets, similarity, cell_rows), "first-links")
+    links = stored(first_links(met, sets, similarity, cell_rows).unionByName(mark_links(own, distance)), "first-links")
     more = bucket_links(met, sets, components(links), similarity, cell_rows, cell_hashes)
     tree = components(links.unionByName(stored(more, "bucket-links"))).withColumnRenamed("node", "fp")
     tree = stored(distinct.select("fp", "first_id").join(tree, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")), "roots")

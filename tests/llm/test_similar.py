@@ -96,3 +96,10 @@ def test_blocks_of_a_text_give_its_shingles():
         whole = [h for block in simhash.shingle_hashes(text, 3, 42) for h in block.tolist()]
         parts = [h for block in simhash.shingle_hashes(text, 3, 42, 5) for h in block.tolist()]
         assert whole == parts
+
+
+def test_fingerprints_link_what_sets_do_not(spark):
+    """Operator 10's links count too: texts of one repeated phrase have one fingerprint, though their sets of shingles differ."""
+    phrase = "alpha beta gamma " * 200
+    rows = [(3, phrase + "one two three four five six"), (4, phrase + "seven eight nine ten eleven twelve"), (5, "a text of its own")]
+    assert [r.doc_id for r in similar.kept(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()] == [3, 5]
