@@ -232,3 +232,16 @@ def test_documents_of_a_folder(spark, tmp_path):
     assert [w[1] for w in second] == ["l"] * 60 + ["r"] * 60  # the left column first, by this page's own width
     assert any("alpha" in t and "12.5" in t and "|" not in t for _, s, t in rows if s == "a.pdf") and (2, "b.txt", "Plain text.") in rows
     assert {s for _, s, _ in rows} == {"a.pdf", "b.txt"}
+
+
+def test_plain_content_is_read_in_runs(monkeypatch):
+    """Tokens of plain content don't go through ``Reader``, and equal strings are looked up once."""
+    words = [{"text": f"word{k % 7}", "x0": 50.0 * (k % 10), "x1": 50.0 * (k % 10) + 40, "top": 14.0 * (k // 10), "bottom": 14.0 * (k // 10) + 9} for k in range(400)]
+    data = pdfwrite.pdf_bytes([{"width": 600.0, "height": 700.0, "words": words, "rules": [], "bars": []}], "coded")
+    (piece,) = pdf.slices_of("f", data)
+    calls = []
+    value = Reader.value
+    monkeypatch.setattr(Reader, "value", lambda self, depth=0: (calls.append(1), value(self, depth))[1])
+    (row,) = pdf.pages_of(piece)
+    assert [w["text"] for w in row["words"]] == [w["text"] for w in words]
+    assert len(calls) < 200
