@@ -1,13 +1,13 @@
-"""Vector search over a graph of nearest neighbours.
+"""Vector search over graphs of nearest neighbours.
 
-Building: vectors sorted along a few random directions meet in blocks, which gives each a first list of neighbours; then rounds of
-joins let the neighbours of a vector meet each other, until few lists change. A vector keeps ``k`` neighbours and up to ``k`` of
-those that have it as theirs, so no list grows with the table and a hub is no large group.
+Building: vectors are dealt by the hash of their id into shards of about ``SHARD_ROWS`` rows; a task holds one shard, and joins each of its
+vectors with its ``k`` nearest of the shard and up to ``k`` of those that have it as theirs. So no task grows with the table, a hub is no
+large group, and building is linear in the rows.
 
-Searching: all queries go at once. A query's state is one row: what it has looked at, by score, and what it looks at next, the best
-``STEP`` of its first ``width`` that it hasn't followed. A round joins those with their neighbours and the new ones with their vectors; a query
-ends when all of its first ``width`` are followed. The width is fitted as the search goes: sampled vectors are asked too, without
-their own row, and once all have ended the width grows until they find ``target`` of what an exact search finds.
+Searching: each block of queries meets each shard in a task of its own. A query follows the best ``STEP`` of its first ``width`` that it hasn't
+followed, until all of them are; its hits of all shards are ranked. All rounds of a search lie within tasks, so a search is one job, whatever
+the width. The work grows with queries times shards, as with any index in shards. The width is fitted: sampled vectors are asked first, without
+their own row, by a ladder of widths, of which the smallest that finds ``target`` of what an exact search finds is taken.
 
 Nulls and edges: null vectors take no part. Zero vectors score 0 with all. Equal scores go by the smaller id. An empty table has an empty
 graph and no hits; with fewer than ``k`` vectors all are found. Repeated ids aren't taken.
@@ -24,28 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from querent.operators.vector import exact_top_k, rows_of, unit
+from querent.operators.vector import exact_top_k, ranked, rows_of, unit
 from querent.session import forgotten, stored
 
-#: Vectors of a block, directions that blocks are sorted along, rounds at most, the share of changed neighbours that ends them.
-BLOCK, DIRECTIONS, ROUNDS, SETTLED = 256, 4, 6, 0.02
-#: Vectors that a query follows in a round, most vectors where all queries begin, sampled queries.
-STEP, ENTRIES, SAMPLES = 8, 4096, 64
-EDGES = "a long, b long, score double"
-
-
-def based(vectors: DataFrame, seed: int) -> DataFrame:
-    """(id, v, places): vectors at length one and their places along the random directions."""
-
-    def run(batches):
-        for batch in batches:
-            usable = batch.filter(pa.compute.is_valid(batch.column("embedding")))
-            if usable.num_rows:
-                own = unit(rows_of(usable.column("embedding"), usable.num_rows))
-                lines = np.random.default_rng(seed).standard_normal((own.shape[1], DIRECTIONS))
-                yield pa.RecordBatch.from_arrays([usable.column("id").cast(pa.int64()), as_lists(own), as_lists(own @ lines)], ["id", "v", "places"])
-
-    return vectors.select("id", "embedding").mapInArrow(run, "id long, v array<double>, places array<double>")
+#: Vectors of a shard, of which so many are scored against the others at once.
+SHARD_ROWS, AT_ONCE = 1 << 13, 1 << 10
+#: Vectors that a query follows in a round, sampled queries, widths that are tried in a job, queries of a task, tasks aimed at.
+STEP, SAMPLES, LADDER, TASK_QUERIES, TASKS = 8, 256, 4, 1 << 12, 48
+GRAPH = "id long, v array<double>, near array<long>, shard long"
+HITS = "qid long, width long, ids array<long>, scores array<double>, looked long"
 
 
 def as_lists(matrix: np.ndarray) -> pa.Array:
@@ -53,102 +40,41 @@ def as_lists(matrix: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * width, pa.int32()), pa.array(matrix.reshape(-1)))
 
 
-def nearest(ids: np.ndarray, scores: np.ndarray, most: int) -> pa.RecordBatch:
-    """The edges from each of ``ids`` to its best others by a matrix of scores; those of -inf are none."""
-    np.fill_diagonal(scores, -np.inf)
-    most = min(most, len(ids) - 1)
-    best = np.argpartition(-scores, most - 1, axis=1)[:, :most] if most else np.empty((len(ids), 0), int)
-    a, kept = np.repeat(np.arange(len(ids)), most), best.reshape(-1)
-    own = scores[a, kept]
-    some = np.isfinite(own)
-    return pa.RecordBatch.from_arrays([pa.array(ids[a[some]]), pa.array(ids[kept[some]]), pa.array(own[some])], ["a", "b", "score"])
-
-
-def block_edges(base: DataFrame, direction: int, k: int) -> DataFrame:
-    """Edges within blocks of vectors that stand side by side along a direction."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def worked() -> pa.RecordBatch:
-            whole = pa.Table.from_batches(held)
-            own = rows_of(whole.column("v"), whole.num_rows)
-            return nearest(whole.column("id").to_numpy(), own @ own.T, k)
-
-        for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK // 2):
-                held.append(batch.slice(at, BLOCK // 2))
-                if sum(b.num_rows for b in held) >= BLOCK:
-                    yield worked()
-                    held = []
-        if held:
-            yield worked()
-
-    rows = base.select("id", "v", F.col("places")[direction].alias("place"))
-    return rows.repartitionByRange("place", "id").sortWithinPartitions("place", "id").select("id", "v").mapInArrow(run, EDGES)
-
-
-def best_edges(edges: DataFrame, most: int) -> DataFrame:
-    """The ``most`` best edges of each vector, each once; an edge that was known before isn't new."""
-    once = edges.groupBy("a", "b").agg(F.max("score").alias("score"), F.min("new").alias("new"))
-    order = Window.partitionBy("a").orderBy(F.desc("score"), "b")
-    return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).drop("rank")
-
-
-def both_ways(edges: DataFrame, most: int) -> DataFrame:
-    """Edges and their reverses, the ``most`` best of each vector."""
-    back = edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "score", "new")
-    return best_edges(edges.unionByName(back), most)
-
-
-def met_edges(edges: DataFrame, base: DataFrame, k: int) -> DataFrame:
-    """Edges between the neighbours of a vector, unless both have met there before."""
-    around = both_ways(edges, 2 * k).select("a", F.col("b").alias("id"), "new").join(base.select("id", "v"), "id")
-
-    def run(batches):
-        key, ids, new, own = None, [], [], []
-
-        def worked():
-            scores = np.array(own) @ np.array(own).T
-            fresh = np.array(new)
-            scores[~(fresh[:, None] | fresh[None, :])] = -np.inf
-            return nearest(np.array(ids, np.int64), scores, max(2, k // 2))
-
-        for batch in batches:
-            matrix = rows_of(batch.column("v"), batch.num_rows) if batch.num_rows else []
-            for a, b, n, row in zip(*(batch.column(c).to_pylist() for c in ("a", "id", "new")), matrix, strict=True):
-                if a != key:
-                    if len(ids) > 1 and any(new):
-                        yield worked()
-                    key, ids, new, own = a, [], [], []
-                ids.append(b)
-                new.append(n)
-                own.append(row)
-        if len(ids) > 1 and any(new):
-            yield worked()
-
-    return around.select("a", "id", "new", "v").repartition("a").sortWithinPartitions("a").mapInArrow(run, EDGES)
-
-
-def knn_graph(vectors: DataFrame, k: int = 12, seed: int = 7, rounds: int = ROUNDS) -> DataFrame:
-    """(id, v, near): vectors of (id, embedding) at length one, with up to 2 ``k`` neighbours each; a stored table."""
-    base = stored(based(vectors, seed), "graph-vectors")
-    total = base.count()
-    edges = block_edges(base, 0, k)
-    for direction in range(1, DIRECTIONS):
-        edges = edges.unionByName(block_edges(base, direction, k))
-    edges = stored(best_edges(edges.withColumn("new", F.lit(True)), k), "graph-edges")
-    for _ in range(rounds):
-        met = met_edges(edges, base, k).withColumn("new", F.lit(True))
-        then = stored(best_edges(edges.withColumn("new", F.lit(False)).unionByName(met), k), "graph-edges")
-        forgotten(edges)
-        edges = then
-        if edges.where("new").count() <= SETTLED * k * total:
-            break
-    near = both_ways(edges, 2 * k).groupBy(F.col("a").alias("id")).agg(F.collect_list("b").alias("near"))
-    graph = stored(base.select("id", "v").join(near, "id", "left").select("id", "v", F.coalesce("near", F.array().cast("array<long>")).alias("near")), "graph")
-    forgotten(edges, base)
-    return graph
+def neighbours(own: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (a, b) as places, sorted by a: the ``k`` nearest of each row and their reverses, up to 2 ``k`` of a row."""
+    most, parts = min(k, len(own) - 1), []
+    for at in range(0, len(own) if most > 0 else 0, AT_ONCE):
+        scores = own[at : at + AT_ONCE] @ own.T
+        rows = np.arange(len(scores))
+        scores[rows, rows + at] = -np.inf
+        best = np.argpartition(-scores, most - 1, axis=1)[:, :most]
+        parts.append((np.repeat(rows + at, most), best.ravel(), np.take_along_axis(scores, best, 1).ravel()))
+    if not parts:
+        return np.empty(0, int), np.empty(0, int)
+    a, b, score = (np.concatenate(c) for c in zip(*parts, strict=True))
+    a, b, score = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([score, score])
+    once = np.unique(a * len(own) + b, return_index=True)[1]
+    a, b, score = a[once], b[once], score[once]
+    order = np.lexsort((ids[b], -score, a))
+    a, b = a[order], b[order]
+    kept = np.arange(len(a)) - np.searchsorted(a, a) < 2 * k
+    return a[kept], b[kept]
+
+
+def knn_graph(vectors: DataFrame, k: int = 12, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """(id, v, near, shard): vectors of (id, embedding) at length one, with up to 2 ``k`` neighbours each of their shard; a stored table."""
+    usable = vectors.select(F.col("id").cast("long").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding")).where("embedding IS NOT NULL")
+    shards = max(1, -(-usable.count() // shard_rows))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id")
+        own, ids = unit(rows_of(table.column("embedding"), table.num_rows)), table.column("id").to_numpy()
+        a, b = neighbours(own, ids, k)
+        near = pa.ListArray.from_arrays(pa.array(np.searchsorted(a, np.arange(len(ids) + 1)), pa.int32()), pa.array(ids[b], pa.int64()))
+        return pa.table([table.column("id"), as_lists(own), near, table.column("shard")], ["id", "v", "near", "shard"])
+
+    dealt = usable.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
+    return stored(dealt.groupBy("shard").applyInArrow(run, GRAPH), "graph")
 
 
 class Found(NamedTuple):
@@ -159,54 +85,90 @@ class Found(NamedTuple):
     looked: float
 
 
-STATE = "qid long, sample boolean, q array<double>, ids array<long>, scores array<double>, done array<boolean>, next array<long>"
-
-
-def advanced(ids: np.ndarray, scores: np.ndarray, done: np.ndarray, width: int) -> tuple[list, list, list, list]:
-    """A state in order, with what is looked at next, which counts as done."""
-    order = np.lexsort((ids, -scores))
-    ids, scores, done = ids[order], scores[order], done[order].copy()
-    chosen = np.flatnonzero(~done[:width])[:STEP]
-    done[chosen] = True
-    return ids.tolist(), scores.tolist(), done.tolist(), ids[chosen].tolist()
-
-
-def states(rows: DataFrame, width: int, apart: bool, entry: tuple[np.ndarray, np.ndarray] | None) -> DataFrame:
-    """The next states: of queries that begin at ``entry``, or of states with the vectors that they have ``found``."""
-    names = [c.split()[0] for c in STATE.split(", ")]
-
-    def run(batches):
-        for batch in batches:
-            out = {n: [] for n in names}
-            for row in batch.to_pylist():
-                q, alone = np.array(row["q"]), apart or row["sample"]
-                if entry is not None:
-                    ids, scores, done = entry[0], np.round(entry[1] @ q, 6) + 0.0 if len(entry[0]) else np.empty(0), np.zeros(len(entry[0]), bool)
-                else:
-                    ids, scores, done = np.array(row["ids"], np.int64), np.array(row["scores"], float), np.array(row["done"], bool)
-                    if found := row.get("found"):
-                        new = np.array([f["id"] for f in found], np.int64)
-                        ids, done = np.concatenate([ids, new]), np.concatenate([done, np.zeros(len(new), bool)])
-                        scores = np.concatenate([scores, np.round(np.array([f["v"] for f in found]) @ q, 6) + 0.0])
-                if alone and len(ids):
-                    other = ids != row["qid"]
-                    ids, scores, done = ids[other], scores[other], done[other]
-                values = (row["qid"], row["sample"], row["q"], *advanced(ids, scores, done, width))
-                for n, v in zip(names, values, strict=True):
-                    out[n].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out["qid"], pa.int64()), pa.array(out["sample"], pa.bool_()), pa.array(out["q"], pa.list_(pa.float64())), pa.array(out["ids"], pa.list_(pa.int64())), pa.array(out["scores"], pa.list_(pa.float64())), pa.array(out["done"], pa.list_(pa.bool_())), pa.array(out["next"], pa.list_(pa.int64()))], names)
-
-    return rows.mapInArrow(run, STATE)
-
-
-def looked_at(state: DataFrame, graph: DataFrame) -> DataFrame:
-    """States with the vectors ``found``: the neighbours of what they look at next that they don't have yet."""
-    key = ["qid", "sample"]
-    around = state.select(*key, F.explode("next").alias("id")).join(graph.select("id", "near"), "id").select(*key, F.explode("near").alias("id"))
-    around = around.groupBy(*key).agg(F.collect_set("id").alias("around"))
-    new = state.select(*key, "ids").join(around, key).select(*key, F.explode(F.array_except("around", "ids")).alias("id"))
-    found = new.join(graph.select("id", "v"), "id").groupBy(*key).agg(F.collect_list(F.struct("id", "v")).alias("found"))
-    return state.join(found, key, "left")
+class Shard:
+    """A shard's vectors and neighbours in a task."""
+
+    def __init__(self, table: pa.Table):
+        table = table.sort_by("id")
+        self.ids, self.own = table.column("id").to_numpy(), rows_of(table.column("v"), table.num_rows)
+        near = table.column("near").combine_chunks()
+        self.starts = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(near).to_numpy(zero_copy_only=False))])
+        self.near = np.searchsorted(self.ids, near.flatten().to_numpy())
+        # A search begins at rows that the hash of the id puts apart: the root of their number.
+        self.entry = np.random.default_rng(len(self.ids)).permutation(len(self.ids))[: math.isqrt(len(self.ids))]
+
+    def searched(self, q: np.ndarray, widths: list[int], without: int | None) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+        """(width, places, scores, looked) of the best for each of growing ``widths``, without the row of one id."""
+        scores, seen = np.full(len(self.ids), -np.inf), np.zeros(len(self.ids), bool)
+        followed, alone = seen.copy(), np.searchsorted(self.ids, without) if without is not None else len(self.ids)
+        out = alone < len(self.ids) and self.ids[alone] == without
+        if out:
+            seen[alone] = True
+        new, pool = self.entry[~seen[self.entry]], np.empty(0, int)
+        for width in widths:
+            pool = np.flatnonzero(np.isfinite(scores)) if len(pool) else pool
+            while True:
+                if len(new):
+                    seen[new] = True
+                    scores[new] = np.round(self.own[new] @ q, 6) + 0.0
+                    pool = np.concatenate([pool, new])
+                pool = pool[np.lexsort((pool, -scores[pool]))][:width]
+                then = pool[~followed[pool]][:STEP]
+                if not len(then):
+                    break
+                followed[then] = True
+                around = np.concatenate([self.near[self.starts[p] : self.starts[p + 1]] for p in then.tolist()])
+                new = np.unique(around[~seen[around]])
+            new = new[:0]
+            yield width, pool, scores[pool], int(seen.sum()) - int(out)
+
+
+def met(queries: DataFrame, graph: DataFrame, k: int, widths: list[int], apart: bool, asked: int, shards: int) -> DataFrame:
+    """For each of ``queries`` (qid, q), each shard and width: the ids and scores of its best, and the rows looked at."""
+    blocks = max(1, -(-asked // TASK_QUERIES), min(-(-TASKS // shards), -(-asked // 16)))
+
+    def run(own: pa.Table, rows: pa.Table) -> pa.Table:
+        out = []
+        if own.num_rows and rows.num_rows:
+            shard = Shard(rows)
+            matrix = unit(rows_of(own.column("q"), own.num_rows))
+            for qid, q in zip(own.column("qid").to_pylist(), matrix, strict=True):
+                out += [(qid, width, shard.ids[at[:k]], scores[:k], looked) for width, at, scores, looked in shard.searched(q, widths, qid if apart else None)]
+        columns = list(zip(*out, strict=True)) or [()] * 5
+        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.int64()]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["qid", "width", "ids", "scores", "looked"])
+
+    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = queries.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks))).withColumn("shard", numbers(shards))
+    right = graph.withColumn("block", numbers(blocks))
+    return left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(run, HITS)
+
+
+def best_of(met_rows: DataFrame, k: int) -> DataFrame:
+    """(qid, width, id, score, rank) over all shards."""
+    rows = met_rows.select("qid", "width", F.inline(F.arrays_zip(F.col("ids").alias("id"), F.col("scores").alias("score"))))
+    order = Window.partitionBy("qid", "width").orderBy(F.desc("score"), "id")
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def fitted_width(graph: DataFrame, k: int, target: float, shards: int, total: int) -> int:
+    """The smallest width of a ladder whose recall@k over sampled vectors is ``target``, or the rows of the table."""
+    sample = stored(graph.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(SAMPLES).select(F.col("id").alias("qid"), F.col("v").alias("q")), "graph-samples")
+    exact = exact_top_k(sample.withColumnRenamed("q", "qvec"), graph.select("id", F.col("v").alias("embedding")), k + 1).where("qid != id")
+    truth = stored(ranked(exact.drop("rank"), k).select("qid", "id"), "graph-truth")
+    wanted, width = truth.count(), 2 * k
+    while wanted and width < total:
+        widths = [width]
+        while len(widths) < LADDER:
+            widths.append(max(widths[-1] + 1, widths[-1] * 5 // 4))
+        found = best_of(met(sample, graph, k, widths, True, SAMPLES, shards), k).join(truth, ["qid", "id"]).groupBy("width").count().collect()
+        good = [r["width"] for r in found if r["count"] >= target * wanted]
+        if good:
+            width = min(good)
+            break
+        width = max(widths[-1] + 1, widths[-1] * 5 // 4)
+    forgotten(sample, truth)
+    return width
 
 
 def graph_top_k(queries: DataFrame, graph: DataFrame, k: int, width: int = 0, target: float = 0.92, apart: bool = False) -> Found:
@@ -214,40 +176,11 @@ def graph_top_k(queries: DataFrame, graph: DataFrame, k: int, width: int = 0, ta
 
     A ``width`` is taken as it is; without one it is fitted to a recall of ``target`` over sampled vectors. ``apart`` leaves a query's own row out.
     """
-    total = graph.count()
-    entries = graph.orderBy(F.xxhash64("id"), "id").limit(min(ENTRIES, max(1, math.isqrt(total)))).select("id", "v").toArrow()
-    entry = (entries.column("id").to_numpy(), rows_of(entries.column("v"), entries.num_rows) if entries.num_rows else np.empty((0, 0)))
-    asked = queries.where(F.col("qvec").isNotNull()).select(F.col("qid").cast("long").alias("qid"), F.lit(False).alias("sample"), F.col("qvec").cast("array<double>").alias("q"))
-    fitted, truth = width <= 0, None
-    if fitted:
-        width = 2 * k
-        sample = stored(graph.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(SAMPLES).select(F.col("id").alias("qid"), F.col("v").alias("qvec")), "graph-samples")
-        exact = exact_top_k(sample, graph.select("id", F.col("v").alias("embedding")), k + 1).where("qid != id")
-        truth = stored(exact.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("rank"))).where(F.col("rank") <= k).groupBy("qid").agg(F.collect_list("id").alias("truth")), "graph-truth")
-        asked = asked.unionByName(sample.select("qid", F.lit(True).alias("sample"), F.col("qvec").alias("q")))
-    unit_q = asked.withColumn("q", unit_list("q"))
-    state = stored(states(unit_q, width, apart, entry), "graph-state")
-    while True:
-        while state.where(F.size("next") > 0).limit(1).count():
-            then = stored(states(looked_at(state, graph), width, apart, None), "graph-state")
-            forgotten(state)
-            state = then
-        if not fitted or width >= total:
-            break
-        hit = F.size(F.array_intersect("truth", F.slice("ids", 1, k))) / F.size("truth")
-        recall = state.where("sample").join(truth, "qid").agg(F.avg(hit)).first()[0]
-        if recall is None or recall >= target:
-            break
-        width = max(width + 1, width * 5 // 4)
-        then = stored(states(state.withColumn("found", F.lit(None).cast("array<struct<id:long,v:array<double>>>")), width, apart, None), "graph-state")
-        forgotten(state)
-        state = then
-    real = state.where("NOT sample")
-    looked = real.agg(F.avg(F.size("ids"))).first()[0] or 0.0
-    hits = real.select("qid", F.posexplode(F.arrays_zip(F.slice("ids", 1, k).alias("id"), F.slice("scores", 1, k).alias("score"))).alias("rank", "h"))
-    return Found(hits.select("qid", F.col("h.id").alias("id"), F.col("h.score").alias("score"), (F.col("rank") + 1).alias("rank")), width, looked / max(total, 1))
-
-
-def unit_list(name: str):
-    length = F.array(F.sqrt(F.aggregate(name, F.lit(0.0), lambda s, x: s + x * x)))
-    return F.transform(length, lambda n: F.transform(F.col(name), lambda x: x / F.when(n == 0, F.lit(1.0)).otherwise(n)))[0]
+    total, last = graph.agg(F.count("*"), F.max("shard")).first()
+    shards = (last or 0) + 1
+    asked = queries.where(F.col("qvec").isNotNull()).select(F.col("qid").cast("long").alias("qid"), F.transform("qvec", lambda x: x.cast("double")).alias("q"))
+    count = asked.count()
+    width = width if width > 0 else fitted_width(graph, k, target, shards, total)
+    rows = stored(met(asked, graph, k, [width], apart, count, shards), "graph-hits")
+    looked = (rows.agg(F.sum("looked")).first()[0] or 0) / max(count, 1)
+    return Found(best_of(rows, k).select("qid", "id", "score", "rank"), width, looked / max(total, 1))

@@ -60,3 +60,27 @@ def test_edges(spark):
     few = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 2.0]), (3, [1.0, 1.0]), (4, [2.0, 0.0])], empty.schema)
     hits = graph.graph_top_k(queries, graph.knn_graph(few, 3), 3).hits.orderBy("rank").collect()
     assert [(r.qid, r.id, r.score) for r in hits] == [(1, 1, 1.0), (1, 4, 1.0), (1, 3, 0.707107)]
+
+
+def test_shards_are_searched_in_one_job_each(spark):
+    """Several shards give what an exact search gives, and the jobs of a search don't grow with its width."""
+    _, vectors = made_up(spark)
+    found = graph.knn_graph(vectors, 10, shard_rows=400)
+    assert {r.shard for r in found.select("shard").distinct().collect()} == {0, 1, 2, 3}
+    queries = vectors.where("id % 50 = 0 AND id < 1500").select(F.col("id").alias("qid"), F.col("embedding").alias("qvec"))
+    exact = exact_top_k(queries, vectors.select("id", "embedding"), 11).where("qid != id").collect()
+    truth = {}
+    for r in sorted(exact, key=lambda r: r.rank):
+        truth.setdefault(r.qid, []).append(r.id)
+    hits = {}
+    for r in graph.graph_top_k(queries, found, 10, apart=True).hits.collect():
+        hits.setdefault(r.qid, set()).add(r.id)
+    assert np.mean([len(hits[q] & set(t[:10])) / 10 for q, t in truth.items()]) >= 0.9
+    jobs = []
+    for width in (20, 300):
+        spark.sparkContext.setJobGroup(f"width-{width}", "a search")
+        result = graph.graph_top_k(queries, found, 10, width=width, apart=True)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"width-{width}")))
+        assert result.width == width and result.hits.count() == 300
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] == jobs[1]
