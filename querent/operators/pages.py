@@ -14,7 +14,7 @@ from querent.operators import layout
 from querent.operators.borders import bordered_tables
 from querent.operators.grids import is_plausible, markdown, ordered
 from querent.operators.layout import PAGE, centre, line_bucket
-from querent.session import stored
+from querent.session import forgotten, stored
 
 REGION = [*PAGE, "region"]
 BAND = [*PAGE, "band", "panel"]
@@ -39,7 +39,9 @@ def ruled_tables(words: DataFrame, rules: DataFrame, pages: DataFrame) -> tuple[
     """
     regions = rule_regions(rules, pages)
     regions = stored(regions, "regions")
-    inside = words.join(regions.withColumnsRenamed({"top": "r_top", "bottom": "r_bottom"}), PAGE).where((F.col("top") > F.col("r_top")) & (F.col("top") < F.col("r_bottom")))
+    spans = regions.select(*REGION, F.col("top").alias("r_top"), F.col("bottom").alias("r_bottom"), "data_top")
+    inside = words.select(*PAGE, "text", "x0", "x1", "top", "bottom").join(spans, PAGE).where((F.col("top") > F.col("r_top")) & (F.col("top") < F.col("r_bottom")))
+    inside = stored(inside, "region-words")  # what the words come from is worked out once
     below = inside.where(F.col("top") > F.col("data_top"))
     column_words = below.unionByName(inside.join(below.select(*REGION).distinct(), REGION, "left_anti"))
     columns = layout.column_bounds(column_words, keys=REGION).groupBy(*REGION).agg(F.sort_array(F.collect_list("x")).alias("xs")).where(F.size("xs") >= 3)
@@ -67,19 +69,22 @@ def unruled_tables(words: DataFrame) -> tuple[DataFrame, DataFrame]:
     A band of numbers, cut in two where panels stand side by side, takes as header the short-worded line within 70 points above
     under which most cells are single numbers, half of them at least. Rows of fewer than two numbers go; four must stay.
     """
-    own = words.withColumn("line", line_bucket(F.col("top"))).withColumn("x", centre("x0", "x1"))
-    bands = layout.number_bands(words).select(*PAGE, "band", "first", "last")
-    in_band = own.join(bands, PAGE).where(F.col("line").between(F.col("first"), F.col("last")))
-    split = layout.panel_splits(in_band.select(*PAGE, "band", "text", "x0", "x1"), keys=[*PAGE, "band"])
+    own = words.select(*PAGE, "word_id", "text", "x0", "x1", "top", line_bucket(F.col("top")).alias("line"), centre("x0", "x1").alias("x"))
+    own = stored(own, "page-words")  # what the words come from is worked out once
+    bands = stored(layout.number_bands(own).select(*PAGE, "band", "first", "last"), "number-bands")
+    banded = stored(own.join(bands, PAGE).where(F.col("line").between(F.col("first"), F.col("last"))), "banded")
+    split = stored(layout.panel_splits(banded.select(*PAGE, "band", "text", "x0", "x1"), keys=[*PAGE, "band"]), "panel-splits")
     panel = F.when(F.col("split").isNull() | (F.col("x") < F.col("split")), F.lit(0)).otherwise(F.lit(1))
-    in_band = in_band.join(split, [*PAGE, "band"], "left").withColumn("panel", panel)
-    tall = in_band.groupBy(*BAND).agg(F.count_distinct("line").alias("n")).where("n >= 4").select(*BAND)
-    in_band = stored(in_band.join(tall, BAND, "left_semi"), "bands")
+    in_band = banded.join(split, [*PAGE, "band"], "left").withColumn("panel", panel)
+    tall = F.size(F.collect_set("line").over(Window.partitionBy(*BAND)))
+    in_band = stored(in_band.withColumn("tall", tall).where("tall >= 4").drop("tall"), "bands")
     counts = own.groupBy(*PAGE, "line").agg(F.count("*").alias("words"), F.count_if(is_number(F.col("text"))).alias("numbers")).where("numbers < 2 AND words >= 2")
-    above = own.join(counts.select(*PAGE, "line"), [*PAGE, "line"]).join(bands, PAGE).where((F.col("line") > F.col("first") - 70) & (F.col("line") < F.col("first")))
-    above = above.join(split, [*PAGE, "band"], "left").withColumn("panel", panel).withColumnRenamed("line", "head")
+    near = counts.select(*PAGE, "line").join(bands, PAGE).where((F.col("line") > F.col("first") - 70) & (F.col("line") < F.col("first")))
+    above = own.join(near, [*PAGE, "line"])
+    above = stored(above.join(split, [*PAGE, "band"], "left").withColumn("panel", panel).withColumnRenamed("line", "head"), "above")
     short = above.groupBy(*BAND, "head").agg(F.count("*").alias("n"), F.avg(F.length("text")).alias("mean"), F.max(F.lower("text").isin(*STOPWORDS)).alias("prose")).where("n >= 3 AND mean <= 6 AND NOT prose")
     above = stored(above.join(short.select(*BAND, "head"), [*BAND, "head"], "left_semi"), "heads")
+    forgotten(own, bands, banded, split)
     key = [*BAND, "head"]
     tried = in_band.join(above.select(*key).distinct(), BAND)
     score = layout.alignment(tried, above, keys=key).groupBy(*BAND).agg(F.max_by(F.struct("head", "score"), F.struct("score", -F.col("head"))).alias("best"))

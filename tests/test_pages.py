@@ -138,3 +138,42 @@ def test_empty_pages(spark):
     words = spark.createDataFrame([], WORD)
     assert layout.lines(words).collect() == [] and layout.gutters(words, 600.0).collect() == []
     assert pages.unruled_tables(words)[0].collect() == []
+
+
+def counted(spark, words):
+    """``words`` and a count of how often their rows are worked out."""
+    made = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    return words.mapInArrow(run, words.schema), made
+
+
+def test_words_are_worked_out_once(spark):
+    rows = [("st", 155.0), ("price", 255.0), ("EM", 355.0)]
+    cells = [(1, 0, k, t, x, x + 20.0, 103.0, 112.0) for k, (t, x) in enumerate(rows)]
+    cells += [(1, 0, 10 * r + c, f"{r}{c}" if c else "row", 55.0 + 100 * c, 75.0 + 100 * c, 103.0 + 14 * r, 112.0 + 14 * r) for r in range(1, 7) for c in range(4)]
+    words = spark.createDataFrame(cells, "doc_id long, page int, word_id long, text string, x0 double, x1 double, top double, bottom double")
+    own, made = counted(spark, words)
+    grid, _ = pages.unruled_tables(own)
+    assert grid.count() == 7 and made.value == len(cells)
+    rules = spark.createDataFrame([(1, 0, 50.0, 550.0, 100.0 + 14 * r, 0.5) for r in (0, 1, 7)], "doc_id long, page int, x0 double, x1 double, top double, height double")
+    sheets = spark.createDataFrame([(1, 0, 600.0, 800.0)], "doc_id long, page int, width double, height double")
+    own, made = counted(spark, words)
+    grid, _ = pages.ruled_tables(own, rules, sheets)
+    assert grid.count() == 7 and made.value == len(cells)
+
+
+def test_alignment_sends_no_texts(spark):
+    from querent.operators import layout
+
+    texts = ["1", "1", None, " ", " ", "x", "3", "2 3", "", "4"]
+    lines = [1, 1, 2, 3, 3, 4, 5, 6, 7, 7]
+    words = spark.createDataFrame([(1, 0, t, 10.0, 20.0, 30.0 * n) for t, n in zip(texts, lines, strict=True)], "doc_id long, page int, text string, x0 double, x1 double, top double")
+    heads = spark.createDataFrame([(1, 0, "h", 10.0, 20.0, 0.0)], words.schema)
+    found = layout.alignment(words, heads)
+    assert found.first()["score"] == 2 / 7
+    assert "collect_list(text" not in found._jdf.queryExecution().optimizedPlan().toString()
