@@ -27,12 +27,12 @@ def titled(title: Column, text: Column) -> Column:
 
 def is_number(token: Column) -> Column:
     """Whether a token starts a number, after an opening bracket and a sign if it has them."""
-    return stripped(token).rlike(r"^[\[(]?[-+]?[0-9]")
+    return token.rlike(rf"^{SPACE}*[\[(]?[-+]?[0-9]")
 
 
 def is_clean_number(cell: Column) -> Column:
     """Whether a cell is one bare number."""
-    return is_number(cell) & (F.size(F.filter(F.split(cell, r"\s+"), lambda t: t != "")) == 1)
+    return is_number(cell) & cell.rlike(r"^\s*\S+\s*\z")
 
 
 # Labels of benchmark columns with their full names, and units that go from a label to its value.

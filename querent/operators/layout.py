@@ -123,9 +123,15 @@ def rebuilt(words: DataFrame, headers: DataFrame, keys: list[str] = PAGE) -> Dat
 
 
 def alignment(words: DataFrame, headers: DataFrame, keys: list[str] = PAGE) -> DataFrame:
-    """(doc_id, page, score): the share of cells under the headers that are one bare number."""
-    cells = anchored(words, headers, keys).where("col > 0").withColumn("line", line_bucket(F.col("top"))).groupBy(*keys, "line", "col").agg(F.array_join(F.collect_list("text"), " ").alias("cell"))
-    return cells.groupBy(*keys).agg(F.avg(is_clean_number(F.col("cell")).cast("int")).alias("score"))
+    """(doc_id, page, score): the share of cells under the headers that are one bare number.
+
+    Words go to their cells as what they add to it: their parts between blanks, none, one or more, and whether they are one number.
+    """
+    text = F.coalesce("text", F.lit(""))
+    parts = F.when(text.rlike(r"^\s*\z"), 0).when(text.rlike(r"^\s*\S+\s*\z"), 1).otherwise(2)
+    slim = words.select(*keys, line_bucket(F.col("top")).alias("line"), "x0", "x1", parts.alias("parts"), is_clean_number(text).alias("clean"))
+    cells = anchored(slim, headers, keys).where("col > 0").groupBy(*keys, "line", "col").agg((F.sum("parts") == 1).alias("one"), F.max("clean").alias("clean"))
+    return cells.groupBy(*keys).agg(F.avg((F.col("one") & F.col("clean")).cast("int")).alias("score"))
 
 
 def number_bands(words: DataFrame, least: int = 4, keys: list[str] = PAGE) -> DataFrame:
