@@ -80,36 +80,46 @@ def page_cells(found: list[tuple[int, int, float, float]]) -> list[tuple[int, fl
     return [(first(k), *cell) for k, cell in enumerate(cells)]
 
 
+def numbered(cells: list[tuple[int, float, float, float, float]]) -> list[tuple]:
+    """The cells of ``page_cells`` in regions of two or more, with the numbers of their row and column and the region's columns."""
+    tops, lefts, count = defaultdict(set), defaultdict(set), defaultdict(int)
+    for region, x0, _, top, _ in cells:
+        tops[region].add(top)
+        lefts[region].add(x0)
+        count[region] += 1
+    rows, columns = ({r: {v: k for k, v in enumerate(sorted(own))} for r, own in places.items()} for places in (tops, lefts))
+    return [(region, x0, x1, top, bottom, rows[region][top], columns[region][x0], len(columns[region])) for region, x0, x1, top, bottom in cells if count[region] > 1]
+
+
 def cell_boxes(rules: DataFrame, bars: DataFrame) -> DataFrame:
-    """(doc_id, page, region, x0, x1, top, bottom): the cells of tables of two cells or more, by page."""
+    """(doc_id, page, region, x0, x1, top, bottom, row_no, col, columns): the cells of tables of two cells or more, by page."""
 
     def run(batches):
         for batch in batches:
             pages = zip(*(batch.column(n).to_pylist() for n in (*PAGE, "corners")), strict=True)
-            cells = [(doc, page, *cell) for doc, page, found in pages for cell in page_cells([tuple(c.values()) for c in found])]
+            cells = [(doc, page, *cell) for doc, page, found in pages for cell in numbered(page_cells([tuple(c.values()) for c in found]))]
             columns = list(zip(*cells, strict=True)) or [()] * len(arrow)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
     found = corners(rules, bars).groupBy(*PAGE).agg(F.collect_list(F.struct("level", "upright", "x", "y")).alias("corners"))
-    numbers = [T.StructField("region", T.IntegerType()), *(T.StructField(n, T.DoubleType()) for n in ("x0", "x1", "top", "bottom"))]
+    numbers = [T.StructField("region", T.IntegerType()), *(T.StructField(n, T.DoubleType()) for n in ("x0", "x1", "top", "bottom")), *(T.StructField(n, T.IntegerType()) for n in ("row_no", "col", "columns"))]
     schema = T.StructType([*(found.schema[n] for n in PAGE), *numbers])
     arrow = to_arrow_schema(schema)
-    cells = found.mapInArrow(run, schema)
-    return cells.withColumn("n", F.count("*").over(Window.partitionBy(*REGION))).where("n > 1").drop("n")
+    return found.mapInArrow(run, schema)
 
 
 def bordered_tables(words: DataFrame, rules: DataFrame, bars: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Grids (doc_id, page, region, row_no, cells) of tables with borders, and their boxes; a cell that spans others leaves them empty."""
-    own = Window.partitionBy(*REGION)
-    cells = cell_boxes(rules, bars).withColumn("row_no", F.dense_rank().over(own.orderBy("top")) - 1).withColumn("col", F.dense_rank().over(own.orderBy("x0")) - 1)
-    cells = stored(cells.withColumn("columns", F.max("col").over(own) + 1), "cell-boxes")
+    cells = stored(cell_boxes(rules, bars), "cell-boxes")
     at = words.select(*PAGE, "text", F.col("x0").alias("wx"), centre("x0", "x1").alias("cx"), centre("top", "bottom").alias("cy"), line_bucket(F.col("top")).alias("line"))
     fits = (F.col("cx") >= F.col("x0")) & (F.col("cx") < F.col("x1")) & (F.col("cy") >= F.col("top")) & (F.col("cy") < F.col("bottom"))
-    inside = cells.join(at, PAGE).where(fits)
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "wx", "text"))), lambda w: w.text), " ")
-    filled = inside.groupBy(*REGION, "row_no", "col").agg(text.alias("cell"))
-    named = F.map_from_entries(F.collect_list(F.struct("col", F.coalesce("cell", F.lit("")).alias("cell"))))
-    rows = cells.join(filled, [*REGION, "row_no", "col"], "left").groupBy(*REGION, "row_no", "columns").agg(named.alias("m"))
+    # Words and cells meet by page, and all that follows stays within the page.
+    inside = cells.join(at.withColumnsRenamed({n: f"w_{n}" for n in PAGE}), (F.col("doc_id") == F.col("w_doc_id")) & (F.col("page") == F.col("w_page")) & fits, "left")
+    words_in = F.collect_list(F.when(F.col("w_page").isNotNull(), F.struct("line", "wx", "text")))
+    text = F.array_join(F.transform(F.array_sort(words_in), lambda w: w.text), " ")
+    filled = inside.groupBy(*REGION, "row_no", "columns", "col").agg(text.alias("cell"))
+    named = F.map_from_entries(F.collect_list(F.struct("col", "cell")))
+    rows = filled.groupBy(*REGION, "row_no", "columns").agg(named.alias("m"))
     grid = rows.select(*REGION, "row_no", F.transform(F.sequence(F.lit(0), F.col("columns") - 1), lambda c: F.coalesce(F.try_element_at("m", c), F.lit(""))).alias("cells"))
     boxes = cells.groupBy(*REGION).agg(F.min("x0").alias("bx0"), F.max("x1").alias("bx1"), F.min("top").alias("btop"), F.max("bottom").alias("bbottom"))
     return grid, boxes.drop("region")

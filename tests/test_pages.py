@@ -177,3 +177,8 @@ def test_alignment_sends_no_texts(spark):
     found = layout.alignment(words, heads)
     assert found.first()["score"] == 2 / 7
     assert "collect_list(text" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_cells_are_numbered_with_their_page():
+    cells = [(0, 50.0, 90.0, 10.0, 20.0), (0, 90.0, 130.0, 10.0, 20.0), (0, 50.0, 130.0, 20.0, 30.0), (3, 300.0, 310.0, 10.0, 20.0)]
+    assert [c[5:] for c in borders.numbered(cells)] == [(0, 0, 2), (0, 1, 2), (1, 0, 2)]
