@@ -22,16 +22,14 @@ def numbered(tables: pdf.PageTables) -> pdf.PageTables:
 
 def pdf_words(spark: SparkSession, sf: str) -> DataFrame:
     """The documents' words written as PDF files and read back, by page and place; places are quarters of points."""
-    own = words(spark, sf).where(~F.col("text").rlike(SPACE))
-    size = own.select("doc_id", "page").distinct().select("doc_id", "page", F.lit(600.0).alias("width"), F.lit(700.0).alias("height"))
-    none = size.limit(0)
-    rules = none.select("doc_id", "page", *(F.lit(0.0).alias(c) for c in ("x0", "x1", "top", "height")))
-    bars = none.select("doc_id", "page", *(F.lit(0.0).alias(c) for c in ("x", "top", "bottom")))
-    found = numbered(pdf.page_tables(pdf.pdf_pages(pdfwrite.pdf_files(own, rules, size, bars)))).words
-    quarters = lambda c: F.round(F.col(c) * 4).cast("int")
-    placed = F.struct(quarters("top").alias("top"), quarters("x0").alias("x0"), F.concat_ws(":", "text", quarters("x0"), quarters("x1"), quarters("top")).alias("word"))
-    listed = F.array_join(F.transform(F.array_sort(F.collect_list(placed)), lambda w: w["word"]), " ")
-    return found.groupBy("doc_id", "page").agg(F.count("*").alias("words"), md5(listed).alias("words_md5"))
+    word = F.when(~F.col("text").rlike(SPACE), F.struct(*pdfwrite.WORD)).alias("word")
+    none = [F.lit(None).cast(f"struct<{', '.join(f'{c}: double' for c in columns)}>").alias(n) for n, columns in (("rule", pdfwrite.RULE), ("bar", pdfwrite.BAR))]
+    own = words(spark, sf).select("doc_id", "page", F.lit(600.0).alias("width"), F.lit(700.0).alias("height"), word, *none)
+    found = pdf.pdf_pages(pdfwrite.drawn(own)).where("size(words) > 0")
+    quarters = lambda c: F.round(c * 4).cast("int")
+    placed = F.transform("words", lambda w: F.struct(quarters(w.top).alias("top"), quarters(w.x0).alias("x0"), F.concat_ws(":", w.text, quarters(w.x0), quarters(w.x1), quarters(w.top)).alias("word")))
+    listed = F.array_join(F.transform(F.array_sort(placed), lambda w: w["word"]), " ")
+    return found.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("page") - 1).alias("page"), F.size("words").cast("long").alias("words"), md5(listed).alias("words_md5"))
 
 
 def pdf_page_texts(spark: SparkSession, sf: str) -> DataFrame:
