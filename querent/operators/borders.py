@@ -5,16 +5,15 @@ Tables: words as in ``pages``, rules (doc_id, page, x0, x1, top, height) for lev
 
 from __future__ import annotations
 
-import math
-from bisect import bisect_right
-from collections import defaultdict
-
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from querent.functions.batches import memory_returned, slices
 from querent.operators.layout import PAGE, centre, line_bucket
 from querent.session import stored
 
@@ -49,57 +48,107 @@ def corners(rules: DataFrame, bars: DataFrame) -> DataFrame:
     return level.join(upright, PAGE).where(meet).select(*PAGE, "level", "upright", "x", "y")
 
 
-def page_cells(found: list[tuple[int, int, float, float]]) -> list[tuple[int, float, float, float, float]]:
-    """(region, x0, x1, top, bottom) of the smallest cell below and right of each corner (level, upright, x, y) of a page."""
-    at = {(level, upright): (x, y) for level, upright, x, y in found}
-    rows, columns = defaultdict(list), defaultdict(list)
-    for level, upright, x, y in found:
-        rows[level].append((x, upright))
-        columns[upright].append((y, level))
-    for line in (*rows.values(), *columns.values()):
-        line.sort()
-    cells = []
-    for (level, upright), (x, y) in at.items():
-        below, right = (line[bisect_right(line, (from_, math.inf)) :] for line, from_ in ((columns[upright], y), (rows[level], x)))
-        opposite = ((level_2, upright_2) for _, level_2 in below for _, upright_2 in right)
-        if last := next((c for c in opposite if c in at), None):
-            cells.append((x, at[last][0], y, at[last][1]))
-    cells.sort(key=lambda c: (c[2], c[0]))
-    region = list(range(len(cells)))
-
-    def first(k: int) -> int:
-        while region[k] != k:
-            region[k] = k = region[region[k]]
-        return k
-
-    owner: dict[tuple[float, float], int] = {}
-    for k, (x0, x1, top, bottom) in enumerate(cells):
-        for corner in ((x0, top), (x1, top), (x0, bottom), (x1, bottom)):
-            a, b = first(k), first(owner.setdefault(corner, k))
-            region[max(a, b)] = min(a, b)
-    return [(first(k), *cell) for k, cell in enumerate(cells)]
-
-
-def numbered(cells: list[tuple[int, float, float, float, float]]) -> list[tuple]:
-    """The cells of ``page_cells`` in regions of two or more, with the numbers of their row and column and the region's columns."""
-    tops, lefts, count = defaultdict(set), defaultdict(set), defaultdict(int)
-    for region, x0, _, top, _ in cells:
-        tops[region].add(top)
-        lefts[region].add(x0)
-        count[region] += 1
-    rows, columns = ({r: {v: k for k, v in enumerate(sorted(own))} for r, own in places.items()} for places in (tops, lefts))
-    return [(region, x0, x1, top, bottom, rows[region][top], columns[region][x0], len(columns[region])) for region, x0, x1, top, bottom in cells if count[region] > 1]
+def following(line: np.ndarray, at: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The corners in the order of their line, place and number; where each one stands there; and where the first one beyond it on its line does, or -1."""
+    order = np.lexsort((number, at, line))
+    line, at = line[order], at[order]
+    fresh = np.concatenate([[True], (line[1:] != line[:-1]) | (at[1:] != at[:-1])])
+    starts = np.append(np.flatnonzero(fresh), len(line))
+    beyond = starts[np.cumsum(fresh)]
+    same = np.append(line, -1)[beyond] == line
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    return order, place, np.where(same, beyond, -1)[place]
+
+
+def page_cells(page: np.ndarray, level: np.ndarray, upright: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Page, and (region, x0, x1, top, bottom), of the smallest cell below and right of each corner; a region goes by the place of its first cell."""
+    (levels, level), (uprights, upright) = (np.unique(v, return_inverse=True) for v in (level, upright))
+    row, column = page * len(levels) + level, page * len(uprights) + upright
+    along, _, right = following(row, x, upright)
+    down, _, below = following(column, y, level)
+    known = row * len(uprights) + upright
+    sorter = np.argsort(known)
+    held = known[sorter]
+
+    def corner(wanted: np.ndarray) -> np.ndarray:
+        found = np.minimum(np.searchsorted(held, wanted), len(held) - 1)
+        return np.where(held[found] == wanted, sorter[found], -1)
+
+    own = np.flatnonzero((right >= 0) & (below >= 0))
+    last = corner(row[down[below[own]]] * len(uprights) + upright[along[right[own]]])
+    row_ends, column_ends = (np.append(np.flatnonzero(np.diff(line[order])) + 1, len(line)) for line, order in ((row, along), (column, down)))
+    for k in np.flatnonzero(last < 0).tolist():  # no corner opposite the nearest ones: the first of those farther down, and then farther right
+        beside = upright[along[right[own[k]] : row_ends[np.searchsorted(row_ends, right[own[k]], "right")]]]
+        for under in down[below[own[k]] : column_ends[np.searchsorted(column_ends, below[own[k]], "right")]].tolist():
+            found = corner(row[under] * len(uprights) + beside)
+            if (hits := found[found >= 0]).size:
+                last[k] = hits[0]
+                break
+    own, last = own[last >= 0], last[last >= 0]
+    order = np.lexsort((x[own], y[own], page[own]))
+    own, last = own[order], last[order]
+    x0, x1, top, bottom, page = x[own], x[last], y[own], y[last], page[own]
+    return page, np.column_stack([connected(page, x0, x1, top, bottom), x0, x1, top, bottom])
+
+
+def connected(page: np.ndarray, x0: np.ndarray, x1: np.ndarray, top: np.ndarray, bottom: np.ndarray) -> np.ndarray:
+    """The first of the cells that each one hangs together with by corners of the same place."""
+    n = len(page)
+    across, down = (np.unique(np.concatenate(v), return_inverse=True)[1].reshape(2, n) for v in ((x0, x1), (top, bottom)))
+    spot = np.concatenate([(page * (2 * n) + across[a]) * (2 * n) + down[b] for a in (0, 1) for b in (0, 1)])
+    spots, spot = np.unique(spot, return_inverse=True)
+    order = np.argsort(spot, kind="stable")
+    starts = np.searchsorted(spot[order], np.arange(len(spots)))
+    region = np.arange(n)
+    while n:
+        least = np.minimum.reduceat(np.tile(region, 4)[order], starts)[spot].reshape(4, n).min(axis=0)
+        least = np.minimum(least, least[least])
+        if (least == region).all():
+            break
+        region = least
+    return region
+
+
+def numbered(cells) -> list[tuple]:
+    """The cells (region, x0, x1, top, bottom) in regions of two or more, with the numbers of their row and column and the region's columns."""
+    cells = np.asarray(cells, float).reshape(-1, 5)
+    region = cells[:, 0].astype(int)
+    count = np.bincount(region, minlength=1)
+
+    def places(value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each value's place among those of its region, and how many there are."""
+        order = np.lexsort((value, region))
+        fresh = np.concatenate([[True], np.diff(region[order]) > 0]) if len(order) else np.zeros(0, bool)
+        other = fresh | np.concatenate([[True], np.diff(value[order]) > 0])[: len(order)]
+        total = np.cumsum(other)
+        out = np.empty(len(order), int)
+        out[order] = total - 1 - np.repeat((total - 1)[fresh], np.diff(np.append(np.flatnonzero(fresh), len(order))))
+        most = np.zeros(len(count), int)
+        np.maximum.at(most, region, out + 1)
+        return out, most[region]
+
+    rows, (columns, most) = places(cells[:, 3])[0], places(cells[:, 1])
+    kept = count[region] > 1
+    return list(zip(region[kept].tolist(), *cells[kept, 1:].T.tolist(), rows[kept].tolist(), columns[kept].tolist(), most[kept].tolist(), strict=True))
 
 
 def cell_boxes(rules: DataFrame, bars: DataFrame) -> DataFrame:
     """(doc_id, page, region, x0, x1, top, bottom, row_no, col, columns): the cells of tables of two cells or more, by page."""
 
     def run(batches):
-        for batch in batches:
-            pages = zip(*(batch.column(n).to_pylist() for n in (*PAGE, "corners")), strict=True)
-            cells = [(doc, page, *cell) for doc, page, found in pages for cell in numbered(page_cells([tuple(c.values()) for c in found]))]
-            columns = list(zip(*cells, strict=True)) or [()] * len(arrow)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+        for batch in slices(batches):
+            corners = batch.column("corners").flatten()
+            count = pa.compute.list_value_length(batch.column("corners")).to_numpy()
+            level, upright, x, y = (corners.field(n).to_numpy() for n in ("level", "upright", "x", "y"))
+            page, cells = page_cells(np.repeat(np.arange(batch.num_rows), count), level, upright, x, y)
+            found = numbered(cells)
+            region, *columns = [np.array(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, int)] * 8
+            page_of = page[region]
+            region = region - np.searchsorted(page, page_of)
+            own = [batch.column(n).take(pa.array(page_of)) for n in PAGE]
+            yield pa.RecordBatch.from_arrays([pa.array(c).cast(f.type) for c, f in zip([*own, region, *columns], arrow, strict=True)], schema=arrow)
+        memory_returned()
 
     found = corners(rules, bars).groupBy(*PAGE).agg(F.collect_list(F.struct("level", "upright", "x", "y")).alias("corners"))
     numbers = [T.StructField("region", T.IntegerType()), *(T.StructField(n, T.DoubleType()) for n in ("x0", "x1", "top", "bottom")), *(T.StructField(n, T.IntegerType()) for n in ("row_no", "col", "columns"))]

@@ -182,3 +182,30 @@ def test_alignment_sends_no_texts(spark):
 def test_cells_are_numbered_with_their_page():
     cells = [(0, 50.0, 90.0, 10.0, 20.0), (0, 90.0, 130.0, 10.0, 20.0), (0, 50.0, 130.0, 20.0, 30.0), (3, 300.0, 310.0, 10.0, 20.0)]
     assert [c[5:] for c in borders.numbered(cells)] == [(0, 0, 2), (0, 1, 2), (1, 0, 2)]
+
+
+def test_corners_of_many_pages_are_joined_in_slices(spark, monkeypatch):
+    """A worker holds a slice's corners as columns: no Python object for each of them, no whole batch at once."""
+    held = []
+    cells = borders.page_cells
+    monkeypatch.setattr(borders, "page_cells", lambda page, *corners: (held.append(len(page)), cells(page, *corners))[1])
+    level = "doc_id long, page int, x0 double, x1 double, top double, height double"
+    rules = spark.createDataFrame([(d, 0, 50.0, 250.0, 100.0 + 20 * r, 0.5) for d in range(300) for r in range(5)], level)
+    bars = spark.createDataFrame([(d, 0, 50.0 + 100 * c, 100.0, 180.0) for d in range(300) for c in range(3)], BAR)
+    found = {}
+    monkeypatch.setattr(type(rules), "mapInArrow", lambda self, run, schema: found.update(run=run, rows=self) or self)
+    borders.cell_boxes(rules, bars)
+    batch = found["rows"].toArrow().combine_chunks().to_batches()
+    monkeypatch.setattr(borders, "slices", lambda batches: (b.slice(at, 50) for b in batches for at in range(0, b.num_rows, 50)))
+    rows = [r for out in found["run"](iter(batch)) for r in out.to_pylist()]
+    assert held == [50 * 15] * 6 and len(rows) == 300 * 8
+    assert {(r["region"], r["row_no"], r["col"], r["columns"]) for r in rows if r["doc_id"] == 299} == {(0, r, c, 2) for r in range(4) for c in range(2)}
+
+
+def test_a_cell_whose_nearest_corner_is_missing():
+    import numpy as np
+
+    found = [(0, k, r, c, 10.0 * c, 10.0 * r) for k, (r, c) in enumerate([(0, 0), (0, 1), (0, 2), (1, 0), (1, 2), (2, 0), (2, 1), (2, 2)])]
+    page, _, level, upright, x, y = (np.array(v) for v in zip(*found, strict=True))
+    _, cells = borders.page_cells(page, level, upright, x, y)
+    assert cells.tolist() == [[0, 0, 20, 0, 10], [0, 10, 20, 0, 20], [0, 0, 20, 10, 20]]
