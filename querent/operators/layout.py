@@ -28,7 +28,8 @@ def outside(words: DataFrame, boxes: DataFrame) -> DataFrame:
     condition = (F.col("w.doc_id") == F.col("b.doc_id")) & (F.col("w.page") == F.col("b.page"))
     x, y = (F.col("w.x0") + F.col("w.x1")) / 2, (F.col("w.top") + F.col("w.bottom")) / 2
     condition &= x.between(F.col("b.bx0"), F.col("b.bx1")) & y.between(F.col("b.btop"), F.col("b.bbottom"))
-    return words.alias("w").join(boxes.alias("b"), condition, "left_anti")
+    # Stored boxes are a few bytes each, as they are much alike, and would be sent whole to every executor for that.
+    return words.alias("w").join(boxes.hint("merge").alias("b"), condition, "left_anti")
 
 
 def sized(words: DataFrame, chars: DataFrame) -> DataFrame:

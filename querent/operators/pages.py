@@ -138,7 +138,7 @@ def drawn_tables(words: DataFrame, rules: DataFrame, pages: DataFrame, bars: Dat
     if bars is None:
         return ruled_tables(words, alone, pages)
     grid, boxes = (stored(x, "bordered") for x in bordered_tables(words, rules, bars))
-    rest = pages.join(boxes.select(*PAGE).distinct(), PAGE, "left_anti")
+    rest = pages.join(boxes.select(*PAGE).distinct().hint("merge"), PAGE, "left_anti")  # as in ``layout.outside``
     ruled, ruled_boxes = ruled_tables(words, alone, rest)
     number = F.col("region").cast("long").alias("region")
     return tuple(a.unionByName(b) for a, b in ((grid.select(*PAGE, number, "row_no", "cells"), ruled.select(*PAGE, number, "row_no", "cells")), (boxes, ruled_boxes)))

@@ -209,3 +209,13 @@ def test_a_cell_whose_nearest_corner_is_missing():
     page, _, level, upright, x, y = (np.array(v) for v in zip(*found, strict=True))
     _, cells = borders.page_cells(page, level, upright, x, y)
     assert cells.tolist() == [[0, 0, 20, 0, 10], [0, 10, 20, 0, 20], [0, 0, 20, 10, 20]]
+
+
+def test_boxes_are_not_sent_whole_to_every_executor(spark):
+    from querent.session import stored
+
+    boxes = stored(spark.range(300).selectExpr("id AS doc_id", "0 AS page", "50.0D AS bx0", "90.0D AS bx1", "10.0D AS btop", "20.0D AS bbottom"), "boxes")
+    words = spark.createDataFrame([(d, 0, 55.0, 60.0, top, top + 4.0) for d in (1, 2, 400) for top in (12.0, 30.0)], "doc_id long, page int, x0 double, x1 double, top double, bottom double")
+    rest = layout.outside(words, boxes)
+    assert "Broadcast" not in rest._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.doc_id, r.top) for r in rest.collect()) == [(1, 30.0), (2, 30.0), (400, 12.0), (400, 30.0)]
