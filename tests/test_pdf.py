@@ -283,3 +283,14 @@ def test_a_document_meets_by_one_shuffle(spark):
     assert files._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
     got = {(r.doc_id, r.page): (r.width, len(r.words), r.error) for r in pdf.pdf_pages(files).collect()}
     assert got == {(str(d), p): (600.0, 4, None) for d in (1, 2, 3) for p in (1, 2) if (d, p) != (3, 2)}
+
+
+def test_runs_of_lines_are_read_as_each_line_is(monkeypatch):
+    content = b"10 20 m 110 20 l S 5 5 m 5 95 l S\n20 30 100 40 re S 30 90 50 1 re f q 2 0 0 2 0 0 cm 1 1 m 9 1 l S 1 2 m 9. 2 l S 1 3 m +9 3 l S Q 3 3 m 7 3 l 10 20 m 30 20 l S 1 4 m 4 9 l S 1 5 m 9 5 l n 2 2 m 8 2 l S 3 8 m 9 8 l f"
+    calls = []
+    monkeypatch.setattr(pdf.Page, "lines", lambda self, found, ctm, own=pdf.Page.lines: (calls.append(len(found)), own(self, found, ctm))[1])
+    (got,) = read(one_page(content))
+    monkeypatch.setattr(pdf, "LINES", pdf.re.compile(rb"(?!)"))
+    (want,) = read(one_page(content))
+    assert (got["rules"], got["bars"], got["error"]) == (want["rules"], want["bars"], None) and len(want["rules"]) > 8
+    assert calls == [4, 3, 2]
